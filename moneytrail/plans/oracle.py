@@ -272,3 +272,189 @@ union select 'STRUCTURING', txn_id from small where dst in (select destination_a
 union select 'DORMANT_ACTIVATION', m.txn_id from moves m join dorm d on m.account_id = d.account_id
   where m.ts > $AS_OF - interval 30 day and m.ts <= $AS_OF
 union select 'PROFILE_MISMATCH', txn_id from transfers join prof on dst = account_id where amount >= 500000 and ts <= $AS_OF""")
+
+# --- traversal and export -------------------------------------------------------------------------
+
+NEAR = {
+    "links": "select src as a, dst as b from transfers where src <> dst union select dst, src from transfers where src <> dst",
+    "flagged": "select account_id from accounts where is_flagged",
+    "ball": """
+select center, node, min(hop) as hop from (
+  select account_id as center, account_id as node, 0 as hop from flagged
+  union all select f.account_id, l.b, 1 from flagged f join links l on l.a = f.account_id
+  union all select f.account_id, m.b, 2 from flagged f join links l on l.a = f.account_id join links m on m.a = l.b) z
+where center in (select a from links) group by all""",
+}
+add("subgraph_nodes", """
+select center, account_id, cast(hop as bigint) as hop, account_type, customer_name, customer_category, risk_score, is_flagged, kyc_status
+from ball join accounts on node = account_id""", **NEAR)
+add("subgraph_edges", """
+select b1.center, txn_id, src, dst, amount, txn_type, is_fraud from transfers
+join ball b1 on b1.node = src join ball b2 on b2.node = dst and b2.center = b1.center where b1.hop <= 1 and b2.hop <= 1""", **NEAR)
+add("subgraph_edges_reached", """
+select b1.center, txn_id, src, dst, amount, txn_type, is_fraud from transfers
+join ball b1 on b1.node = src join ball b2 on b2.node = dst and b2.center = b1.center
+where b1.hop <= 1 and b2.hop <= 1 and (b1.hop < 1 or b2.hop < 1)""", **NEAR)
+
+PATHS = {
+    "flagged": NEAR["flagged"],
+    "wanted": "select distinct dst as source, src as dest from transfers where src in (select account_id from flagged) and src <> dst",
+    "hops": """
+select distinct source, source as node, 0 as hop from wanted
+union select source, dst, hop + 1 from hops join transfers on src = node where hop < 10""",
+    "near": "select source, node, min(hop) as hop from hops group by all",
+    "entry": """
+select n.source, n.node, n.hop, min(t.src) as previous from near n join transfers t on t.dst = n.node
+join near p on p.source = n.source and p.node = t.src and p.hop = n.hop - 1 group by all""",
+    "line": """
+select w.source, w.dest, n.hop as path_length, n.hop as hop, w.dest as node, [w.dest] as nodes,
+       cast([] as varchar[]) as txn_ids, cast(0 as double) as total_amount
+from wanted w join near n on n.source = w.source and n.node = w.dest
+union all
+select l.source, l.dest, path_length, l.hop - 1, e.previous, list_prepend(e.previous, nodes),
+       list_prepend(s.txn_id, txn_ids), total_amount + s.amount
+from line l join entry e on e.source = l.source and e.node = l.node
+join single s on s.src = e.previous and s.dst = l.node where l.hop > 0""",
+    "single": "select src, dst, min(txn_id) as txn_id, arg_min(amount, txn_id) as amount, arg_min(is_fraud, txn_id) as is_fraud from transfers group by src, dst",
+}
+PATHS = {k: PATHS[k] for k in ("flagged", "wanted", "hops", "near", "entry", "single", "line")}
+add("fund_paths", """
+select source, dest, cast(path_length as bigint) as path_length, total_amount, array_to_string(nodes, ',') as nodes,
+       array_to_string(txn_ids, ',') as txn_ids, array_to_string(nodes[2:path_length], ',') as intermediate_accounts
+from line where hop = 0""", True, **PATHS)
+add("fund_path_export", """
+select path_source, path_dest, id, src as source, dst as target, amount,
+       case when is_fraud then '#FF4757' else 'rgba(255, 255, 255, 0.3)' end as color,
+       round(1 + amount / nullif(max(amount) over (partition by path_source, path_dest), 0) * 7, 1) as width
+from (select l.source as path_source, l.dest as path_dest, unnest(txn_ids) as id from line l where hop = 0) z
+join single on single.txn_id = z.id""", True, **PATHS)
+
+MEMBERS = {**FOUND, "members": """
+select distinct pattern || ':' || detection_id as detection_id, account_id from involved where pattern in ('LAYERING', 'STRUCTURING')"""}
+add("pattern_subgraph_nodes", """
+select m.detection_id, a.account_id, account_type, customer_name, risk_score, is_flagged
+from members m join accounts a on a.account_id = m.account_id""", True, **MEMBERS)
+add("pattern_subgraph_edges", """
+select m1.detection_id, count(*) as edges, sum(amount) as amount from transfers
+join members m1 on m1.account_id = src join members m2 on m2.account_id = dst and m2.detection_id = m1.detection_id
+group by m1.detection_id""", True, **MEMBERS)
+
+add("edge_list", "select distinct src as source, dst as target from transfers")
+
+DRAWN = {
+    "raw_nodes": """
+select a.account_id as id, account_type, customer_name, customer_category, is_flagged, kyc_status,
+       coalesce(total_sent, 0) as total_sent, coalesce(total_received, 0) as total_received,
+       least(coalesce(marked, 0), 4) / 4 as risk
+from accounts a left join (
+  select account_id, sum(amount) filter (dir = 'sent') as total_sent, sum(amount) filter (dir = 'received') as total_received,
+         count(*) filter (is_fraud) as marked from moves group by account_id) v on v.account_id = a.account_id
+where kyc_status = 'VERIFIED'""",
+    "valid": """
+select txn_id as id, src as source, dst as target, amount, txn_type, is_fraud, '' as fraud_type,
+       case when is_fraud then '#FF4757' else 'rgba(255, 255, 255, 0.3)' end as color,
+       round(1 + amount / (select max(amount) from transfers) * 7, 1) as width
+from transfers where src in (select id from raw_nodes) and dst in (select id from raw_nodes)""",
+}
+add("graph_export_nodes", """
+select id, substr(id, 1, 10) as label, round(risk * 100, 1) as risk_score, tier as risk_tier,
+       account_type, customer_name, customer_category, total_sent, total_received, is_flagged, kyc_status,
+       case tier when 'CRITICAL' then '#FF4757' when 'HIGH' then '#FF6B35' when 'MEDIUM' then '#FFA502'
+            when 'LOW' then '#2ED573' else '#636E72' end as color,
+       cast(floor(20 + (total_sent + total_received) / (select max(total_sent + total_received) from raw_nodes) * 60) as bigint) as size
+from (select *, case when risk * 100 >= 76 then 'CRITICAL' when risk * 100 >= 56 then 'HIGH'
+      when risk * 100 >= 31 then 'MEDIUM' when risk * 100 > 0 then 'LOW' else 'NONE' end as tier from raw_nodes) z""", **DRAWN)
+add("graph_export_edges", "select * from valid", **DRAWN)
+add("graph_export_summary", """
+select (select count(*) from raw_nodes) as nodes, (select count(*) from valid) as edges,
+       (select count(*) from transfers) - (select count(*) from valid) as dropped_edges""", **DRAWN)
+
+# --- features -------------------------------------------------------------------------------------
+
+FEAT = {
+    "seen": "select distinct account_id, dir, counterparty, ts, amount from moves where ts <= $AS_OF",
+    "feat": """
+select a.account_id, account_type, is_flagged, cast(account_age_days as bigint) as account_age_days,
+  coalesce(sum(amount) filter (dir = 'sent' and ts > $AS_OF - interval 30 day), 0) as total_sent_30d,
+  coalesce(sum(amount) filter (dir = 'received' and ts > $AS_OF - interval 30 day), 0) as total_received_30d,
+  count(*) filter (ts > $AS_OF - interval 30 day) as txn_count_30d,
+  count(distinct counterparty) filter (ts > $AS_OF - interval 30 day) as unique_counterparties_30d,
+  coalesce(avg(amount), 0) as avg_txn_amount, coalesce(max(amount), 0) as max_single_txn,
+  count(*) filter (dir = 'sent' and ts > $AS_OF - interval 7 day)
+    / (count(*) filter (dir = 'sent' and ts > $AS_OF - interval 14 day and ts <= $AS_OF - interval 7 day) + 1) as velocity_7d,
+  cast(account_type = 'DORMANT' as bigint) as is_dormant_activated,
+  coalesce(sqrt(greatest(0, sum(amount * amount) / count(amount) - (sum(amount) / count(amount)) ** 2)), 0) as std_txn_amount,
+  coalesce(count(*) filter (hour(ts) >= 23 or hour(ts) < 5) / nullif(count(ts), 0), 0) as night_txn_ratio,
+  date_diff('day', cast(max(ts) as date), date '2024-01-31') as days_since_last_txn
+from accounts a left join seen on seen.account_id = a.account_id group by a.account_id, account_type, is_flagged, a.account_age_days""",
+    "deg": """
+select account_id, coalesce(n_in, 0) as in_degree, coalesce(n_out, 0) as out_degree, coalesce(n_in, 0) + coalesce(n_out, 0) as degree
+from accounts left join (select dst, count(distinct src) as n_in from transfers group by dst) i on i.dst = account_id
+left join (select src, count(distinct dst) as n_out from transfers group by src) o on o.src = account_id""",
+}
+add("account_features", """
+select account_id, account_type, is_flagged, account_age_days, total_sent_30d, total_received_30d, txn_count_30d,
+  unique_counterparties_30d, round(avg_txn_amount, 4) as avg_txn_amount, max_single_txn, round(velocity_7d, 4) as velocity_7d,
+  is_dormant_activated, round(std_txn_amount, 4) as std_txn_amount, round(night_txn_ratio, 4) as night_txn_ratio,
+  days_since_last_txn, round(total_sent_30d / (total_received_30d + 1), 4) as sent_received_ratio
+from feat""", **FEAT)
+add("graph_features", """
+select account_id, in_degree, out_degree, degree,
+  round(0.15::double / (select count(*) from deg) + 0.85::double * degree / (select sum(degree) from deg), 9) as degree_share_rank
+from deg""", **FEAT)
+
+RANK = {
+    "pairs": """
+select distinct src, dst from transfers where src in (select account_id from accounts) and dst in (select account_id from accounts)""",
+    "outs": "select src, count(*) as d from pairs group by src",
+    "n": "select count(*) as n from accounts",
+    "r0": "select account_id, 1.0::double / (select n from n) as r from accounts",
+}
+for _k in range(1, 21):
+    RANK[f"r{_k}"] = f"""
+select a.account_id, 0.15::double / (select n from n) + 0.85::double * (coalesce(c.r, 0) + (
+         select coalesce(sum(r), 0) from r{_k - 1} where account_id not in (select src from outs)) / (select n from n)) as r
+from accounts a left join (
+  select p.dst, sum(x.r / o.d) as r from pairs p join outs o on o.src = p.src join r{_k - 1} x on x.account_id = p.src group by p.dst) c
+  on c.dst = a.account_id"""
+RANK = {k: v for k, v in RANK.items()}
+add("pagerank", "select account_id, round(r, 9) as pagerank_score from r20", **RANK)
+
+add("clustering", """
+select account_id, round(case when d >= 2 then coalesce(t, 0) / (d * (d - 1)) else 0 end, 6) as clustering_coefficient
+from accounts left join (select a, count(*) as d from links group by a) g on g.a = account_id
+left join (select x.a, count(*) as t from links x join links y on y.a = x.a join links z on z.a = x.b and z.b = y.b group by x.a) h
+  on h.a = account_id""", links=NEAR["links"])
+
+CYCLE_FEATURES = {**TRAILS, "onc": "select account_id, max(n) as longest from (select unnest(nodes) as account_id, n from cyc) group by account_id"}
+add("cycle_features", """
+select a.account_id, cast(longest is not null as bigint) as is_in_cycle, cast(coalesce(longest, 0) as bigint) as max_cycle_length
+from accounts a left join onc on onc.account_id = a.account_id""", True, **CYCLE_FEATURES)
+
+HOPS = {
+    "links": NEAR["links"],
+    "far": """
+select account_id, 0 as hop from accounts where is_flagged
+union select l.b, hop + 1 from far join links l on l.a = account_id where hop < 12""",
+    "least_far": "select account_id, min(hop) as hop from far group by account_id",
+}
+add("hops_to_flagged", """
+select a.account_id, cast(hop as bigint) as hop_count_to_flagged from accounts a left join least_far f on f.account_id = a.account_id""",
+    True, **HOPS)
+
+_CHECKED = (
+    "account_age_days total_sent_30d total_received_30d txn_count_30d unique_counterparties_30d avg_txn_amount max_single_txn "
+    "velocity_7d is_dormant_activated std_txn_amount night_txn_ratio days_since_last_txn sent_received_ratio in_degree out_degree "
+    "is_in_cycle max_cycle_length hop_count_to_flagged"
+).split()
+add("feature_matrix", "select account_id, " + ", ".join(
+    f"round(case when stddev_pop({c}) over () <= 1e-14 * greatest(abs(avg({c}) over ()), 1) then 0 "
+    f"else ({c} - avg({c}) over ()) / stddev_pop({c}) over () end, 6) as {c}" for c in _CHECKED) + " from wide", True,
+    **FEAT, **CYCLE_FEATURES, **HOPS, wide="select f.account_id, " + ", ".join(f"cast(coalesce({c}, 0) as double) as {c}" for c in _CHECKED) + """
+from (select *, total_sent_30d / (total_received_30d + 1) as sent_received_ratio from feat) f
+join (select account_id, in_degree, out_degree from deg) d on d.account_id = f.account_id
+left join (select account_id, 1 as is_in_cycle, longest as max_cycle_length from onc) o on o.account_id = f.account_id
+left join (select account_id, hop as hop_count_to_flagged from least_far) h on h.account_id = f.account_id""")
+
+add("labels", """
+select account_id, account_id in (select account_id from moves where is_fraud) as is_fraud from accounts""")

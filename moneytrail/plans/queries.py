@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import text_of
-from moneytrail.operators import patterns, quality
-from moneytrail.operators.cycles import circular
+from moneytrail.operators import centrality, export, features, patterns, quality, traverse
+from moneytrail.operators.cycles import circular, trails
 from moneytrail.sources import edges, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,193 @@ def detector_eval(spark, sf_dir):
     txns = star.transactions(spark, sf_dir)
     scored = patterns.detector_evaluation(txns, patterns.transfers_behind(found_patterns(spark, sf_dir)))
     return scored.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "own_recall")})
+
+
+# --- traversal and export -------------------------------------------------------------------------
+
+
+def flagged(spark, sf_dir):
+    return star.accounts(spark, sf_dir).where("is_flagged").select("account_id")
+
+
+def around_flagged(spark, sf_dir, **options):
+    return traverse.neighbourhood(
+        star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), flagged(spark, sf_dir), **options
+    )
+
+
+@query
+def subgraph_nodes(spark, sf_dir):
+    nodes, _ = around_flagged(spark, sf_dir, depth=2)
+    return nodes.withColumn("hop", F.col("hop").cast("bigint"))
+
+
+@query
+def subgraph_edges(spark, sf_dir):
+    _, edges = around_flagged(spark, sf_dir, depth=1)
+    return edges.drop("ts")
+
+
+@query
+def subgraph_edges_reached(spark, sf_dir):
+    _, edges = around_flagged(spark, sf_dir, depth=1, edges="reached")
+    return edges.drop("ts")
+
+
+def way_back(spark, sf_dir):
+    """Can money sent by a flagged account return to it: (receiver, flagged sender) pairs."""
+    sent = star.transfers(spark, sf_dir).join(flagged(spark, sf_dir).withColumnRenamed("account_id", "src"), "src", "left_semi")
+    return sent.select(F.col("dst").alias("source"), F.col("src").alias("dest")).distinct()
+
+
+def traced(spark, sf_dir):
+    return traverse.fund_paths(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), way_back(spark, sf_dir))
+
+
+@query
+def fund_paths(spark, sf_dir):
+    return traced(spark, sf_dir).select(
+        "source", "dest", F.col("path_length").cast("bigint").alias("path_length"), "total_amount",
+        text_of("nodes.id").alias("nodes"), text_of("edges.txn_id").alias("txn_ids"),
+        text_of("intermediate_accounts").alias("intermediate_accounts"),
+    )
+
+
+@query
+def fund_path_export(spark, sf_dir):
+    nodes, edges = export.path_rows(traced(spark, sf_dir))
+    group = ["path_source", "path_dest"]
+    drawn = export.export_edges(edges, export.export_nodes(nodes, group), group)
+    return drawn.select(*group, "id", "source", "target", "amount", "color", F.round("width", 1).alias("width"))
+
+
+def found_members(spark, sf_dir):
+    return patterns.involvement(found_patterns(spark, sf_dir)).where("pattern in ('LAYERING', 'STRUCTURING')").withColumn(
+        "detection_id", F.concat_ws(":", "pattern", "detection_id")
+    )
+
+
+@query
+def pattern_subgraph_nodes(spark, sf_dir):
+    nodes, _ = traverse.pattern_subgraph(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), found_members(spark, sf_dir))
+    return nodes
+
+
+@query
+def pattern_subgraph_edges(spark, sf_dir):
+    _, edges = traverse.pattern_subgraph(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), found_members(spark, sf_dir))
+    return edges.groupBy("detection_id").agg(F.count("*").alias("edges"), F.sum("amount").alias("amount"))
+
+
+@query
+def edge_list(spark, sf_dir):
+    return traverse.directed_pairs(star.transfers(spark, sf_dir))
+
+
+def raw_nodes(spark, sf_dir):
+    volume = features.moves(star.transfers(spark, sf_dir)).groupBy("account_id").agg(
+        F.sum(F.when(F.col("sent"), F.col("amount"))).alias("total_sent"),
+        F.sum(F.when(~F.col("sent"), F.col("amount"))).alias("total_received"),
+        F.count_if(F.col("is_fraud")).alias("marked"),
+    )
+    known = star.accounts(spark, sf_dir).where("kyc_status = 'VERIFIED'").drop("risk_score")
+    return known.join(volume, "account_id", "left").withColumn(
+        "risk_score", F.least(F.coalesce("marked", F.lit(0)), F.lit(4)) / 4
+    ).withColumnRenamed("account_id", "id")
+
+
+@query
+def graph_export_nodes(spark, sf_dir):
+    drawn = export.export_nodes(raw_nodes(spark, sf_dir))
+    return drawn.withColumn("size", F.col("size").cast("bigint"))
+
+
+@query
+def graph_export_edges(spark, sf_dir):
+    nodes = export.export_nodes(raw_nodes(spark, sf_dir))
+    raw = star.transfers(spark, sf_dir)
+    return export.export_edges(raw.unionByName(raw), nodes).drop("timestamp")
+
+
+@query
+def graph_export_summary(spark, sf_dir):
+    nodes = export.export_nodes(raw_nodes(spark, sf_dir))
+    raw = star.transfers(spark, sf_dir)
+    return export.export_summary(raw, nodes, export.export_edges(raw, nodes))
+
+
+# --- features -------------------------------------------------------------------------------------
+
+
+def behaviour(spark, sf_dir):
+    return features.account_features(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), AS_OF())
+
+
+def closed_trails(spark, sf_dir):
+    return trails(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["CIRCULAR_ROUND_TRIP"])
+
+
+def rounded(df, digits, *columns):
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+@query
+def account_features(spark, sf_dir):
+    return rounded(
+        behaviour(spark, sf_dir), 4, "avg_txn_amount", "std_txn_amount", "velocity_7d", "night_txn_ratio", "sent_received_ratio"
+    ).withColumns({
+        c: F.col(c).cast("bigint") for c in ("account_age_days", "is_dormant_activated", "days_since_last_txn")
+    })
+
+
+@query
+def graph_features(spark, sf_dir):
+    degree = features.degrees(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir))
+    return rounded(degree.join(features.degree_share_rank(degree), "account_id"), 9, "degree_share_rank")
+
+
+@query
+def pagerank(spark, sf_dir):
+    return rounded(centrality.page_rank(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)), 9, "pagerank_score")
+
+
+@query
+def betweenness(spark, sf_dir):
+    return rounded(centrality.betweenness(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)), 9, "betweenness_centrality")
+
+
+@query
+def clustering(spark, sf_dir):
+    return rounded(centrality.clustering(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)), 6, "clustering_coefficient")
+
+
+@query
+def cycle_features(spark, sf_dir):
+    member = centrality.cycle_membership(closed_trails(spark, sf_dir), star.accounts(spark, sf_dir))
+    return member.withColumns({c: F.col(c).cast("bigint") for c in ("is_in_cycle", "max_cycle_length")})
+
+
+@query
+def hops_to_flagged(spark, sf_dir):
+    hops = centrality.hops_to_flagged(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir))
+    return hops.withColumn("hop_count_to_flagged", F.col("hop_count_to_flagged").cast("bigint"))
+
+
+CHECKED = [c for c in features.FEATURES if c not in ("betweenness_centrality", "pagerank_score", "clustering_coefficient")]
+
+
+@query
+def feature_matrix(spark, sf_dir):
+    """The standardised matrix without the three iterative columns, which have queries of their own."""
+    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
+    structure = (
+        features.degrees(transfers, accounts)
+        .join(centrality.cycle_membership(closed_trails(spark, sf_dir), accounts), "account_id")
+        .join(centrality.hops_to_flagged(transfers, accounts), "account_id")
+    )
+    return rounded(features.feature_matrix(behaviour(spark, sf_dir), structure, CHECKED), 6, *CHECKED)
+
+
+@query
+def labels(spark, sf_dir):
+    return features.fraud_labels(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir))
