@@ -36,3 +36,8 @@ def from_micros(value: Column) -> Column:
 def text_of(array: str | Column) -> Column:
     """Array as one text, for sinks and comparisons that hold no arrays."""
     return F.array_join(array, ",")
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Number as text with a fixed count of decimals, halves going to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))

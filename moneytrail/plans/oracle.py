@@ -458,3 +458,251 @@ left join (select account_id, hop as hop_count_to_flagged from least_far) h on h
 
 add("labels", """
 select account_id, account_id in (select account_id from moves where is_fraud) as is_fraud from accounts""")
+
+# --- node scores ----------------------------------------------------------------------------------
+
+MODEL = {
+    "medges": """
+select src, dst from (select distinct src, dst from transfers where src in (select account_id from accounts)
+  and dst in (select account_id from accounts)) z
+union all select account_id, account_id from accounts""",
+}
+add("model_edges", "select src as source, dst as target, count(*) as copies from medges group by all", **MODEL)
+
+_SIMPLE = ["total_sent_30d", "txn_count_30d", "account_age_days"]
+_HOP = "select dst as account_id, " + ", ".join(f"avg({c}) as {c}" for c in _SIMPLE) + " from medges join $FROM x on x.account_id = src group by dst"
+add("neighbour_means", "select f.account_id, " + ", ".join(
+    f"round(cast(f.{c} as double), 4) as {c}, round(h1.{c}, 4) as {c}_h1, round(h2.{c}, 4) as {c}_h2" for c in _SIMPLE)
+    + " from feat f join h1 on h1.account_id = f.account_id join h2 on h2.account_id = f.account_id",
+    **FEAT, **MODEL, h1=_HOP.replace("$FROM", "feat"), h2=_HOP.replace("$FROM", "h1"))
+
+LABELS = {"lab": "select account_id, account_id in (select account_id from moves where is_fraud) as is_fraud from accounts"}
+add("class_weights", """
+select is_fraud, count(*) as accounts, round(case when is_fraud then (select count(*) filter (not is_fraud) / count(*) filter (is_fraud) from lab)
+       else 1 end, 6) as weight from lab group by is_fraud""", **LABELS)
+add("split", """
+select is_fraud, v as is_validation, case when v then quota else n - quota end as accounts
+from (select is_fraud, count(*) as n, cast(round_even(count(*) * 0.2::double, 0) as bigint) as quota from lab group by is_fraud) z,
+     (select unnest([true, false]) as v) y where case when v then quota else n - quota end > 0""", **LABELS)
+
+
+def _sage() -> dict[str, str]:
+    """The fixed small network, layer by layer."""
+    def cell(i, j, shift):
+        return ((3 * i + 5 * j + shift) % 7 - 3) / 4
+
+    views = {"l0": "select account_id, txn_count_30d / 100 as x0, velocity_7d / 10 as x1 from feat"}
+    before, width = "l0", 2
+    for n, size in enumerate((4, 3, 2), 1):
+        mean = ", ".join(f"avg(x{j}) as m{j}" for j in range(width))
+        views[f"a{n}"] = f"select dst as account_id, {mean} from medges join {before} x on x.account_id = src group by dst"
+        def out(i):
+            terms = [f"{cell(i, j, n)} * m{j} + {cell(i, j, n + 2)} * x{j}" for j in range(width)]
+            return f"greatest({cell(0, i, n + 1)} + " + " + ".join(terms) + f", 0) as x{i}"
+        views[f"l{n}"] = f"select x.account_id, {', '.join(out(i) for i in range(size))} from {before} x join a{n} m on m.account_id = x.account_id"
+        before, width = f"l{n}", size
+    logit = " + ".join(f"({cell(1, i, 4)} - {cell(0, i, 4)}) * x{i}" for i in range(width))
+    views["net"] = f"select account_id, 1 / (1 + exp(-({logit} - 0.75))) as p, x0, x1 from l3"
+    return views
+
+
+add("sage_scores", """
+select account_id, round(p, 9) as gnn_fraud_prob, round(cast(x0 as double), 9) as e0, round(cast(x1 as double), 9) as e1 from net""",
+    **FEAT, **MODEL, **_sage())
+
+PROXY = {
+    "proxy": """
+select a.account_id, least(coalesce(marked, 0), 4) / 4 as p, least(coalesce(n, 0), 100) / 100 as a
+from accounts a left join (select account_id, count(*) filter (is_fraud) as marked, count(*) as n from moves group by account_id) m
+  on m.account_id = a.account_id""",
+}
+add("node_metrics", """
+select 'auc_roc' as metric, round((sum(r) filter (is_fraud) - count(*) filter (is_fraud) * (count(*) filter (is_fraud) + 1) / 2)
+       / (count(*) filter (is_fraud) * count(*) filter (not is_fraud)), 6) as value
+from (select is_fraud, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as r from proxy join lab using (account_id)) z
+union all
+select 'precision', round(coalesce(count(*) filter (is_fraud and a > 0.5) / nullif(count(*) filter (a > 0.5), 0), 0), 6) from proxy join lab using (account_id)
+union all
+select 'recall', round(coalesce(count(*) filter (is_fraud and a > 0.5) / nullif(count(*) filter (is_fraud), 0), 0), 6) from proxy join lab using (account_id)""",
+    **LABELS, **PROXY)
+
+# --- anomalies and explanations -------------------------------------------------------------------
+
+add("lof", """
+select p.account_id, round(-(l.around / 20) / q.density, 6) as lof_score
+from pts p
+join (select u.id, sum(t.density) as around from lookup u join fitted t on t.id = u.other group by u.id) l on l.id = p.account_id
+join (select u.id, 1 / (sum(greatest(u.d, k.kd)) / 20 + 1e-10) as density from lookup u join kdist k on k.id = u.other group by u.id) q
+  on q.id = p.account_id""", **FEAT,
+    pts="""
+select account_id, cast(account_age_days as double) as a, cast(txn_count_30d as double) as b,
+       cast(unique_counterparties_30d as double) as c, cast(coalesce(days_since_last_txn, 0) as double) as e,
+       min(account_id) over (partition by account_age_days, txn_count_30d, unique_counterparties_30d, coalesce(days_since_last_txn, 0)) as site
+from feat""",
+    dist="""
+select x.account_id as id, y.account_id as other, x.site <> y.site as apart, y.site as place,
+       sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.e - y.e) ** 2) as d from pts x, pts y""",
+    lookup="select id, other, d from dist qualify row_number() over (partition by id order by apart, d, place, other) <= 20",
+    others="select id, other, d from dist where id <> other qualify row_number() over (partition by id order by apart, d, place, other) <= 20",
+    kdist="select id, max(d) as kd from others group by id",
+    fitted="select o.id, 1 / (sum(greatest(o.d, k.kd)) / 20 + 1e-10) as density from others o join kdist k on k.id = o.other group by o.id")
+
+add("anomaly_ensemble", """
+select account_id, cast(-txn_count_30d as double) as iso_score, cast(-account_age_days as double) as lof_score,
+       -txn_count_30d < (select quantile_cont(cast(-txn_count_30d as double), 0.08) from feat) as iso_is_anomaly,
+       -account_age_days < (select quantile_cont(cast(-account_age_days as double), 0.08) from feat) as lof_is_anomaly,
+       round(s, 9) as ensemble_anomaly_score, s > 0.65::double as ensemble_is_anomaly
+from (select *, 0.6::double * coalesce((txn_count_30d - min(txn_count_30d) over ()) / nullif(max(txn_count_30d) over () - min(txn_count_30d) over (), 0), 0)
+        + 0.4::double * coalesce((account_age_days - min(account_age_days) over ()) / nullif(max(account_age_days) over () - min(account_age_days) over (), 0), 0) as s
+      from feat) z""", **FEAT)
+
+_WEIGHTS = {
+    "total_sent_30d": 0.000002, "txn_count_30d": -0.03, "account_age_days": 0.0005, "velocity_7d": 1.5,
+    "unique_counterparties_30d": 0.07, "days_since_last_txn": -0.2,
+}
+add("top_contributions", """
+select account_id, rank, feature, round(share, 4) as shap_value, case when share > 0 then 'increases_risk' else 'decreases_risk' end as direction
+from (select account_id, feature, share, row_number() over (partition by account_id order by abs(share) desc, place) as rank from shares) z
+where rank <= 5""", **FEAT, shares=" union all ".join(
+    f"select account_id, '{c}' as feature, {i} as place, {w}::double * (coalesce({c}, 0) - avg(coalesce({c}, 0)) over ()) as share from feat"
+    for i, (c, w) in enumerate(_WEIGHTS.items())))
+
+add("readable_features", """
+select account_id, feature, case feature when 'account_age_days' then 'Account age' when 'txn_count_30d' then 'Transaction frequency'
+       when 'total_sent_30d' then '30-day outflow' else 'Largest single transaction' end
+       || case when abs(v) > 10 then ' is ' || printf('%.0f', v) else ' = ' || printf('%.2f', v) end
+       || case when v > 100 then ' (increases risk)' else ' (decreases risk)' end as readable
+from (select account_id, unnest(['account_age_days', 'txn_count_30d', 'total_sent_30d', 'max_single_txn']) as feature,
+             unnest([cast(account_age_days as double), cast(txn_count_30d as double), total_sent_30d, max_single_txn]) as v from feat) z""", **FEAT)
+
+# --- risk and alerts ------------------------------------------------------------------------------
+
+RISK = {
+    **FOUND, **PROXY,
+    "hits": "select account_id, pattern, count(*) as n from involved group by all",
+    "rul": """
+select account_id, least(100, cast(sum(n * case pattern when 'CIRCULAR_ROUND_TRIP' then 40 when 'LAYERING' then 35 when 'STRUCTURING' then 30
+       when 'DORMANT_ACTIVATION' then 25 else 20 end) as double)) as rule_score,
+       array_to_string(list(pattern order by list_position(['CIRCULAR_ROUND_TRIP','LAYERING','STRUCTURING','DORMANT_ACTIVATION','PROFILE_MISMATCH'], pattern)), ',') as triggered_patterns
+from hits group by account_id""",
+    "parts": """
+select p.account_id, 0.4::double * p * 100 as gnn, 0.35::double * a * 100 as iso, 0.25::double * coalesce(rule_score, 0) as rul,
+       coalesce(triggered_patterns, '') as triggered_patterns from proxy p left join rul r on r.account_id = p.account_id""",
+    "scored": """
+select account_id, round(total, 2) as risk_score, case when total >= 76 then 'CRITICAL' when total >= 56 then 'HIGH' when total >= 31 then 'MEDIUM' else 'LOW' end as risk_tier,
+       round(gnn, 2) as gnn_contribution, round(iso, 2) as iso_contribution, round(rul, 2) as rule_contribution, triggered_patterns
+from (select *, least(greatest(gnn + iso + rul, 0), 100) as total from parts) z""",
+    "advised": """
+select *, case risk_tier when 'CRITICAL' then 'Freeze account immediately and file STR with FIU-IND.'
+   when 'HIGH' then 'Immediate review required. Escalate to senior investigator.'
+   when 'MEDIUM' then 'Enhanced due diligence. Monitor closely for 30 days.' else 'Normal monitoring. No immediate action required.' end as recommendation
+from scored""",
+    "alrt": """
+select account_id, risk_score, risk_tier, triggered_patterns, recommendation, 'OPEN' as status,
+  case when said = '' then 'Account flagged based on aggregate risk signals.' else said end as evidence_summary
+from (select *, concat_ws(' ',
+    case when gnn_contribution > 10 then 'GNN model indicates ' || printf('%.0f', gnn_contribution) || '% structural risk from account neighbourhood.' end,
+    case when iso_contribution > 10 then 'Anomaly detection score contributes ' || printf('%.0f', iso_contribution) || '% — behavioral patterns deviate from baseline.' end,
+    case when triggered_patterns <> '' then 'AML patterns detected: ' || replace(triggered_patterns, ',', ', ') || '.' end) as said
+  from advised where risk_tier <> 'LOW') z""",
+    "recent": """
+select account_id, place, txn_id, amount, txn_type, ts, counterparty, is_fraud from (
+  select *, row_number() over (partition by account_id order by ts desc, txn_id, counterparty, dir) as place from moves) z where place <= 10""",
+}
+add("rule_scores", "select * from rul", True, **RISK)
+add("risk_scores", "select * from advised", True, **RISK)
+add("tier_counts", """
+select t.risk_tier, count(s.account_id) as accounts from (select unnest(['LOW','MEDIUM','HIGH','CRITICAL']) as risk_tier) t
+left join scored s on s.risk_tier = t.risk_tier group by t.risk_tier""", True, **RISK)
+add("risk_flags", "select account_id, round(risk_score / 100, 4) as risk_score, risk_tier in ('HIGH', 'CRITICAL') as is_flagged from scored", True, **RISK)
+add("alerts", "select * from alrt", True, **RISK)
+add("alert_page", """
+select account_id, risk_score, risk_tier, status, (select count(*) from alrt where risk_tier = 'MEDIUM') as total,
+       30 < (select count(*) from alrt where risk_tier = 'MEDIUM') as has_more
+from alrt where risk_tier = 'MEDIUM' order by risk_score desc, account_id limit 20 offset 10""", True, **RISK)
+add("alert_stats", """
+select 'overall' as section, 'total_alerts' as item, cast(count(*) as double) as value from alrt
+union all select 'overall', 'total_amount_at_risk', round(coalesce(sum(risk_score * 10000) filter (risk_tier in ('HIGH', 'CRITICAL')), 0), 2) from alrt
+union all select 'by_tier', t.risk_tier, cast(count(s.account_id) as double) from (select unnest(['LOW','MEDIUM','HIGH','CRITICAL']) as risk_tier) t
+  left join alrt s on s.risk_tier = t.risk_tier group by t.risk_tier
+union all select 'top_patterns', item, cast(count(*) as double) from (
+  select unnest(string_split(triggered_patterns, ',')) as item from alrt where triggered_patterns <> '') z group by item""", True, **RISK)
+add("alert_detail", """
+select x.account_id, x.risk_tier, customer_name, kyc_status, txn_ids, round(gnn_contribution / 40, 4) as gnn_fraud_prob, round(iso_contribution / 35, 4) as anomaly_score
+from alrt x join scored s on s.account_id = x.account_id join accounts a on a.account_id = x.account_id
+left join (select account_id, array_to_string(list(txn_id order by place), ',') as txn_ids from recent group by account_id) r on r.account_id = x.account_id""",
+    True, **RISK)
+add("alert_updates", """
+select x.account_id, coalesce(l.status, 'OPEN') as status, coalesce(l.note, '') as analyst_note,
+       coalesce(strftime(timestamp '2024-01-01 00:00:00' + to_seconds(l.k), '%Y-%m-%d %H:%M:%S'), '') as updated_at
+from alrt x left join (
+  select account_id, arg_max(status, o_orderkey) as status, max(o_orderkey) as k,
+         arg_max('note ' || o_orderkey, o_orderkey) filter (o_orderkey % 3 <> 0) as note
+  from (select concat('ACC', lpad(cast(o_custkey as varchar), 10, '0')) as account_id, cast(o_orderkey as integer) as o_orderkey,
+        case o_orderpriority when '1-URGENT' then 'ESCALATED' when '2-HIGH' then 'INVESTIGATING' when '3-MEDIUM' then 'DISMISSED'
+             when '5-LOW' then 'OPEN' end as status from orders) o where status is not null group by account_id) l
+on l.account_id = x.account_id""", True, **RISK)
+add("account_lookup", """
+select account_id, account_type, customer_name, customer_category, branch_code, kyc_status, cast(account_age_days as bigint) as account_age_days, risk_score, is_flagged
+from (select distinct dst as account_id from transfers) d left join accounts using (account_id)""")
+add("recent_transfers", "select account_id, place, txn_id, amount, txn_type, counterparty, is_fraud from recent", recent=RISK["recent"])
+add("narratives", """
+select x.account_id, concat_ws(' ', 'Account ' || x.account_id || ' is flagged ' || risk_tier || ' (score: ' || printf('%.0f', risk_score) || '/100).',
+  case when p > 0.5 then 'The GNN model indicates ' || printf('%.0f', p * 100) || '% fraud probability based on account neighbourhood analysis.' end,
+  case when a > 0.5 then 'Anomaly detection score: ' || printf('%.2f', a) || ' — behavioral patterns deviate significantly from baseline.' end,
+  case when triggered_patterns <> '' then 'AML patterns triggered: ' || replace(replace(replace(replace(replace(replace(triggered_patterns, ',', ', '),
+    'CIRCULAR_ROUND_TRIP', 'circular round-tripping'), 'LAYERING', 'fund layering through intermediaries'),
+    'STRUCTURING', 'structuring (transactions below ₹50,000 threshold)'), 'DORMANT_ACTIVATION', 'dormant account sudden activation'),
+    'PROFILE_MISMATCH', 'profile mismatch (high-value credits to low-income profile)') || '.' end,
+  case risk_tier when 'CRITICAL' then 'Recommendation: Freeze account immediately and file STR with FIU-IND.'
+    when 'HIGH' then 'Recommendation: Immediate review by senior investigator required.' end) as narrative
+from alrt x join proxy q on q.account_id = x.account_id""", True, **RISK)
+add("report_rows", """
+select x.account_id, customer_name, branch_code, printf('%.0f', x.risk_score) || '/100' as risk_score, x.risk_tier,
+       replace(triggered_patterns, ',', ', ') as patterns, evidence_summary as evidence, '31-01-2024' as report_date,
+       '31-01-2024 00:00 IST' as signed, coalesce(r.lines, '') as transactions
+from alrt x join accounts a on a.account_id = x.account_id
+left join (select account_id, array_to_string(list(substr(txn_id, 1, 12) || '... ₹' || format('{:,.2f}', amount) || ' ' || txn_type || ' '
+       || strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || substr(counterparty, 1, 13) || case when is_fraud then ' YES' else ' NO' end order by place), '; ') as lines
+  from recent group by account_id) r on r.account_id = x.account_id""", True, **RISK)
+add("run_summary", """
+select 'gnn_auc_roc' as metric, round((sum(r) filter (is_fraud) - count(*) filter (is_fraud) * (count(*) filter (is_fraud) + 1) / 2)
+       / (count(*) filter (is_fraud) * count(*) filter (not is_fraud)), 4) as value
+from (select is_fraud, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2 as r from proxy join lab using (account_id)) z
+union all select 'gnn_precision', round(coalesce(count(*) filter (is_fraud and p > 0.5) / nullif(count(*) filter (p > 0.5), 0), 0), 4) from proxy join lab using (account_id)
+union all select 'gnn_recall', round(coalesce(count(*) filter (is_fraud and p > 0.5) / nullif(count(*) filter (is_fraud), 0), 0), 4) from proxy join lab using (account_id)
+union all select 'anomalies_flagged', count(*) filter (a > 0.65) from proxy
+union all select 'patterns_CIRCULAR_ROUND_TRIP', (select count(*) from cyc)
+union all select 'patterns_LAYERING', (select count(*) from lay)
+union all select 'patterns_STRUCTURING', (select count(*) from stru)
+union all select 'patterns_DORMANT_ACTIVATION', (select count(*) from dorm)
+union all select 'patterns_PROFILE_MISMATCH', (select count(*) from prof)
+union all select 'patterns_TOTAL', (select count(*) from cyc) + (select count(*) from lay) + (select count(*) from stru) + (select count(*) from dorm) + (select count(*) from prof)
+union all select 'alerts_critical', count(*) filter (risk_tier = 'CRITICAL') from alrt
+union all select 'alerts_high', count(*) filter (risk_tier = 'HIGH') from alrt
+union all select 'alerts_medium', count(*) filter (risk_tier = 'MEDIUM') from alrt
+union all select 'total_alerts', count(*) from alrt""", True, **RISK, **LABELS)
+add("loaded_counts", "select (select count(*) from scored) as accounts_loaded, (select count(*) from alrt) as alerts_generated", True, **RISK)
+
+# --- streams --------------------------------------------------------------------------------------
+
+add("stream_inbox", """
+select feed, txn_type, count(*) as transfers, sum(amount) as amount from transfers, (select unnest(['mobile', 'branch']) as feed) f group by all""")
+add("stream_dedup", "select txn_id, src, dst, amount, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from transfers")
+add("stream_enriched", """
+select txn_id, src, customer_name, kyc_status, amount from transfers left join accounts on account_id = src""")
+add("stream_structuring", """
+select src, strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, strftime(w + interval 1 day, '%Y-%m-%d %H:%M:%S') as window_end,
+       count(*) as transfers, max(amount) as largest, sum(amount) as total
+from (select src, amount, unnest(generate_series(date_trunc('hour', ts) - interval 23 hour, date_trunc('hour', ts), interval 1 hour)) as w from transfers) z
+where w + interval 1 day <= (select max(ts) from transfers) - interval 10 minute
+group by src, w having count(*) >= 2 and max(amount) < 49999""")
+add("stream_sessions", """
+select src, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, strftime(max(ts) + interval 6 hour, '%Y-%m-%d %H:%M:%S') as session_end,
+       count(*) as transfers, sum(amount) as total
+from (select *, sum(fresh) over (partition by src order by ts, txn_id) as s from (
+  select src, ts, txn_id, amount, case when ts >= lag(ts) over (partition by src order by ts, txn_id) + interval 6 hour then 1 else 0 end as fresh from transfers) y) z
+group by src, s having max(ts) + interval 6 hour <= (select max(ts) from transfers) - interval 10 minute""")
+add("stream_history", """
+select src, count(*) as transfers, sum(amount) as total, max(amount) as largest, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_ts
+from transfers group by src""")

@@ -5,13 +5,20 @@ Results hold scalar columns only, so that they can be compared with SQL row by r
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import text_of
-from moneytrail.operators import centrality, export, features, patterns, quality, traverse
+from moneytrail.operators import alerts as alert_ops
+from moneytrail.operators import (
+    anomaly, centrality, explain, export, features, nodeclf, patterns, quality, report, risk, traverse,
+)
 from moneytrail.operators.cycles import circular, trails
+from moneytrail.scratch import materialize, scratch_path
 from moneytrail.sources import edges, star
+from moneytrail.streaming import history, inbox, sink
+from moneytrail.streaming import rules as rules_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -403,3 +410,407 @@ def feature_matrix(spark, sf_dir):
 @query
 def labels(spark, sf_dir):
     return features.fraud_labels(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir))
+
+
+# --- node scores ----------------------------------------------------------------------------------
+
+SIMPLE = ["total_sent_30d", "txn_count_30d", "account_age_days"]
+
+
+@query
+def model_edges(spark, sf_dir):
+    edges = nodeclf.Neighbours(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)).edges()
+    return edges.groupBy("source", "target").agg(F.count("*").alias("copies"))
+
+
+@query
+def neighbour_means(spark, sf_dir):
+    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
+    wide = nodeclf.neighbour_means(behaviour(spark, sf_dir), nodeclf.Neighbours(transfers, accounts), SIMPLE, hops=2)
+    return rounded(wide, 4, *[c for c in wide.columns if c != "account_id"])
+
+
+@query
+def class_weights(spark, sf_dir):
+    normal, fraud = nodeclf.class_weights(labels(spark, sf_dir))
+    return labels(spark, sf_dir).groupBy("is_fraud").agg(F.count("*").alias("accounts")).withColumn(
+        "weight", F.round(F.when(F.col("is_fraud"), fraud).otherwise(normal), 6)
+    )
+
+
+@query
+def split(spark, sf_dir):
+    return nodeclf.stratified_split(labels(spark, sf_dir)).groupBy("is_fraud", "is_validation").agg(F.count("*").alias("accounts"))
+
+
+def wide_matrix(spark, sf_dir):
+    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
+    structure = features.degrees(transfers, accounts).join(centrality.page_rank(transfers, accounts), "account_id")
+    columns = [*features.BEHAVIOUR, "in_degree", "out_degree", "pagerank_score"]
+    matrix = features.feature_matrix(behaviour(spark, sf_dir), structure, columns)
+    wide = nodeclf.neighbour_means(matrix, nodeclf.Neighbours(transfers, accounts), columns)
+    return materialize(wide, "wide-matrix"), columns
+
+
+@query
+def node_scores(spark, sf_dir):
+    wide, columns = wide_matrix(spark, sf_dir)
+    return nodeclf.score(nodeclf.train(wide, labels(spark, sf_dir), columns), wide)
+
+
+@query
+def sage_scores(spark, sf_dir):
+    """Inference of a fixed small network (weights from a formula), aggregated over its embedding."""
+    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
+    simple = behaviour(spark, sf_dir).select(
+        "account_id", (F.col("txn_count_30d") / 100).alias("a"), (F.col("velocity_7d") / 10).alias("b")
+    )
+    scored = nodeclf.sage_inference(simple, nodeclf.Neighbours(transfers, accounts), formula_weights(2, (4, 3, 2)), ["a", "b"])
+    return scored.select(
+        "account_id", F.round("gnn_fraud_prob", 9).alias("gnn_fraud_prob"),
+        *[F.round(F.col("embedding")[i], 9).alias(f"e{i}") for i in range(2)],
+    )
+
+
+def formula_weights(width, sizes):
+    """Network weights from a rule, in the names of a stored checkpoint."""
+    def table(rows, columns, shift):
+        return np.array([[((3 * i + 5 * j + shift) % 7 - 3) / 4 for j in range(columns)] for i in range(rows)])
+    weights, before = {}, width
+    for n, size in enumerate(sizes, 1):
+        weights[f"conv{n}.lin_l.weight"] = table(size, before, n)
+        weights[f"conv{n}.lin_l.bias"] = table(1, size, n + 1)[0]
+        weights[f"conv{n}.lin_r.weight"] = table(size, before, n + 2)
+        if n < len(sizes):
+            weights[f"bn{n}.weight"], weights[f"bn{n}.bias"] = np.ones(size), np.zeros(size)
+            weights[f"bn{n}.running_mean"], weights[f"bn{n}.running_var"] = np.zeros(size), np.ones(size) - nodeclf.NORM_EPSILON
+        before = size
+    weights["classifier.weight"], weights["classifier.bias"] = table(2, before, 4), np.array([0.25, -0.5])
+    return weights
+
+
+@query
+def embedding_projection(spark, sf_dir):
+    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
+    matrix = features.standardise(behaviour(spark, sf_dir), SIMPLE + ["avg_txn_amount"])
+    scored = nodeclf.sage_inference(
+        matrix, nodeclf.Neighbours(transfers, accounts), formula_weights(4, (8, 6, 4)), SIMPLE + ["avg_txn_amount"]
+    )
+    spread = scored.select("account_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(4)])
+    return nodeclf.project_2d(spread, [f"e{i}" for i in range(4)])
+
+
+def proxy_scores(spark, sf_dir):
+    """Stand-ins for model scores that SQL can compute: fraud and activity shares in round steps."""
+    moves = features.moves(star.transfers(spark, sf_dir)).groupBy("account_id").agg(
+        F.count_if(F.col("is_fraud")).alias("marked"), F.count("*").alias("n")
+    )
+    return star.accounts(spark, sf_dir).select("account_id").join(moves, "account_id", "left").select(
+        "account_id",
+        (F.least(F.coalesce("marked", F.lit(0)), F.lit(4)) / 4).alias("gnn_fraud_prob"),
+        (F.least(F.coalesce("n", F.lit(0)), F.lit(100)) / 100).alias("ensemble_anomaly_score"),
+    )
+
+
+@query
+def node_metrics(spark, sf_dir):
+    scores = proxy_scores(spark, sf_dir).withColumnRenamed("ensemble_anomaly_score", "p")
+    return rounded(nodeclf.metrics(scores, labels(spark, sf_dir), column="p"), 6, "value")
+
+
+# --- anomalies and explanations -------------------------------------------------------------------
+
+WHOLE = ["account_age_days", "txn_count_30d", "unique_counterparties_30d", "days_since_last_txn"]
+
+
+def anomaly_matrix(spark, sf_dir):
+    return features.standardise(behaviour(spark, sf_dir), features.BEHAVIOUR)
+
+
+@query
+def iforest(spark, sf_dir):
+    matrix = materialize(anomaly_matrix(spark, sf_dir), "matrix")
+    forest = anomaly.fit_forest(matrix, features.BEHAVIOUR)
+    return anomaly.score_forest(matrix, forest, features.BEHAVIOUR, min(anomaly.SAMPLE, matrix.count()))
+
+
+@query
+def lof(spark, sf_dir):
+    """Over whole-number features, so that equal distances are equal in SQL too."""
+    return rounded(anomaly.lof(behaviour(spark, sf_dir), WHOLE), 6, "lof_score")
+
+
+@query
+def anomaly_ensemble(spark, sf_dir):
+    """The ensemble over stand-in scores; ``anomaly_scores`` runs it over the real models."""
+    raw = behaviour(spark, sf_dir).select(
+        "account_id", (-F.col("txn_count_30d")).cast("double").alias("iso_score"),
+        (-F.col("account_age_days")).cast("double").alias("lof_score"),
+    )
+    return rounded(anomaly.ensemble(raw), 9, "ensemble_anomaly_score")
+
+
+@query
+def anomaly_scores(spark, sf_dir):
+    matrix = materialize(anomaly_matrix(spark, sf_dir), "matrix")
+    return anomaly.detect(matrix, features.BEHAVIOUR)[0]
+
+
+WEIGHTS = {
+    "total_sent_30d": {"total_sent_30d": 0.000002}, "txn_count_30d": {"txn_count_30d": -0.03},
+    "account_age_days": {"account_age_days": 0.0005}, "velocity_7d": {"velocity_7d": 1.5},
+    "unique_counterparties_30d": {"unique_counterparties_30d": 0.07}, "days_since_last_txn": {"days_since_last_txn": -0.2},
+}
+
+
+@query
+def top_contributions(spark, sf_dir):
+    filled = behaviour(spark, sf_dir).fillna(0)
+    explained = explain.explain_linear(filled, WEIGHTS)
+    return explained.select("account_id", F.explode("explanation").alias("x")).select(
+        "account_id", F.col("x.rank").cast("bigint").alias("rank"), "x.feature", "x.shap_value", "x.direction"
+    )
+
+
+@query
+def anomaly_explanations(spark, sf_dir):
+    matrix = materialize(anomaly_matrix(spark, sf_dir), "matrix")
+    forest = anomaly.fit_forest(matrix, features.BEHAVIOUR, trees=100)
+    explained = explain.explain_forest(matrix, forest, features.BEHAVIOUR, min(anomaly.SAMPLE, matrix.count()))
+    text = explain.anomaly_text(F.col("account_id"), F.lit(0.0), F.col("explanation"))
+    return explained.select("account_id", text.alias("text"), F.explode("explanation").alias("x")).select("account_id", "text", "x.*")
+
+
+@query
+def readable_features(spark, sf_dir):
+    rows = behaviour(spark, sf_dir).select("account_id", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+        for c in ("account_age_days", "txn_count_30d", "total_sent_30d", "max_single_txn")
+    ])).alias("f")).select("account_id", "f.*")
+    return rows.select(
+        "account_id", "feature", explain.readable(F.col("feature"), F.col("value"), F.col("value") > 100).alias("readable")
+    )
+
+
+# --- risk and alerts ------------------------------------------------------------------------------
+
+
+def rules(spark, sf_dir):
+    return risk.rule_scores(patterns.involvement(found_patterns(spark, sf_dir)))
+
+
+def scores(spark, sf_dir):
+    proxy = proxy_scores(spark, sf_dir)
+    return materialize(
+        risk.risk_scores(star.accounts(spark, sf_dir), proxy, proxy, rules(spark, sf_dir), AS_OF()), "risk-scores"
+    )
+
+
+@query
+def rule_scores(spark, sf_dir):
+    return rules(spark, sf_dir).withColumn("triggered_patterns", text_of("triggered_patterns"))
+
+
+@query
+def risk_scores(spark, sf_dir):
+    return scores(spark, sf_dir).drop("timestamp").withColumn("triggered_patterns", text_of("triggered_patterns"))
+
+
+@query
+def tier_counts(spark, sf_dir):
+    return risk.tier_counts(scores(spark, sf_dir))
+
+
+@query
+def risk_flags(spark, sf_dir):
+    written = edges.write_back_risk(star.accounts(spark, sf_dir), risk.write_back(scores(spark, sf_dir)))
+    return written.select("account_id", F.round("risk_score", 4).alias("risk_score"), "is_flagged")
+
+
+def raised(spark, sf_dir):
+    return alerts_of(scores(spark, sf_dir))
+
+
+def alerts_of(scored):
+    return alert_ops.make_alerts(scored, AS_OF())
+
+
+@query
+def alerts(spark, sf_dir):
+    return raised(spark, sf_dir).select(
+        "account_id", "risk_score", "risk_tier", text_of("triggered_patterns").alias("triggered_patterns"),
+        "recommendation", "evidence_summary", "status",
+    )
+
+
+@query
+def alert_page(spark, sf_dir):
+    page = alert_ops.alert_page(raised(spark, sf_dir), "medium", limit=20, offset=10)
+    return page.select("account_id", "risk_score", "risk_tier", "status", "total", "has_more")
+
+
+@query
+def alert_stats(spark, sf_dir):
+    return alert_ops.alert_stats(raised(spark, sf_dir))
+
+
+@query
+def alert_detail(spark, sf_dir):
+    scored = scores(spark, sf_dir)
+    details = alert_ops.alert_details(
+        alerts_of(scored), star.accounts(spark, sf_dir), scored, report.recent_transfers(star.transfers(spark, sf_dir))
+    )
+    return details.select(
+        "account_id", "risk_tier", F.col("account_metadata.customer_name"), F.col("account_metadata.kyc_status"),
+        text_of("transactions.txn_id").alias("txn_ids"), F.round("gnn_fraud_prob", 4).alias("gnn_fraud_prob"),
+        F.round("anomaly_score", 4).alias("anomaly_score"),
+    )
+
+
+@query
+def alert_updates(spark, sf_dir):
+    """Status updates taken from orders: the customer's alert, order priority as the status, order key as the time."""
+    open_alerts = raised(spark, sf_dir).withColumn("alert_id", F.col("account_id"))
+    changes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.expr("concat('ACC', lpad(cast(o_custkey as string), 10, '0'))").alias("alert_id"),
+        F.expr("case o_orderpriority when '1-URGENT' then 'escalated' when '2-HIGH' then 'INVESTIGATING'"
+               " when '3-MEDIUM' then 'dismissed' when '5-LOW' then 'OPEN' else 'CLOSED' end").alias("status"),
+        F.expr("case when o_orderkey % 3 = 0 then '' else concat('note ', cast(o_orderkey as string)) end").alias("analyst_note"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, o_orderkey)").alias("updated_at"),
+    )
+    return alert_ops.apply_updates(open_alerts, changes).select(
+        "account_id", "status", F.coalesce("analyst_note", F.lit("")).alias("analyst_note"),
+        F.coalesce(F.date_format("updated_at", SECONDS), F.lit("")).alias("updated_at"),
+    )
+
+
+@query
+def account_lookup(spark, sf_dir):
+    asked = star.transfers(spark, sf_dir).select(F.col("dst").alias("account_id"))
+    return report.account_lookup(star.accounts(spark, sf_dir), asked).withColumn(
+        "account_age_days", F.col("account_age_days").cast("bigint")
+    )
+
+
+@query
+def recent_transfers(spark, sf_dir):
+    rows = report.recent_transfers(star.transfers(spark, sf_dir))
+    return rows.drop("ts").withColumn("place", F.col("place").cast("bigint"))
+
+
+@query
+def narratives(spark, sf_dir):
+    said = raised(spark, sf_dir).join(proxy_scores(spark, sf_dir), "account_id").withColumnRenamed(
+        "ensemble_anomaly_score", "anomaly_score"
+    )
+    return explain.narrative(said)
+
+
+@query
+def report_rows(spark, sf_dir):
+    scored = scores(spark, sf_dir)
+    details = alert_ops.alert_details(
+        alerts_of(scored), star.accounts(spark, sf_dir), scored, report.recent_transfers(star.transfers(spark, sf_dir))
+    )
+    rows = report.report_rows(details, "A. Analyst", "AN-1", AS_OF())
+    return rows.select(
+        F.col("account.account_id").alias("account_id"), F.col("account.customer_name").alias("customer_name"),
+        F.col("account.branch_code").alias("branch_code"), "risk_score", "risk_tier", "patterns", "evidence", "report_date",
+        F.col("analyst.date").alias("signed"),
+        F.array_join(F.transform("transactions", lambda t: F.concat_ws(
+            " ", t["txn_id"], t["amount"], t["type"], t["timestamp"], t["counterparty"], t["fraud"]
+        )), "; ").alias("transactions"),
+    )
+
+
+@query
+def run_summary(spark, sf_dir):
+    proxy, found = proxy_scores(spark, sf_dir), found_patterns(spark, sf_dir)
+    scored = materialize(risk.risk_scores(
+        star.accounts(spark, sf_dir), proxy, proxy, risk.rule_scores(patterns.involvement(found)), AS_OF()
+    ), "risk-scores")
+    flagged_rows = proxy.withColumn("ensemble_is_anomaly", F.col("ensemble_anomaly_score") > anomaly.THRESHOLD)
+    metrics = nodeclf.metrics(proxy, labels(spark, sf_dir))
+    return report.run_summary(metrics, flagged_rows, found, alerts_of(scored))
+
+
+@query
+def loaded_counts(spark, sf_dir):
+    scored = scores(spark, sf_dir)
+    return report.loaded_counts(scored, alerts_of(scored))
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def one_feed(session, sf_dir):
+    schema = session.read.parquet(f"{sf_dir}/events.parquet").schema
+    return star.edges_of(star.transactions_from(inbox.file_feed(session, sf_dir, schema, only="events.parquet")))
+
+
+def live_transfers(spark, sf_dir):
+    """The events as a stream of transfers, each arriving over two feeds."""
+    session = sink.state_session(spark)
+    return inbox.event_time(inbox.unified({"mobile": one_feed(session, sf_dir), "branch": one_feed(session, sf_dir)}))
+
+
+def local_seconds(column):
+    return F.date_format(F.col(column), SECONDS).alias(column)
+
+
+@query
+def stream_inbox(spark, sf_dir):
+    rows = sink.collect_stream(live_transfers(spark, sf_dir))
+    return rows.groupBy("feed", "txn_type").agg(F.count("*").alias("transfers"), F.sum("amount").alias("amount"))
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    rows = sink.collect_stream(inbox.deduplicated(live_transfers(spark, sf_dir)))
+    return rows.select("txn_id", "src", "dst", "amount", local_seconds("ts"))
+
+
+@query
+def stream_enriched(spark, sf_dir):
+    session_events = inbox.deduplicated(live_transfers(spark, sf_dir))
+    accounts = star.accounts(session_events.sparkSession, sf_dir)
+    rows = sink.collect_stream(inbox.enriched(session_events, accounts))
+    return rows.select("txn_id", "src", "customer_name", "kyc_status", "amount")
+
+
+@query
+def stream_structuring(spark, sf_dir):
+    """Windows of a day instead of ten minutes, and two transfers instead of five: the test events are sparse."""
+    events = inbox.deduplicated(live_transfers(spark, sf_dir))
+    rows = sink.collect_stream(rules_stream.bursts(events, "1 day", "1 hour", 2, 49_999.0)).drop("batch_id")
+    return rows.withColumns({c: local_seconds(c) for c in ("window_start", "window_end")})
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    events = inbox.deduplicated(live_transfers(spark, sf_dir))
+    rows = sink.collect_stream(rules_stream.sessions(events, "6 hours")).drop("batch_id")
+    return rows.withColumns({c: local_seconds(c) for c in ("session_start", "session_end")})
+
+
+@query
+def stream_history(spark, sf_dir):
+    events = inbox.event_time(one_feed(sink.state_session(spark), sf_dir))
+    kept = sink.collect_stream(history.account_history(events), "update")
+    return history.merged(kept).withColumn("last_ts", local_seconds("last_ts"))
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    events = inbox.deduplicated(live_transfers(spark, sf_dir))
+    session = events.sparkSession
+    proxy = materialize(proxy_scores(spark, sf_dir), "scores")
+    stored, raised_path = scratch_path(spark, "stream-transfers"), scratch_path(spark, "stream-alerts")
+    proxy = session.read.schema(proxy.schema).parquet(*proxy.inputFiles())
+    write = sink.alert_writer(
+        stored, raised_path, star.accounts(session, sf_dir), proxy, proxy, 40.0, PARAMS
+    )
+    sink.run_available(events, write, scratch_path(spark, "stream-checkpoint"))
+    return spark.read.parquet(raised_path).select(
+        "account_id", "risk_score", "risk_tier", text_of("triggered_patterns").alias("triggered_patterns"), "evidence_summary"
+    )
