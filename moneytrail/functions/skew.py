@@ -19,6 +19,12 @@ def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
     return [r[key] for r in counts.where(F.col("rows") >= least).orderBy(F.desc("rows")).limit(HOT_MOST).collect()]
 
 
+def hot_listed(counted: DataFrame, key: str, rows: str, min_rows: int | None = None) -> list:
+    """The same from a table that already holds one row per key and the number of its rows."""
+    least = HOT_MIN_ROWS if min_rows is None else min_rows
+    return [r[key] for r in counted.where(F.col(rows) >= least).orderBy(F.desc(rows)).limit(HOT_MOST).select(key).collect()]
+
+
 def scatter(df: DataFrame, key: str, hot: list, by: Column, splits: int = SPLITS) -> DataFrame:
     """Add ``salt``: rows of a hot key are spread over ``splits`` values, the others get 0."""
     spread = F.pmod(F.xxhash64(by), F.lit(splits)).cast("int")

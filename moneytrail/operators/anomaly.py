@@ -139,7 +139,7 @@ def lof(matrix: DataFrame, columns: list[str], k: int = NEIGHBOURS, pivots: int
     Densities of the fitted accounts leave the account itself out. The score of an account looks it up as if it
     were new, so the account is its own nearest neighbour at distance 0. Equal accounts count one by one.
     """
-    clean = finite_or_zero(matrix.select("account_id", *columns), columns)
+    clean = materialize(finite_or_zero(matrix.select("account_id", *columns), columns), "lof-input")
     n = clean.count()
     k = max(1, min(k, n - 1))
     all_sites = materialize(sites(clean, columns), "lof-sites")

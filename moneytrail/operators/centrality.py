@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from moneytrail.functions.skew import hot_keys, replicate, scatter
 from moneytrail.operators.traverse import Adjacency, both_ways, directed_pairs
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, together
 
 ITERATIONS = 20
 DAMPING = 0.85
@@ -31,6 +31,7 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
         .join(ids.withColumnRenamed("account_id", "source"), "source", "left_semi")
         .join(ids.withColumnRenamed("account_id", "target"), "target", "left_semi")
     )
+    pairs = materialize(pairs, "rank-pairs")
     hot = hot_keys(pairs, "source")
     out = pairs.groupBy("source").agg(F.count("*").alias("out_degree"))
     weighted = replicate(out, "source", hot).join(scatter(pairs, "source", hot, F.col("target")), ["source", "salt"]).select(
@@ -43,29 +44,34 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
     )
     links = materialize(weighted.unionByName(own), "rank-links")
 
-    state = ids.select(F.col("account_id").alias("source"), F.array(F.lit(1.0 / n)).alias("terms"))
+    state = ids.select(F.col("account_id").alias("source"), F.lit(1.0 / n).alias("t0"))
+    blocks = []
     for k in range(1, iterations + 1):
-        last = F.element_at("terms", -1)
+        carried = [c for c in state.columns if c != "source"]
         state = (
             replicate(state, "source", hot)
             .join(links, ["source", "salt"])
             .groupBy(F.col("target").alias("source"))
             .agg(
-                F.coalesce(F.sum(last * F.col("weight")), F.lit(0.0)).alias("term"),
-                F.max(F.when(F.col("weight").isNull(), F.col("terms"))).alias("terms"),
+                *[F.max(F.when(F.col("weight").isNull(), F.col(c))).alias(c) for c in carried],
+                F.coalesce(F.sum(F.col(f"t{k - 1}") * F.col("weight")), F.lit(0.0)).alias(f"t{k}"),
             )
-            .select("source", F.array_append("terms", F.col("term")).alias("terms"))
         )
         if k % ROUNDS_PER_WRITE == 0 or k == iterations:
             state = materialize(state, "rank-terms")
+            blocks.append(state)
+            state = state.select("source", f"t{k}")
 
-    sums = state.agg(*[F.sum(F.col("terms")[k]).alias(f"t{k}") for k in range(iterations + 1)]).head()
+    terms = blocks[0] if blocks else state
+    for block in blocks[1:]:
+        terms = terms.join(block.drop(*[c for c in terms.columns if c != "source"]), "source")
+    sums = terms.agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(iterations + 1)]).head()
     weights = [1.0]
     for _ in range(iterations):
         moved = sum(w * sums[k + 1] for k, w in enumerate(weights))
         weights = [1.0 - moved, *weights]
-    score = sum((F.col("terms")[k] * w for k, w in enumerate(weights)), F.lit(0.0))
-    return state.select(F.col("source").alias("account_id"), score.alias("pagerank_score"))
+    score = sum((F.col(f"t{k}") * w for k, w in enumerate(weights)), F.lit(0.0))
+    return terms.select(F.col("source").alias("account_id"), score.alias("pagerank_score"))
 
 
 def sample_accounts(accounts: DataFrame, samples: int, seed: int = 42) -> DataFrame:
@@ -197,11 +203,15 @@ def hops_to_flagged(transfers: DataFrame, accounts: DataFrame, max_hops: int | N
 def structural_features(transfers: DataFrame, accounts: DataFrame, degree: DataFrame, trails: DataFrame,
                         samples: int | None = SAMPLES) -> DataFrame:
     """The eight structural features of every account."""
-    return (
-        degree.select("account_id", "in_degree", "out_degree")
-        .join(betweenness(transfers, accounts, samples), "account_id", "left")
-        .join(clustering(transfers, accounts), "account_id", "left")
-        .join(page_rank(transfers, accounts), "account_id", "left")
-        .join(cycle_membership(trails, accounts), "account_id", "left")
-        .join(hops_to_flagged(transfers, accounts), "account_id", "left")
+    parts = together(
+        transfers.sparkSession,
+        lambda: betweenness(transfers, accounts, samples),
+        lambda: clustering(transfers, accounts),
+        lambda: page_rank(transfers, accounts),
+        lambda: cycle_membership(trails, accounts),
+        lambda: hops_to_flagged(transfers, accounts),
     )
+    joined = degree.select("account_id", "in_degree", "out_degree")
+    for part in parts:
+        joined = joined.join(part, "account_id", "left")
+    return joined

@@ -49,12 +49,12 @@ def _step() -> Column:
 def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 72) -> DataFrame:
     """Each closed trail of 2..max_hop transfers once, as ``(cycle_length, steps)``.
 
-    Writes the trimmed transfers and the half paths as scratch tables.
+    Writes the transfers of the window, the trimmed ones and the half paths as scratch tables.
     """
     window = transfers.where((F.col("ts") > hours_before(as_of, hours)) & (F.col("ts") <= as_of)).select(
         "src", "dst", "txn_id", "amount", "ts"
     )
-    edges = materialize(_ranked(_trim(window)), "trail-edges")
+    edges = materialize(_ranked(materialize(_trim(materialize(window, "trail-window")), "trail-edges")), "trail-edges")
 
     forward = {
         1: edges.where("dst_rank <= src_rank").select(

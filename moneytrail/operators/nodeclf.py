@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.functions.ranking import roc_auc, running_total
-from moneytrail.functions.skew import hot_keys, replicate, scatter
+from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.operators.traverse import directed_pairs
 from moneytrail.scratch import materialize
 
@@ -38,18 +38,14 @@ class Neighbours:
             .join(ids.withColumnRenamed("account_id", "target"), "target", "left_semi")
         )
         loops = ids.select(F.col("account_id").alias("source"), F.col("account_id").alias("target"))
-        pairs = known.unionByName(loops)
-        self.hot = hot_keys(pairs, "source")
-        self.pairs = materialize(scatter(pairs, "source", self.hot, F.col("target")), "model-edges")
-
-    def edges(self) -> DataFrame:
-        return self.pairs.select("source", "target")
+        self.edges = materialize(known.unionByName(loops), "model-edges")
+        self.hot = hot_keys(self.edges, "source")
 
     def mean(self, values: DataFrame, columns: list[str]) -> DataFrame:
         """Mean of the columns over the accounts that pay into each account."""
-        given = replicate(values.select(F.col("account_id").alias("source"), *columns), "source", self.hot)
+        given = values.select(F.col("account_id").alias("source"), *columns)
         return (
-            given.join(self.pairs, ["source", "salt"])
+            salted_join(self.edges, given, "source", F.col("target"), hot=self.hot)
             .groupBy(F.col("target").alias("account_id"))
             .agg(*[F.avg(c).alias(c) for c in columns])
         )

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import from_micros, hours_before, micros, within_days
-from moneytrail.functions.skew import salted_join
+from moneytrail.functions.skew import hot_keys, hot_listed, salted_join
 from moneytrail.operators.cycles import circular
 from moneytrail.schema import PATTERNS
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, together
 
 PART_ROWS = 1000
 
@@ -44,10 +44,14 @@ def nest(detections: DataFrame, evidence: DataFrame, keys: list[str], count: str
 
 
 def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours: int) -> DataFrame:
-    """Each leg out with each leg in that follows it from the same intermediary in time."""
-    recent = transfers.where(
+    """Each leg out with each leg in that follows it from the same intermediary in time.
+
+    Writes the transfers of the window as a scratch table.
+    """
+    recent = materialize(transfers.select("src", "dst", "txn_id", "amount", "ts").where(
         (F.col("ts") > hours_before(as_of, hours)) & (F.col("ts") <= as_of) & (F.col("src") != F.col("dst"))
-    )
+    ), "layering-window")
+    hot = hot_keys(recent, "src")
     out_leg = recent.where(F.col("amount") > min_amount).select(
         F.col("src").alias("source"), F.col("dst").alias("mid"),
         F.col("txn_id").alias("out_txn"), F.col("amount").alias("out_amount"), F.col("ts").alias("out_ts"),
@@ -64,7 +68,7 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     # a source needs two receivers that pay on, a destination two payers that were paid
     out_leg = at_least_two(out_leg.join(in_leg.select("mid").distinct(), "mid", "left_semi"), "source")
     in_leg = at_least_two(in_leg.join(out_leg.select("mid").distinct(), "mid", "left_semi"), "dest")
-    return salted_join(in_leg, out_leg, "mid", F.col("in_txn")).where(
+    return salted_join(in_leg, out_leg, "mid", F.col("in_txn"), hot=hot).where(
         (F.col("in_ts") > F.col("out_ts"))
         & (F.col("in_ts") < F.col("out_ts") + F.make_dt_interval(hours=F.lit(hours)))
         & (F.col("source") != F.col("dest"))
@@ -171,15 +175,16 @@ def structuring_evidence(transfers: DataFrame, detections: DataFrame, as_of: Col
     small = _small_credits(transfers, as_of, threshold, hours).withColumnsRenamed(
         {"dst": "destination_account", "src": "sender_account"}
     )
+    hot = hot_listed(detections, "destination_account", "transaction_count")
     return salted_join(
-        small, detections.select("destination_account"), "destination_account", F.col("txn_id"), "left_semi"
+        small, detections.select("destination_account"), "destination_account", F.col("txn_id"), "left_semi", hot
     ).select("destination_account", "sender_account", "txn_id", "amount", "ts")
 
 
 def structuring_nested(transfers: DataFrame, as_of: Column, threshold: float = 49_999, hours: int = 24,
                        min_count: int = 5) -> DataFrame:
     """Detections with ``sender_accounts`` and the aligned arrays txn_ids, amounts, timestamps."""
-    found = structuring(transfers, as_of, threshold, hours, min_count)
+    found = materialize(structuring(transfers, as_of, threshold, hours, min_count), "detections")
     rows = nest(
         found, structuring_evidence(transfers, found, as_of, threshold, hours), ["destination_account"],
         "transaction_count",
@@ -277,7 +282,7 @@ def dormant_evidence(transfers: DataFrame, detections: DataFrame, as_of: Column,
     def side(own, other, direction):
         return salted_join(
             recent.withColumnsRenamed({own: "account_id", other: "counterparty"}), found, "account_id",
-            F.col("txn_id"), "left_semi",
+            F.col("txn_id"), "left_semi", hot_listed(detections, "account_id", f"{direction}_count"),
         ).select("account_id", F.lit(direction).alias("direction"), "counterparty", "amount", "ts", "txn_id")
 
     return side("dst", "src", "incoming").unionByName(side("src", "dst", "outgoing"))
@@ -286,9 +291,9 @@ def dormant_evidence(transfers: DataFrame, detections: DataFrame, as_of: Column,
 def dormant_nested(transfers: DataFrame, accounts: DataFrame, as_of: Column, dormant_days: int = 60,
                    forward_ratio: float = 0.7, window_days: int = 30) -> DataFrame:
     """Detections with ``incoming`` and ``outgoing`` as arrays of transfer structs."""
-    found = dormant_activation(transfers, accounts, as_of, dormant_days, forward_ratio, window_days).withColumn(
-        "evidence_rows", F.col("incoming_count") + F.col("outgoing_count")
-    )
+    found = materialize(
+        dormant_activation(transfers, accounts, as_of, dormant_days, forward_ratio, window_days), "detections"
+    ).withColumn("evidence_rows", F.col("incoming_count") + F.col("outgoing_count"))
     evidence = dormant_evidence(transfers, found, as_of, window_days).withColumn(
         "item", F.struct("direction", "counterparty", "amount", F.col("ts").alias("timestamp"), "txn_id")
     )
@@ -386,14 +391,15 @@ def profile_evidence(transfers: DataFrame, detections: DataFrame, as_of: Column,
         {"dst": "account_id", "src": "sender"}
     )
     return salted_join(
-        credits, detections.select("account_id"), "account_id", F.col("txn_id"), "left_semi"
+        credits, detections.select("account_id"), "account_id", F.col("txn_id"), "left_semi",
+        hot_listed(detections, "account_id", "credit_count"),
     ).select("account_id", "sender", "amount", "ts", "txn_id")
 
 
 def profile_nested(transfers: DataFrame, accounts: DataFrame, as_of: Column, categories: tuple = LOW_INCOME,
                    min_amount: float = 500_000) -> DataFrame:
     """Detections with ``suspicious_credits`` as an array of transfer structs."""
-    found = profile_mismatch(transfers, accounts, as_of, categories, min_amount)
+    found = materialize(profile_mismatch(transfers, accounts, as_of, categories, min_amount), "detections")
     evidence = profile_evidence(transfers, found, as_of, min_amount).withColumn(
         "item", F.struct("sender", "amount", F.col("ts").alias("timestamp"), "txn_id")
     )
@@ -431,15 +437,22 @@ def all_patterns(transfers: DataFrame, accounts: DataFrame, as_of: Column, param
     Detections are written as scratch tables, because counting, scoring and evaluating all read them.
     """
     p = {name: {**DEFAULTS[name], **(params or {}).get(name, {})} for name in PATTERNS}
-    pairs = materialize(layering_pairs(transfers, as_of, **p["LAYERING"]), "layering-pairs")
-    detections = {
-        "CIRCULAR_ROUND_TRIP": circular(transfers, as_of, **p["CIRCULAR_ROUND_TRIP"]),
-        "LAYERING": _layering_of(pairs),
-        "STRUCTURING": structuring(transfers, as_of, **p["STRUCTURING"]),
-        "DORMANT_ACTIVATION": dormant_activation(transfers, accounts, as_of, **p["DORMANT_ACTIVATION"]),
-        "PROFILE_MISMATCH": profile_mismatch(transfers, accounts, as_of, **p["PROFILE_MISMATCH"]),
+    pairs = None
+
+    def layers():
+        nonlocal pairs
+        pairs = materialize(layering_pairs(transfers, as_of, **p["LAYERING"]), "layering-pairs")
+        return _layering_of(pairs)
+
+    detectors = {
+        "CIRCULAR_ROUND_TRIP": lambda: circular(transfers, as_of, **p["CIRCULAR_ROUND_TRIP"]),
+        "LAYERING": layers,
+        "STRUCTURING": lambda: structuring(transfers, as_of, **p["STRUCTURING"]),
+        "DORMANT_ACTIVATION": lambda: dormant_activation(transfers, accounts, as_of, **p["DORMANT_ACTIVATION"]),
+        "PROFILE_MISMATCH": lambda: profile_mismatch(transfers, accounts, as_of, **p["PROFILE_MISMATCH"]),
     }
-    kept = {name: materialize(df, "detections") for name, df in detections.items()}
+    written = together(transfers.sparkSession, *[lambda d=d: materialize(d(), "detections") for d in detectors.values()])
+    kept = dict(zip(detectors, written))
     evidence = {
         "LAYERING": layering_evidence(pairs, kept["LAYERING"]),
         "STRUCTURING": structuring_evidence(

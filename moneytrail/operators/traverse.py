@@ -7,7 +7,7 @@ only thing the driver sees is whether a level found anything.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moneytrail.functions.skew import hot_keys, replicate, scatter
+from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.scratch import materialize
 
 MAX_DEPTH = 4
@@ -37,17 +37,17 @@ def directed_pairs(transfers: DataFrame) -> DataFrame:
 
 
 class Adjacency:
-    """Neighbour pairs stored once, with the pairs of very busy accounts split over several tasks."""
+    """Neighbour pairs stored once; joins split the pairs of very busy accounts over several tasks."""
 
     def __init__(self, pairs: DataFrame, key: str):
         self.key = key
-        self.hot = hot_keys(pairs, key)
-        other = next(c for c in pairs.columns if c != key)
-        self.pairs = materialize(scatter(pairs, key, self.hot, F.col(other)), "adjacency")
+        self.pairs = materialize(pairs, "adjacency")
+        self.hot = hot_keys(self.pairs, key)
+        self.other = next(c for c in pairs.columns if c != key)
 
     def step(self, frontier: DataFrame) -> DataFrame:
         """Join a frontier that holds the key column with its pairs."""
-        return replicate(frontier, self.key, self.hot).join(self.pairs, [self.key, "salt"]).drop("salt")
+        return salted_join(self.pairs, frontier, self.key, F.col(self.other), hot=self.hot)
 
 
 def reach(adjacency: Adjacency, centers: DataFrame, max_hops: int | None) -> DataFrame:

@@ -80,7 +80,7 @@ def build_counters(spark, sf_dir):
 @query
 def accounts_upsert(spark, sf_dir):
     columns = ["account_id", "account_type", "customer_name", "is_flagged"]
-    batch = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    batch = star.table(spark, sf_dir, "orders", star.ORDERS).select(
         F.expr("concat('ACC', lpad(cast(o_custkey + 1000 as string), 10, '0'))").alias("account_id"),
         F.lit("CURRENT").alias("account_type"),
         F.col("o_orderstatus").alias("customer_name"),
@@ -419,8 +419,8 @@ SIMPLE = ["total_sent_30d", "txn_count_30d", "account_age_days"]
 
 @query
 def model_edges(spark, sf_dir):
-    edges = nodeclf.Neighbours(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)).edges()
-    return edges.groupBy("source", "target").agg(F.count("*").alias("copies"))
+    neighbours = nodeclf.Neighbours(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir))
+    return neighbours.edges.groupBy("source", "target").agg(F.count("*").alias("copies"))
 
 
 @query
@@ -671,7 +671,7 @@ def alert_detail(spark, sf_dir):
 def alert_updates(spark, sf_dir):
     """Status updates taken from orders: the customer's alert, order priority as the status, order key as the time."""
     open_alerts = raised(spark, sf_dir).withColumn("alert_id", F.col("account_id"))
-    changes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    changes = star.table(spark, sf_dir, "orders", star.ORDERS).select(
         F.expr("concat('ACC', lpad(cast(o_custkey as string), 10, '0'))").alias("alert_id"),
         F.expr("case o_orderpriority when '1-URGENT' then 'escalated' when '2-HIGH' then 'INVESTIGATING'"
                " when '3-MEDIUM' then 'dismissed' when '5-LOW' then 'OPEN' else 'CLOSED' end").alias("status"),
@@ -744,8 +744,7 @@ def loaded_counts(spark, sf_dir):
 
 
 def one_feed(session, sf_dir):
-    schema = session.read.parquet(f"{sf_dir}/events.parquet").schema
-    return star.edges_of(star.transactions_from(inbox.file_feed(session, sf_dir, schema, only="events.parquet")))
+    return star.edges_of(star.transactions_from(inbox.file_feed(session, sf_dir, star.EVENTS, only="events.parquet")))
 
 
 def live_transfers(spark, sf_dir):

@@ -6,8 +6,11 @@ frontier become broadcasts and joins with a large one do not.
 """
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(spark: SparkSession, *steps: Callable) -> list:
+    """Run independent steps, each of which starts jobs of its own, at the same time; results in order.
+
+    The late, narrow stages of one step leave executors idle that another can use.
+    """
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [s.result() for s in started]

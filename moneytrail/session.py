@@ -8,11 +8,14 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
+    # tables are small here, and a small table may still feed a large join
+    extra = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", **extra}
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("moneytrail")

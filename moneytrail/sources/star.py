@@ -5,6 +5,17 @@ from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"
 
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+ORDERS = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,"
+    " o_orderpriority string"
+)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+
 
 def as_of_lit(as_of: str = AS_OF):
     return F.lit(as_of).cast("timestamp_ntz")
@@ -12,7 +23,7 @@ def as_of_lit(as_of: str = AS_OF):
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 11-column transaction record, one row per event."""
-    return transactions_from(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return transactions_from(table(spark, sf_dir, "events", EVENTS))
 
 
 def transactions_from(events: DataFrame) -> DataFrame:
@@ -57,9 +68,9 @@ def edges_of(txns: DataFrame) -> DataFrame:
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 9-column account record, one row per customer."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = table(spark, sf_dir, "customer", CUSTOMER)
     first_order = (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
+        table(spark, sf_dir, "orders", ORDERS)
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(F.min("o_orderdate").alias("first_order"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 LATENESS = "10 minutes"
 
 
-def file_feed(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", only: str | None = None) -> DataFrame:
+def file_feed(spark: SparkSession, folder: str, schema: T.StructType | str, fmt: str = "parquet", only: str | None = None) -> DataFrame:
     """New files of a folder as a stream; ``only`` is a file-name pattern."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
