@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from moneytrail.scratch import materialize
 
 
+def smallest_hashes(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """The ``k`` rows with the smallest seeded hashes of ``key``: a repeatable uniform sample.
+
+    Rows whose hash is clearly too large are dropped before the sort, or every task would hand on ``k`` rows.
+    """
+    order = [F.xxhash64(key, F.lit(seed)), F.col(key)]
+    n = df.count()
+    if n > 4 * k:
+        cut = -(2**63) + int(2**64 * (2 * k / n))
+        low = df.where(order[0] < F.lit(cut))
+        if low.count() >= k:
+            return low.orderBy(*order).limit(k)
+    return df.orderBy(*order).limit(k)
+
+
 def running_total(df: DataFrame, order: list[str], weight: Column) -> DataFrame:
     """Add ``before``, the sum of ``weight`` over all rows that come earlier in ``order``.
 

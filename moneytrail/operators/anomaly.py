@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moneytrail.functions.ranking import exact_quantile
+from moneytrail.functions.ranking import exact_quantile, smallest_hashes
 from moneytrail.functions.skew import salted_join
 from moneytrail.operators.neighbours import nearest, sites, vector
 from moneytrail.operators.quality import finite_or_zero
@@ -65,7 +65,7 @@ def fit_forest(matrix: DataFrame, columns: list[str], trees: int = TREES, sample
     """
     clean = finite_or_zero(matrix.select("account_id", *columns), columns)
     pool = materialize(
-        clean.orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id").limit(trees * sample)
+        smallest_hashes(clean, "account_id", trees * sample, seed)
         # the pool is bounded, whatever the number of accounts
         .withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id")) - 1),
         "forest-pool",

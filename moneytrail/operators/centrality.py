@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moneytrail.functions.ranking import smallest_hashes
 from moneytrail.functions.skew import hot_keys, replicate, scatter
 from moneytrail.operators.traverse import Adjacency, both_ways, directed_pairs
 from moneytrail.scratch import materialize, together
@@ -76,7 +77,7 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
 
 def sample_accounts(accounts: DataFrame, samples: int, seed: int = 42) -> DataFrame:
     """A repeatable uniform sample: the accounts with the smallest seeded hashes."""
-    return accounts.select("account_id").distinct().orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id").limit(samples)
+    return smallest_hashes(accounts.select("account_id").distinct(), "account_id", samples, seed)
 
 
 def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None = SAMPLES, seed: int = 42) -> DataFrame:

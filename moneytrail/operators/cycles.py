@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import hours_before
+from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.scratch import materialize
 
 TRIM_ROUNDS = 2
@@ -75,8 +76,10 @@ def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 7
         )
     }
     hop = edges.select("src", "dst", "src_rank", "dst_rank", "txn_id", _step())
+    busy_senders, busy_receivers = hot_keys(edges, "src"), hot_keys(edges, "dst")
     for k in range(2, (max_hop + 1) // 2 + 1):
-        grown = forward[k - 1].join(hop, F.col("meet") == F.col("src")).where(
+        onward = hop.withColumn("meet", F.col("src"))
+        grown = salted_join(onward, forward[k - 1], "meet", F.col("txn_id"), hot=busy_senders).where(
             (F.col("dst_rank") <= F.col("top"))
             & ~F.array_contains(F.col("head.txn_id"), F.col("txn_id"))
             # of several transfers leaving the anchor the smallest id comes first
@@ -87,7 +90,8 @@ def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 7
             "trail-forward",
         )
     for k in range(2, max_hop // 2 + 1):
-        grown = backward[k - 1].join(hop, F.col("meet") == F.col("dst")).where(
+        before = hop.withColumn("meet", F.col("dst"))
+        grown = salted_join(before, backward[k - 1], "meet", F.col("txn_id"), hot=busy_receivers).where(
             (F.col("src_rank") <= F.col("top")) & ~F.array_contains(F.col("tail.txn_id"), F.col("txn_id"))
         )
         leaves_anchor = F.when(F.col("src") == F.col("anchor"), F.col("txn_id"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moneytrail.functions.ranking import smallest_hashes
 from moneytrail.scratch import materialize
 
 MAX_PIVOTS = 1024
@@ -66,7 +67,7 @@ def nearest(all_sites: DataFrame, k: int, pivots: int | None = None, chunk: int
     stored = materialize(all_sites, "sites")
     n = stored.count()
     wanted = min(MAX_PIVOTS, max(1, int(n**0.5 / 4))) if pivots is None else min(pivots, MAX_PIVOTS)
-    centre = _matrix(stored.orderBy(F.xxhash64("site"), "site").limit(wanted).select("v").toPandas()["v"])
+    centre = _matrix(smallest_hashes(stored, "site", wanted).select("v").toPandas()["v"])
 
     def assign(batches):
         for pdf in batches:
@@ -125,16 +126,12 @@ def nearest(all_sites: DataFrame, k: int, pivots: int | None = None, chunk: int
         by_name = np.argsort(names, kind="stable")
         d, names, weights = d[:, by_name], names[by_name], weights[by_name]
         keep = min(k + 1, d.shape[1])
-        # ties at the last place are settled by name, so sort what is not farther than that place
-        last = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-        out = []
-        for i, own in enumerate(left["site"].to_numpy()):
-            near = np.flatnonzero(d[i] <= last[i])
-            near = near[np.argsort(d[i, near], kind="stable")][:keep]
-            out.append(pd.DataFrame({
-                "site": own, "neighbour": names[near], "distance": d[i, near], "weight": weights[near],
-            }))
-        return pd.concat(out, ignore_index=True)
+        # columns are in name order and the sort is stable, so equal distances stay in name order
+        near = np.argsort(d, axis=1, kind="stable")[:, :keep]
+        return pd.DataFrame({
+            "site": np.repeat(left["site"].to_numpy(), keep), "neighbour": names[near].ravel(),
+            "distance": np.take_along_axis(d, near, axis=1).ravel(), "weight": weights[near].ravel(),
+        })
 
     near = (
         spread(assigned.select("site", "v", "cell"), "left", "right").groupBy(*keys)

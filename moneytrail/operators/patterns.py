@@ -30,9 +30,13 @@ def nest(detections: DataFrame, evidence: DataFrame, keys: list[str], count: str
     parts = F.greatest(F.lit(1), F.ceil(F.col(count) / PART_ROWS)).cast("int")
     heads = detections.withColumn("parts", parts)
     head_columns = [c for c in heads.columns if c not in keys]
-    placed = evidence.join(heads, keys).withColumn(
-        "part", F.pmod(F.xxhash64(*order), F.col("parts")).cast("int")
-    )
+    # one key column, so that a detection with a large share of the evidence can be split
+    key = F.concat_ws("|", *keys)
+    heads = heads.withColumn("nest_key", key)
+    placed = salted_join(
+        evidence.withColumn("nest_key", key).drop(*keys), heads, "nest_key", F.xxhash64(*order),
+        hot=hot_listed(heads, "nest_key", count),
+    ).withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts")).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in dict.fromkeys(arrays.values()) if c not in order])))
     grouped = placed.groupBy(*keys, "part").agg(*[F.first(c).alias(c) for c in head_columns], rows.alias("rows"))
     return grouped.select(
@@ -42,16 +46,19 @@ def nest(detections: DataFrame, evidence: DataFrame, keys: list[str], count: str
 
 # --- layering -------------------------------------------------------------------------------------
 
+PAIR = ["source", "mid", "dest", "out_txn", "out_amount", "out_ts", "in_txn", "in_amount", "in_ts"]
 
 def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours: int) -> DataFrame:
-    """Each leg out with each leg in that follows it from the same intermediary in time.
+    """Pairs of a leg out and a later leg in over one intermediary, for all ends that may have two of them.
 
-    Writes the transfers of the window as a scratch table.
+    Pairs over ordinary intermediaries are joined directly. A busy one has far too many: its payers times its
+    payees, nearly all with nothing else in common. A detection needs a second intermediary, so pairs over busy
+    ones are built only for ends that also meet elsewhere: over an ordinary intermediary, or over two busy ones.
+    Detections are the same either way. Writes the transfers of the window as a scratch table.
     """
     recent = materialize(transfers.select("src", "dst", "txn_id", "amount", "ts").where(
         (F.col("ts") > hours_before(as_of, hours)) & (F.col("ts") <= as_of) & (F.col("src") != F.col("dst"))
     ), "layering-window")
-    hot = hot_keys(recent, "src")
     out_leg = recent.where(F.col("amount") > min_amount).select(
         F.col("src").alias("source"), F.col("dst").alias("mid"),
         F.col("txn_id").alias("out_txn"), F.col("amount").alias("out_amount"), F.col("ts").alias("out_ts"),
@@ -65,14 +72,35 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
         several = df.groupBy(end).agg(F.min("mid").alias("a"), F.max("mid").alias("b")).where("a <> b")
         return df.join(several.select(end), end, "left_semi")
 
+    def follows(df: DataFrame) -> DataFrame:
+        return df.where(
+            (F.col("in_ts") > F.col("out_ts"))
+            & (F.col("in_ts") < F.col("out_ts") + F.make_dt_interval(hours=F.lit(hours)))
+            & (F.col("source") != F.col("dest"))
+        ).select(*PAIR)
+
     # a source needs two receivers that pay on, a destination two payers that were paid
     out_leg = at_least_two(out_leg.join(in_leg.select("mid").distinct(), "mid", "left_semi"), "source")
     in_leg = at_least_two(in_leg.join(out_leg.select("mid").distinct(), "mid", "left_semi"), "dest")
-    return salted_join(in_leg, out_leg, "mid", F.col("in_txn"), hot=hot).where(
-        (F.col("in_ts") > F.col("out_ts"))
-        & (F.col("in_ts") < F.col("out_ts") + F.make_dt_interval(hours=F.lit(hours)))
-        & (F.col("source") != F.col("dest"))
-    )
+    busy = sorted({*hot_keys(recent, "src"), *hot_keys(recent, "dst")})
+    if not busy:
+        return follows(in_leg.join(out_leg, "mid"))
+
+    is_busy = F.col("mid").isin(busy)
+    direct = materialize(follows(in_leg.where(~is_busy).join(out_leg.where(~is_busy), "mid")), "layering-pairs")
+    out_busy, in_busy = out_leg.where(is_busy), in_leg.where(is_busy)
+
+    def couples(df: DataFrame, end: str) -> DataFrame:
+        """Each end with the couples of busy intermediaries it deals with; there are few busy ones in all."""
+        met = df.groupBy(end).agg(F.array_sort(F.collect_set("mid")).alias("mids")).where(F.size("mids") >= 2)
+        return met.select(end, F.explode("mids").alias("first"), "mids").select(
+            end, "first", F.explode(F.filter("mids", lambda m: m > F.col("first"))).alias("second")
+        )
+
+    over_two = couples(out_busy, "source").join(couples(in_busy, "dest"), ["first", "second"]).select("source", "dest")
+    meeting = direct.select("source", "dest").union(over_two).where("source <> dest").distinct()
+    checked = follows(out_busy.join(meeting, "source").join(in_busy, ["mid", "dest"]))
+    return direct.unionByName(checked)
 
 
 def layering(transfers: DataFrame, as_of: Column, min_amount: float = 1_000_000, hours: int = 48) -> DataFrame:
@@ -195,12 +223,12 @@ def structuring_nested(transfers: DataFrame, as_of: Column, threshold: float = 4
 
 
 def structuring_sliding(transfers: DataFrame, as_of: Column, threshold: float = 49_999, hours: int = 24,
-                        min_count: int = 5, slot_hours: int = 1) -> DataFrame:
+                        min_count: int = 5, slot_minutes: int = 1) -> DataFrame:
     """Accounts with ``min_count`` or more sub-threshold credits in any span (t - hours, t].
 
     A sweep: each credit adds one at its time and takes one away ``hours`` later. The running total is
-    taken per account and slot of the time line and shifted by the totals of the earlier slots, so no task
-    has to hold all credits of an account.
+    taken per account and short slot of the time line and shifted by the totals of the earlier slots, so no
+    task has to hold all credits of an account.
     """
     small = transfers.where((F.col("amount") > 0) & (F.col("amount") <= threshold) & (F.col("ts") <= as_of))
     at = micros(F.col("ts"))
@@ -216,7 +244,7 @@ def structuring_sliding(transfers: DataFrame, as_of: Column, threshold: float =
         .select("dst", "c.*")
         .groupBy("dst", "at", "turn")
         .agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
-        .withColumn("slot", F.floor(F.col("at") / (slot_hours * 3_600_000_000)))
+        .withColumn("slot", F.floor(F.col("at") / (slot_minutes * 60_000_000)))
         .withColumn("change", F.when(F.col("turn") == 1, F.col("n")).otherwise(-F.col("n")))
     )
     earlier = Window.partitionBy("dst").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -351,9 +379,12 @@ def dormant_strict(transfers: DataFrame, as_of: Column, quiet_days: int = 75, sp
     woken = wakes.join(credits, ["account_id", "first_ts"]).where(F.col("amount") > spike * F.col("mean_before"))
     debits = past.groupBy(F.col("src").alias("account_id"), F.col("ts").alias("out_ts")).agg(
         F.sum("amount").alias("out_amount")
-    )
+    ).withColumn("day", F.to_date("out_ts"))
+    # by account and day, so that a busy account is not one group
+    first_day = F.to_date("first_ts")
+    days_after = F.explode(F.sequence(first_day, F.date_add(first_day, forward_days)))
     return (
-        woken.join(debits, "account_id")
+        woken.withColumn("day", days_after).join(debits, ["account_id", "day"])
         .where(
             (F.col("out_ts") > F.col("first_ts"))
             & (F.col("out_ts") <= F.col("first_ts") + F.make_dt_interval(days=F.lit(forward_days)))
@@ -373,11 +404,19 @@ LOW_INCOME = ("STUDENT", "RETIRED")
 def profile_mismatch(transfers: DataFrame, accounts: DataFrame, as_of: Column, categories: tuple = LOW_INCOME,
                      min_amount: float = 500_000) -> DataFrame:
     """Low-income customers with high-value credits, over all time up to ``as_of``."""
-    credits = (
-        transfers.where((F.col("amount") >= min_amount) & (F.col("ts") <= as_of))
+    return mismatch_of(high_credits(transfers.where(F.col("ts") <= as_of), min_amount), accounts, categories)
+
+
+def high_credits(transfers: DataFrame, min_amount: float) -> DataFrame:
+    """Count and sum of high-value credits per account."""
+    return (
+        transfers.where(F.col("amount") >= min_amount)
         .groupBy(F.col("dst").alias("account_id"))
         .agg(F.count("*").alias("credit_count"), F.sum("amount").alias("total_suspicious_amount"))
     )
+
+
+def mismatch_of(credits: DataFrame, accounts: DataFrame, categories: tuple = LOW_INCOME) -> DataFrame:
     targets = accounts.where(F.col("customer_category").isin(*categories)).select(
         "account_id", F.col("customer_category").alias("category"), "customer_name"
     )

@@ -804,12 +804,10 @@ def stream_alerts(spark, sf_dir):
     events = inbox.deduplicated(live_transfers(spark, sf_dir))
     session = events.sparkSession
     proxy = materialize(proxy_scores(spark, sf_dir), "scores")
-    stored, raised_path = scratch_path(spark, "stream-transfers"), scratch_path(spark, "stream-alerts")
+    folder = scratch_path(spark, "stream-alerts")
     proxy = session.read.schema(proxy.schema).parquet(*proxy.inputFiles())
-    write = sink.alert_writer(
-        stored, raised_path, star.accounts(session, sf_dir), proxy, proxy, 40.0, PARAMS
-    )
+    write = sink.alert_writer(folder, star.accounts(session, sf_dir), proxy, proxy, 40.0, PARAMS)
     sink.run_available(events, write, scratch_path(spark, "stream-checkpoint"))
-    return spark.read.parquet(raised_path).select(
+    return spark.read.parquet(f"{folder}/alerts").select(
         "account_id", "risk_score", "risk_tier", text_of("triggered_patterns").alias("triggered_patterns"), "evidence_summary"
     )

@@ -37,7 +37,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     A transfers table stored by day lets the look-back filters of the detectors skip whole folders.
     """
     if by_day:
-        df = df.withColumn("day", F.to_date(by_day))
+        # few files per day, yet a busy day is still written by several tasks
+        df = df.withColumn("day", F.to_date(by_day)).hint("rebalance", "day")
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

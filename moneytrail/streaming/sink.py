@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moneytrail.functions.columns import hours_before
 from moneytrail.operators import alerts as A
 from moneytrail.operators import patterns, risk
 from moneytrail.scratch import materialize, scratch_path
@@ -57,41 +58,57 @@ def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
 
 
-def alert_writer(transfers_path: str, alerts_path: str, accounts: DataFrame, node_scores: DataFrame,
-                 anomalies: DataFrame, threshold: float, params: dict | None = None) -> Callable[[DataFrame, int], None]:
+def alert_writer(folder: str, accounts: DataFrame, node_scores: DataFrame, anomalies: DataFrame, threshold: float,
+                 params: dict | None = None) -> Callable[[DataFrame, int], None]:
     """A batch writer that adds the batch to the stored transfers and alerts on the accounts it touched.
 
-    Touched accounts are scored from the structuring and profile rules over all stored transfers and from
-    the model scores of the last nightly run. The rules look back from the latest transfer of the batch.
+    Touched accounts are scored from the structuring and profile rules and from the model scores of the last
+    nightly run. The rules look back from the latest transfer of the batch: structuring reads the stored days of
+    its window only, and the profile rule, which has no window, sums the high-value credits kept per batch. Writes
+    ``transfers``, ``credits`` and ``alerts`` below ``folder``; a repeated batch replaces its own rows.
     """
     p = {name: {**patterns.DEFAULTS[name], **(params or {}).get(name, {})} for name in patterns.PATTERNS}
+    columns = ["txn_id", "ts", "src", "dst", "amount", "txn_type", "is_fraud"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        columns = ["txn_id", "ts", "src", "dst", "amount", "txn_type", "is_fraud"]
         rows = batch.select(*columns).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        rows.write.mode("overwrite").parquet(f"{transfers_path}/batch_id={batch_id}")
-        new = spark.read.schema(rows.schema).parquet(f"{transfers_path}/batch_id={batch_id}")
+        (
+            rows.withColumns({"day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id")
+            .parquet(f"{folder}/transfers")
+        )
+        kept = T.StructType([*rows.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.IntegerType())])
+        stored = spark.read.schema(kept).parquet(f"{folder}/transfers")
+        new = stored.where(F.col("batch_id") == batch_id)
         latest = new.agg(F.max("ts")).head()[0]
         if latest is None:
             return
         now = F.lit(latest).cast("timestamp_ntz")
+        per_batch(f"{folder}/credits")(patterns.high_credits(new, p["PROFILE_MISMATCH"]["min_amount"]), batch_id)
         touched = materialize(new.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct(), "touched")
-        stored = spark.read.schema(rows.schema).parquet(transfers_path)
-        credited = stored.join(touched.withColumnRenamed("account_id", "dst"), "dst", "left_semi")
-        structuring = materialize(patterns.structuring(credited, now, **p["STRUCTURING"]), "detections")
-        profile = materialize(patterns.profile_mismatch(credited, accounts, now, **p["PROFILE_MISMATCH"]), "detections")
+
+        rule = p["STRUCTURING"]
+        credited = stored.where(F.col("day") >= F.to_date(hours_before(now, rule["hours"]))).join(
+            touched.withColumnRenamed("account_id", "dst"), "dst", "left_semi"
+        )
+        structuring = materialize(patterns.structuring(credited, now, **rule), "detections")
+        credits = (
+            spark.read.schema("account_id string, credit_count bigint, total_suspicious_amount double")
+            .parquet(f"{folder}/credits").join(touched, "account_id", "left_semi").groupBy("account_id")
+            .agg(*[F.sum(c).alias(c) for c in ("credit_count", "total_suspicious_amount")])
+        )
+        mismatch = patterns.mismatch_of(credits, accounts, p["PROFILE_MISMATCH"]["categories"])
         found = {
             "STRUCTURING": patterns.Found(structuring, patterns.structuring_evidence(
-                credited, structuring, now, p["STRUCTURING"]["threshold"], p["STRUCTURING"]["hours"]
+                credited, structuring, now, rule["threshold"], rule["hours"]
             )),
-            "PROFILE_MISMATCH": patterns.Found(profile, None),
+            "PROFILE_MISMATCH": patterns.Found(mismatch, None),
         }
         scored = risk.risk_scores(
             accounts.join(touched, "account_id", "left_semi"), node_scores, anomalies,
             risk.rule_scores(patterns.involvement(found)), now,
         )
-        raised = A.make_alerts(scored, now, "LOW").where(F.col("risk_score") > threshold)
-        raised.write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
+        per_batch(f"{folder}/alerts")(A.make_alerts(scored, now, "LOW").where(F.col("risk_score") > threshold), batch_id)
 
     return write

@@ -10,7 +10,7 @@ from moneytrail.plans.queries import QUERIES
 
 SALTED = [
     "transfers_build", "sent_received_edges", "quality_violations", "orphan_transfers", "layering", "structuring",
-    "dormant_evidence", "profile_evidence", "subgraph_nodes", "fund_paths", "pagerank", "hops_to_flagged", "neighbour_means", "lof",
+    "circular_round_trips", "involvement", "dormant_evidence", "profile_evidence", "subgraph_nodes", "fund_paths", "pagerank", "hops_to_flagged", "neighbour_means", "lof",
 ]
 
 
@@ -29,6 +29,15 @@ def test_query(spark, con, name):
     assert problem is None
 
 
+@pytest.mark.parametrize("least", [3, 8])
+def test_layering_with_some_busy_intermediaries(spark, least, monkeypatch):
+    """Pairs over busy intermediaries are built another way; detections must not change."""
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", least)
+    rows, _, _, problem = compare(spark, connect(folder), folder, "layering")
+    assert problem is None and rows == 78
+
+
 @pytest.mark.parametrize("name", SALTED)
 def test_query_with_every_key_hot(spark, con, name, monkeypatch):
     monkeypatch.setattr(skew, "HOT_MIN_ROWS", 1)
