@@ -1,6 +1,6 @@
 """Small column expressions shared by the operators."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,17 @@ def days_before(as_of: Column, days: int) -> Column:
     return _before(as_of, days=days)
 
 
+def look_back(transfers: DataFrame, as_of: Column, **span: int) -> DataFrame:
+    """Transfers in (as_of - span, as_of], the span given in ``hours`` or ``days``.
+
+    If the table is stored by ``day``, only the folders of the span are read.
+    """
+    start = _before(as_of, **{"days": 0, **span})
+    if "day" in transfers.columns:
+        transfers = transfers.where(F.col("day").between(F.to_date(start), F.to_date(as_of)))
+    return transfers.where((F.col("ts") > start) & (F.col("ts") <= as_of))
+
+
 def within_days(ts: Column, as_of: Column, days: int) -> Column:
     """``ts`` in (as_of - days, as_of]."""
     return (ts > days_before(as_of, days)) & (ts <= as_of)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moneytrail.functions.columns import hours_before
+from moneytrail.functions.columns import look_back
 from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.scratch import materialize
 
@@ -52,9 +52,7 @@ def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 7
 
     Writes the transfers of the window, the trimmed ones and the half paths as scratch tables.
     """
-    window = transfers.where((F.col("ts") > hours_before(as_of, hours)) & (F.col("ts") <= as_of)).select(
-        "src", "dst", "txn_id", "amount", "ts"
-    )
+    window = look_back(transfers, as_of, hours=hours).select("src", "dst", "txn_id", "amount", "ts")
     edges = materialize(_ranked(materialize(_trim(materialize(window, "trail-window")), "trail-edges")), "trail-edges")
 
     forward = {

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moneytrail.functions.columns import from_micros, hours_before, micros, within_days
+from moneytrail.functions.columns import from_micros, look_back, micros
 from moneytrail.functions.skew import hot_keys, hot_listed, salted_join
 from moneytrail.operators.cycles import circular
 from moneytrail.schema import PATTERNS
@@ -56,9 +56,10 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     ones are built only for ends that also meet elsewhere: over an ordinary intermediary, or over two busy ones.
     Detections are the same either way. Writes the transfers of the window as a scratch table.
     """
-    recent = materialize(transfers.select("src", "dst", "txn_id", "amount", "ts").where(
-        (F.col("ts") > hours_before(as_of, hours)) & (F.col("ts") <= as_of) & (F.col("src") != F.col("dst"))
-    ), "layering-window")
+    recent = materialize(
+        look_back(transfers, as_of, hours=hours).where("src <> dst").select("src", "dst", "txn_id", "amount", "ts"),
+        "layering-window",
+    )
     out_leg = recent.where(F.col("amount") > min_amount).select(
         F.col("src").alias("source"), F.col("dst").alias("mid"),
         F.col("txn_id").alias("out_txn"), F.col("amount").alias("out_amount"), F.col("ts").alias("out_ts"),
@@ -177,10 +178,7 @@ def layering_nested(transfers: DataFrame, as_of: Column, min_amount: float = 1_0
 
 
 def _small_credits(transfers: DataFrame, as_of: Column, threshold: float, hours: int) -> DataFrame:
-    return transfers.where(
-        (F.col("amount") > 0) & (F.col("amount") <= threshold)
-        & (F.col("ts") > hours_before(as_of, hours)) & (F.col("ts") <= as_of)
-    )
+    return look_back(transfers, as_of, hours=hours).where((F.col("amount") > 0) & (F.col("amount") <= threshold))
 
 
 def structuring(transfers: DataFrame, as_of: Column, threshold: float = 49_999, hours: int = 24, min_count: int = 5) -> DataFrame:
@@ -281,7 +279,7 @@ def structuring_sliding(transfers: DataFrame, as_of: Column, threshold: float =
 def dormant_activation(transfers: DataFrame, accounts: DataFrame, as_of: Column, dormant_days: int = 60,
                        forward_ratio: float = 0.7, window_days: int = 30) -> DataFrame:
     """Dormant or old accounts that forwarded more than ``forward_ratio`` of the month's credits."""
-    recent = transfers.where(within_days(F.col("ts"), as_of, window_days))
+    recent = look_back(transfers, as_of, days=window_days)
 
     def side(end, amount, count):
         return recent.groupBy(F.col(end).alias("account_id")).agg(
@@ -304,7 +302,7 @@ def dormant_activation(transfers: DataFrame, accounts: DataFrame, as_of: Column,
 
 def dormant_evidence(transfers: DataFrame, detections: DataFrame, as_of: Column, window_days: int = 30) -> DataFrame:
     """Credits and debits behind each detection: ``direction`` is incoming or outgoing."""
-    recent = transfers.where(within_days(F.col("ts"), as_of, window_days))
+    recent = look_back(transfers, as_of, days=window_days)
     found = detections.select("account_id")
 
     def side(own, other, direction):

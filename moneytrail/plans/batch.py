@@ -23,7 +23,7 @@ def run(spark: SparkSession, transactions: DataFrame, accounts: DataFrame, out:
     now = F.lit(as_of).cast("timestamp_ntz")
     transfers_path = f"{out}/transfers"
     tables.write_table(build_transfers(transactions, accounts), transfers_path, by_day="ts")
-    transfers = spark.read.parquet(transfers_path).drop("day")
+    transfers = spark.read.parquet(transfers_path)
 
     settings = {**patterns.DEFAULTS["CIRCULAR_ROUND_TRIP"], **(params or {}).get("CIRCULAR_ROUND_TRIP", {})}
     found = patterns.all_patterns(transfers, accounts, now, params)

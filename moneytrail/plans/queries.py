@@ -15,7 +15,7 @@ from moneytrail.operators import (
     anomaly, centrality, explain, export, features, nodeclf, patterns, quality, report, risk, traverse,
 )
 from moneytrail.operators.cycles import circular, trails
-from moneytrail.scratch import materialize, scratch_path
+from moneytrail.scratch import materialize, scratch_path, together
 from moneytrail.sources import edges, star
 from moneytrail.streaming import history, inbox, sink
 from moneytrail.streaming import rules as rules_stream
@@ -399,11 +399,11 @@ CHECKED = [c for c in features.FEATURES if c not in ("betweenness_centrality", "
 def feature_matrix(spark, sf_dir):
     """The standardised matrix without the three iterative columns, which have queries of their own."""
     transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
-    structure = (
-        features.degrees(transfers, accounts)
-        .join(centrality.cycle_membership(closed_trails(spark, sf_dir), accounts), "account_id")
-        .join(centrality.hops_to_flagged(transfers, accounts), "account_id")
+    cycles, hops = together(
+        spark, lambda: centrality.cycle_membership(closed_trails(spark, sf_dir), accounts),
+        lambda: centrality.hops_to_flagged(transfers, accounts),
     )
+    structure = features.degrees(transfers, accounts).join(cycles, "account_id").join(hops, "account_id")
     return rounded(features.feature_matrix(behaviour(spark, sf_dir), structure, CHECKED), 6, *CHECKED)
 
 
