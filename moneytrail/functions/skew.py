@@ -8,13 +8,15 @@ HOT_MOST = 200
 SPLITS = 32
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
+def hot_keys(df: DataFrame, key: str, min_rows: int | None = None, rows: int | None = None) -> list:
     """The heaviest keys of a column, at most ``HOT_MOST``, with ``min_rows`` rows or more.
 
     Any key holding more than 1/HOT_MOST of the rows is among them. Runs one job that counts per key before
-    it shuffles and returns a list of bounded length.
+    it shuffles and returns a list of bounded length; no job if the table is known to have too few ``rows``.
     """
     least = HOT_MIN_ROWS if min_rows is None else min_rows
+    if rows is not None and rows < least:
+        return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
     return [r[key] for r in counts.where(F.col("rows") >= least).orderBy(F.desc("rows")).limit(HOT_MOST).collect()]
 

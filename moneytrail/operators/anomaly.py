@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.ranking import exact_quantile, smallest_hashes
-from moneytrail.functions.skew import salted_join
+from moneytrail.functions.skew import hot_keys, salted_join
+from moneytrail.operators.features import standardise
 from moneytrail.operators.neighbours import nearest, sites, vector
 from moneytrail.operators.quality import finite_or_zero
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, materialize_counted
 
 # Ensemble settings.
 TREES = 300
@@ -139,8 +140,7 @@ def lof(matrix: DataFrame, columns: list[str], k: int = NEIGHBOURS, pivots: int
     Densities of the fitted accounts leave the account itself out. The score of an account looks it up as if it
     were new, so the account is its own nearest neighbour at distance 0. Equal accounts count one by one.
     """
-    clean = materialize(finite_or_zero(matrix.select("account_id", *columns), columns), "lof-input")
-    n = clean.count()
+    clean, n = materialize_counted(finite_or_zero(matrix.select("account_id", *columns), columns), "lof-input")
     k = max(1, min(k, n - 1))
     all_sites = materialize(sites(clean, columns), "lof-sites")
     near = materialize(nearest(all_sites, k, pivots), "lof-neighbours")
@@ -173,7 +173,7 @@ def lof(matrix: DataFrame, columns: list[str], k: int = NEIGHBOURS, pivots: int
     scored = all_sites.join(factor, "site").select(F.xxhash64("v").alias("key"), F.col("v").alias("site_v"), "lof_score")
     owners = clean.select("account_id", vector(columns).alias("v")).withColumn("key", F.xxhash64("v"))
     # a third of all accounts may share one site
-    return salted_join(owners, scored, "key", F.col("account_id")).where(F.col("v") == F.col("site_v")).select(
+    return salted_join(owners, scored, "key", F.col("account_id"), hot=hot_keys(owners, "key", rows=n)).where(F.col("v") == F.col("site_v")).select(
         "account_id", "lof_score"
     )
 
@@ -206,8 +206,11 @@ def ensemble(scores: DataFrame, contamination: float = CONTAMINATION) -> DataFra
     )
 
 
-def detect(matrix: DataFrame, columns: list[str], trees: int = TREES, k: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
-    """``(ensemble scores, forest)`` of a standardised matrix."""
+def detect(matrix: DataFrame, columns: list[str], trees: int = TREES, k: int = NEIGHBOURS,
+           rescale: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(ensemble scores, forest)`` of a feature matrix; ``rescale`` standardises one that is not yet."""
+    if rescale:
+        matrix = materialize(standardise(finite_or_zero(matrix, columns), columns), "matrix")
     forest = fit_forest(matrix, columns, trees)
     drawn = min(SAMPLE, matrix.count())
     iso = score_forest(matrix, forest, columns, drawn)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from moneytrail.functions.ranking import smallest_hashes
 from moneytrail.functions.skew import hot_keys, replicate, scatter
 from moneytrail.operators.traverse import Adjacency, both_ways, directed_pairs
-from moneytrail.scratch import materialize, together
+from moneytrail.scratch import materialize, materialize_counted, together
 
 ITERATIONS = 20
 DAMPING = 0.85
@@ -22,8 +22,7 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
     uniform u, and the ranks are a weighted sum of these vectors whose weights follow from their sums. So a
     round is one join and one aggregate, and several rounds form one job between two scratch writes.
     """
-    ids = accounts.select("account_id").distinct()
-    n = ids.count()
+    ids, n = materialize_counted(accounts.select("account_id").distinct(), "accounts")
     if n == 0:
         return ids.withColumn("pagerank_score", F.lit(0.0))
     # a transfer with an unknown end is not an edge of the graph
@@ -32,8 +31,8 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
         .join(ids.withColumnRenamed("account_id", "source"), "source", "left_semi")
         .join(ids.withColumnRenamed("account_id", "target"), "target", "left_semi")
     )
-    pairs = materialize(pairs, "rank-pairs")
-    hot = hot_keys(pairs, "source")
+    pairs, rows = materialize_counted(pairs, "rank-pairs")
+    hot = hot_keys(pairs, "source", rows=rows)
     out = pairs.groupBy("source").agg(F.count("*").alias("out_degree"))
     weighted = replicate(out, "source", hot).join(scatter(pairs, "source", hot, F.col("target")), ["source", "salt"]).select(
         "source", "salt", "target", (F.lit(damping) / F.col("out_degree")).alias("weight")
@@ -87,8 +86,7 @@ def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None =
     over the sample is scaled to all starts and to the (n-1)(n-2) ordered pairs of other accounts. ``samples=None``
     starts everywhere and is exact.
     """
-    ids = accounts.select("account_id").distinct()
-    n = ids.count()
+    ids, n = materialize_counted(accounts.select("account_id").distinct(), "accounts")
     starts = ids if samples is None else sample_accounts(accounts, samples, seed)
     adjacency = Adjacency(
         directed_pairs(transfers).where("source <> target").select(F.col("source").alias("account_id"), F.col("target").alias("next")),

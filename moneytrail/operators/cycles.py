@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import look_back
 from moneytrail.functions.skew import hot_keys, salted_join
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, materialize_counted
 
 TRIM_ROUNDS = 2
 
@@ -53,7 +53,8 @@ def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 7
     Writes the transfers of the window, the trimmed ones and the half paths as scratch tables.
     """
     window = look_back(transfers, as_of, hours=hours).select("src", "dst", "txn_id", "amount", "ts")
-    edges = materialize(_ranked(materialize(_trim(materialize(window, "trail-window")), "trail-edges")), "trail-edges")
+    trimmed = materialize(_trim(materialize(window, "trail-window")), "trail-edges")
+    edges, rows = materialize_counted(_ranked(trimmed), "trail-edges")
 
     forward = {
         1: edges.where("dst_rank <= src_rank").select(
@@ -74,7 +75,7 @@ def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 7
         )
     }
     hop = edges.select("src", "dst", "src_rank", "dst_rank", "txn_id", _step())
-    busy_senders, busy_receivers = hot_keys(edges, "src"), hot_keys(edges, "dst")
+    busy_senders, busy_receivers = hot_keys(edges, "src", rows=rows), hot_keys(edges, "dst", rows=rows)
     for k in range(2, (max_hop + 1) // 2 + 1):
         onward = hop.withColumn("meet", F.col("src"))
         grown = salted_join(onward, forward[k - 1], "meet", F.col("txn_id"), hot=busy_senders).where(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.ranking import smallest_hashes
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, materialize_counted
 
 MAX_PIVOTS = 1024
 CHUNK = 2000
@@ -64,8 +64,7 @@ def nearest(all_sites: DataFrame, k: int, pivots: int | None = None, chunk: int
 
     Neighbours are listed by distance, then id, until they stand for at least ``k + 1`` accounts.
     """
-    stored = materialize(all_sites, "sites")
-    n = stored.count()
+    stored, n = materialize_counted(all_sites, "sites")
     wanted = min(MAX_PIVOTS, max(1, int(n**0.5 / 4))) if pivots is None else min(pivots, MAX_PIVOTS)
     centre = _matrix(smallest_hashes(stored, "site", wanted).select("v").toPandas()["v"])
 

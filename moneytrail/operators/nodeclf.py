@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from moneytrail.functions.ranking import roc_auc, running_total
 from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.operators.traverse import directed_pairs
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, materialize_counted
 
 SEED = 42
 VALIDATION_SHARE = 0.2
@@ -38,8 +38,8 @@ class Neighbours:
             .join(ids.withColumnRenamed("account_id", "target"), "target", "left_semi")
         )
         loops = ids.select(F.col("account_id").alias("source"), F.col("account_id").alias("target"))
-        self.edges = materialize(known.unionByName(loops), "model-edges")
-        self.hot = hot_keys(self.edges, "source")
+        self.edges, rows = materialize_counted(known.unionByName(loops), "model-edges")
+        self.hot = hot_keys(self.edges, "source", rows=rows)
 
     def mean(self, values: DataFrame, columns: list[str]) -> DataFrame:
         """Mean of the columns over the accounts that pay into each account."""

@@ -15,7 +15,7 @@ from moneytrail.functions.columns import from_micros, look_back, micros
 from moneytrail.functions.skew import hot_keys, hot_listed, salted_join
 from moneytrail.operators.cycles import circular
 from moneytrail.schema import PATTERNS
-from moneytrail.scratch import materialize, together
+from moneytrail.scratch import materialize, materialize_counted, together
 
 PART_ROWS = 1000
 
@@ -56,7 +56,7 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     ones are built only for ends that also meet elsewhere: over an ordinary intermediary, or over two busy ones.
     Detections are the same either way. Writes the transfers of the window as a scratch table.
     """
-    recent = materialize(
+    recent, rows = materialize_counted(
         look_back(transfers, as_of, hours=hours).where("src <> dst").select("src", "dst", "txn_id", "amount", "ts"),
         "layering-window",
     )
@@ -83,7 +83,7 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     # a source needs two receivers that pay on, a destination two payers that were paid
     out_leg = at_least_two(out_leg.join(in_leg.select("mid").distinct(), "mid", "left_semi"), "source")
     in_leg = at_least_two(in_leg.join(out_leg.select("mid").distinct(), "mid", "left_semi"), "dest")
-    busy = sorted({*hot_keys(recent, "src"), *hot_keys(recent, "dst")})
+    busy = sorted({*hot_keys(recent, "src", rows=rows), *hot_keys(recent, "dst", rows=rows)})
     if not busy:
         return follows(in_leg.join(out_leg, "mid"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.skew import hot_keys, salted_join
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, materialize_counted
 
 MAX_DEPTH = 4
 MAX_PATH = 10
@@ -41,8 +41,8 @@ class Adjacency:
 
     def __init__(self, pairs: DataFrame, key: str):
         self.key = key
-        self.pairs = materialize(pairs, "adjacency")
-        self.hot = hot_keys(self.pairs, key)
+        self.pairs, rows = materialize_counted(pairs, "adjacency")
+        self.hot = hot_keys(self.pairs, key, rows=rows)
         self.other = next(c for c in pairs.columns if c != key)
 
     def step(self, frontier: DataFrame) -> DataFrame:

@@ -136,6 +136,21 @@ union all select 'totals', 'total_accounts', cast(count(*) as varchar) from acco
 union all select 'fraud_type', fraud_type, cast(count(*) as varchar) from transactions where is_fraud group by fraud_type
 union all select 'account_type', account_type, cast(count(*) as varchar) from accounts group by account_type)""")
 
+add("txn_defaults", """
+select case when channel = 'ATM' then 'FAILED' else 'SUCCESS' end as status, txn_type = 'UPI' and is_fraud as is_fraud,
+       case when amount >= 100000 then 13 else 64 end as id_length, count(*) as transactions, count(*) as ids
+from transactions group by all""")
+
+ORACLE["numeric_cleaning"] = """
+select l_orderkey, sum(case when l_returnflag = 'N' then 0 else l_quantity end) as quantity,
+       sum(case when l_tax = 0 or l_discount = 0 then 0 else l_quantity end) as ratio
+from lineitem group by l_orderkey"""
+
+add("alert_quality", """
+select account_id as record_id, 'alert_risk_range' as rule from accounts where account_age_days > 10000
+union all select account_id, 'risk_tier_domain' from accounts where is_flagged
+union all select account_id, 'status_domain' from accounts where kyc_status = 'EXPIRED'""")
+
 # --- patterns -------------------------------------------------------------------------------------
 
 TRAILS = {
@@ -169,6 +184,9 @@ select source as source_account, dest as destination_account, count(distinct mid
 from pairs group by source, dest having count(distinct mid) >= 2""",
 }
 add("layering", "select * from lay", **LAYER)
+add("layering_top", """
+select source_account, destination_account, intermediary_count, total_fan_out, total_converge from lay
+order by total_fan_out desc, source_account, destination_account limit 1000""", **LAYER)
 
 STRUCT = {
     "small": "select * from transfers where amount > 0 and amount <= 49999 and ts > $AS_OF - interval 240 hour and ts <= $AS_OF",
@@ -212,7 +230,7 @@ select d.account_id, case m.dir when 'sent' then 'outgoing' else 'incoming' end
 from dorm d join moves m on m.account_id = d.account_id where m.ts > $AS_OF - interval 30 day and m.ts <= $AS_OF""",
     dorm=DORM["dorm"].replace("$RATIO", "0.7"))
 
-add("dormant_strict", """
+WOKEN = {"woken": """
 select c.dst as account_id, c.txn_id, strftime(c.ts, '%Y-%m-%d %H:%M:%S') as activated_at,
        strftime(h.quiet_since, '%Y-%m-%d %H:%M:%S') as quiet_since,
        round(h.mean_before, 4) as mean_before, c.amount as activation_amount, f.forwarded_amount
@@ -221,7 +239,8 @@ join lateral (select max(m.ts) as quiet_since, avg(m.amount) as mean_before from
 join lateral (select sum(o.amount) as forwarded_amount from transfers o
       where o.src = c.dst and o.ts > c.ts and o.ts <= c.ts + interval 10 day and o.ts <= $AS_OF) f on true
 where c.ts <= $AS_OF and c.ts >= h.quiet_since + interval 1 day and c.amount > 1.5 * h.mean_before
-  and f.forwarded_amount > 0.5 * c.amount""")
+  and f.forwarded_amount > 0.5 * c.amount"""}
+add("dormant_strict", "select * from woken", **WOKEN)
 
 PROF = {
     "prof": """
@@ -398,6 +417,9 @@ select account_id, account_type, is_flagged, account_age_days, total_sent_30d, t
   is_dormant_activated, round(std_txn_amount, 4) as std_txn_amount, round(night_txn_ratio, 4) as night_txn_ratio,
   days_since_last_txn, round(total_sent_30d / (total_received_30d + 1), 4) as sent_received_ratio
 from feat""", **FEAT)
+add("activated_features", """
+select account_id, cast(account_id in (select account_id from woken) as bigint) as is_dormant_activated, txn_count_30d from feat""",
+    **FEAT, **WOKEN)
 add("graph_features", """
 select account_id, in_degree, out_degree, degree,
   round(0.15::double / (select count(*) from deg) + 0.85::double * degree / (select sum(degree) from deg), 9) as degree_share_rank

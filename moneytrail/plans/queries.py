@@ -126,6 +126,42 @@ def dataset_profile(spark, sf_dir):
     return quality.dataset_profile(star.transactions(spark, sf_dir), star.accounts(spark, sf_dir))
 
 
+@query
+def txn_defaults(spark, sf_dir):
+    """Every transaction, with gaps made from its values, after the gaps are filled."""
+    gaps = star.transactions(spark, sf_dir).withColumns({
+        "txn_id": F.when(F.col("amount") >= 100_000, F.col("txn_id")),
+        "status": F.when(F.col("channel") == "ATM", F.lit("FAILED")),
+        "is_fraud": F.when(F.col("txn_type") == "UPI", F.col("is_fraud")),
+    })
+    filled = quality.fill_defaults(gaps)
+    return filled.groupBy("status", "is_fraud", F.length("txn_id").cast("bigint").alias("id_length")).agg(
+        F.count("*").alias("transactions"), F.count_distinct("txn_id").alias("ids")
+    )
+
+
+@query
+def numeric_cleaning(spark, sf_dir):
+    """Texts that are no numbers and values that are not finite count as 0."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", F.concat(F.col("l_quantity").cast("string"), F.when(F.col("l_returnflag") == "N", "x").otherwise("")).alias("quantity"),
+        F.when(F.col("l_tax") == 0, F.lit(float("nan"))).when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.col("l_quantity")).alias("ratio"),
+    )
+    clean = quality.finite_or_zero(quality.coerce_numeric(lines, ["quantity"]), ["ratio"])
+    return clean.groupBy("l_orderkey").agg(F.sum("quantity").alias("quantity"), F.sum("ratio").alias("ratio"))
+
+
+@query
+def alert_quality(spark, sf_dir):
+    """Scores of 150 per cent and unknown states among alerts made from customers."""
+    made = star.accounts(spark, sf_dir).select(
+        F.col("account_id").alias("alert_id"), (F.col("account_age_days") / 100).alias("risk_score"),
+        F.when(F.col("is_flagged"), "SEVERE").otherwise("LOW").alias("risk_tier"),
+        F.when(F.col("kyc_status") == "EXPIRED", "GONE").otherwise("OPEN").alias("status"),
+    )
+    return quality.alert_violations(made)
+
+
 # --- patterns -------------------------------------------------------------------------------------
 
 
@@ -151,6 +187,13 @@ def layering(spark, sf_dir):
     )
 
 
+@query
+def layering_top(spark, sf_dir):
+    """The report's view: the 1000 largest by amount sent out."""
+    found = patterns.layering(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["LAYERING"])
+    return patterns.ranked(found, "total_fan_out", ["source_account", "destination_account"], limit=1000)
+
+
 @query
 def structuring(spark, sf_dir):
     rows = patterns.structuring_nested(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["STRUCTURING"])
@@ -359,6 +402,16 @@ def account_features(spark, sf_dir):
     })
 
 
+@query
+def activated_features(spark, sf_dir):
+    """Features with the strict detector as the sign of a dormant activation."""
+    woke = patterns.dormant_strict(
+        star.transfers(spark, sf_dir), AS_OF(), quiet_days=1, spike=1.5, forward_share=0.5, forward_days=10
+    )
+    found = features.account_features(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), AS_OF(), activated=woke)
+    return found.select("account_id", F.col("is_dormant_activated").cast("bigint").alias("is_dormant_activated"), "txn_count_30d")
+
+
 @query
 def graph_features(spark, sf_dir):
     degree = features.degrees(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir))
@@ -426,7 +479,8 @@ def model_edges(spark, sf_dir):
 @query
 def neighbour_means(spark, sf_dir):
     transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
-    wide = nodeclf.neighbour_means(behaviour(spark, sf_dir), nodeclf.Neighbours(transfers, accounts), SIMPLE, hops=2)
+    matrix = materialize(behaviour(spark, sf_dir).select("account_id", *SIMPLE), "matrix")
+    wide = nodeclf.neighbour_means(matrix, nodeclf.Neighbours(transfers, accounts), SIMPLE, hops=2)
     return rounded(wide, 4, *[c for c in wide.columns if c != "account_id"])
 
 

@@ -11,7 +11,8 @@ from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,6 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The same with the number of rows, counted while writing."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return stored, seen.get.get("rows", 0)  # no metric if the planner finds the table empty
+
+
 def together(spark: SparkSession, *steps: Callable) -> list:
     """Run independent steps, each of which starts jobs of its own, at the same time; results in order.
 
