@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import from_micros, look_back, micros
-from moneytrail.functions.skew import hot_keys, hot_listed, salted_join
+from moneytrail.functions import skew
+from moneytrail.functions.skew import hot_listed, salted_join
 from moneytrail.operators.cycles import circular
 from moneytrail.schema import PATTERNS
-from moneytrail.scratch import materialize, materialize_counted, together
+from moneytrail.scratch import materialize, together
 
 PART_ROWS = 1000
 
@@ -46,6 +47,7 @@ def nest(detections: DataFrame, evidence: DataFrame, keys: list[str], count: str
 
 # --- layering -------------------------------------------------------------------------------------
 
+BUSY_PAIRS = 5_000_000
 PAIR = ["source", "mid", "dest", "out_txn", "out_amount", "out_ts", "in_txn", "in_amount", "in_ts"]
 
 def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours: int) -> DataFrame:
@@ -56,7 +58,7 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     ones are built only for ends that also meet elsewhere: over an ordinary intermediary, or over two busy ones.
     Detections are the same either way. Writes the transfers of the window as a scratch table.
     """
-    recent, rows = materialize_counted(
+    recent = materialize(
         look_back(transfers, as_of, hours=hours).where("src <> dst").select("src", "dst", "txn_id", "amount", "ts"),
         "layering-window",
     )
@@ -83,7 +85,7 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     # a source needs two receivers that pay on, a destination two payers that were paid
     out_leg = at_least_two(out_leg.join(in_leg.select("mid").distinct(), "mid", "left_semi"), "source")
     in_leg = at_least_two(in_leg.join(out_leg.select("mid").distinct(), "mid", "left_semi"), "dest")
-    busy = sorted({*hot_keys(recent, "src", rows=rows), *hot_keys(recent, "dst", rows=rows)})
+    busy = _busy_intermediaries(recent, min_amount)
     if not busy:
         return follows(in_leg.join(out_leg, "mid"))
 
@@ -104,6 +106,18 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     return direct.unionByName(checked)
 
 
+def _busy_intermediaries(recent: DataFrame, min_amount: float) -> list:
+    """Accounts with the most pairs of a leg out and a leg in, a bounded number of them."""
+    roles = F.explode(F.array(
+        F.struct(F.col("dst").alias("mid"), (F.col("amount") > min_amount).cast("bigint").alias("paid"), F.lit(0).cast("bigint").alias("pays")),
+        F.struct(F.col("src").alias("mid"), F.lit(0).cast("bigint").alias("paid"), F.lit(1).cast("bigint").alias("pays")),
+    ))
+    counts = recent.select(roles.alias("r")).groupBy("r.mid").agg(F.sum("r.paid").alias("paid"), F.sum("r.pays").alias("pays"))
+    pairs = counts.select("mid", (F.col("paid").cast("double") * F.col("pays")).alias("pairs"))
+    top = pairs.where(F.col("pairs") > BUSY_PAIRS).orderBy(F.desc("pairs")).limit(skew.HOT_MOST).select("mid").collect()
+    return [r["mid"] for r in top]
+
+
 def layering(transfers: DataFrame, as_of: Column, min_amount: float = 1_000_000, hours: int = 48) -> DataFrame:
     """Funds that leave one account through two or more others and meet again in one account.
 

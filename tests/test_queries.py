@@ -5,6 +5,7 @@ from compare import compare, connect
 from conftest import SMALL
 
 from moneytrail.functions import skew
+from moneytrail.operators import patterns
 from moneytrail.plans.oracle import ORACLE
 from moneytrail.plans.queries import QUERIES
 
@@ -29,11 +30,11 @@ def test_query(spark, con, name):
     assert problem is None
 
 
-@pytest.mark.parametrize("least", [3, 8])
+@pytest.mark.parametrize("least", [0, 20, 100])
 def test_layering_with_some_busy_intermediaries(spark, least, monkeypatch):
     """Pairs over busy intermediaries are built another way; detections must not change."""
     folder = SMALL.replace("sf0.001", "sf0.01")
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", least)
+    monkeypatch.setattr(patterns, "BUSY_PAIRS", least)
     rows, _, _, problem = compare(spark, connect(folder), folder, "layering")
     assert problem is None and rows == 78
 
@@ -42,5 +43,6 @@ def test_layering_with_some_busy_intermediaries(spark, least, monkeypatch):
 def test_query_with_every_key_hot(spark, con, name, monkeypatch):
     monkeypatch.setattr(skew, "HOT_MIN_ROWS", 1)
     monkeypatch.setattr(skew, "HOT_MOST", 10_000)
+    monkeypatch.setattr(patterns, "BUSY_PAIRS", -1)
     _, _, _, problem = compare(spark, con, SMALL, name)
     assert problem is None
