@@ -1,0 +1,17 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+@pytest.fixture
+def documents(spark):
+    """Documents from ``(doc_id, text[, source[, lang]])`` rows, with extra columns named like internal ones."""
+    def make(*rows):
+        full = [(r[0], r[1], r[3] if len(r) > 3 else "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), 7, "k", 1) for r in rows]
+        return spark.createDataFrame(
+            full, "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, `key` string, range_ int"
+        )
+    return make
