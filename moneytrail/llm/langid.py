@@ -111,10 +111,17 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> dict[str, np.ndarray]:
     numbers are added up by Spark, so the order of adding doesn't matter.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    smallest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
+    order = F.xxhash64("doc_id", F.lit(SEED))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))  # one row per language
+    # rows whose hash is clearly not among the smallest are dropped before the sort, whatever the number of rows
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
+    low = labelled.select("lang", "doc_id", order.alias("order")).join(F.broadcast(counts), "lang").where(
+        F.col("order") <= share * 2.0**64 - 2.0**63
+    )
+    smallest = Window.partitionBy("lang").orderBy("order", "doc_id")
     chosen = materialize(
-        labelled.select("lang", "doc_id").withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= rows)
-        .select("lang", "doc_id").distinct(), "labelled-sample",
+        low.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= rows).select("lang", "doc_id").distinct(),
+        "labelled-sample",
     )
     sample = labelled.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])  # at most ``rows`` a language
 
