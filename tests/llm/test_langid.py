@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from llm_data import ODD, SMALL
+from llm_data import ODD, SMALL, documents  # noqa: F401
 from pyspark.sql import functions as F
 
 from moneytrail.llm import langid

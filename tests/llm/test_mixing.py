@@ -3,7 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from llm_data import ODD, SMALL
+from llm_data import ODD, SMALL, documents  # noqa: F401
 
 from moneytrail.llm import mixing
 

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from llm_data import ODD, SMALL
+from llm_data import ODD, SMALL, documents  # noqa: F401
 
 from moneytrail.llm import pii
 

@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from llm_data import ODD, SMALL
+from llm_data import ODD, SMALL, documents  # noqa: F401
 
 from moneytrail.llm import mixing
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from llm_data import ODD, SMALL
+from llm_data import ODD, SMALL, documents  # noqa: F401
 
 from moneytrail.llm import simhash
 
