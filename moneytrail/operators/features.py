@@ -145,10 +145,23 @@ def standardise(features: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def feature_matrix(behaviour: DataFrame, structure: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The standardised features of every account. Writes the raw features as a scratch table first."""
+    """The standardised features of every account. Writes the raw features as a scratch table first.
+
+    An account that was never active counts as idle for all its age, one that no path leads to as one hop beyond the
+    farthest: 0 would make either look like the riskiest.
+    """
     columns = columns or FEATURES
-    raw = behaviour.join(structure, "account_id", "left").select("account_id", *columns)
-    return standardise(materialize(raw, "features"), columns)
+    raw = materialize(behaviour.join(structure, "account_id", "left").select("account_id", *columns), "features")
+    return standardise(fill_gaps(raw), columns)
+
+
+def fill_gaps(raw: DataFrame) -> DataFrame:
+    gaps = {}
+    if "days_since_last_txn" in raw.columns and "account_age_days" in raw.columns:
+        gaps["days_since_last_txn"] = F.coalesce("days_since_last_txn", "account_age_days")
+    if "hop_count_to_flagged" in raw.columns:
+        gaps["hop_count_to_flagged"] = F.coalesce("hop_count_to_flagged", raw.agg(F.max("hop_count_to_flagged") + 1).scalar())
+    return raw.withColumns(gaps) if gaps else raw
 
 
 def fraud_labels(transfers: DataFrame, accounts: DataFrame) -> DataFrame:

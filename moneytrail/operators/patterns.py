@@ -1,7 +1,7 @@
 """The laundering-pattern detectors other than the circular one.
 
-Every detector returns one row per detection with scalar columns, and has an ``*_evidence`` twin with
-one row per transfer behind a detection. ``nest`` turns evidence into aligned arrays of bounded length.
+Every detector returns one row per detection with scalar columns, whatever its size, and has an ``*_evidence``
+twin with one row per transfer behind a detection.
 Sums and counts are combined before any shuffle by account, so a busy account is not one big task.
 """
 
@@ -12,42 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import from_micros, look_back, micros
-from moneytrail.functions import skew
 from moneytrail.functions.skew import hot_listed, salted_join
 from moneytrail.operators.cycles import circular
 from moneytrail.schema import PATTERNS
 from moneytrail.scratch import materialize, together
 
-PART_ROWS = 1000
-
-
-def nest(detections: DataFrame, evidence: DataFrame, keys: list[str], count: str, arrays: dict[str, str],
-         order: list[str]) -> DataFrame:
-    """Detections with their evidence as aligned arrays.
-
-    A detection with up to ``PART_ROWS`` evidence rows is one row (``part`` 0 of ``parts`` 1). A larger one
-    continues over several rows, since an array must fit into memory but a detection need not.
-    """
-    parts = F.greatest(F.lit(1), F.ceil(F.col(count) / PART_ROWS)).cast("int")
-    heads = detections.withColumn("parts", parts)
-    head_columns = [c for c in heads.columns if c not in keys]
-    # one key column, so that a detection with a large share of the evidence can be split
-    key = F.concat_ws("|", *keys)
-    heads = heads.withColumn("nest_key", key)
-    placed = salted_join(
-        evidence.withColumn("nest_key", key).drop(*keys), heads, "nest_key", F.xxhash64(*order),
-        hot=hot_listed(heads, "nest_key", count),
-    ).withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts")).cast("int"))
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in dict.fromkeys(arrays.values()) if c not in order])))
-    grouped = placed.groupBy(*keys, "part").agg(*[F.first(c).alias(c) for c in head_columns], rows.alias("rows"))
-    return grouped.select(
-        *keys, *head_columns, "part", *[F.col(f"rows.{source}").alias(name) for name, source in arrays.items()]
-    )
-
-
 # --- layering -------------------------------------------------------------------------------------
 
 BUSY_PAIRS = 5_000_000
+CENTS = "decimal(28,2)"
 PAIR = ["source", "mid", "dest", "out_txn", "out_amount", "out_ts", "in_txn", "in_amount", "in_ts"]
 
 def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours: int) -> DataFrame:
@@ -86,36 +59,47 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
     out_leg = at_least_two(out_leg.join(in_leg.select("mid").distinct(), "mid", "left_semi"), "source")
     in_leg = at_least_two(in_leg.join(out_leg.select("mid").distinct(), "mid", "left_semi"), "dest")
     busy = _busy_intermediaries(recent, min_amount)
-    if not busy:
+    if busy.isEmpty():
         return follows(in_leg.join(out_leg, "mid"))
 
-    is_busy = F.col("mid").isin(busy)
-    direct = materialize(follows(in_leg.where(~is_busy).join(out_leg.where(~is_busy), "mid")), "layering-pairs")
-    out_busy, in_busy = out_leg.where(is_busy), in_leg.where(is_busy)
+    def ordinary(df: DataFrame) -> DataFrame:
+        return df.join(busy, "mid", "left_anti")
+
+    direct = materialize(follows(ordinary(in_leg).join(ordinary(out_leg), "mid")), "layering-pairs")
+    out_busy, in_busy = out_leg.join(busy, "mid", "left_semi"), in_leg.join(busy, "mid", "left_semi")
 
-    def couples(df: DataFrame, end: str) -> DataFrame:
-        """Each end with the couples of busy intermediaries it deals with; there are few busy ones in all."""
-        met = df.groupBy(end).agg(F.array_sort(F.collect_set("mid")).alias("mids")).where(F.size("mids") >= 2)
-        return met.select(end, F.explode("mids").alias("first"), "mids").select(
-            end, "first", F.explode(F.filter("mids", lambda m: m > F.col("first"))).alias("second")
+    def couples(df: DataFrame, end: str, bound: Column, at: str) -> DataFrame:
+        """Each end with the couples of busy intermediaries it deals with, and its bounding time at either."""
+        once = df.groupBy(end, "mid").agg(bound.alias(at))
+        met = once.groupBy(end).agg(F.array_sort(F.collect_list(F.struct("mid", at))).alias("mids")).where(F.size("mids") >= 2)
+        pairs = met.select(end, F.explode("mids").alias("first"), "mids").select(
+            end, "first", F.explode(F.filter("mids", lambda m: m["mid"] > F.col("first.mid"))).alias("second")
+        )
+        return pairs.select(
+            end, F.col("first.mid").alias("first"), F.col("second.mid").alias("second"),
+            F.col(f"first.{at}").alias(f"{at}_first"), F.col(f"second.{at}").alias(f"{at}_second"),
         )
 
-    over_two = couples(out_busy, "source").join(couples(in_busy, "dest"), ["first", "second"]).select("source", "dest")
+    # ends whose last receipt over a couple is before the first payment into it have nothing that follows
+    in_order = (F.col("paid_first") < F.col("got_first")) & (F.col("paid_second") < F.col("got_second"))
+    over_two = (
+        couples(out_busy, "source", F.min("out_ts"), "paid")
+        .join(couples(in_busy, "dest", F.max("in_ts"), "got"), ["first", "second"]).where(in_order).select("source", "dest")
+    )
     meeting = direct.select("source", "dest").union(over_two).where("source <> dest").distinct()
     checked = follows(out_busy.join(meeting, "source").join(in_busy, ["mid", "dest"]))
     return direct.unionByName(checked)
 
 
-def _busy_intermediaries(recent: DataFrame, min_amount: float) -> list:
-    """Accounts with the most pairs of a leg out and a leg in, a bounded number of them."""
+def _busy_intermediaries(recent: DataFrame, min_amount: float) -> DataFrame:
+    """All accounts with more than ``BUSY_PAIRS`` pairs of a leg out and a leg in, as a stored table of ``mid``."""
     roles = F.explode(F.array(
         F.struct(F.col("dst").alias("mid"), (F.col("amount") > min_amount).cast("bigint").alias("paid"), F.lit(0).cast("bigint").alias("pays")),
         F.struct(F.col("src").alias("mid"), F.lit(0).cast("bigint").alias("paid"), F.lit(1).cast("bigint").alias("pays")),
     ))
     counts = recent.select(roles.alias("r")).groupBy("r.mid").agg(F.sum("r.paid").alias("paid"), F.sum("r.pays").alias("pays"))
     pairs = counts.select("mid", (F.col("paid").cast("double") * F.col("pays")).alias("pairs"))
-    top = pairs.where(F.col("pairs") > BUSY_PAIRS).orderBy(F.desc("pairs")).limit(skew.HOT_MOST).select("mid").collect()
-    return [r["mid"] for r in top]
+    return materialize(pairs.where(F.col("pairs") > BUSY_PAIRS).select("mid"), "busy")
 
 
 def layering(transfers: DataFrame, as_of: Column, min_amount: float = 1_000_000, hours: int = 48) -> DataFrame:
@@ -123,10 +107,10 @@ def layering(transfers: DataFrame, as_of: Column, min_amount: float = 1_000_000,
 
     Amounts are summed over pairs of legs: a leg out that is followed by two legs in counts twice.
     """
-    return _layering_of(layering_pairs(transfers, as_of, min_amount, hours))
+    return layering_of(layering_pairs(transfers, as_of, min_amount, hours))
 
 
-def _layering_of(pairs: DataFrame) -> DataFrame:
+def layering_of(pairs: DataFrame) -> DataFrame:
     per_mid = pairs.groupBy("source", "dest", "mid").agg(
         F.sum("out_amount").alias("out_sum"), F.sum("in_amount").alias("in_sum")
     )
@@ -162,32 +146,6 @@ def layering_evidence(pairs: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
-def layering_nested(transfers: DataFrame, as_of: Column, min_amount: float = 1_000_000, hours: int = 48) -> DataFrame:
-    """Detections with ``intermediate_accounts``, ``fan_out_txns`` and ``converge_txns``.
-
-    Writes the pairs of legs as a scratch table, since sums and evidence both read them.
-    """
-    keys = ["source_account", "destination_account"]
-    pairs = materialize(layering_pairs(transfers, as_of, min_amount, hours), "layering-pairs")
-    found = _layering_of(pairs)
-    evidence = layering_evidence(pairs, found)
-    sizes = evidence.groupBy(*keys).agg(F.count("*").alias("evidence_rows"))
-    rows = nest(
-        found.join(sizes, keys), evidence, keys, "evidence_rows",
-        {"legs": "leg", "txns": "txn_id", "mids": "intermediate_account"}, ["ts", "leg", "txn_id"],
-    )
-
-    def of(leg):
-        pairs = F.filter(F.arrays_zip("legs", "txns"), lambda x: x["legs"] == leg)
-        return F.transform(pairs, lambda x: x["txns"])
-
-    return rows.select(
-        "source_account", F.array_distinct("mids").alias("intermediate_accounts"), "destination_account",
-        "intermediary_count", "total_fan_out", "total_converge",
-        of("fan_out").alias("fan_out_txns"), of("converge").alias("converge_txns"), "part", "parts",
-    )
-
-
 # --- structuring ----------------------------------------------------------------------------------
 
 
@@ -221,36 +179,23 @@ def structuring_evidence(transfers: DataFrame, detections: DataFrame, as_of: Col
     ).select("destination_account", "sender_account", "txn_id", "amount", "ts")
 
 
-def structuring_nested(transfers: DataFrame, as_of: Column, threshold: float = 49_999, hours: int = 24,
-                       min_count: int = 5) -> DataFrame:
-    """Detections with ``sender_accounts`` and the aligned arrays txn_ids, amounts, timestamps."""
-    found = materialize(structuring(transfers, as_of, threshold, hours, min_count), "detections")
-    rows = nest(
-        found, structuring_evidence(transfers, found, as_of, threshold, hours), ["destination_account"],
-        "transaction_count",
-        {"sender_accounts": "sender_account", "txn_ids": "txn_id", "amounts": "amount", "timestamps": "ts"},
-        ["ts", "txn_id"],
-    )
-    return rows.withColumn("sender_accounts", F.array_distinct("sender_accounts"))
-
-
 def structuring_sliding(transfers: DataFrame, as_of: Column, threshold: float = 49_999, hours: int = 24,
                         min_count: int = 5, slot_minutes: int = 1) -> DataFrame:
     """Accounts with ``min_count`` or more sub-threshold credits in any span (t - hours, t].
 
     A sweep: each credit adds one at its time and takes one away ``hours`` later. The running total is
     taken per account and short slot of the time line and shifted by the totals of the earlier slots, so no
-    task has to hold all credits of an account.
+    task has to hold all credits of an account. Amounts are added and taken away as whole cents, so that nothing drifts.
     """
     small = transfers.where((F.col("amount") > 0) & (F.col("amount") <= threshold) & (F.col("ts") <= as_of))
-    at = micros(F.col("ts"))
+    at, amount = micros(F.col("ts")), F.col("amount").cast(CENTS)
     span = hours * 3_600_000_000
     changes = (
         small.select(
             "dst",
             F.explode(F.array(
-                F.struct(at.alias("at"), F.lit(1).alias("turn"), F.col("amount").alias("amount")),
-                F.struct((at + span).alias("at"), F.lit(0).alias("turn"), (-F.col("amount")).alias("amount")),
+                F.struct(at.alias("at"), F.lit(1).alias("turn"), amount.alias("amount")),
+                F.struct((at + span).alias("at"), F.lit(0).alias("turn"), (-amount).cast(CENTS).alias("amount")),
             )).alias("c"),
         )
         .select("dst", "c.*")
@@ -266,7 +211,7 @@ def structuring_sliding(transfers: DataFrame, as_of: Column, threshold: float =
         .select(
             "dst", "slot",
             F.coalesce(F.sum("change").over(earlier), F.lit(0)).alias("count_before"),
-            F.coalesce(F.sum("amount").over(earlier), F.lit(0.0)).alias("amount_before"),
+            F.coalesce(F.sum("amount").over(earlier), F.lit(0)).alias("amount_before"),
         )
     )
     # what leaves at an instant leaves before what arrives, as the span is open at its start
@@ -281,7 +226,7 @@ def structuring_sliding(transfers: DataFrame, as_of: Column, threshold: float =
         .groupBy(F.col("dst").alias("destination_account"))
         .agg(
             F.max("credits").alias("max_transaction_count"),
-            F.max("amount").alias("max_total_amount"),
+            F.max("amount").cast("double").alias("max_total_amount"),
             from_micros(F.min("at")).alias("first_reached"),
         )
     )
@@ -328,29 +273,6 @@ def dormant_evidence(transfers: DataFrame, detections: DataFrame, as_of: Column,
     return side("dst", "src", "incoming").unionByName(side("src", "dst", "outgoing"))
 
 
-def dormant_nested(transfers: DataFrame, accounts: DataFrame, as_of: Column, dormant_days: int = 60,
-                   forward_ratio: float = 0.7, window_days: int = 30) -> DataFrame:
-    """Detections with ``incoming`` and ``outgoing`` as arrays of transfer structs."""
-    found = materialize(
-        dormant_activation(transfers, accounts, as_of, dormant_days, forward_ratio, window_days), "detections"
-    ).withColumn("evidence_rows", F.col("incoming_count") + F.col("outgoing_count"))
-    evidence = dormant_evidence(transfers, found, as_of, window_days).withColumn(
-        "item", F.struct("direction", "counterparty", "amount", F.col("ts").alias("timestamp"), "txn_id")
-    )
-    rows = nest(found, evidence, ["account_id"], "evidence_rows", {"items": "item"}, ["ts", "txn_id", "direction"])
-
-    def of(direction, role):
-        kept = F.filter("items", lambda x: x["direction"] == direction)
-        return F.transform(kept, lambda x: F.struct(
-            x["counterparty"].alias(role), x["amount"].alias("amount"),
-            x["timestamp"].alias("timestamp"), x["txn_id"].alias("txn_id"),
-        ))
-
-    return rows.withColumns({"incoming": of("incoming", "sender"), "outgoing": of("outgoing", "dest")}).drop(
-        "items", "evidence_rows"
-    )
-
-
 def dormant_strict(transfers: DataFrame, as_of: Column, quiet_days: int = 75, spike: float = 5.0,
                    forward_share: float = 0.8, forward_days: int = 2) -> DataFrame:
     """Credits that wake an account after ``quiet_days`` and are passed on.
@@ -447,16 +369,6 @@ def profile_evidence(transfers: DataFrame, detections: DataFrame, as_of: Column,
     ).select("account_id", "sender", "amount", "ts", "txn_id")
 
 
-def profile_nested(transfers: DataFrame, accounts: DataFrame, as_of: Column, categories: tuple = LOW_INCOME,
-                   min_amount: float = 500_000) -> DataFrame:
-    """Detections with ``suspicious_credits`` as an array of transfer structs."""
-    found = materialize(profile_mismatch(transfers, accounts, as_of, categories, min_amount), "detections")
-    evidence = profile_evidence(transfers, found, as_of, min_amount).withColumn(
-        "item", F.struct("sender", "amount", F.col("ts").alias("timestamp"), "txn_id")
-    )
-    return nest(found, evidence, ["account_id"], "credit_count", {"suspicious_credits": "item"}, ["ts", "txn_id"])
-
-
 # --- all patterns ---------------------------------------------------------------------------------
 
 
@@ -493,7 +405,7 @@ def all_patterns(transfers: DataFrame, accounts: DataFrame, as_of: Column, param
     def layers():
         nonlocal pairs
         pairs = materialize(layering_pairs(transfers, as_of, **p["LAYERING"]), "layering-pairs")
-        return _layering_of(pairs)
+        return layering_of(pairs)
 
     detectors = {
         "CIRCULAR_ROUND_TRIP": lambda: circular(transfers, as_of, **p["CIRCULAR_ROUND_TRIP"]),

@@ -183,7 +183,12 @@ select source as source_account, dest as destination_account, count(distinct mid
        array_to_string(list_sort(list_distinct(list(t2))), ',') as converge_txns
 from pairs group by source, dest having count(distinct mid) >= 2""",
 }
-add("layering", "select * from lay", **LAYER)
+add("layering", "select source_account, destination_account, intermediary_count, total_fan_out, total_converge from lay", **LAYER)
+add("layering_evidence", """
+select distinct source as source_account, dest as destination_account, mid as intermediate_account, leg, txn_id, amount
+from (select source, dest, mid, 'fan_out' as leg, t1 as txn_id, a1 as amount from pairs
+      union all select source, dest, mid, 'converge', t2, a2 from pairs) z
+where (source, dest) in (select source_account, destination_account from lay)""", **LAYER)
 add("layering_top", """
 select source_account, destination_account, intermediary_count, total_fan_out, total_converge from lay
 order by total_fan_out desc, source_account, destination_account limit 1000""", **LAYER)
@@ -194,12 +199,10 @@ STRUCT = {
 select dst as destination_account, count(distinct src) as sender_count, count(*) as transaction_count, sum(amount) as total_amount
 from small group by dst having count(*) >= 5""",
 }
-add("structuring", """
-select s.*, x.txn_ids, x.amounts, x.sender_accounts from stru s join (
-  select dst, array_to_string(list(txn_id order by ts, txn_id), ',') as txn_ids,
-         array_to_string(list(cast(cast(amount as bigint) as varchar) order by ts, txn_id), ',') as amounts,
-         array_to_string(list_sort(list_distinct(list(src))), ',') as sender_accounts
-  from small group by dst) x on x.dst = s.destination_account""", **STRUCT)
+add("structuring", "select * from stru", **STRUCT)
+add("structuring_evidence", """
+select dst as destination_account, src as sender_account, txn_id, amount from small
+where dst in (select destination_account from stru)""", **STRUCT)
 
 add("structuring_sliding", """
 select dst as destination_account, max(n) as max_transaction_count, max(total) as max_total_amount,
@@ -349,7 +352,7 @@ from (select l.source as path_source, l.dest as path_dest, unnest(txn_ids) as id
 join single on single.txn_id = z.id""", True, **PATHS)
 
 MEMBERS = {**FOUND, "members": """
-select distinct pattern || ':' || detection_id as detection_id, account_id from involved where pattern in ('LAYERING', 'STRUCTURING')"""}
+select distinct pattern || ':' || detection_id as detection_id, account_id from involved"""}
 add("pattern_subgraph_nodes", """
 select m.detection_id, a.account_id, account_type, customer_name, risk_score, is_flagged
 from members m join accounts a on a.account_id = m.account_id""", True, **MEMBERS)
@@ -469,10 +472,14 @@ _CHECKED = (
     "velocity_7d is_dormant_activated std_txn_amount night_txn_ratio days_since_last_txn sent_received_ratio in_degree out_degree "
     "is_in_cycle max_cycle_length hop_count_to_flagged"
 ).split()
+_GAPS = {
+    "days_since_last_txn": "account_age_days",
+    "hop_count_to_flagged": "(select max(hop) + 1 from least_far l join accounts a on a.account_id = l.account_id)",
+}
 add("feature_matrix", "select account_id, " + ", ".join(
     f"round(case when stddev_pop({c}) over () <= 1e-14 * greatest(abs(avg({c}) over ()), 1) then 0 "
     f"else ({c} - avg({c}) over ()) / stddev_pop({c}) over () end, 6) as {c}" for c in _CHECKED) + " from wide", True,
-    **FEAT, **CYCLE_FEATURES, **HOPS, wide="select f.account_id, " + ", ".join(f"cast(coalesce({c}, 0) as double) as {c}" for c in _CHECKED) + """
+    **FEAT, **CYCLE_FEATURES, **HOPS, wide="select f.account_id, " + ", ".join(f"cast(coalesce({c}, {_GAPS.get(c, 0)}) as double) as {c}" for c in _CHECKED) + """
 from (select *, total_sent_30d / (total_received_30d + 1) as sent_received_ratio from feat) f
 join (select account_id, in_degree, out_degree from deg) d on d.account_id = f.account_id
 left join (select account_id, 1 as is_in_cycle, longest as max_cycle_length from onc) o on o.account_id = f.account_id

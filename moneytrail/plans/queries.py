@@ -180,11 +180,13 @@ def circular_round_trips(spark, sf_dir):
 
 @query
 def layering(spark, sf_dir):
-    rows = patterns.layering_nested(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["LAYERING"])
-    return rows.select(
-        "source_account", "destination_account", "intermediary_count", "total_fan_out", "total_converge",
-        *[text_of(F.array_sort(c)).alias(c) for c in ("intermediate_accounts", "fan_out_txns", "converge_txns")],
-    )
+    return patterns.layering(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["LAYERING"])
+
+
+@query
+def layering_evidence(spark, sf_dir):
+    pairs = materialize(patterns.layering_pairs(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["LAYERING"]), "layering-pairs")
+    return patterns.layering_evidence(pairs, patterns.layering_of(pairs)).drop("ts")
 
 
 @query
@@ -196,12 +198,14 @@ def layering_top(spark, sf_dir):
 
 @query
 def structuring(spark, sf_dir):
-    rows = patterns.structuring_nested(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["STRUCTURING"])
-    return rows.select(
-        "destination_account", "sender_count", "transaction_count", "total_amount",
-        text_of("txn_ids").alias("txn_ids"), whole("amounts").alias("amounts"),
-        text_of(F.array_sort("sender_accounts")).alias("sender_accounts"),
-    )
+    return patterns.structuring(star.transfers(spark, sf_dir), AS_OF(), **PARAMS["STRUCTURING"])
+
+
+@query
+def structuring_evidence(spark, sf_dir):
+    transfers, rule = star.transfers(spark, sf_dir), PARAMS["STRUCTURING"]
+    found = materialize(patterns.structuring(transfers, AS_OF(), **rule), "detections")
+    return patterns.structuring_evidence(transfers, found, AS_OF(), rule["threshold"], rule["hours"]).drop("ts")
 
 
 @query
@@ -324,7 +328,7 @@ def fund_path_export(spark, sf_dir):
 
 
 def found_members(spark, sf_dir):
-    return patterns.involvement(found_patterns(spark, sf_dir)).where("pattern in ('LAYERING', 'STRUCTURING')").withColumn(
+    return patterns.involvement(found_patterns(spark, sf_dir)).withColumn(
         "detection_id", F.concat_ws(":", "pattern", "detection_id")
     )
 
@@ -578,7 +582,7 @@ WHOLE = ["account_age_days", "txn_count_30d", "unique_counterparties_30d", "days
 
 
 def anomaly_matrix(spark, sf_dir):
-    return features.standardise(behaviour(spark, sf_dir), features.BEHAVIOUR)
+    return features.standardise(features.fill_gaps(behaviour(spark, sf_dir)), features.BEHAVIOUR)
 
 
 @query

@@ -3,24 +3,20 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moneytrail.functions.skew import salted_join
+from moneytrail.functions.skew import hot_keys, salted_join
 
 
 def upsert_accounts(current: DataFrame, batch: DataFrame, order_by: str | None = None) -> DataFrame:
     """Merge a batch into the account table by ``account_id``.
 
     A batch row replaces every other column of the stored row. ``order_by`` names a batch column that
-    decides between several rows for one account: the highest wins. The deciding column is not kept.
+    decides between several rows for one account: the highest wins, nulls lowest. Rows that are equal in it, or all
+    rows without ``order_by``, are decided by a hash of their contents, so an account is always one row and a
+    repeated run gives the same. The deciding column is not kept.
     """
     columns = [c for c in current.columns if c != "account_id"]
-    newest = batch
-    if order_by:
-        newest = (
-            batch.groupBy("account_id")
-            .agg(F.max_by(F.struct(*columns), F.col(order_by)).alias("new"))
-        )
-    else:
-        newest = batch.select("account_id", F.struct(*columns).alias("new"))
+    order = F.struct(*([F.col(order_by)] if order_by else []), F.xxhash64(*columns), F.struct(*columns))
+    newest = batch.groupBy("account_id").agg(F.max_by(F.struct(*columns), order).alias("new"))
     merged = current.join(newest, "account_id", "full_outer")
     is_new = F.col("new").isNotNull()
     return merged.select(
@@ -29,13 +25,14 @@ def upsert_accounts(current: DataFrame, batch: DataFrame, order_by: str | None =
     )
 
 
-def with_known(txns: DataFrame, accounts: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+def with_known(txns: DataFrame, accounts: DataFrame, column: str, how: str = "left_semi", hot: list | None = None) -> DataFrame:
     """Rows whose ``column`` is (or with ``left_anti`` is not) an existing account.
 
-    An account with a large share of the transactions is split over several tasks.
+    An account with a large share of the transactions is split over several tasks; ``hot`` lists such accounts if
+    they are known already.
     """
     known = accounts.select(F.col("account_id").alias(column)).distinct()
-    return salted_join(txns, known, column, F.col("txn_id"), how).select(txns.columns)
+    return salted_join(txns, known, column, F.col("txn_id"), how, hot).select(txns.columns)
 
 
 def _stamp(column: str):
@@ -44,7 +41,9 @@ def _stamp(column: str):
 
 def build_transfers(txns: DataFrame, accounts: DataFrame) -> DataFrame:
     """Account-to-account edges; a transaction with an unknown endpoint makes none."""
-    both = with_known(with_known(txns, accounts, "sender_account"), accounts, "receiver_account")
+    # counted over the stored input, or the first join would run once more for the second count
+    sent, received = "sender_account", "receiver_account"
+    both = with_known(with_known(txns, accounts, sent, hot=hot_keys(txns, sent)), accounts, received, hot=hot_keys(txns, received))
     return both.select(
         "txn_id",
         _stamp("timestamp").alias("ts"),
@@ -113,16 +112,11 @@ def build_counts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def write_back_risk(accounts: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set ``risk_score`` (0-1) and ``is_flagged`` from updates keyed by account; unknown ids are ignored."""
+    """Set ``risk_score`` (0-1) and ``is_flagged`` from updates keyed by account, each where the update has it; unknown ids are ignored."""
     new = updates.select(
         "account_id", F.col("risk_score").alias("new_risk"), F.col("is_flagged").alias("new_flag")
     )
-    updated = F.col("new_risk").isNotNull() | F.col("new_flag").isNotNull()
+    replaced = {"risk_score": F.coalesce("new_risk", "risk_score"), "is_flagged": F.coalesce("new_flag", "is_flagged")}
     return accounts.join(new, "account_id", "left").select(
-        *[
-            F.when(updated, F.col("new_risk")).otherwise(F.col(c)).alias(c) if c == "risk_score"
-            else F.when(updated, F.col("new_flag")).otherwise(F.col(c)).alias(c) if c == "is_flagged"
-            else F.col(c)
-            for c in accounts.columns
-        ]
+        *[replaced[c].alias(c) if c in replaced else F.col(c) for c in accounts.columns]
     )

@@ -10,10 +10,13 @@ CACHE_TTL_SECONDS = 3600
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """Scan a table with a declared schema; a missing path fails when the scan is planned."""
+    """Scan a table with a declared schema; a missing path fails when the scan is planned.
+
+    A text file's value that doesn't fit its column becomes null, for the quality rules to count and to clean.
+    """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "FAILFAST")
+        reader = reader.option("header", True).option("mode", "PERMISSIVE")
     return reader.format(fmt).load(path)
 
 
@@ -64,7 +67,7 @@ def save_features(features: DataFrame, path: str, as_of: str) -> None:
 
 
 def load_features(spark: SparkSession, path: str, as_of: str, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame | None:
-    """Stored features if they are at most ``ttl_seconds`` older than ``as_of``, else None."""
+    """Stored features if they stand for ``as_of`` or at most ``ttl_seconds`` before it, else None."""
     try:
         stored = spark.read.parquet(path)
     except Exception as error:  # a table that was never written
@@ -73,5 +76,5 @@ def load_features(spark: SparkSession, path: str, as_of: str, ttl_seconds: int =
         raise
     now = F.lit(as_of).cast("timestamp_ntz")
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.max("computed_at").cast("timestamp"))
-    fresh = stored.agg((age <= ttl_seconds * 1_000_000).alias("fresh")).head()["fresh"]
+    fresh = stored.agg(age.between(0, ttl_seconds * 1_000_000).alias("fresh")).head()["fresh"]
     return stored.drop("computed_at") if fresh else None

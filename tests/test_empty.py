@@ -23,7 +23,7 @@ def test_patterns(none, accounts, now):
     found = patterns.all_patterns(none, accounts("A"), now)
     assert {r.detections for r in patterns.pattern_counts(found).collect()} == {0}
     assert risk.rule_scores(patterns.involvement(found)).count() == 0
-    assert patterns.structuring_sliding(none, now).count() == 0 and patterns.layering_nested(none, now).count() == 0
+    assert patterns.structuring_sliding(none, now).count() == 0 and patterns.layering(none, now).count() == 0
     scored = {r.pattern: r for r in patterns.detector_evaluation(none, patterns.transfers_behind(found)).collect()}
     assert scored["LAYERING"].recall == 0
 
@@ -72,3 +72,10 @@ def test_profile(none, accounts, now, spark):
     empty = spark.createDataFrame([], TRANSACTIONS)
     rows = {r.item: r.value for r in quality.dataset_profile(empty, accounts("A")).collect()}
     assert rows["total_transactions"] == "0" and rows["fraud_percent"] == "0.0" and rows["total_accounts"] == "1"
+
+
+def test_gaps_are_not_the_riskiest_value(spark):
+    raw = spark.createDataFrame([("A", 100, 5, 0), ("B", 400, None, 3), ("C", 50, 1, None)],
+                                "account_id string, account_age_days int, days_since_last_txn int, hop_count_to_flagged int")
+    filled = {r.account_id: (r.days_since_last_txn, r.hop_count_to_flagged) for r in features.fill_gaps(raw).collect()}
+    assert filled == {"A": (5, 0), "B": (400, 3), "C": (1, 4)}

@@ -73,11 +73,21 @@ MIDS = [("S", "M1", BIG, 20), ("S", "M2", BIG, 20), ("M1", "D", 10, 10), ("M2",
 
 
 def test_layering_through_two_accounts(transfers, now):
-    row = P.layering_nested(transfers(*MIDS), now).collect()
+    pairs = P.layering_pairs(transfers(*MIDS), now, 1_000_000, 48)
+    row = P.layering_of(pairs).collect()
     assert len(row) == 1 and row[0].intermediary_count == 2 and row[0].total_fan_out == 2 * BIG
-    assert sorted(row[0].intermediate_accounts) == ["M1", "M2"]
-    assert sorted(row[0].fan_out_txns) == ["t000", "t001"] and sorted(row[0].converge_txns) == ["t002", "t003"]
-    assert (row[0].part, row[0].parts) == (0, 1)
+    legs = {(r.intermediate_account, r.leg, r.txn_id) for r in P.layering_evidence(pairs, P.layering_of(pairs)).collect()}
+    assert legs == {("M1", "fan_out", "t000"), ("M2", "fan_out", "t001"), ("M1", "converge", "t002"), ("M2", "converge", "t003")}
+
+
+def test_busy_couples_that_never_follow_make_no_pairs(transfers, now, monkeypatch):
+    """Two busy accounts with many payers and payees, all payouts before all receipts."""
+    monkeypatch.setattr(P, "BUSY_PAIRS", 100)
+    early = [(m, f"D{i}", 10, 30) for i in range(40) for m in ("M1", "M2")]
+    late = [(f"S{i}", m, BIG, 20) for i in range(40) for m in ("M1", "M2")]
+    assert P.layering(transfers(*early, *late), now).count() == 0
+    follows = [("M1", "D0", 10, 10), ("M2", "D0", 10, 10)]
+    assert P.layering(transfers(*early, *late, *follows), now).count() == 40
 
 
 def test_layering_sums_over_pairs(transfers, now):
@@ -102,21 +112,28 @@ def test_layering_needs_three_different_accounts(transfers, now):
 
 def test_structuring_counts_sub_threshold_credits(transfers, now):
     small = [("X", "D", 49_999, h) for h in range(1, 5)] + [("Y", "D", 49_999, 5), ("Z", "D", 50_000, 6)]
-    row = P.structuring_nested(transfers(*small), now).collect()
+    found = P.structuring(transfers(*small), now)
+    row = found.collect()
     assert len(row) == 1 and row[0].transaction_count == 5 and row[0].sender_count == 2
-    assert row[0].txn_ids == ["t004", "t003", "t002", "t001", "t000"] and sorted(row[0].sender_accounts) == ["X", "Y"]
-    assert len(row[0].amounts) == len(row[0].timestamps) == 5
+    evidence = P.structuring_evidence(transfers(*small), found, now).orderBy("ts").collect()
+    assert [r.txn_id for r in evidence] == ["t004", "t003", "t002", "t001", "t000"] and {r.sender_account for r in evidence} == {"X", "Y"}
 
 
 def test_four_credits_are_no_structuring(transfers, now):
     assert P.structuring(transfers(*[("X", "D", 100, h) for h in range(1, 5)]), now).count() == 0
 
 
-def test_long_evidence_continues_over_several_rows(transfers, now, monkeypatch):
-    monkeypatch.setattr(P, "PART_ROWS", 10)
-    rows = P.structuring_nested(transfers(*[(f"X{i}", "D", 100, i / 10) for i in range(95)]), now).collect()
-    assert len(rows) > 1 and {r.transaction_count for r in rows} == {95} and {r.parts for r in rows} == {10}
-    assert sorted(t for r in rows for t in r.txn_ids) == [f"t{i:03d}" for i in range(95)]
+def test_a_detection_of_any_size_is_one_row(transfers, now):
+    many = transfers(*[(f"X{i % 900}", "D", 100, i / 200) for i in range(3000)])
+    found = P.structuring(many, now)
+    assert [(r.transaction_count, r.sender_count) for r in found.collect()] == [(3000, 900)]
+    assert P.structuring_evidence(many, found, now).select("txn_id").distinct().count() == 3000
+
+
+def test_cents_do_not_drift(transfers, now):
+    rows = [("X", "D", 0.1, 900 - i / 4) for i in range(3000)]
+    found = P.structuring_sliding(transfers(*rows), now).head()
+    assert (found.max_transaction_count, found.max_total_amount) == (96, 9.6)
 
 
 def test_sliding_window_sees_bursts_long_ago(transfers, now):
@@ -136,10 +153,10 @@ def test_dormant_needs_both_sides_and_a_strict_ratio(transfers, accounts, now):
         ("Z", "D", 100, 5), ("D", "Z", 75, 4),  # exactly the ratio
         ("Z", "E", 100, 5), ("E", "Z", 90, 4),  # too young
     )
-    found = P.dormant_nested(moves, people, now, forward_ratio=0.75).collect()
-    assert [r.account_id for r in found] == ["A"]
-    assert found[0].forward_ratio == 0.8
-    assert [x.sender for x in found[0].incoming] == ["Z"] and [x.dest for x in found[0].outgoing] == ["Z"]
+    found = P.dormant_activation(moves, people, now, forward_ratio=0.75)
+    assert [(r.account_id, r.forward_ratio) for r in found.collect()] == [("A", 0.8)]
+    evidence = {(r.direction, r.counterparty, r.amount) for r in P.dormant_evidence(moves, found, now).collect()}
+    assert evidence == {("incoming", "Z", 100.0), ("outgoing", "Z", 80.0)}
 
 
 def test_strict_dormancy(transfers, now):
@@ -156,9 +173,10 @@ def test_strict_dormancy(transfers, now):
 
 def test_profile_mismatch_includes_the_bound(transfers, accounts, now):
     people = accounts(("S", {"customer_category": "STUDENT"}), ("I", {}))
-    found = P.profile_nested(transfers(("X", "S", 500_000, 9000), ("X", "S", 499_999, 1), ("X", "I", 900_000, 1)), people, now).collect()
-    assert [(r.account_id, r.category, r.credit_count) for r in found] == [("S", "STUDENT", 1)]
-    assert found[0].suspicious_credits[0].sender == "X"
+    moves = transfers(("X", "S", 500_000, 9000), ("X", "S", 499_999, 1), ("X", "I", 900_000, 1))
+    found = P.profile_mismatch(moves, people, now)
+    assert [(r.account_id, r.category, r.credit_count) for r in found.collect()] == [("S", "STUDENT", 1)]
+    assert [(r.sender, r.amount) for r in P.profile_evidence(moves, found, now).collect()] == [("X", 500_000.0)]
 
 
 def test_counts_and_involvement(transfers, accounts, now):

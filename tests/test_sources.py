@@ -96,6 +96,33 @@ def test_upsert_replaces_rows(spark, accounts):
     assert set(rows) == {"A", "B", "C"} and (rows["B"].customer_name, rows["B"].branch_code, rows["B"].is_flagged) == ("last", None, False)
 
 
+@pytest.mark.parametrize("order", [None, "n"])
+def test_upsert_keeps_one_row_an_account(accounts, order):
+    """Repeated and undecided rows, and a deciding column that is null throughout."""
+    batch = accounts(("A", {"customer_name": "x"}), ("A", {"customer_name": "y"}), "C").withColumn("n", F.lit(None).cast("int"))
+    rows = edges.upsert_accounts(accounts("A", "B"), batch, order).collect()
+    assert sorted(r.account_id for r in rows) == ["A", "B", "C"] and all(r.customer_name for r in rows)
+    again = edges.upsert_accounts(accounts("A", "B"), batch.orderBy("customer_name"), order).collect()
+    assert sorted(rows) == sorted(again)
+
+
+def test_half_an_update_keeps_the_other_half(spark, accounts):
+    updates = spark.createDataFrame([("A", None, True), ("B", 0.5, None)], "account_id string, risk_score double, is_flagged boolean")
+    people = accounts(("A", {"risk_score": 0.25}), ("B", {"is_flagged": True}))
+    rows = {r.account_id: (r.risk_score, r.is_flagged) for r in edges.write_back_risk(people, updates).collect()}
+    assert rows == {"A": (0.25, True), "B": (0.5, True)}
+
+
+def test_a_bad_number_in_a_file_is_cleaned(spark, txns, accounts, tmp_path):
+    tables.write_dataset(txns({"amount": 7.5}), accounts(*PEOPLE), str(tmp_path))
+    for file in (tmp_path / "transactions.csv").glob("part-*.csv"):
+        file.write_text(file.read_text().replace("7.5", "seven"))
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    read = tables.read_dataset(spark, str(tmp_path))[0]
+    assert [r.amount for r in read.collect()] == [None]
+    assert [r.amount for r in quality.coerce_numeric(read, ["amount"]).collect()] == [0.0]
+
+
 def test_risk_write_back_ignores_unknown_accounts(spark, accounts):
     updates = spark.createDataFrame([("A", 0.5, True), ("Z", 1.0, True)], "account_id string, risk_score double, is_flagged boolean")
     rows = {r.account_id: (r.risk_score, r.is_flagged) for r in edges.write_back_risk(accounts("A", "B"), updates).collect()}
@@ -128,6 +155,7 @@ def test_feature_cache_expires(spark, tmp_path):
     tables.save_features(spark.createDataFrame([("A", 1.0)], "account_id string, x double"), path, "2024-01-01 00:00:00")
     assert tables.load_features(spark, path, "2024-01-01 01:00:00").columns == ["account_id", "x"]
     assert tables.load_features(spark, path, "2024-01-01 01:00:01") is None
+    assert tables.load_features(spark, path, "2023-12-31 23:59:59") is None
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
