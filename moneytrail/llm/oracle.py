@@ -1,6 +1,43 @@
 """SQL twins for DuckDB, one per query that SQL can express."""
 
 ORACLE = {
+    "op3_line_dedup": r"""
+with texts as (select distinct coalesce(cast(doc_id as varchar), 'none') as id, text from documents where text is not null),
+split as (select id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from texts),
+spaced as (select *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') as t from split),
+masked as (
+  select id, text, line, place,
+         [case when regexp_matches(w, '[0-9]') then '<*>' else w end for w in (case when t = '' then [] else string_split_regex(t, ' +') end)] as ws
+  from spaced),
+sizes as (select id, text, sum(len(ws)) as n_words from masked group by id, text),
+held as (select id, text, ws, ws[1:3] as lead, sum(len(ws)) as words from masked where len(ws) > 3 group by id, text, ws),
+variants as (select ws, lead, count(*) as docs from held group by ws, lead),
+crowded as (select len(ws) as n, lead from variants group by len(ws), lead having sum(docs) >= 5),
+places as (
+  select ws, v.lead, docs, unnest(ws) as token, generate_subscripts(ws, 1) as place
+  from variants v join crowded c on c.n = len(ws) and c.lead = v.lead),
+fixed as (select len(ws) as n, lead, place, token from places where token <> '<*>' group by len(ws), lead, place, token having sum(docs) >= 5),
+templates as (
+  select ws, a.lead, list(coalesce(f.token, '<*>') order by a.place) as shape
+  from places a left join fixed f on f.n = len(ws) and f.lead = a.lead and f.place = a.place and f.token = a.token
+  group by ws, a.lead having count(f.token) / count(*) >= 0.7),
+placed as (select id, text, words, t.lead, shape from held h join templates t on t.ws = h.ws),
+recurring as (select lead, shape from (select distinct lead, shape, id, text from placed) z group by lead, shape having count(*) >= 5),
+again as (select p.* from placed p join recurring r on r.lead = p.lead and r.shape = p.shape),
+pages as (
+  select a.id, a.text from again a join sizes s on s.id = a.id and s.text = a.text
+  group by a.id, a.text, n_words having sum(words) < 0.5 * n_words),
+dropped as (
+  select lead, shape from (
+    select distinct lead, shape, a.id, a.text from again a join pages p on p.id = a.id and p.text = a.text) z
+  group by lead, shape having count(*) >= 5),
+gone as (select ws from templates t join dropped d on d.lead = t.lead and d.shape = t.shape),
+freed as (
+  select id, m.text, coalesce(string_agg(line, chr(10) order by place) filter (g.ws is null), '') as free,
+         count(*) as n_lines, count(g.ws) as n_dropped
+  from masked m left join gone g on g.ws = m.ws group by id, m.text)
+select doc_id, free as text, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped
+from documents d left join freed f on f.id = coalesce(cast(doc_id as varchar), 'none') and f.text = d.text""",
     "op4_mixing": r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,

@@ -21,7 +21,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+    freed, *counts = lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return freed.withColumns({c: F.col(c).cast("bigint") for c in counts})
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
