@@ -13,6 +13,7 @@ EVIDENCE_FLOOR = 10
 
 
 def evidence_summary() -> Column:
+    """The sentences below are fixed values: texts that an alert shows."""
     model = F.when(F.col("gnn_contribution") > EVIDENCE_FLOOR, F.concat(
         F.lit("GNN model indicates "), fixed(F.col("gnn_contribution"), 0),
         F.lit("% structural risk from account neighbourhood."),

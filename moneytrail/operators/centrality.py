@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from moneytrail.functions.ranking import smallest_hashes
 from moneytrail.functions.skew import hot_keys, replicate, scatter
 from moneytrail.operators.traverse import Adjacency, both_ways, directed_pairs
-from moneytrail.scratch import materialize, materialize_counted, together
+from moneytrail.scratch import folded, materialize, materialize_counted, together
 
 ITERATIONS = 20
 DAMPING = 0.85
@@ -103,7 +103,7 @@ def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None =
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("start", "account_id"))
+        seen = folded(seen.unionByName(level.select("start", "account_id")), len(levels), "between-seen")
 
     later = levels[-1].withColumn("dependency", F.lit(0.0))
     total = None
@@ -193,7 +193,7 @@ def hops_to_flagged(transfers: DataFrame, accounts: DataFrame, max_hops: int | N
         frontier = materialize(nearby.join(reached, "account_id", "left_anti").withColumn("hop", F.lit(hop)), "flagged-level")
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
+        reached = folded(reached.unionByName(frontier), hop, "reached")
     return accounts.select("account_id").distinct().join(
         reached.withColumnRenamed("hop", "hop_count_to_flagged"), "account_id", "left"
     )

@@ -44,6 +44,7 @@ PATTERN_PHRASES = {
     "DORMANT_ACTIVATION": "dormant account sudden activation",
     "PROFILE_MISMATCH": "profile mismatch (high-value credits to low-income profile)",
 }
+# The closing sentence of a narrative by tier.
 ADVICE = {
     "CRITICAL": "Recommendation: Freeze account immediately and file STR with FIU-IND.",
     "HIGH": "Recommendation: Immediate review by senior investigator required.",
@@ -88,15 +89,17 @@ def top_features(contributions: dict[str, Column], values: dict[str, Column], to
     return F.transform(F.slice(F.array_sort(items), 1, top), item)
 
 
-def explain_linear(wide: DataFrame, weights: dict[str, dict[str, float]], top: int = TOP) -> DataFrame:
+def explain_linear(wide: DataFrame, weights: dict[str, dict[str, float]], top: int = TOP, only: DataFrame | None = None) -> DataFrame:
     """Exact Shapley values of a linear score: weight times distance from the mean.
 
     ``weights`` maps each base feature to the weights of its own column and of its hop means; their
-    contributions are added up. Means are taken over all accounts.
+    contributions are added up. Means are taken over all accounts; ``only`` names the ``account_id``s to explain, by
+    default all.
     """
     used = sorted({c for parts in weights.values() for c in parts})
     means = wide.agg(F.struct(*[F.avg(c).alias(c) for c in used]).alias("means")).scalar()
-    with_means = wide.withColumn("means", means)
+    explained = wide if only is None else wide.join(only.select("account_id"), "account_id", "left_semi")
+    with_means = explained.withColumn("means", means)
     shares = {
         feature: sum((F.lit(float(w)) * (F.col(c) - F.col(f"means.{c}")) for c, w in parts.items()), F.lit(0.0))
         for feature, parts in weights.items()

@@ -30,7 +30,10 @@ def recent_transfers(transfers: DataFrame, limit: int = RECENT) -> DataFrame:
 
 def report_rows(details: DataFrame, analyst_name: str, analyst_id: str, as_of: Column, limit: int = REPORT_ROWS,
                 institution: str | None = None) -> DataFrame:
-    """One nested row per alert with everything a suspicious-transaction report prints."""
+    """One nested row per alert with everything a suspicious-transaction report prints.
+
+    Its texts and formats are fixed values.
+    """
     account = F.col("account_metadata")
     line = F.transform(F.slice(F.coalesce("transactions", F.array()), 1, limit), lambda t: F.struct(
         F.concat(F.substring(t["txn_id"], 1, 12), F.lit("...")).alias("txn_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.skew import hot_keys, salted_join
-from moneytrail.scratch import materialize, materialize_counted
+from moneytrail.scratch import folded, materialize, materialize_counted
 
 MAX_DEPTH = 4
 MAX_PATH = 10
@@ -66,7 +66,7 @@ def reach(adjacency: Adjacency, centers: DataFrame, max_hops: int | None) -> Dat
         frontier = materialize(nearby.join(reached, ["center", "account_id"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
+        reached = folded(reached.unionByName(frontier), hop, "reached")
     return reached
 
 

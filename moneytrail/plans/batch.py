@@ -62,7 +62,7 @@ def run(spark: SparkSession, transactions: DataFrame, accounts: DataFrame, out:
     tables.write_table(write_back_risk(accounts, risk.write_back(scored)), f"{out}/accounts")
 
     drawn = min(anomaly.SAMPLE, matrix.count())
-    by_model = explain.explain_linear(wide, explain.model_weights(model))
+    by_model = explain.explain_linear(wide, explain.model_weights(model), only=raised)
     by_forest = explain.explain_forest(
         matrix.join(raised.select("account_id"), "account_id", "left_semi"), forest, columns, drawn
     )

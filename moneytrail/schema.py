@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The fields of the two records.
 ACCOUNTS = T.StructType([
     T.StructField("account_id", T.StringType()),
     T.StructField("account_type", T.StringType()),

@@ -45,6 +45,11 @@ def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return stored, stored.count()
 
 
+def folded(df: DataFrame, step: int, name: str, every: int = 8) -> DataFrame:
+    """A union that grows in a loop, stored as one table in every ``every``-th step, so that its scans stay few."""
+    return materialize(df, name) if step % every == 0 else df
+
+
 def together(spark: SparkSession, *steps: Callable) -> list:
     """Run independent steps, each of which starts jobs of its own, at the same time; results in order.
 
