@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moneytrail.scratch import materialize
+from moneytrail.llm.helpers import hinted
+from moneytrail.scratch import materialize_counted
 
 DIMENSIONS = 1024
 SEED = 7
@@ -107,23 +108,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> dict[str, np.ndarray]:
     """Profiles of the languages in ``lang``, of length one, from at most ``rows`` documents each that are not held out.
 
-    Each document counts the same, however long. The result has one vector for each language; partial bundles of whole
-    numbers are added up by Spark, so the order of adding doesn't matter.
+    Each document counts the same, however long. The driver holds one vector for each language, the model itself. Partial
+    bundles of whole numbers are added up by Spark, so the order of adding doesn't matter.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     order = F.xxhash64("doc_id", F.lit(SEED))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))  # one row per language
+    counts, languages = materialize_counted(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     # rows whose hash is clearly not among the smallest are dropped before the sort, whatever the number of rows
     share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
-    low = labelled.select("lang", "doc_id", order.alias("order")).join(F.broadcast(counts), "lang").where(
+    low = labelled.select("lang", "doc_id", order.alias("order")).join(hinted(counts, languages), "lang").where(
         F.col("order") <= share * 2.0**64 - 2.0**63
     )
     smallest = Window.partitionBy("lang").orderBy("order", "doc_id")
-    chosen = materialize(
+    chosen, most = materialize_counted(
         low.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= rows).select("lang", "doc_id").distinct(),
         "labelled-sample",
     )
-    sample = labelled.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])  # at most ``rows`` a language
+    sample = labelled.select("lang", "doc_id", "text").join(hinted(chosen, most), ["lang", "doc_id"])  # at most ``rows`` a language
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, sums = Letters(), {}
