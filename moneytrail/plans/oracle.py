@@ -118,10 +118,21 @@ union all select account_id, 'account_id_format' from accounts where not (starts
 union all select account_id, 'account_age_range' from accounts where account_age_days < 0""")
 
 add("orphan_transfers", """
-select txn_id, 'sender' as side from transactions where sender_account not in (
-  select account_id from accounts where kyc_status = 'VERIFIED')
-union all select txn_id, 'receiver' from transactions where receiver_account not in (
-  select account_id from accounts where kyc_status = 'VERIFIED')""")
+select txn_id, 'sender' as side from transactions where sender_account not in (select account_id from accounts)
+union all select txn_id, 'receiver' from transactions
+  where channel = 'ATM' or receiver_account not in (select account_id from accounts)""")
+
+add("csv_round_trip", """
+select txn_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') as ts, sender_account, receiver_account, amount, txn_type, channel, status, is_fraud
+from transactions""")
+
+add("accounts_appended", """
+select account_id, account_type, customer_name, customer_category, branch_code, kyc_status,
+       cast(account_age_days as bigint) as account_age_days, risk_score, is_flagged from accounts""")
+
+add("transfers_by_day", """
+select txn_id, src, dst, amount, txn_type, is_fraud, strftime(ts, '%Y-%m-%d') as day from transfers
+where cast(ts as date) > date '2024-01-24' and cast(ts as date) <= date '2024-01-31'""")
 
 ORACLE["duplicate_keys"] = "select cast(l_orderkey as varchar) as key, count(*) as copies from lineitem group by 1 having count(*) > 1"
 
@@ -357,9 +368,8 @@ add("pattern_subgraph_nodes", """
 select m.detection_id, a.account_id, account_type, customer_name, risk_score, is_flagged
 from members m join accounts a on a.account_id = m.account_id""", True, **MEMBERS)
 add("pattern_subgraph_edges", """
-select m1.detection_id, count(*) as edges, sum(amount) as amount from transfers
-join members m1 on m1.account_id = src join members m2 on m2.account_id = dst and m2.detection_id = m1.detection_id
-group by m1.detection_id""", True, **MEMBERS)
+select m1.detection_id, txn_id, src, dst, amount, txn_type, is_fraud from transfers
+join members m1 on m1.account_id = src join members m2 on m2.account_id = dst and m2.detection_id = m1.detection_id""", True, **MEMBERS)
 
 add("edge_list", "select distinct src as source, dst as target from transfers")
 
@@ -370,13 +380,14 @@ select a.account_id as id, account_type, customer_name, customer_category, is_fl
        least(coalesce(marked, 0), 4) / 4 as risk
 from accounts a left join (
   select account_id, sum(amount) filter (dir = 'sent') as total_sent, sum(amount) filter (dir = 'received') as total_received,
-         count(*) filter (is_fraud) as marked from moves group by account_id) v on v.account_id = a.account_id
-where kyc_status = 'VERIFIED'""",
+         count(*) filter (is_fraud) as marked from moves group by account_id) v on v.account_id = a.account_id""",
+    "raw": """
+select txn_id, src, case when txn_type = 'RTGS' then 'X' || substr(dst, 2) else dst end as dst, amount, txn_type, is_fraud from transfers""",
     "valid": """
 select txn_id as id, src as source, dst as target, amount, txn_type, is_fraud, '' as fraud_type,
        case when is_fraud then '#FF4757' else 'rgba(255, 255, 255, 0.3)' end as color,
        round(1 + amount / (select max(amount) from transfers) * 7, 1) as width
-from transfers where src in (select id from raw_nodes) and dst in (select id from raw_nodes)""",
+from raw where src in (select id from raw_nodes) and dst in (select id from raw_nodes)""",
 }
 add("graph_export_nodes", """
 select id, substr(id, 1, 10) as label, round(risk * 100, 1) as risk_score, tier as risk_tier,
@@ -420,6 +431,7 @@ select account_id, account_type, is_flagged, account_age_days, total_sent_30d, t
   is_dormant_activated, round(std_txn_amount, 4) as std_txn_amount, round(night_txn_ratio, 4) as night_txn_ratio,
   days_since_last_txn, round(total_sent_30d / (total_received_30d + 1), 4) as sent_received_ratio
 from feat""", **FEAT)
+add("features_reused", "select account_id, total_sent_30d, txn_count_30d, max_single_txn from feat", **FEAT)
 add("activated_features", """
 select account_id, cast(account_id in (select account_id from woken) as bigint) as is_dormant_activated, txn_count_30d from feat""",
     **FEAT, **WOKEN)
@@ -442,14 +454,38 @@ select a.account_id, 0.15::double / (select n from n) + 0.85::double * (coalesce
 from accounts a left join (
   select p.dst, sum(x.r / o.d) as r from pairs p join outs o on o.src = p.src join r{_k - 1} x on x.account_id = p.src group by p.dst) c
   on c.dst = a.account_id"""
-RANK = {k: v for k, v in RANK.items()}
 add("pagerank", "select account_id, round(r, 9) as pagerank_score from r20", **RANK)
 
-add("clustering", """
-select account_id, round(case when d >= 2 then coalesce(t, 0) / (d * (d - 1)) else 0 end, 6) as clustering_coefficient
+BETWEEN = {
+    "arcs": "select distinct src as tail, dst as head from transfers where src <> dst",
+    "walks": """
+select account_id as start, account_id as node, 0 as hop from accounts where account_id in (select tail from arcs)
+union select start, head, hop + 1 from walks join arcs on tail = node where hop < 20""",
+    "dist": "select start, node, min(hop) as hop from walks group by all",
+    "counted": """
+select start, node, hop, 1.0::double as paths from dist where hop = 0
+union all
+select c.start, d.node, d.hop, sum(c.paths) from counted c join arcs on tail = c.node
+join dist d on d.start = c.start and d.node = head and d.hop = c.hop + 1 group by all""",
+    "through": """
+select a.node as account_id, sum(a.paths * b.paths / c.paths) as share from counted a
+join counted b on b.start = a.node and b.hop > 0 join counted c on c.start = a.start and c.node = b.node and c.hop = a.hop + b.hop
+where a.hop > 0 group by all""",
+    "betw": """
+select a.account_id, coalesce(share, 0) / (select greatest((count(*) - 1) * (count(*) - 2), 1) from accounts) as betweenness_centrality
+from accounts a left join through t on t.account_id = a.account_id""",
+}
+add("betweenness", "select account_id, round(betweenness_centrality, 9) as betweenness_centrality from betw", True, **BETWEEN)
+
+CLUSTER = {
+    "links": NEAR["links"],
+    "clus": """
+select account_id, case when d >= 2 then coalesce(t, 0) / (d * (d - 1)) else 0 end as clustering_coefficient
 from accounts left join (select a, count(*) as d from links group by a) g on g.a = account_id
 left join (select x.a, count(*) as t from links x join links y on y.a = x.a join links z on z.a = x.b and z.b = y.b group by x.a) h
-  on h.a = account_id""", links=NEAR["links"])
+  on h.a = account_id""",
+}
+add("clustering", "select account_id, round(clustering_coefficient, 6) as clustering_coefficient from clus", **CLUSTER)
 
 CYCLE_FEATURES = {**TRAILS, "onc": "select account_id, max(n) as longest from (select unnest(nodes) as account_id, n from cyc) group by account_id"}
 add("cycle_features", """
@@ -470,7 +506,7 @@ select a.account_id, cast(hop as bigint) as hop_count_to_flagged from accounts a
 _CHECKED = (
     "account_age_days total_sent_30d total_received_30d txn_count_30d unique_counterparties_30d avg_txn_amount max_single_txn "
     "velocity_7d is_dormant_activated std_txn_amount night_txn_ratio days_since_last_txn sent_received_ratio in_degree out_degree "
-    "is_in_cycle max_cycle_length hop_count_to_flagged"
+    "is_in_cycle max_cycle_length hop_count_to_flagged betweenness_centrality clustering_coefficient pagerank_score"
 ).split()
 _GAPS = {
     "days_since_last_txn": "account_age_days",
@@ -479,11 +515,13 @@ _GAPS = {
 add("feature_matrix", "select account_id, " + ", ".join(
     f"round(case when stddev_pop({c}) over () <= 1e-14 * greatest(abs(avg({c}) over ()), 1) then 0 "
     f"else ({c} - avg({c}) over ()) / stddev_pop({c}) over () end, 6) as {c}" for c in _CHECKED) + " from wide", True,
-    **FEAT, **CYCLE_FEATURES, **HOPS, wide="select f.account_id, " + ", ".join(f"cast(coalesce({c}, {_GAPS.get(c, 0)}) as double) as {c}" for c in _CHECKED) + """
+    **{**FEAT, **CYCLE_FEATURES, **HOPS, **BETWEEN, **CLUSTER, **RANK}, wide="select f.account_id, " + ", ".join(f"cast(coalesce({c}, {_GAPS.get(c, 0)}) as double) as {c}" for c in _CHECKED) + """
 from (select *, total_sent_30d / (total_received_30d + 1) as sent_received_ratio from feat) f
 join (select account_id, in_degree, out_degree from deg) d on d.account_id = f.account_id
 left join (select account_id, 1 as is_in_cycle, longest as max_cycle_length from onc) o on o.account_id = f.account_id
-left join (select account_id, hop as hop_count_to_flagged from least_far) h on h.account_id = f.account_id""")
+left join (select account_id, hop as hop_count_to_flagged from least_far) h on h.account_id = f.account_id
+join betw on betw.account_id = f.account_id join clus on clus.account_id = f.account_id
+join (select account_id, r as pagerank_score from r20) r on r.account_id = f.account_id""")
 
 add("labels", """
 select account_id, account_id in (select account_id from moves where is_fraud) as is_fraud from accounts""")
@@ -498,12 +536,14 @@ union all select account_id, account_id from accounts""",
 }
 add("model_edges", "select src as source, dst as target, count(*) as copies from medges group by all", **MODEL)
 
-_SIMPLE = ["total_sent_30d", "txn_count_30d", "account_age_days"]
-_HOP = "select dst as account_id, " + ", ".join(f"avg({c}) as {c}" for c in _SIMPLE) + " from medges join $FROM x on x.account_id = src group by dst"
+_BEHAVIOUR = _CHECKED[:13]
+FILLED = {"filled": "select account_id, " + ", ".join(f"cast(coalesce({c}, {_GAPS.get(c, 0)}) as double) as {c}" for c in _BEHAVIOUR)
+          + " from (select *, total_sent_30d / (total_received_30d + 1) as sent_received_ratio from feat) z"}
+_HOP = "select dst as account_id, " + ", ".join(f"avg({c}) as {c}" for c in _BEHAVIOUR) + " from medges join $FROM x on x.account_id = src group by dst"
 add("neighbour_means", "select f.account_id, " + ", ".join(
-    f"round(cast(f.{c} as double), 4) as {c}, round(h1.{c}, 4) as {c}_h1, round(h2.{c}, 4) as {c}_h2" for c in _SIMPLE)
-    + " from feat f join h1 on h1.account_id = f.account_id join h2 on h2.account_id = f.account_id",
-    **FEAT, **MODEL, h1=_HOP.replace("$FROM", "feat"), h2=_HOP.replace("$FROM", "h1"))
+    f"round(f.{c}, 3) as {c}, round(h1.{c}, 3) as {c}_h1, round(h2.{c}, 3) as {c}_h2, round(h3.{c}, 3) as {c}_h3" for c in _BEHAVIOUR)
+    + " from filled f join h1 on h1.account_id = f.account_id join h2 on h2.account_id = f.account_id join h3 on h3.account_id = f.account_id",
+    **FEAT, **FILLED, **MODEL, h1=_HOP.replace("$FROM", "filled"), h2=_HOP.replace("$FROM", "h1"), h3=_HOP.replace("$FROM", "h2"))
 
 LABELS = {"lab": "select account_id, account_id in (select account_id from moves where is_fraud) as is_fraud from accounts"}
 add("class_weights", """
@@ -557,20 +597,20 @@ select 'recall', round(coalesce(count(*) filter (is_fraud and a > 0.5) / nullif(
 
 # --- anomalies and explanations -------------------------------------------------------------------
 
+_STEPS = {
+    **dict.fromkeys(("total_sent_30d", "total_received_30d", "avg_txn_amount", "max_single_txn", "std_txn_amount"), 100),
+    "velocity_7d": 0.01, "night_txn_ratio": 0.01,
+}
 add("lof", """
 select p.account_id, round(-(l.around / 20) / q.density, 6) as lof_score
 from pts p
 join (select u.id, sum(t.density) as around from lookup u join fitted t on t.id = u.other group by u.id) l on l.id = p.account_id
 join (select u.id, 1 / (sum(greatest(u.d, k.kd)) / 20 + 1e-10) as density from lookup u join kdist k on k.id = u.other group by u.id) q
   on q.id = p.account_id""", **FEAT,
-    pts="""
-select account_id, cast(account_age_days as double) as a, cast(txn_count_30d as double) as b,
-       cast(unique_counterparties_30d as double) as c, cast(coalesce(days_since_last_txn, 0) as double) as e,
-       min(account_id) over (partition by account_age_days, txn_count_30d, unique_counterparties_30d, coalesce(days_since_last_txn, 0)) as site
-from feat""",
-    dist="""
-select x.account_id as id, y.account_id as other, x.site <> y.site as apart, y.site as place,
-       sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.e - y.e) ** 2) as d from pts x, pts y""",
+    **FILLED, pts="select *, min(account_id) over (partition by " + ", ".join(_BEHAVIOUR) + ") as site from (select account_id, " + ", ".join(
+        f"round({c} / {_STEPS.get(c, 1)}::double) as {c}" for c in _BEHAVIOUR) + " from filled) z",
+    dist="select x.account_id as id, y.account_id as other, x.site <> y.site as apart, y.site as place, sqrt("
+         + " + ".join(f"(x.{c} - y.{c}) ** 2" for c in _BEHAVIOUR) + ") as d from pts x, pts y",
     lookup="select id, other, d from dist qualify row_number() over (partition by id order by apart, d, place, other) <= 20",
     others="select id, other, d from dist where id <> other qualify row_number() over (partition by id order by apart, d, place, other) <= 20",
     kdist="select id, max(d) as kd from others group by id",

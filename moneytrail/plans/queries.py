@@ -15,8 +15,8 @@ from moneytrail.operators import (
     anomaly, centrality, explain, export, features, nodeclf, patterns, quality, report, risk, traverse,
 )
 from moneytrail.operators.cycles import circular, trails
-from moneytrail.scratch import materialize, scratch_path, together
-from moneytrail.sources import edges, star
+from moneytrail.scratch import materialize, scratch_path
+from moneytrail.sources import edges, star, tables
 from moneytrail.streaming import history, inbox, sink
 from moneytrail.streaming import rules as rules_stream
 
@@ -49,6 +49,11 @@ def seconds(column: str):
     return F.date_format(column, SECONDS).alias(column)
 
 
+def unknown(account: str):
+    """An id that no account has, made from the id of one."""
+    return F.concat(F.lit("X"), F.substring(account, 2, 20))
+
+
 # --- sources and quality --------------------------------------------------------------------------
 
 
@@ -99,6 +104,47 @@ def risk_writeback(spark, sf_dir):
     return written.select("account_id", "risk_score", "is_flagged")
 
 
+@query
+def csv_round_trip(spark, sf_dir):
+    """Transactions written as CSV over an earlier table, and read again."""
+    folder = scratch_path(spark, "csv-tables")
+    txns, accounts = star.transactions(spark, sf_dir), star.accounts(spark, sf_dir)
+    for part in (txns.where("is_fraud"), txns):
+        tables.write_dataset(part, accounts, folder)
+    read, _ = tables.read_dataset(spark, folder)
+    return read.withColumn("timestamp", seconds("timestamp")).withColumnRenamed("timestamp", "ts").drop("description", "fraud_type")
+
+
+@query
+def accounts_appended(spark, sf_dir):
+    """Flagged accounts stored first, the others appended."""
+    path = scratch_path(spark, "accounts")
+    accounts = star.accounts(spark, sf_dir).withColumn("account_age_days", F.col("account_age_days").cast("bigint"))
+    tables.write_table(accounts.where("is_flagged"), path)
+    tables.append_accounts(accounts.where("not is_flagged"), spark.read.parquet(path), path)
+    return spark.read.parquet(path)
+
+
+@query
+def transfers_by_day(spark, sf_dir):
+    """Transfers stored by day; those of the last week before the evaluation time are read."""
+    path = scratch_path(spark, "transfers-by-day")
+    tables.write_table(star.transfers(spark, sf_dir), path, by_day="ts")
+    stored = spark.read.parquet(path)
+    return stored.where((F.col("day") > F.date_sub(AS_OF().cast("date"), 7)) & (F.col("day") <= AS_OF().cast("date"))).select(
+        "txn_id", "src", "dst", "amount", "txn_type", "is_fraud", F.date_format("day", "yyyy-MM-dd").alias("day")
+    )
+
+
+@query
+def features_reused(spark, sf_dir):
+    """Features stored half an hour before they are asked for."""
+    path = scratch_path(spark, "stored-features")
+    chosen = behaviour(spark, sf_dir).select("account_id", "total_sent_30d", "txn_count_30d", "max_single_txn")
+    tables.save_features(chosen, path, "2024-01-30 23:30:00")
+    return tables.load_features(spark, path, star.AS_OF)
+
+
 @query
 def quality_violations(spark, sf_dir):
     txns, accounts = star.transactions(spark, sf_dir), star.accounts(spark, sf_dir)
@@ -111,8 +157,11 @@ def quality_violations(spark, sf_dir):
 
 @query
 def orphan_transfers(spark, sf_dir):
-    verified = star.accounts(spark, sf_dir).where("kyc_status = 'VERIFIED'")
-    return quality.orphan_transfers(star.transactions(spark, sf_dir), verified)
+    """Over transactions whose receivers at cash machines are unknown."""
+    txns = star.transactions(spark, sf_dir).withColumn(
+        "receiver_account", F.when(F.col("channel") == "ATM", unknown("receiver_account")).otherwise(F.col("receiver_account"))
+    )
+    return quality.orphan_transfers(txns, star.accounts(spark, sf_dir))
 
 
 @query
@@ -342,7 +391,7 @@ def pattern_subgraph_nodes(spark, sf_dir):
 @query
 def pattern_subgraph_edges(spark, sf_dir):
     _, edges = traverse.pattern_subgraph(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), found_members(spark, sf_dir))
-    return edges.groupBy("detection_id").agg(F.count("*").alias("edges"), F.sum("amount").alias("amount"))
+    return edges.drop("ts")
 
 
 @query
@@ -356,12 +405,17 @@ def raw_nodes(spark, sf_dir):
         F.sum(F.when(~F.col("sent"), F.col("amount"))).alias("total_received"),
         F.count_if(F.col("is_fraud")).alias("marked"),
     )
-    known = star.accounts(spark, sf_dir).where("kyc_status = 'VERIFIED'").drop("risk_score")
+    known = star.accounts(spark, sf_dir).drop("risk_score")
     return known.join(volume, "account_id", "left").withColumn(
         "risk_score", F.least(F.coalesce("marked", F.lit(0)), F.lit(4)) / 4
     ).withColumnRenamed("account_id", "id")
 
 
+def raw_edges(spark, sf_dir):
+    """Transfers of which those by RTGS go to accounts that are not known."""
+    return star.transfers(spark, sf_dir).withColumn("dst", F.when(F.col("txn_type") == "RTGS", unknown("dst")).otherwise(F.col("dst")))
+
+
 @query
 def graph_export_nodes(spark, sf_dir):
     drawn = export.export_nodes(raw_nodes(spark, sf_dir))
@@ -371,14 +425,14 @@ def graph_export_nodes(spark, sf_dir):
 @query
 def graph_export_edges(spark, sf_dir):
     nodes = export.export_nodes(raw_nodes(spark, sf_dir))
-    raw = star.transfers(spark, sf_dir)
+    raw = raw_edges(spark, sf_dir)
     return export.export_edges(raw.unionByName(raw), nodes).drop("timestamp")
 
 
 @query
 def graph_export_summary(spark, sf_dir):
     nodes = export.export_nodes(raw_nodes(spark, sf_dir))
-    raw = star.transfers(spark, sf_dir)
+    raw = raw_edges(spark, sf_dir)
     return export.export_summary(raw, nodes, export.export_edges(raw, nodes))
 
 
@@ -429,7 +483,9 @@ def pagerank(spark, sf_dir):
 
 @query
 def betweenness(spark, sf_dir):
-    return rounded(centrality.betweenness(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)), 9, "betweenness_centrality")
+    """From all start accounts, so exact."""
+    exact = centrality.betweenness(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), samples=None)
+    return rounded(exact, 9, "betweenness_centrality")
 
 
 @query
@@ -449,19 +505,18 @@ def hops_to_flagged(spark, sf_dir):
     return hops.withColumn("hop_count_to_flagged", F.col("hop_count_to_flagged").cast("bigint"))
 
 
-CHECKED = [c for c in features.FEATURES if c not in ("betweenness_centrality", "pagerank_score", "clustering_coefficient")]
+def full_matrix(spark, sf_dir):
+    """All 21 features of every account, standardised; betweenness is exact."""
+    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
+    structure = centrality.structural_features(
+        transfers, accounts, features.degrees(transfers, accounts), closed_trails(spark, sf_dir), samples=None
+    )
+    return features.feature_matrix(behaviour(spark, sf_dir), structure)
 
 
 @query
 def feature_matrix(spark, sf_dir):
-    """The standardised matrix without the three iterative columns, which have queries of their own."""
-    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
-    cycles, hops = together(
-        spark, lambda: centrality.cycle_membership(closed_trails(spark, sf_dir), accounts),
-        lambda: centrality.hops_to_flagged(transfers, accounts),
-    )
-    structure = features.degrees(transfers, accounts).join(cycles, "account_id").join(hops, "account_id")
-    return rounded(features.feature_matrix(behaviour(spark, sf_dir), structure, CHECKED), 6, *CHECKED)
+    return rounded(full_matrix(spark, sf_dir), 6, *features.FEATURES)
 
 
 @query
@@ -483,9 +538,9 @@ def model_edges(spark, sf_dir):
 @query
 def neighbour_means(spark, sf_dir):
     transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
-    matrix = materialize(behaviour(spark, sf_dir).select("account_id", *SIMPLE), "matrix")
-    wide = nodeclf.neighbour_means(matrix, nodeclf.Neighbours(transfers, accounts), SIMPLE, hops=2)
-    return rounded(wide, 4, *[c for c in wide.columns if c != "account_id"])
+    matrix = materialize(features.fill_gaps(behaviour(spark, sf_dir)).select("account_id", *features.BEHAVIOUR), "matrix")
+    wide = nodeclf.neighbour_means(matrix, nodeclf.Neighbours(transfers, accounts), features.BEHAVIOUR)
+    return rounded(wide, 3, *[c for c in wide.columns if c != "account_id"])
 
 
 @query
@@ -501,19 +556,12 @@ def split(spark, sf_dir):
     return nodeclf.stratified_split(labels(spark, sf_dir)).groupBy("is_fraud", "is_validation").agg(F.count("*").alias("accounts"))
 
 
-def wide_matrix(spark, sf_dir):
-    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
-    structure = features.degrees(transfers, accounts).join(centrality.page_rank(transfers, accounts), "account_id")
-    columns = [*features.BEHAVIOUR, "in_degree", "out_degree", "pagerank_score"]
-    matrix = features.feature_matrix(behaviour(spark, sf_dir), structure, columns)
-    wide = nodeclf.neighbour_means(matrix, nodeclf.Neighbours(transfers, accounts), columns)
-    return materialize(wide, "wide-matrix"), columns
-
-
 @query
 def node_scores(spark, sf_dir):
-    wide, columns = wide_matrix(spark, sf_dir)
-    return nodeclf.score(nodeclf.train(wide, labels(spark, sf_dir), columns), wide)
+    matrix = materialize(full_matrix(spark, sf_dir), "matrix")
+    neighbours = nodeclf.Neighbours(star.transfers(spark, sf_dir), star.accounts(spark, sf_dir))
+    wide = materialize(nodeclf.neighbour_means(matrix, neighbours, features.FEATURES), "wide-matrix")
+    return nodeclf.score(nodeclf.train(wide, labels(spark, sf_dir), features.FEATURES), wide)
 
 
 @query
@@ -578,24 +626,28 @@ def node_metrics(spark, sf_dir):
 
 # --- anomalies and explanations -------------------------------------------------------------------
 
-WHOLE = ["account_age_days", "txn_count_30d", "unique_counterparties_30d", "days_since_last_txn"]
-
-
-def anomaly_matrix(spark, sf_dir):
-    return features.standardise(features.fill_gaps(behaviour(spark, sf_dir)), features.BEHAVIOUR)
+#: Steps in which a feature becomes a whole number, so that equal distances are equal in SQL too; 1 where not listed.
+STEPS = {
+    **dict.fromkeys(("total_sent_30d", "total_received_30d", "avg_txn_amount", "max_single_txn", "std_txn_amount"), 100),
+    "velocity_7d": 0.01, "night_txn_ratio": 0.01,
+}
 
 
 @query
 def iforest(spark, sf_dir):
-    matrix = materialize(anomaly_matrix(spark, sf_dir), "matrix")
-    forest = anomaly.fit_forest(matrix, features.BEHAVIOUR)
-    return anomaly.score_forest(matrix, forest, features.BEHAVIOUR, min(anomaly.SAMPLE, matrix.count()))
+    matrix = materialize(full_matrix(spark, sf_dir), "matrix")
+    forest = anomaly.fit_forest(matrix, features.FEATURES)
+    return anomaly.score_forest(matrix, forest, features.FEATURES, min(anomaly.SAMPLE, matrix.count()))
 
 
 @query
 def lof(spark, sf_dir):
-    """Over whole-number features, so that equal distances are equal in SQL too."""
-    return rounded(anomaly.lof(behaviour(spark, sf_dir), WHOLE), 6, "lof_score")
+    """Over all features of behaviour in whole steps."""
+    filled = features.fill_gaps(behaviour(spark, sf_dir))
+    steps = filled.select("account_id", *[
+        F.round(F.col(c).cast("double") / STEPS.get(c, 1)).alias(c) for c in features.BEHAVIOUR
+    ])
+    return rounded(anomaly.lof(materialize(steps, "matrix"), features.BEHAVIOUR), 6, "lof_score")
 
 
 @query
@@ -610,8 +662,8 @@ def anomaly_ensemble(spark, sf_dir):
 
 @query
 def anomaly_scores(spark, sf_dir):
-    matrix = materialize(anomaly_matrix(spark, sf_dir), "matrix")
-    return anomaly.detect(matrix, features.BEHAVIOUR)[0]
+    matrix = materialize(full_matrix(spark, sf_dir), "matrix")
+    return anomaly.detect(matrix, features.FEATURES)[0]
 
 
 WEIGHTS = {
@@ -632,11 +684,13 @@ def top_contributions(spark, sf_dir):
 
 @query
 def anomaly_explanations(spark, sf_dir):
-    matrix = materialize(anomaly_matrix(spark, sf_dir), "matrix")
-    forest = anomaly.fit_forest(matrix, features.BEHAVIOUR, trees=100)
-    explained = explain.explain_forest(matrix, forest, features.BEHAVIOUR, min(anomaly.SAMPLE, matrix.count()))
-    text = explain.anomaly_text(F.col("account_id"), F.lit(0.0), F.col("explanation"))
-    return explained.select("account_id", text.alias("text"), F.explode("explanation").alias("x")).select("account_id", "text", "x.*")
+    matrix = materialize(full_matrix(spark, sf_dir), "matrix")
+    scored, forest = anomaly.detect(matrix, features.FEATURES)
+    explained = explain.explain_forest(matrix, forest, features.FEATURES, min(anomaly.SAMPLE, matrix.count()))
+    text = explain.anomaly_text(F.col("account_id"), F.col("ensemble_anomaly_score"), F.col("explanation"))
+    return explained.join(scored, "account_id").select(
+        "account_id", text.alias("text"), F.explode("explanation").alias("x")
+    ).select("account_id", "text", "x.*")
 
 
 @query
