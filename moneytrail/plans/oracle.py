@@ -685,6 +685,10 @@ select t.risk_tier, count(s.account_id) as accounts from (select unnest(['LOW','
 left join scored s on s.risk_tier = t.risk_tier group by t.risk_tier""", True, **RISK)
 add("risk_flags", "select account_id, round(risk_score / 100, 4) as risk_score, risk_tier in ('HIGH', 'CRITICAL') as is_flagged from scored", True, **RISK)
 add("alerts", "select * from alrt", True, **RISK)
+STREAMED = {**RISK, **{k: v.replace("$AS_OF", "(select max(ts) from transfers)") for k, v in {**STRUCT, **PROF}.items()}}
+add("stream_alerts", """
+select account_id, risk_score, risk_tier, triggered_patterns, evidence_summary from alrt
+where risk_score > 40 and account_id in (select account_id from moves)""", True, **STREAMED)
 add("alert_page", """
 select account_id, risk_score, risk_tier, status, (select count(*) from alrt where risk_tier = 'MEDIUM') as total,
        30 < (select count(*) from alrt where risk_tier = 'MEDIUM') as has_more

@@ -913,12 +913,17 @@ def stream_history(spark, sf_dir):
 
 @query
 def stream_alerts(spark, sf_dir):
+    """All events in one batch, scored after a nightly run at the evaluation time."""
     events = inbox.deduplicated(live_transfers(spark, sf_dir))
     session = events.sparkSession
-    proxy = materialize(proxy_scores(spark, sf_dir), "scores")
     folder = scratch_path(spark, "stream-alerts")
-    proxy = session.read.schema(proxy.schema).parquet(*proxy.inputFiles())
-    write = sink.alert_writer(folder, star.accounts(session, sf_dir), proxy, proxy, 40.0, PARAMS)
+    proxy, nightly = (
+        session.read.schema(t.schema).parquet(*t.inputFiles()) for t in (
+            materialize(proxy_scores(spark, sf_dir), "scores"),
+            materialize(patterns.involvement(found_patterns(spark, sf_dir)), "nightly-involvement"),
+        )
+    )
+    write = sink.alert_writer(folder, star.accounts(session, sf_dir), proxy, proxy, 40.0, PARAMS, nightly)
     sink.run_available(events, write, scratch_path(spark, "stream-checkpoint"))
     return spark.read.parquet(f"{folder}/alerts").select(
         "account_id", "risk_score", "risk_tier", text_of("triggered_patterns").alias("triggered_patterns"), "evidence_summary"

@@ -1,16 +1,18 @@
 """Writing streams to tables so that a repeated batch replaces itself."""
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moneytrail.functions.columns import hours_before
 from moneytrail.operators import alerts as A
 from moneytrail.operators import patterns, risk
 from moneytrail.scratch import materialize, scratch_path
 
+#: Batches after which the sums of credits are written anew.
+FOLD = 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,56 +60,71 @@ def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
 
 
+def credit_sums(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """High-value credits per account up to a batch: the sums at the last fold and the few batches after it."""
+    base = batch_id // FOLD * FOLD
+    later = ",".join(map(str, range(base, batch_id + 1)))
+    read = spark.read.schema("account_id string, credit_count bigint, total_suspicious_amount double")
+    rows = read.parquet(f"{folder}/credits/batch_id={{{later}}}")
+    if base:
+        rows = rows.unionByName(read.parquet(f"{folder}/credit_sums/before={base}"))
+    return rows.groupBy("account_id").agg(*[F.sum(c).alias(c) for c in ("credit_count", "total_suspicious_amount")])
+
+
 def alert_writer(folder: str, accounts: DataFrame, node_scores: DataFrame, anomalies: DataFrame, threshold: float,
-                 params: dict | None = None) -> Callable[[DataFrame, int], None]:
+                 params: dict | None = None, nightly: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """A batch writer that adds the batch to the stored transfers and alerts on the accounts it touched.
 
-    Touched accounts are scored from the structuring and profile rules and from the model scores of the last
-    nightly run. The rules look back from the latest transfer of the batch: structuring reads the stored days of
-    its window only, and the profile rule, which has no window, sums the high-value credits kept per batch. Writes
-    ``transfers``, ``credits`` and ``alerts`` below ``folder``; a repeated batch replaces its own rows.
+    Touched accounts are scored from all five rules and from the model scores of the last nightly run. Structuring and
+    profile mismatch are found anew, as of the latest transfer of the batch; ``nightly``, the involvement of the nightly
+    run, gives the other three, which need the whole graph. A batch reads the stored days of the structuring window, the
+    sums of high-value credits at the last fold and the at most FOLD batches since, however many batches there were.
+    Writes ``transfers``, ``credits``, ``credit_sums`` and ``alerts`` below ``folder``; a repeated batch replaces its own
+    rows. An empty batch alerts on nothing.
     """
     p = {name: {**patterns.DEFAULTS[name], **(params or {}).get(name, {})} for name in patterns.PATTERNS}
     columns = ["txn_id", "ts", "src", "dst", "amount", "txn_type", "is_fraud"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*columns).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        new = materialize(batch.select(*columns).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "batch")
+        per_batch(f"{folder}/credits")(patterns.high_credits(new, p["PROFILE_MISMATCH"]["min_amount"]), batch_id)
+        credits = credit_sums(spark, folder, batch_id)
+        if (batch_id + 1) % FOLD == 0:
+            credits.write.mode("overwrite").parquet(f"{folder}/credit_sums/before={batch_id + 1}")
+        latest = new.agg(F.max("ts")).head()[0]
+        if latest is None:
+            return
         (
-            rows.withColumns({"day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
+            new.withColumns({"day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id")
             .parquet(f"{folder}/transfers")
         )
-        kept = T.StructType([*rows.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.IntegerType())])
-        stored = spark.read.schema(kept).parquet(f"{folder}/transfers")
-        new = stored.where(F.col("batch_id") == batch_id)
-        latest = new.agg(F.max("ts")).head()[0]
-        if latest is None:
-            return
         now = F.lit(latest).cast("timestamp_ntz")
-        per_batch(f"{folder}/credits")(patterns.high_credits(new, p["PROFILE_MISMATCH"]["min_amount"]), batch_id)
         touched = materialize(new.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct(), "touched")
 
         rule = p["STRUCTURING"]
-        credited = stored.where(F.col("day") >= F.to_date(hours_before(now, rule["hours"]))).join(
-            touched.withColumnRenamed("account_id", "dst"), "dst", "left_semi"
-        )
+        days = (latest.date() - (latest - timedelta(hours=rule["hours"])).date()).days
+        window = ",".join(str(latest.date() - timedelta(days=n)) for n in range(days + 1))
+        kept = T.StructType([*new.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.IntegerType())])
+        stored = spark.read.schema(kept).option("basePath", f"{folder}/transfers").parquet(f"{folder}/transfers/day={{{window}}}")
+        credited = stored.join(touched.withColumnRenamed("account_id", "dst"), "dst", "left_semi")
         structuring = materialize(patterns.structuring(credited, now, **rule), "detections")
-        credits = (
-            spark.read.schema("account_id string, credit_count bigint, total_suspicious_amount double")
-            .parquet(f"{folder}/credits").join(touched, "account_id", "left_semi").groupBy("account_id")
-            .agg(*[F.sum(c).alias(c) for c in ("credit_count", "total_suspicious_amount")])
+        mismatch = patterns.mismatch_of(
+            credits.join(touched, "account_id", "left_semi"), accounts, p["PROFILE_MISMATCH"]["categories"]
         )
-        mismatch = patterns.mismatch_of(credits, accounts, p["PROFILE_MISMATCH"]["categories"])
         found = {
             "STRUCTURING": patterns.Found(structuring, patterns.structuring_evidence(
                 credited, structuring, now, rule["threshold"], rule["hours"]
             )),
             "PROFILE_MISMATCH": patterns.Found(mismatch, None),
         }
+        involved = patterns.involvement(found)
+        if nightly is not None:
+            before = nightly.where(~F.col("pattern").isin(*found)).join(touched, "account_id", "left_semi")
+            involved = involved.unionByName(before.select(*involved.columns))
         scored = risk.risk_scores(
-            accounts.join(touched, "account_id", "left_semi"), node_scores, anomalies,
-            risk.rule_scores(patterns.involvement(found)), now,
+            accounts.join(touched, "account_id", "left_semi"), node_scores, anomalies, risk.rule_scores(involved), now
         )
         per_batch(f"{folder}/alerts")(A.make_alerts(scored, now, "LOW").where(F.col("risk_score") > threshold), batch_id)
 

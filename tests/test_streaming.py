@@ -92,6 +92,40 @@ def test_alert_stream_scores_touched_accounts(spark, feed, accounts, tmp_path):
     assert spark.read.parquet(raised).count() == 3
 
 
+def test_alert_stream_takes_graph_rules_from_the_nightly_run(spark, feed, accounts, tmp_path):
+    events = feed([("a", "S", 100, 1), ("b", "T", 100, 2)])
+    session = events.sparkSession
+    people = session.createDataFrame(accounts("D", "S", "T", "P").collect(), accounts("D").schema)
+    gnn = session.createDataFrame([], "account_id string, gnn_fraud_prob double")
+    anomaly = session.createDataFrame([], "account_id string, ensemble_anomaly_score double")
+    nightly = session.createDataFrame(
+        [("CIRCULAR_ROUND_TRIP", "1", "S"), ("LAYERING", "2", "S"), ("DORMANT_ACTIVATION", "3", "T"), ("STRUCTURING", "4", "T"), ("LAYERING", "5", "P")],
+        "pattern string, detection_id string, account_id string",
+    )
+    write = sink.alert_writer(str(tmp_path / "out"), people, gnn, anomaly, 1.0, nightly=nightly)
+    sink.run_available(events, write, str(tmp_path / "checkpoint"))
+    rows = spark.read.parquet(str(tmp_path / "out/alerts")).collect()
+    # accounts without a transfer in the batch are left alone, and rules found anew are not taken from the night
+    assert {r.account_id: (r.risk_score, r.triggered_patterns) for r in rows} == {
+        "S": (18.75, ["CIRCULAR_ROUND_TRIP", "LAYERING"]), "T": (6.25, ["DORMANT_ACTIVATION"])
+    }
+
+
+def test_credits_of_many_batches_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "FOLD", 3)
+    folder, schema = str(tmp_path), "account_id string, credit_count bigint, total_suspicious_amount double"
+    for batch in range(8):
+        rows = [("A", 1, 10.0), (f"B{batch}", 1, 1.0)] if batch != 4 else []
+        sink.per_batch(f"{folder}/credits")(spark.createDataFrame(rows, schema), batch)
+        for _ in range(2):  # a repeated batch folds to the same
+            sums = sink.credit_sums(spark, folder, batch)
+            if (batch + 1) % 3 == 0:
+                sums.write.mode("overwrite").parquet(f"{folder}/credit_sums/before={batch + 1}")
+        read = sums.inputFiles()
+        assert len({f.split("/")[-2] for f in read}) <= 4
+    assert {r.account_id: r.credit_count for r in sums.collect()} == {"A": 7, **{f"B{b}": 1 for b in range(8) if b != 4}}
+
+
 def test_newest_version_of_each_key(spark):
     rows = spark.createDataFrame([("a", 1, 0), ("a", 5, 2), ("b", 3, 1)], "k string, v int, batch_id int")
     assert sorted(map(tuple, sink.newest(rows, ["k"]).collect())) == [("a", 5), ("b", 3)]
