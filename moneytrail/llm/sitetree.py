@@ -1,9 +1,10 @@
 """HTML extraction with site style trees.
 
-The DOMs of a host's pages are merged into one tree of styles: a node is a path of tags with their classes. Presentation
-decides where its meaning is plain: navigation, adverts, forms and the like have importance 0, an article 1. The
-remaining nodes are judged by the entropy of their contents over the different pages of the host: a node whose content
-is everywhere the same is template, one that differs from page to page is content. Low branches are cut from each page.
+The DOMs of a host's pages, articles included, are merged into one tree of styles: a node is a path of tags with their
+classes. Navigation, adverts, forms and the like have importance 0. The remaining nodes are judged by the entropy of their
+contents over the different pages of the host: a node whose content is everywhere the same is template, one that differs
+from page to page is content. Being in an article is a factor of a block's importance. Low branches are cut from each page;
+in an article a block goes by its own content only, so that a rare paragraph among recurring ones stays.
 """
 
 import html
@@ -12,15 +13,18 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moneytrail.scratch import materialize
+from moneytrail.llm.helpers import hinted
+from moneytrail.scratch import materialize, materialize_counted
 
 #: Nodes below this importance go.
 LEAST = 0.3
 #: Different pages a host must have for entropy to tell anything.
 MIN_PAGES = 5
+#: Factor of the importance of a block in an article.
+ARTICLE = 1.5
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S
@@ -157,40 +161,51 @@ def host_of(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, ``sure`` (the text of the articles, null without one) and the undecided blocks of pages without one."""
+    """page_id, url, host and the blocks of each page: codes of node and content, whether in an article, factor, text."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sure, open_ = [], []
+            found = []
             for page in batch["html"]:
                 blocks = blocks_of(page or "")
                 article = any(b[1] for b in blocks)
-                sure.append("\n".join(b[2] for b in blocks if b[1]) if article or not blocks else None)
-                open_.append([] if article else [{"path": p, "text": t} for p, _, t, linked in blocks if 2 * linked < len(t)])
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["url"].map(host_of), "sure": sure, "blocks": open_})
-
+                found.append([
+                    {"path": p, "article": a, "factor": ARTICLE if a else 1.0, "text": t}
+                    for p, a, t, linked in blocks if (a if article else 2 * linked < len(t))
+                ])
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["url"].map(host_of), "blocks": found})
+
+    coded = F.transform("blocks", lambda b: F.struct(
+        F.xxhash64(b["path"]).alias("node"), F.xxhash64(b["path"], b["text"]).alias("content"), b["article"].alias("article"),
+        b["factor"].alias("factor"), b["text"].alias("text"),
+    ))
     return pages.select("page_id", "url", "html").mapInPandas(
-        rows, "page_id bigint, url string, host string, sure string, blocks array<struct<path:string,text:string>>"
-    )
+        rows, "page_id bigint, url string, host string, blocks array<struct<path:string,article:boolean,factor:double,text:string>>"
+    ).withColumn("blocks", coded)
 
 
-def low_branches(undecided: DataFrame, least: float, min_pages: int) -> DataFrame:
-    """For each host the nodes and the contents of low importance, as arrays of hashes.
+def low_branches(rows: DataFrame, least: float, min_pages: int) -> DataFrame:
+    """For each host the nodes and contents whose importance is too low for a block that has them: array of (code, importance).
 
     A content on n of a node's N different pages has importance 1 - log n / log N; that of the node is the mean over its
-    contents, which is their entropy over log N. Pages with the same blocks count once, and at most N^0.7 pages share
-    what stays, so that a host's arrays are small.
+    contents, which is their entropy over log N. Pages with the same blocks count once. What is on few of the pages is not
+    listed, so that a host's array is small.
     """
-    seen = undecided.select(
-        "host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("b")
-    ).select("host", "page", F.xxhash64("b.path").alias("node"), F.xxhash64("b.path", "b.text").alias("content")).distinct()
-    nodes = seen.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    contents = seen.groupBy("host", "node", "content").agg(F.count("*").alias("n")).join(nodes, ["host", "node"])
-    valued = contents.withColumn("importance", 1 - F.log("n") / F.log("pages"))
-    low_nodes = valued.groupBy("host", "node").agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("entropy")).where(F.col("entropy") < least)
-    low = low_nodes.select("host", F.col("node").alias("code")).unionByName(
-        valued.where(F.col("importance") < least).select("host", F.col("content").alias("code"))
+    page = F.xxhash64(F.transform("blocks", lambda b: b["content"]))
+    outside = F.min(F.when(~F.col("article"), F.col("factor")))  # within an article only contents count
+    seen = rows.select("host", page.alias("page"), F.explode("blocks").alias("b")).select("host", "page", "b.node", "b.content", "b.article", "b.factor")
+    seen = seen.groupBy("host", "page", "node", "content").agg(outside.alias("outside"), F.min("factor").alias("factor"))
+    contents = seen.groupBy("host", "node", "content").agg(F.count("*").alias("n"), F.min("outside").alias("outside"), F.min("factor").alias("factor"))
+    shared = contents.groupBy("host", "node").agg(F.sum(F.col("n") * F.log("n")).alias("shared"), F.sum("n").alias("sum"), F.min("outside").alias("outside"))
+    pages = seen.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
+    entropy = 1 - F.col("shared") / F.log("pages") / F.col("sum")
+    nodes, many = materialize_counted(
+        shared.join(pages.where(F.col("pages") >= min_pages), ["host", "node"]).withColumn("importance", entropy), "style-nodes"
     )
-    return low.groupBy("host").agg(F.collect_set("code").alias("low"))
+    low_nodes = nodes.where(F.col("outside") * F.col("importance") < least).select("host", F.col("node").alias("code"), "importance")
+    several = contents.where("n > 1").select("host", "node", "content", "n", "factor").join(hinted(nodes.select("host", "node", "pages"), many), ["host", "node"])
+    low_contents = several.withColumn("importance", 1 - F.log("n") / F.log("pages")).where(F.col("factor") * F.col("importance") < least)
+    low = low_nodes.unionByName(low_contents.select("host", F.col("content").alias("code"), "importance"))
+    return low.groupBy("host").agg(F.collect_list(F.struct("code", "importance")).alias("low"))
 
 
 def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -201,10 +216,13 @@ def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES)
     and a page without main text give an empty text; a null or broken url belongs to the host without a name.
     """
     rows = materialize(parsed(pages), "parsed-pages")
-    undecided = rows.where(F.col("sure").isNull())
-    low = materialize(low_branches(undecided, least, min_pages), "low-branches")
-    codes = F.coalesce("low", F.array().cast("array<bigint>"))
-    stays = F.filter("blocks", lambda b: ~F.array_contains(codes, F.xxhash64(b["path"])) & ~F.array_contains(codes, F.xxhash64(b["path"], b["text"])))
-    judged = undecided.join(low, "host", "left").select("page_id", "url", F.array_join(F.transform(stays, lambda b: b["text"]), "\n").alias("text"))
-    text = rows.where(F.col("sure").isNotNull()).select("page_id", "url", F.col("sure").alias("text")).unionByName(judged)
+    low, hosts = materialize_counted(low_branches(rows, least, min_pages), "low-branches")
+
+    def is_low(b: Column) -> Column:
+        return F.exists("low", lambda x: (
+            ((x["code"] == b["content"]) | (x["code"] == b["node"]) & ~b["article"]) & (b["factor"] * x["importance"] < least)
+        ))
+
+    stays = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~is_low(b)))
+    text = rows.join(hinted(low, hosts), "host", "left").select("page_id", "url", F.array_join(F.transform(stays, lambda b: b["text"]), "\n").alias("text"))
     return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -74,3 +74,18 @@ def test_odd_rows(spark):
     got = texts(spark, (None, None), ("", ""), ("http://[bad", "<article>x</article>"), (None, "plain"), ("u", "<nav>only menu</nav>"))
     assert got == {0: "", 1: "", 2: "x", 3: "plain", 4: ""}
     assert sitetree.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_template_within_articles_goes(spark):
+    def page(i):
+        return (f"https://site.example/{i}", f"<body><article><p>Read our app in the store</p><p>Story {i} tells of thing {i * i}.</p><p>Written for the weekly</p></article></body>")
+
+    got = texts(spark, *[page(i) for i in range(20)], ("https://other.example/", page(3)[1]))
+    assert all(got[i] == f"Story {i} tells of thing {i * i}." for i in range(20))
+    assert got[20] == "Read our app in the store\nStory 3 tells of thing 9.\nWritten for the weekly"
+
+
+def test_a_rare_paragraph_among_recurring_ones_stays(spark):
+    same = "".join(f"<p>Always {w}</p>" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))
+    got = texts(spark, *[("https://site.example/", f"<article>{same}<p>Only on page {i}</p></article>") for i in range(12)])
+    assert all(got[i] == f"Only on page {i}" for i in range(12))
