@@ -3,8 +3,9 @@
 The DOMs of a host's pages, articles included, are merged into one tree of styles: a node is a path of tags with their
 classes. Navigation, adverts, forms and the like have importance 0. The remaining nodes are judged by the entropy of their
 contents over the different pages of the host: a node whose content is everywhere the same is template, one that differs
-from page to page is content. Being in an article is a factor of a block's importance. Low branches are cut from each page;
-in an article a block goes by its own content only, so that a rare paragraph among recurring ones stays.
+from page to page is content. Being in an article and the share of its text in links are factors of a block's importance.
+Low branches are cut from each page; in an article a block goes by its own content only, so that a rare paragraph among
+recurring ones stays. On hosts of few pages all blocks stay but those outside articles that are mostly links.
 """
 
 import html
@@ -25,6 +26,12 @@ LEAST = 0.3
 MIN_PAGES = 5
 #: Factor of the importance of a block in an article.
 ARTICLE = 1.5
+#: The same outside the articles of a page that has one.
+OUTSIDE = 0.8
+#: What a block wholly within links loses of its importance.
+LINKED = 0.4
+#: Importance, outside articles, of a node on fewer than MIN_PAGES pages: enough for text, too little for menus.
+UNKNOWN = 0.4
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S
@@ -160,6 +167,11 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def factor(inside: bool, article: bool, linked: float) -> float:
+    """Factor of the importance of a block: in an article or not, on a page with one or not, by its share of characters in links."""
+    return (ARTICLE if inside else OUTSIDE if article else 1.0) * (1 - LINKED * linked)
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host and the blocks of each page: codes of node and content, whether in an article, factor, text."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,8 +181,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 blocks = blocks_of(page or "")
                 article = any(b[1] for b in blocks)
                 found.append([
-                    {"path": p, "article": a, "factor": ARTICLE if a else 1.0, "text": t}
-                    for p, a, t, linked in blocks if (a if article else 2 * linked < len(t))
+                    {"path": p, "article": a, "factor": factor(a, article, min(1.0, linked / len(t))), "text": t} for p, a, t, linked in blocks
                 ])
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["url"].map(host_of), "blocks": found})
 
@@ -187,8 +198,8 @@ def low_branches(rows: DataFrame, least: float, min_pages: int) -> DataFrame:
     """For each host the nodes and contents whose importance is too low for a block that has them: array of (code, importance).
 
     A content on n of a node's N different pages has importance 1 - log n / log N; that of the node is the mean over its
-    contents, which is their entropy over log N. Pages with the same blocks count once. What is on few of the pages is not
-    listed, so that a host's array is small.
+    contents, which is their entropy over log N, or UNKNOWN on few pages. Pages with the same blocks count once. What is on
+    few of the pages is not listed, so that a host's array is small.
     """
     page = F.xxhash64(F.transform("blocks", lambda b: b["content"]))
     outside = F.min(F.when(~F.col("article"), F.col("factor")))  # within an article only contents count
@@ -197,12 +208,12 @@ def low_branches(rows: DataFrame, least: float, min_pages: int) -> DataFrame:
     contents = seen.groupBy("host", "node", "content").agg(F.count("*").alias("n"), F.min("outside").alias("outside"), F.min("factor").alias("factor"))
     shared = contents.groupBy("host", "node").agg(F.sum(F.col("n") * F.log("n")).alias("shared"), F.sum("n").alias("sum"), F.min("outside").alias("outside"))
     pages = seen.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
-    entropy = 1 - F.col("shared") / F.log("pages") / F.col("sum")
-    nodes, many = materialize_counted(
-        shared.join(pages.where(F.col("pages") >= min_pages), ["host", "node"]).withColumn("importance", entropy), "style-nodes"
-    )
+    entropy = F.when(F.col("pages") >= min_pages, 1 - F.col("shared") / F.log("pages") / F.col("sum")).otherwise(UNKNOWN)
+    matters = (F.col("pages") >= min_pages) | (F.col("outside") * UNKNOWN < least)
+    nodes, many = materialize_counted(shared.join(pages, ["host", "node"]).where(matters).withColumn("importance", entropy), "style-nodes")
     low_nodes = nodes.where(F.col("outside") * F.col("importance") < least).select("host", F.col("node").alias("code"), "importance")
-    several = contents.where("n > 1").select("host", "node", "content", "n", "factor").join(hinted(nodes.select("host", "node", "pages"), many), ["host", "node"])
+    known = nodes.where(F.col("pages") >= min_pages).select("host", "node", "pages")
+    several = contents.where("n > 1").select("host", "node", "content", "n", "factor").join(hinted(known, many), ["host", "node"])
     low_contents = several.withColumn("importance", 1 - F.log("n") / F.log("pages")).where(F.col("factor") * F.col("importance") < least)
     low = low_nodes.unionByName(low_contents.select("host", F.col("content").alias("code"), "importance"))
     return low.groupBy("host").agg(F.collect_list(F.struct("code", "importance")).alias("low"))

@@ -89,3 +89,22 @@ def test_a_rare_paragraph_among_recurring_ones_stays(spark):
     same = "".join(f"<p>Always {w}</p>" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))
     got = texts(spark, *[("https://site.example/", f"<article>{same}<p>Only on page {i}</p></article>") for i in range(12)])
     assert all(got[i] == f"Only on page {i}" for i in range(12))
+
+
+def test_a_story_outside_the_articles_stays(spark):
+    def page(i):
+        return (f"https://site.example/{i}", f"<body><div class=top>Welcome to the weekly</div><div id=content><p>Story {i} tells of thing {i * i}.</p></div>"
+                f"<article><p>Teaser {i} of another story</p></article></body>")
+
+    got = texts(spark, *[page(i) for i in range(20)], ("https://other.example/", page(3)[1]))
+    assert all(got[i] == f"Story {i} tells of thing {i * i}.\nTeaser {i} of another story" for i in range(20))
+    assert got[20] == "Welcome to the weekly\nStory 3 tells of thing 9.\nTeaser 3 of another story"
+
+
+def test_blocks_of_links_are_judged_by_their_recurrence(spark):
+    def page(i):
+        return (f"https://site.example/{i}", f"<body><ul class=top><li><a href=/>home</a><li><a href=/a>all</a></ul><div><p>Story {i}.</p><p><a href=x>Linked sentence {i}</a></p></div></body>")
+
+    got = texts(spark, *[page(i) for i in range(20)])
+    assert all(got[i] == f"Story {i}.\nLinked sentence {i}" for i in range(20))
+    assert texts(spark, ("u", "<article><p>Text</p><p><a href=x>All linked</a></p></article>"))[0] == "Text\nAll linked"
