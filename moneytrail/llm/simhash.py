@@ -127,10 +127,15 @@ def close_groups(groups: list[np.ndarray], radius: int) -> Iterator[np.ndarray]:
                 yield codes[i][linked[i]]
 
 
-def links_within(fps: DataFrame, radius: int = RADIUS, agree: int = AGREE, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of column ``fp`` that connect all pairs within ``radius`` bits."""
+MEETING = ["part", "key", "low", "high"]
+
+
+def meetings(fps: DataFrame, radius: int, agree: int, group: int, held: str = "fp") -> DataFrame:
+    """Groups (part, key, low, high) in which all pairs of ``fps`` within ``radius`` bits meet, with an array of their ``held``."""
     masks = F.array(*map(F.lit, block_keys(radius, agree)))
-    keyed = fps.select("fp", F.posexplode(masks).alias("part", "mask")).select("fp", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    keyed = fps.select("fp", F.col(held).alias("held"), F.posexplode(masks).alias("part", "mask")).select(
+        "fp", "held", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    )
     crowded = keyed.groupBy("part", "key").count().where(F.col("count") > group).select(
         "part", "key", F.ceil(F.col("count") / (group // 2)).cast("int").alias("slices")
     )
@@ -138,13 +143,18 @@ def links_within(fps: DataFrame, radius: int = RADIUS, agree: int = AGREE, group
     other = F.explode(F.when(F.col("slices") > 1, F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: s != F.col("own"))).otherwise(F.array(F.lit(0))))
     dealt = (
         keyed.join(crowded, ["part", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-        .withColumn("own", own).select("fp", "part", "key", "own", other.alias("other"))
+        .withColumn("own", own).select("held", "part", "key", "own", other.alias("other"))
     )
-    met = (
+    return (
         dealt.groupBy("part", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        .agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+        .agg(F.collect_list("held").alias("held")).where(F.size("held") > 1)
     )
 
+
+def links_within(fps: DataFrame, radius: int = RADIUS, agree: int = AGREE, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between distinct fingerprints of column ``fp`` that connect all pairs within ``radius`` bits."""
+    met = meetings(fps, radius, agree, group).select(F.col("held").alias("fps"))
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [link for codes in close_groups(batch["fps"].to_list(), radius) for link in forest(codes, radius)]
@@ -181,18 +191,22 @@ def shingle_set(text: Column, width: int) -> Column:
     ))).when(F.size(ws) > 0, F.array(F.xxhash64(F.array_join(ws, " ")))).otherwise(F.array().cast("array<bigint>")))
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of the links between fingerprints those whose texts have a Jaccard similarity of ``similarity`` or more.
+def shingle_sets(docs: DataFrame, distinct: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """Stored (fp, set) of the linked fingerprints: the shingles of its text.
 
     The text of a fingerprint is that of its first document; only texts of linked fingerprints are read and cut into shingles.
     """
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     shown = ends.join(distinct, "fp").select("fp", F.col("first").alias("doc_id"))
-    sets = materialize(
+    return materialize(
         docs.select("doc_id", "text").join(shown, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
         .select("fp", shingle_set(F.col("text"), width).alias("set")),
         "shingle-sets",
     )
+
+
+def similar_links(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Of the links between fingerprints those whose texts have a Jaccard similarity of ``similarity`` or more."""
     pairs = links.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("one")), "a").join(
         sets.select(F.col("fp").alias("b"), F.col("set").alias("other")), "b"
     )
@@ -200,20 +214,87 @@ def similar_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, width:
     return pairs.where(shared >= similarity * (F.size("one") + F.size("other") - shared)).select("a", "b")
 
 
+def candidates(codes: np.ndarray, roots: np.ndarray, masks: np.ndarray, part: int, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each place the later places within ``radius`` bits that have another root and meet under no earlier part, and their distances."""
+    for i in range(len(codes) - 1):
+        differ = codes[i + 1:] ^ codes[i]
+        apart = np.bitwise_count(differ)
+        at = np.flatnonzero((apart <= radius) & (roots[i + 1:] != roots[i]))
+        at = at[~((differ[at, None] & masks[:part]) == 0).any(axis=1)]
+        if len(at):
+            yield i, at + i + 1, apart[at]
+
+
+def missed_links(sets: DataFrame, proposed: DataFrame, held: DataFrame, similarity: float, radius: int, agree: int, group: int = GROUP) -> DataFrame:
+    """Links that, with the ``held`` ones, connect all pairs of similar texts within ``radius`` bits.
+
+    A forest by distance may join two similar texts through one that is similar to neither. Fingerprints that the proposed
+    links connect and the held ones do not meet once more: each pair of them is tested under the first key it shares, unless
+    links of its group connect it already. A group gives a spanning forest of similar texts, never all pairs.
+    """
+    masks = np.array(block_keys(radius, agree), dtype=np.int64).view(np.uint64)
+    near, same = (components(x, "a", "b").withColumnRenamed("node", "fp").withColumnRenamed("parent", n) for x, n in ((proposed, "near"), (held, "root")))
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ends = ends.join(near, "fp", "left").join(same, "fp", "left").select("fp", F.coalesce("near", "fp").alias("near"), F.coalesce("root", "fp").alias("root"))
+    ends = materialize(ends, "linked-fingerprints")
+    split = ends.groupBy("near").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("near")
+    unsettled = ends.join(split, "near").select("fp", F.struct("fp", "root").alias("held"))
+
+    def open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                fps, roots = (np.array([h[c] for h in r.held], dtype=np.int64) for c in ("fp", "root"))
+                meet = np.zeros(len(fps), dtype=bool)
+                for i, others, _ in candidates(fps.view(np.uint64), roots, masks, r.part, radius):
+                    meet[i], meet[others] = True, True
+                if meet.any():
+                    yield pd.DataFrame({"part": r.part, "key": r.key, "low": r.low, "high": r.high, "fp": fps[meet], "root": roots[meet]})
+
+    def tested(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("fp")
+        fps, roots, texts = rows["fp"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), [set(s) for s in rows["set"]]
+        pairs = [(d, i, j) for i, js, ds in candidates(fps.view(np.uint64), roots, masks, int(rows["part"].iloc[0]), radius) for j, d in zip(js.tolist(), ds.tolist())]
+        parent = {r: r for r in roots.tolist()}
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        links = []
+        for _, i, j in sorted(pairs):
+            one, other = find(int(roots[i])), find(int(roots[j]))
+            if one != other:
+                shared = len(texts[i] & texts[j])
+                if shared >= similarity * (len(texts[i]) + len(texts[j]) - shared):
+                    parent[one] = other
+                    links.append((fps[i], fps[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    members = meetings(unsettled, radius, agree, group, "held").mapInPandas(
+        open_pairs, "part int, key bigint, low int, high int, fp bigint, root bigint"
+    )
+    return members.join(sets, "fp").groupBy(*MEETING).applyInPandas(tested, "a bigint, b bigint")
+
+
 def one_of_each(
     docs: DataFrame, shingle: int = 2, radius: int = 7, agree: int = 3, width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """Documents without near duplicates, with all their columns: of each component the row with the smallest doc_id stays.
 
-    Fingerprints over ``shingle`` words within ``radius`` bits propose links, a least spanning forest for each key; a link
-    holds if the ``width``-word shingles of its texts have a Jaccard similarity of ``similarity`` or more. Documents with
+    Fingerprints over ``shingle`` words within ``radius`` bits link if the ``width``-word shingles of their texts have a Jaccard
+    similarity of ``similarity`` or more: first those of a least spanning forest for each key are tested, then, where some of
+    them do not hold, all pairs within the radius that are still apart. Documents with
     the same fingerprint are copies, texts without a word among them. Rows without doc_id take part like others but stay
     only if their component has no id at all. Of rows of a component with the same id the one with the smallest hash of its
     text stays, of equal texts one with the smallest source. Extra columns of any name are kept.
     """
     rows, distinct = marked(docs, shingle)
     proposed = materialize(links_within(distinct.select("fp"), radius, agree).distinct(), "proposed-links")
-    links = similar_links(docs, distinct, proposed, width, similarity)
+    sets = shingle_sets(docs, distinct, proposed, width)
+    held = materialize(similar_links(sets, proposed, similarity), "similar-links")
+    links = held.unionByName(materialize(missed_links(sets, proposed, held, similarity, radius, agree), "missed-links"))
     known = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
     at, code, nth = (fresh(docs, n) for n in ("id_", "text_hash_", "nth_"))
     # a component is named by its smallest id, or, if it has none, by null: then its fingerprints tell components apart

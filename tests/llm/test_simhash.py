@@ -135,3 +135,33 @@ def test_one_of_each(documents):
     ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect())
     assert ids == sorted([*range(12), *range(300, 304), 400, -1])
     assert simhash.one_of_each(df.limit(0)).collect() == []
+
+
+def test_similar_texts_joined_by_a_third_are_found(documents, monkeypatch):
+    from pyspark.sql import functions as F
+    words = " ".join(f"w{i}" for i in range(60))
+    code = F.when(F.col("text").startswith("a "), 0).when(F.col("text").startswith("b "), 0b1111111).otherwise(0b111).cast("bigint")
+    monkeypatch.setattr(simhash, "fingerprint_column", lambda *_: code)
+    df = documents((1, f"a {words}"), (2, f"b {words}"), (3, " ".join(f"x{i}" for i in range(60))))
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("group", [6, 2048])
+def test_links_of_similar_texts_connect_what_all_pairs_connect(spark, group):
+    rng = random.Random(8)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centres for _ in range(12)})
+    sets = {f - 2**64 if f >= 2**63 else f: set(range(k := rng.choice([0, 20, 40]), k + 30 + rng.randint(0, 8))) for f in fps}
+    held = spark.createDataFrame([(f, sorted(x)) for f, x in sets.items()], "fp bigint, set array<bigint>")
+    proposed = simhash.links_within(held.select("fp"), 7, 3, group).distinct()
+    sure = simhash.similar_links(held, proposed, 0.8)
+    found = [tuple(r) for r in sure.unionByName(simhash.missed_links(held, proposed, sure, 0.8, 7, 3, group)).collect()]
+    close = [(a, b) for a in sets for b in sets if a < b and ((a ^ b) % 2**64).bit_count() <= 7 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+    def classes(pairs):
+        at = {f: f for f in sets}
+        for a, b in [*pairs] * len(sets):
+            at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert classes(found) == classes(close) and classes(close) != classes([tuple(r) for r in sure.collect()])
