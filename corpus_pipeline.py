@@ -12,13 +12,10 @@ from moneytrail.llm import langid, lines, mixing, packing, simhash
 from moneytrail.llm.helpers import SPACE, fresh, word_count
 from moneytrail.scratch import scratch_path
 
-#: Cosine below which a text resembles no language; only texts without words of any language are there.
-LEAST_COSINE = 0.02
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without a letter, or like no language at all, go."""
-    return langid.keep_identified(docs, LEAST_COSINE)
+    """Documents in a known language; those without a letter, or no more like a language than chance gives, go."""
+    return langid.keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

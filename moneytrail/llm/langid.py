@@ -24,6 +24,9 @@ CHARS, DOCS, GRAMS = 200_000, 64, 4096
 #: Length of a document's bundle when it is added to a profile.
 UNIT = 2**20
 UNKNOWN = "und"
+#: Standard deviations of the cosine of random vectors, 1 / sqrt(dimensions), that a text must reach to be like a language,
+#: if it has at least SURE different n-grams. Fewer give also clean texts low cosines: the bar falls with their square, to none below FEW.
+NOISE, SURE, FEW = 4.5, 100, 20
 _SPACE = 0
 
 
@@ -142,6 +145,21 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> dict[str, np.ndarray]:
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(profiles.items()) if v.any()}
 
 
+def distinct_grams(text: str) -> int:
+    """Different n-grams of a text; of a long one those of its start, if they are SURE or more."""
+    for part in (text[:4000], text) if len(text) > 4000 else (text,):
+        codes = letter_codes(part)
+        found = len(np.unique(trigrams(codes))) if len(codes) else 0
+        if found >= SURE:
+            break
+    return found
+
+
+def noise_bar(grams: int) -> float:
+    """Cosine below which a text of so many different n-grams is like no language."""
+    return 0.0 if grams < FEW else NOISE / DIMENSIONS**0.5 * min(1.0, grams / SURE) ** 2
+
+
 def predicted(text: str | Column, profiles: dict[str, np.ndarray]) -> Column:
     """Struct of lang_pred and score, the cosine with the nearest profile but not below 0, for a text.
 
@@ -180,7 +198,17 @@ def identify(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, least: float, learn_rows: int = LEARN_ROWS) -> DataFrame:
-    """Rows, with all columns, whose text has a language with a cosine of at least ``least``."""
+def keep_identified(docs: DataFrame, least: float | None = None, learn_rows: int = LEARN_ROWS) -> DataFrame:
+    """Rows, with all columns, whose text has a letter and a cosine with a language of at least ``least``, by default ``noise_bar``."""
     found = predicted("text", learn(docs, learn_rows))
-    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))
+    known = found["lang_pred"] != UNKNOWN
+    if least is not None:
+        return docs.where(known & (found["score"] >= least))
+
+    @F.pandas_udf("boolean")
+    def like_a_language(texts: pd.Series, scores: pd.Series) -> pd.Series:
+        return pd.Series([s >= noise_bar(distinct_grams(t)) for t, s in zip(texts, scores)], dtype=bool)
+
+    sure = found["score"] >= noise_bar(SURE)
+    low = F.when(~sure, F.col("text"))  # only texts below the full bar are counted
+    return docs.where(known & (sure | like_a_language(F.coalesce(low, F.lit("")), found["score"])))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -63,3 +64,16 @@ def test_odd_rows_and_empty_tables(spark, documents, name):
     assert stage(name)(spark, df.limit(0), SMALL).collect() == []
     if name != "best-fit packing":
         assert out.columns == df.columns
+
+
+def test_unlearned_scripts_go_and_short_clean_texts_stay(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщ", "αβγδεζηθικλμνξοπρστυφχψω", "".join(chr(0xAC00 + 7 * i) for i in range(600)), "bcdfghjklmnpqrstvwxz"]
+    junk = [" ".join("".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(200)) for a in alphabets for _ in range(50)]
+    clean = ["Jazz", "Fjord", "Zug", "Hello world", "Oui."]
+    rows = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(junk + clean)]
+    mixed = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    kept = {r.doc_id for r in stage("language ID")(spark, mixed, SMALL).select("doc_id").collect()}
+    assert {i for i in kept if i >= 10**9} == {10**9 + len(junk) + i for i in range(len(clean))}
+    assert len(kept) == docs.count() + len(clean)
