@@ -81,11 +81,20 @@ def fingerprint_column(text: str | Column, shingle: int = SHINGLE) -> Column:
     return fingerprints(text)
 
 
+def known_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+
+
 def marked(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (doc_id, text_hash, fp) of every row, and (fp, first) of every distinct fingerprint."""
+    """Stored (doc_id, text_hash, fp) of every row, and (fp, first, shown) of every distinct fingerprint.
+
+    first is its smallest doc_id, shown the smallest (id_, text_hash) of its rows, with an id_ that is never null.
+    """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column("text", shingle).alias("fp"))
     rows = materialize(rows, "fingerprints")
-    return rows, materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    return rows, materialize(rows.groupBy("fp").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct(known_id().alias("id_"), "text_hash")).alias("shown")
+    ), "distinct-fingerprints")
 
 
 def block_keys(radius: int, agree: int) -> list[int]:
@@ -194,12 +203,12 @@ def shingle_set(text: Column, width: int) -> Column:
 def shingle_sets(docs: DataFrame, distinct: DataFrame, links: DataFrame, width: int) -> DataFrame:
     """Stored (fp, set) of the linked fingerprints: the shingles of its text.
 
-    The text of a fingerprint is that of its first document; only texts of linked fingerprints are read and cut into shingles.
+    The text of a fingerprint is that of one of its rows, found by id and text; only texts of linked fingerprints are read and cut into shingles.
     """
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    shown = ends.join(distinct, "fp").select("fp", F.col("first").alias("doc_id"))
+    shown = ends.join(distinct, "fp").select("fp", "shown.*")
     return materialize(
-        docs.select("doc_id", "text").join(shown, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+        docs.select(known_id().alias("id_"), F.xxhash64("text").alias("text_hash"), "text").join(shown, ["id_", "text_hash"]).groupBy("fp").agg(F.min("text").alias("text"))
         .select("fp", shingle_set(F.col("text"), width).alias("set")),
         "shingle-sets",
     )
@@ -295,7 +304,7 @@ def one_of_each(
     sets = shingle_sets(docs, distinct, proposed, width)
     held = materialize(similar_links(sets, proposed, similarity), "similar-links")
     links = held.unionByName(materialize(missed_links(sets, proposed, held, similarity, radius, agree), "missed-links"))
-    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    known = known_id()
     at, code, nth = (fresh(docs, n) for n in ("id_", "text_hash_", "nth_"))
     # a component is named by its smallest id, or, if it has none, by null: then its fingerprints tell components apart
     named = classes(rows, links, distinct).where(F.col("doc_id").eqNullSafe(F.col("component_id")))

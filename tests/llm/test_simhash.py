@@ -165,3 +165,12 @@ def test_links_of_similar_texts_connect_what_all_pairs_connect(spark, group):
         return at
 
     assert classes(found) == classes(close) and classes(close) != classes([tuple(r) for r in sure.collect()])
+
+
+def test_near_copies_without_ids_and_with_repeated_ids(documents):
+    rng = random.Random(6)
+    one, other = ([f"w{rng.randrange(3000)}" for _ in range(300)] for _ in range(2))
+    near = variant(one, rng, 1)
+    assert simhash.one_of_each(documents((None, " ".join(one)), (None, near))).count() == 1
+    kept = simhash.one_of_each(documents((1, " ".join(one)), (1, " ".join(other)), (2, near)))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 1]
