@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs across documents."""
-    cleaned, *counts = lines.drop_recurring(docs, short=True)
+    cleaned, *counts = lines.drop_recurring(docs, short=True, copies_once=True)
     return cleaned.drop(*counts).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
