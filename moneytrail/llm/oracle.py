@@ -1,5 +1,7 @@
 """SQL twins for DuckDB, one per query that SQL can express."""
 
+from moneytrail.llm.rules import STOP_WORDS
+
 ORACLE = {
     "op3_line_dedup": r"""
 with texts as (select distinct coalesce(cast(doc_id as varchar), 'none') as id, text from documents where text is not null),
@@ -87,4 +89,42 @@ spans as (
   from prefixes where role = 'assistant' group by conv_id)
 select k.conv_id, k.n as n_turns, n_logged, so_far as text, coalesce(loss_spans, '') as loss_spans
 from kept k left join spans s on s.conv_id = k.conv_id""",
+    "op11_rules": r"""
+with texts as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+split as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
+  from texts),
+windows as (select rid, words, unnest(range(1, len(words) - 3)) as i from split where len(words) > 4),
+again as (select rid, i from (select rid, i, count(*) over (partition by rid, array_to_string(words[i:i + 4], ' ')) as n from windows) w where n > 1),
+covered as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 5)) as p from again) c group by rid),
+measured as (
+  select doc_id, len(words) as n_words, coalesce(n, 0) as n_repeat_words, len(ls) as n_lines,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+         len(ls) - len(list_distinct(ls)) as n_dup_lines,
+         len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) as letters,
+         len(list_filter(words, lambda w: w[-2:] = '!!')) as shouted,
+         len(list_filter(words, lambda w: lower(rtrim(w, '.,;:!?')) in (@STOP_WORDS@))) as stops,
+         len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\x09]*[-*•]'))) as bullets,
+         len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as dotted
+  from split s left join covered c on c.rid = s.rid),
+judged as (
+  select *, [
+    case when n_words < 10 then 'few_words' end,
+    case when 100 * n_repeat_words > 20 * n_words then 'repeated_words' end,
+    case when n_words > 0 and not word_chars between 2 * n_words and 15 * n_words then 'word_length' end,
+    case when n_words > 0 and 10 * n_symbols > n_words then 'symbols' end,
+    case when n_words >= 30 and 10 * letters < 7 * n_words then 'words_with_letters' end,
+    case when n_words >= 30 and 25 * stops < n_words then 'stop_words' end,
+    case when n_words > 0 and 10 * shouted > 3 * n_words then 'shouting' end,
+    case when n_lines >= 4 and 2 * n_dup_lines > n_lines then 'repeated_lines' end,
+    case when n_lines >= 4 and 10 * bullets > 9 * n_lines then 'bullet_lines' end,
+    case when n_lines >= 4 and 10 * dotted > 3 * n_lines then 'ellipsis_lines' end] as b
+  from measured)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       b[1] is not null or b[2] is not null as base_failed, len(list_filter(b, lambda x: x is not null)) = 0 as kept,
+       array_to_string(list_filter(b, lambda x: x is not null), ',') as broken
+from judged""".replace("@STOP_WORDS@", ", ".join(f"'{w}'" for w in STOP_WORDS)),
 }

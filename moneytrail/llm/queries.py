@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moneytrail.llm import chat, langid, lines, mixing, packing, pii, simhash, sitetree, topk, winnow
+from moneytrail.llm import chat, langid, lines, mixing, packing, pii, rules, simhash, sitetree, topk, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken"]
+    return judged.select("doc_id", *[f"quality.{c}" for c in found])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language, op2_packing, op3_line_dedup, op4_mixing, op5_simhash, op6_impact_topk, op7_site_tree, op8_pii, op9_winnowing,
-        op10_chat,
+        op10_chat, op11_rules,
     )
 }
