@@ -127,4 +127,78 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
        b[1] is not null or b[2] is not null as base_failed, len(list_filter(b, lambda x: x is not null)) = 0 as kept,
        array_to_string(list_filter(b, lambda x: x is not null), ',') as broken
 from judged""".replace("@STOP_WORDS@", ", ".join(f"'{w}'" for w in STOP_WORDS)),
+    "op12_repair": r"""
+with recursive
+given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations),
+coded as (
+  -- crc32, bit by bit: every byte is followed by eight steps
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, flatten([[ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(key, '')])),
+         lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295) % 20 as kind
+  from given),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+         unnest(case kind when 0 then [] when 3 then [1, 2] else [1] end) as copy
+  from coded),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text[:64], sha256(text), copy) as n,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as said
+  from damaged),
+judged as (
+  select *, role[:1] as i,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when said > 1 then 'duplicate'
+              when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault,
+         lag(role[:1]) over (partition by conv_id order by n) as before
+  from placed),
+steps(p, i, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+inserted(p, q, c, a) as (values
+  (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+  (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+edits as (
+  select conv_id, n, p, p as q, 4 as c, 'D' as a from judged, (values (0), (1), (2), (3)) s(p)
+  union all
+  select conv_id, n, p, q, (case when j.i = s.i then 0 else 3 end) + (case when fault = 'truncated' then 3 else 0 end),
+         case when j.i = s.i then 'K' else 'R' end
+  from judged j, steps s where fault not in ('blank', 'duplicate') and (j.i = s.i or s.i <> 's')),
+moves as (
+  select conv_id, n, e.p, t.q, min({'c': e.c + t.c, 'a': e.a || t.a}) as w
+  from edits e join inserted t on t.p = e.q group by conv_id, n, e.p, t.q),
+walk as (
+  select conv_id, 0::bigint as n, q, {'c': c, 'a': a} as w from (select distinct conv_id from judged) k, inserted where p = 0
+  union all
+  select k.conv_id, m.n, m.q, min({'c': k.w.c + m.w.c, 'a': k.w.a || m.w.a})
+  from walk k join moves m on m.conv_id is not distinct from k.conv_id and m.n = k.n + 1 and m.p = k.q
+  group by k.conv_id, m.n, m.q),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) as illegal, max(n) as rows
+  from judged group by conv_id),
+best as (
+  select c.conv_id, min(w) as w from counts c join walk k on k.conv_id is not distinct from c.conv_id and k.n = c.rows
+  where k.q in (0, 3) group by c.conv_id),
+-- the repaired turns: every letter of the audit with the rows and the undeleted turns before it
+letters as (
+  select conv_id, w.a as audit, unnest(range(1, len(w.a) + 1)) as spot from best),
+edited as (
+  select *, audit[spot:spot] as e, len(replace(audit[1:spot], 'I', '')) as n, len(replace(audit[1:spot], 'D', '')) as place from letters),
+spoken as (
+  select e.conv_id, spot, case when e.e = 'K' then j.role || ':' || j.text else
+           (case when (place - (case when left(replace(audit, 'D', ''), 1) = 'K' and f.i = 's' then 1 else 0 end)) % 2 = 1 then 'user:' else 'assistant:' end)
+           || case when e = 'R' then j.text else '' end end as said
+  from edited e
+  left join judged j on j.conv_id is not distinct from e.conv_id and j.n = e.n and e <> 'I'
+  left join judged f on f.conv_id is not distinct from e.conv_id and f.n = len(audit) - len(ltrim(audit, 'D')) + 1
+  where e <> 'D'),
+digests as (select conv_id, sha256(string_agg(said, chr(10) order by spot)) as h from spoken group by conv_id)
+select g.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(w.c, 0)::bigint as cost,
+       coalesce(w.a, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) g
+left join counts c on c.conv_id is not distinct from g.conv_id
+left join best b on b.conv_id is not distinct from g.conv_id
+left join digests d on d.conv_id is not distinct from g.conv_id""",
 }

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moneytrail.llm import chat, langid, lines, mixing, packing, pii, rules, simhash, sitetree, topk, winnow
+from moneytrail.llm import chat, langid, lines, mixing, packing, pii, repair, rules, simhash, sitetree, topk, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,36 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in found])
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the hash of conversation and turn: rows dropped, emptied, cut, repeated, given to the user."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    kind, text = F.crc32(key) % 20, F.coalesce("text", space)
+    copies = F.when(kind == 0, F.array().cast("array<int>")).when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return conversations.select(
+        "conv_id", "turn",
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(copies),
+    ).drop("col")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    repaired = repair.Repair(damaged(given))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = repaired.summary().join(repaired.digests().withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    every = given.select("conv_id").distinct().withColumnRenamed("conv_id", "of")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").select(
+        F.col("of").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language, op2_packing, op3_line_dedup, op4_mixing, op5_simhash, op6_impact_topk, op7_site_tree, op8_pii, op9_winnowing,
-        op10_chat, op11_rules,
+        op10_chat, op11_rules, op12_repair,
     )
 }
