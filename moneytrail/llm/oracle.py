@@ -201,4 +201,23 @@ from (select distinct conv_id from conversations) g
 left join counts c on c.conv_id is not distinct from g.conv_id
 left join best b on b.conv_id is not distinct from g.conv_id
 left join digests d on d.conv_id is not distinct from g.conv_id""",
+    "op13_negatives": """
+with rows as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [floor(256 * x::double) for x in embedding] as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and coalesce(list_bool_and([x is not null and isfinite(x) for x in embedding]), true)),
+anchors as (select vec_id, label, v, min(rid) as anchor from rows where vec_id % 100 = 0 group by vec_id, label, v),
+scored as (
+  select anchor, a.vec_id as anchor_id, r.rid, r.vec_id, a.label = r.label as same, coalesce(list_dot_product(a.v, r.v), 0)::bigint as score
+  from anchors a join rows r on a.vec_id <> r.vec_id and len(a.v) = len(r.v)),
+positives as (
+  select *, row_number() over (partition by anchor order by score desc, vec_id, rid) as positive_rank from scored where same
+  qualify positive_rank <= 5),
+negatives as (
+  select p.anchor_id, p.vec_id as positive_id, positive_rank::int as positive_rank, p.score as positive_score, n.vec_id as negative_id,
+         n.score as negative_score, row_number() over (partition by p.anchor, positive_rank order by n.score desc, n.vec_id, n.rid)::int as rank
+  from positives p join scored n on n.anchor = p.anchor and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select anchor_id, positive_id, positive_rank, rank, negative_id, positive_score, negative_score from negatives where rank <= 5""",
 }

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moneytrail.llm import chat, langid, lines, mixing, packing, pii, repair, rules, simhash, sitetree, topk, winnow
+from moneytrail.llm import chat, langid, lines, mixing, negatives, packing, pii, repair, rules, simhash, sitetree, topk, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +86,15 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language, op2_packing, op3_line_dedup, op4_mixing, op5_simhash, op6_impact_topk, op7_site_tree, op8_pii, op9_winnowing,
-        op10_chat, op11_rules, op12_repair,
+        op10_chat, op11_rules, op12_repair, op13_negatives,
     )
 }
