@@ -19,8 +19,8 @@ DIMENSIONS = 1024
 SEED = 7
 #: The most labelled documents a language's profile is learnt from: those with the smallest hashes of their ids.
 LEARN_ROWS = 500
-#: Characters and documents bundled at once, and n-grams bound at once.
-CHARS, DOCS, GRAMS = 200_000, 64, 4096
+#: Characters and documents bundled at once, n-grams bound at once, and documents compared with the profiles at once.
+CHARS, DOCS, GRAMS, SLICE = 50_000, 64, 2048, 256
 #: Length of a document's bundle when it is added to a profile.
 UNIT = 2**20
 UNKNOWN = "und"
@@ -161,28 +161,32 @@ def noise_bar(grams: int) -> float:
 
 
 def predicted(text: str | Column, profiles: dict[str, np.ndarray]) -> Column:
-    """Struct of lang_pred and score, the cosine with the nearest profile but not below 0, for a text.
+    """Struct of lang_pred, score (the cosine with the nearest profile but not below 0) and like (whether it reaches ``noise_bar``).
 
     ``und`` and 0 for a null text, one without a letter, or if nothing was learnt. Of equal cosines the first language by
     name wins.
     """
-    names = list(profiles)
-    matrix = np.array([profiles[n] for n in names]).T if names else np.zeros((DIMENSIONS, 0))
+    names = np.array(list(profiles), dtype=object)
+    matrix = np.array([profiles[n] for n in names]).T if len(names) else np.zeros((DIMENSIONS, 0))
+    full_bar = noise_bar(SURE)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, like boolean")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters = Letters()
         for texts in batches:
-            rows = bundles([t or "" for t in texts], letters)
-            norms = np.linalg.norm(rows, axis=1)
-            known = (norms > 0) & bool(names)
-            lang, score = np.full(len(rows), UNKNOWN, dtype=object), np.zeros(len(rows))
-            if known.any():
+            texts = [t or "" for t in texts]
+            lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            # a slice at a time, so that a batch needs no more memory than its texts
+            for at in range(0, len(texts) if len(names) else 0, SLICE):
+                rows = bundles(texts[at:at + SLICE], letters)
+                norms = np.linalg.norm(rows, axis=1)
+                known = np.flatnonzero(norms > 0)
                 cosines = (rows[known] / norms[known, None]) @ matrix
                 best = cosines.argmax(axis=1)
-                lang[known] = np.array(names, dtype=object)[best]
-                score[known] = np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+                lang[at + known] = names[best]
+                score[at + known] = np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0)
+            like = [s >= full_bar or s >= noise_bar(distinct_grams(t)) for s, t in zip(score, texts)]
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "like": np.array(like, dtype=bool)})
 
     return nearest(text)
 
@@ -199,16 +203,11 @@ def identify(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float | None = None, learn_rows: int = LEARN_ROWS) -> DataFrame:
-    """Rows, with all columns, whose text has a letter and a cosine with a language of at least ``least``, by default ``noise_bar``."""
-    found = predicted("text", learn(docs, learn_rows))
-    known = found["lang_pred"] != UNKNOWN
-    if least is not None:
-        return docs.where(known & (found["score"] >= least))
-
-    @F.pandas_udf("boolean")
-    def like_a_language(texts: pd.Series, scores: pd.Series) -> pd.Series:
-        return pd.Series([s >= noise_bar(distinct_grams(t)) for t, s in zip(texts, scores)], dtype=bool)
+    """Rows, with all columns, whose text has a letter and a cosine with a language of at least ``least``, by default ``noise_bar``.
 
-    sure = found["score"] >= noise_bar(SURE)
-    low = F.when(~sure, F.col("text"))  # only texts below the full bar are counted
-    return docs.where(known & (sure | like_a_language(F.coalesce(low, F.lit("")), found["score"])))
+    A null, empty or letterless text goes, as does any text if no document has a language to learn from. Repeated rows are judged
+    alike; a text of any length is judged whole. An empty table gives an empty result.
+    """
+    found = predicted("text", learn(docs, learn_rows))
+    near = found["like"] if least is None else found["score"] >= least
+    return docs.where((found["lang_pred"] != UNKNOWN) & near)

@@ -288,22 +288,24 @@ def missed_links(sets: DataFrame, proposed: DataFrame, held: DataFrame, similari
 
 
 def one_of_each(
-    docs: DataFrame, shingle: int = 2, radius: int = 7, agree: int = 3, width: int = 5, similarity: float = 0.8
+    docs: DataFrame, shingle: int = 2, radius: int = 7, agree: int = 3, width: int = 5, similarity: float | None = 0.8
 ) -> DataFrame:
     """Documents without near duplicates, with all their columns: of each component the row with the smallest doc_id stays.
 
     Fingerprints over ``shingle`` words within ``radius`` bits link if the ``width``-word shingles of their texts have a Jaccard
     similarity of ``similarity`` or more: first those of a least spanning forest for each key are tested, then, where some of
-    them do not hold, all pairs within the radius that are still apart. Documents with
+    them do not hold, all pairs within the radius that are still apart. Without a ``similarity`` the distance alone links. Documents with
     the same fingerprint are copies, texts without a word among them. Rows without doc_id take part like others but stay
     only if their component has no id at all. Of rows of a component with the same id the one with the smallest hash of its
     text stays, of equal texts one with the smallest source. Extra columns of any name are kept.
     """
     rows, distinct = marked(docs, shingle)
     proposed = materialize(links_within(distinct.select("fp"), radius, agree).distinct(), "proposed-links")
-    sets = shingle_sets(docs, distinct, proposed, width)
-    held = materialize(similar_links(sets, proposed, similarity), "similar-links")
-    links = held.unionByName(materialize(missed_links(sets, proposed, held, similarity, radius, agree), "missed-links"))
+    links = proposed
+    if similarity is not None:
+        sets = shingle_sets(docs, distinct, proposed, width)
+        held = materialize(similar_links(sets, proposed, similarity), "similar-links")
+        links = held.unionByName(materialize(missed_links(sets, proposed, held, similarity, radius, agree), "missed-links"))
     known = known_id()
     at, code, nth = (fresh(docs, n) for n in ("id_", "text_hash_", "nth_"))
     # a component is named by its smallest id, or, if it has none, by null: then its fingerprints tell components apart

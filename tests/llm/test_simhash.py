@@ -174,3 +174,13 @@ def test_near_copies_without_ids_and_with_repeated_ids(documents):
     assert simhash.one_of_each(documents((None, " ".join(one)), (None, near))).count() == 1
     kept = simhash.one_of_each(documents((1, " ".join(one)), (1, " ".join(other)), (2, near)))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1]
+
+
+def test_one_of_each_by_distance_alone(spark, documents):
+    """One document of each component of the query stays, whatever the texts share; no component is lost."""
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {r.component_id for r in simhash.near_duplicates(df).collect()}
+    kept = simhash.one_of_each(df, simhash.SHINGLE, simhash.RADIUS, simhash.AGREE, similarity=None)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == df.columns
+    # texts without a word are one component, and two texts share an id
+    assert simhash.one_of_each(documents(*ODD), simhash.SHINGLE, simhash.RADIUS, simhash.AGREE, similarity=None).count() == 8
