@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates: five-word shingles, similarity 0.8."""
-    return simhash.one_of_each(docs, width=5, similarity=0.8)
+    """One document of every group of near duplicates: fingerprints over three words that differ in at most three bits."""
+    return simhash.one_of_each(docs, simhash.SHINGLE, simhash.RADIUS, simhash.AGREE, similarity=None)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
