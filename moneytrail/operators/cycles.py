@@ -23,7 +23,7 @@ from moneytrail.scratch import materialize, materialize_counted
 TRIM_ROUNDS = 2
 
 
-def _trim(edges: DataFrame) -> DataFrame:
+def closable(edges: DataFrame) -> DataFrame:
     """Keep transfers whose receiver sends and whose sender receives; any number of rounds is lossless."""
     for _ in range(TRIM_ROUNDS):
         senders = edges.select(F.col("src").alias("dst")).distinct()
@@ -53,7 +53,7 @@ def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 7
     Writes the transfers of the window, the trimmed ones and the half paths as scratch tables.
     """
     window = look_back(transfers, as_of, hours=hours).select("src", "dst", "txn_id", "amount", "ts")
-    trimmed = materialize(_trim(materialize(window, "trail-window")), "trail-edges")
+    trimmed = materialize(closable(materialize(window, "trail-window")), "trail-edges")
     edges, rows = materialize_counted(_ranked(trimmed), "trail-edges")
 
     forward = {
@@ -119,10 +119,14 @@ def trails(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 7
 
 def circular(transfers: DataFrame, as_of: Column, max_hop: int = 5, hours: int = 72) -> DataFrame:
     """One row per closed trail and anchor, with accounts, transfers, amounts and times in travel order."""
+    return circular_of(trails(transfers, as_of, max_hop, hours))
+
+
+def circular_of(found: DataFrame) -> DataFrame:
+    """The rows of ``circular`` for closed trails that are given once each."""
     n = F.col("cycle_length")
     turned = (
-        trails(transfers, as_of, max_hop, hours)
-        .withColumn("at", F.explode(F.sequence(F.lit(0), n - 1)))
+        found.withColumn("at", F.explode(F.sequence(F.lit(0), n - 1)))
         .select(
             n,
             F.concat(F.slice("steps", F.col("at") + 1, n - F.col("at")), F.slice("steps", F.lit(1), F.col("at"))).alias("steps"),

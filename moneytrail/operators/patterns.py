@@ -23,13 +23,15 @@ BUSY_PAIRS = 5_000_000
 CENTS = "decimal(28,2)"
 PAIR = ["source", "mid", "dest", "out_txn", "out_amount", "out_ts", "in_txn", "in_amount", "in_ts"]
 
-def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours: int) -> DataFrame:
+def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours: int, sources: DataFrame | None = None,
+                   dests: DataFrame | None = None) -> DataFrame:
     """Pairs of a leg out and a later leg in over one intermediary, for all ends that may have two of them.
 
     Pairs over ordinary intermediaries are joined directly. A busy one has far too many: its payers times its
     payees, nearly all with nothing else in common. A detection needs a second intermediary, so pairs over busy
     ones are built only for ends that also meet elsewhere: over an ordinary intermediary, or over two busy ones.
-    Detections are the same either way. Writes the transfers of the window as a scratch table.
+    Detections are the same either way. ``sources`` and ``dests`` (tables of source, of dest) restrict the ends.
+    Writes the transfers of the window as a scratch table.
     """
     recent = materialize(
         look_back(transfers, as_of, hours=hours).where("src <> dst").select("src", "dst", "txn_id", "amount", "ts"),
@@ -44,6 +46,11 @@ def layering_pairs(transfers: DataFrame, as_of: Column, min_amount: float, hours
         F.col("txn_id").alias("in_txn"), F.col("amount").alias("in_amount"), F.col("ts").alias("in_ts"),
     )
 
+    if sources is not None:
+        out_leg = out_leg.join(sources, "source", "left_semi")
+    if dests is not None:
+        in_leg = in_leg.join(dests, "dest", "left_semi")
+
     def at_least_two(df: DataFrame, end: str) -> DataFrame:
         several = df.groupBy(end).agg(F.min("mid").alias("a"), F.max("mid").alias("b")).where("a <> b")
         return df.join(several.select(end), end, "left_semi")
@@ -235,8 +242,11 @@ def structuring_sliding(transfers: DataFrame, as_of: Column, threshold: float =
 # --- dormant activation ---------------------------------------------------------------------------
 
 
+WINDOW_DAYS = 30
+
+
 def dormant_activation(transfers: DataFrame, accounts: DataFrame, as_of: Column, dormant_days: int = 60,
-                       forward_ratio: float = 0.7, window_days: int = 30) -> DataFrame:
+                       forward_ratio: float = 0.7, window_days: int = WINDOW_DAYS) -> DataFrame:
     """Dormant or old accounts that forwarded more than ``forward_ratio`` of the month's credits."""
     recent = look_back(transfers, as_of, days=window_days)
 
@@ -245,11 +255,15 @@ def dormant_activation(transfers: DataFrame, accounts: DataFrame, as_of: Column,
             F.sum("amount").alias(amount), F.count("*").alias(count)
         )
 
+    sums = side("dst", "activation_amount", "incoming_count").join(side("src", "forwarded_amount", "outgoing_count"), "account_id")
+    return activated(sums, accounts, dormant_days, forward_ratio)
+
+
+def activated(sums: DataFrame, accounts: DataFrame, dormant_days: int = 60, forward_ratio: float = 0.7) -> DataFrame:
+    """Dormant activations among accounts with credits and debits, from the sums and counts of both."""
     eligible = accounts.where((F.col("account_type") == "DORMANT") | (F.col("account_age_days") > dormant_days))
     return (
-        side("dst", "activation_amount", "incoming_count")
-        .join(side("src", "forwarded_amount", "outgoing_count"), "account_id")
-        .where(F.col("forwarded_amount") > F.col("activation_amount") * forward_ratio)
+        sums.where(F.col("forwarded_amount") > F.col("activation_amount") * forward_ratio)
         .join(eligible.select("account_id", "account_type", "account_age_days"), "account_id")
         .select(
             "account_id", "account_type", "account_age_days", "activation_amount", "forwarded_amount",

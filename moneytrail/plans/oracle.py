@@ -52,13 +52,17 @@ def _needed(text: str, views: dict[str, str]) -> list[str]:
     return [n for n in views if n in wanted]
 
 
-def add(name: str, body: str, recursive: bool = False, **extra: str) -> None:
-    """Register ``body`` with the common views it uses, then its own views, put in front."""
+def composed(body: str, recursive: bool = False, **extra: str) -> str:
+    """``body`` with the common views it uses, then its own views, put in front."""
     views = {**VIEWS, **extra}
     names = _needed(body, views)
     head = "with recursive " if recursive else "with "
-    text = head + ",\n".join(f"{n} as ({views[n]})" for n in names) + "\n" + body
-    ORACLE[name] = text.replace("$AS_OF", AS_OF)
+    return head + ",\n".join(f"{n} as ({views[n]})" for n in names) + "\n" + body
+
+
+def add(name: str, body: str, recursive: bool = False, **extra: str) -> None:
+    """Register ``body`` with its views."""
+    ORACLE[name] = composed(body, recursive, **extra).replace("$AS_OF", AS_OF)
 
 
 # --- sources and quality --------------------------------------------------------------------------
@@ -689,6 +693,20 @@ STREAMED = {**RISK, **{k: v.replace("$AS_OF", "(select max(ts) from transfers)")
 add("stream_alerts", """
 select account_id, risk_score, risk_tier, triggered_patterns, evidence_summary from alrt
 where risk_score > 40 and account_id in (select account_id from moves)""", True, **STREAMED)
+LIVE = ("2024-01-30 00:00:00", "2024-01-30 12:00:00", "2024-02-01 00:00:00")
+
+
+def live_batch(number: int) -> str:
+    """Alerts of one batch: all five rules as of its latest transfer, for the accounts it touches."""
+    since, until = (f"timestamp '{t}'" for t in LIVE[number:number + 2])
+    seen = f"(select max(ts) from transfers where ts < {until})"
+    rules = {k: v.replace("$AS_OF", seen) for k, v in FOUND.items()}
+    return composed(f"""
+select cast({number} as integer) as batch_id, account_id, risk_score, risk_tier, triggered_patterns, evidence_summary from alrt
+where risk_score > 40 and account_id in (select account_id from moves where ts >= {since} and ts < {until})""", True, **{**RISK, **rules})
+
+
+ORACLE["stream_alerts_live"] = "\nunion all\n".join(f"select * from ({live_batch(n)}) b{n}" for n in (0, 1)).replace("$AS_OF", AS_OF)
 add("alert_page", """
 select account_id, risk_score, risk_tier, status, (select count(*) from alrt where risk_tier = 'MEDIUM') as total,
        30 < (select count(*) from alrt where risk_tier = 'MEDIUM') as has_more

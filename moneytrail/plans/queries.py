@@ -928,3 +928,23 @@ def stream_alerts(spark, sf_dir):
     return spark.read.parquet(f"{folder}/alerts").select(
         "account_id", "risk_score", "risk_tier", text_of("triggered_patterns").alias("triggered_patterns"), "evidence_summary"
     )
+
+
+@query
+def stream_alerts_live(spark, sf_dir):
+    """History, then the last day in two batches; each alerts with all five rules as of its own latest transfer."""
+    transfers = star.transfers(spark, sf_dir)
+    folder, feed, checkpoint = (scratch_path(spark, n) for n in ("stream-alerts", "stream-feed", "stream-checkpoint"))
+    slices = [F.lit(t).cast("timestamp_ntz") for t in ("2024-01-30 00:00:00", "2024-01-30 12:00:00", "2024-02-01 00:00:00")]
+    sink.prime(folder, transfers.where(F.col("ts") < slices[0]), PARAMS)
+    session = sink.state_session(spark)
+    scores = materialize(proxy_scores(spark, sf_dir), "scores")
+    proxy = session.read.schema(scores.schema).parquet(*scores.inputFiles())
+    write = sink.alert_writer(folder, star.accounts(session, sf_dir), proxy, proxy, 40.0, PARAMS)
+    for since, until in zip(slices, slices[1:]):
+        transfers.where((F.col("ts") >= since) & (F.col("ts") < until)).write.mode("append").parquet(feed)
+        events = inbox.event_time(inbox.file_feed(session, feed, transfers.schema))
+        sink.run_available(events, write, checkpoint)
+    return spark.read.parquet(f"{folder}/alerts").select(
+        "batch_id", "account_id", "risk_score", "risk_tier", text_of("triggered_patterns").alias("triggered_patterns"), "evidence_summary"
+    )

@@ -1,7 +1,6 @@
 """Writing streams to tables so that a repeated batch replaces itself."""
 
 from collections.abc import Callable
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import types as T
 from moneytrail.operators import alerts as A
 from moneytrail.operators import patterns, risk
 from moneytrail.scratch import materialize, scratch_path
+from moneytrail.streaming import current
 
 #: Batches after which the sums of credits are written anew.
 FOLD = 16
@@ -66,23 +66,37 @@ def credit_sums(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     later = ",".join(map(str, range(base, batch_id + 1)))
     read = spark.read.schema("account_id string, credit_count bigint, total_suspicious_amount double")
     rows = read.parquet(f"{folder}/credits/batch_id={{{later}}}")
-    if base:
-        rows = rows.unionByName(read.parquet(f"{folder}/credit_sums/before={base}"))
+    before = f"{folder}/credit_sums/before={base}"
+    rows = rows.unionByName(read.parquet(before) if base else current.read_or_empty(spark, rows.schema, before, before))
     return rows.groupBy("account_id").agg(*[F.sum(c).alias(c) for c in ("credit_count", "total_suspicious_amount")])
 
 
+def rules_with(params: dict | None) -> dict:
+    return {name: {**patterns.DEFAULTS[name], **(params or {}).get(name, {})} for name in patterns.PATTERNS}
+
+
+def prime(folder: str, transfers: DataFrame, params: dict | None = None) -> None:
+    """Start an alert stream from the transfers there were before it, so that its first batch counts them in."""
+    rules = rules_with(params)
+    current.prime(transfers.withColumn("ts", F.col("ts").cast("timestamp_ntz")), folder, rules)
+    sums = patterns.high_credits(transfers, rules["PROFILE_MISMATCH"]["min_amount"])
+    sums.write.mode("overwrite").parquet(f"{folder}/credit_sums/before=0")
+
+
 def alert_writer(folder: str, accounts: DataFrame, node_scores: DataFrame, anomalies: DataFrame, threshold: float,
                  params: dict | None = None, nightly: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """A batch writer that adds the batch to the stored transfers and alerts on the accounts it touched.
 
-    Touched accounts are scored from all five rules and from the model scores of the last nightly run. Structuring and
-    profile mismatch are found anew, as of the latest transfer of the batch; ``nightly``, the involvement of the nightly
-    run, gives the other three, which need the whole graph. A batch reads the stored days of the structuring window, the
-    sums of high-value credits at the last fold and the at most FOLD batches since, however many batches there were.
-    Writes ``transfers``, ``credits``, ``credit_sums`` and ``alerts`` below ``folder``; a repeated batch replaces its own
-    rows. An empty batch alerts on nothing.
+    Touched accounts are scored from all five rules as of the latest transfer so far, and from the model scores of the last
+    nightly run. The alerts are those a batch run over all transfers so far would raise on these accounts (``prime`` adds the
+    ones before the stream). Closed trails and layering come from delta joins with the stored window, see ``current``, dormant
+    activations from daily sums, profile mismatches from the sums of high-value credits at the last fold and the at most
+    FOLD batches since. With ``nightly``, the involvement of a nightly run, the three graph rules are taken from there and
+    not kept current. Every batch reads the days of the windows, however many batches there were. Writes ``transfers``,
+    ``flows``, ``trails``, ``layers``, ``clock``, ``credits``, ``credit_sums`` and ``alerts`` below ``folder``; a repeated
+    batch replaces its own rows. An empty batch alerts on nothing.
     """
-    p = {name: {**patterns.DEFAULTS[name], **(params or {}).get(name, {})} for name in patterns.PATTERNS}
+    p = rules_with(params)
     columns = ["txn_id", "ts", "src", "dst", "amount", "txn_type", "is_fraud"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -93,22 +107,20 @@ def alert_writer(folder: str, accounts: DataFrame, node_scores: DataFrame, anoma
         if (batch_id + 1) % FOLD == 0:
             credits.write.mode("overwrite").parquet(f"{folder}/credit_sums/before={batch_id + 1}")
         latest = new.agg(F.max("ts")).head()[0]
+        seen = current.clock(spark, folder, latest, batch_id)
         if latest is None:
             return
-        (
-            new.withColumns({"day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id")
-            .parquet(f"{folder}/transfers")
-        )
-        now = F.lit(latest).cast("timestamp_ntz")
+        current.keep(new, folder, batch_id)
+        now = F.lit(seen).cast("timestamp_ntz")
         touched = materialize(new.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct(), "touched")
 
         rule = p["STRUCTURING"]
-        days = (latest.date() - (latest - timedelta(hours=rule["hours"])).date()).days
-        window = ",".join(str(latest.date() - timedelta(days=n)) for n in range(days + 1))
-        kept = T.StructType([*new.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.IntegerType())])
-        stored = spark.read.schema(kept).option("basePath", f"{folder}/transfers").parquet(f"{folder}/transfers/day={{{window}}}")
-        credited = stored.join(touched.withColumnRenamed("account_id", "dst"), "dst", "left_semi")
+        window = current.window_of(spark, folder, seen, rule["hours"], batch_id)
+        # a touched account is involved as a receiver, or as a sender to one
+        small = window.where((F.col("amount") > 0) & (F.col("amount") <= rule["threshold"]))
+        paid = small.join(touched.withColumnRenamed("account_id", "src"), "src", "left_semi").select("dst")
+        receivers = paid.union(touched.select("account_id")).distinct()
+        credited = window.join(receivers, "dst", "left_semi")
         structuring = materialize(patterns.structuring(credited, now, **rule), "detections")
         mismatch = patterns.mismatch_of(
             credits.join(touched, "account_id", "left_semi"), accounts, p["PROFILE_MISMATCH"]["categories"]
@@ -119,7 +131,10 @@ def alert_writer(folder: str, accounts: DataFrame, node_scores: DataFrame, anoma
             )),
             "PROFILE_MISMATCH": patterns.Found(mismatch, None),
         }
-        involved = patterns.involvement(found)
+        if nightly is None:
+            current.find_graph_rules(spark, folder, seen, batch_id, p)
+            found |= current.graph_rules(spark, folder, seen, touched, accounts, p)
+        involved = patterns.involvement(found).join(touched, "account_id", "left_semi")
         if nightly is not None:
             before = nightly.where(~F.col("pattern").isin(*found)).join(touched, "account_id", "left_semi")
             involved = involved.unionByName(before.select(*involved.columns))
