@@ -11,6 +11,7 @@ from moneytrail.functions.ranking import exact_quantile, smallest_hashes
 from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.operators.features import standardise
 from moneytrail.operators.neighbours import nearest, sites, vector
+from moneytrail.operators.projections import nearest_approximate
 from moneytrail.operators.quality import finite_or_zero
 from moneytrail.scratch import materialize, materialize_counted
 
@@ -134,16 +135,17 @@ def score_forest(matrix: DataFrame, trees: DataFrame, columns: list[str], drawn:
     return clean.mapInPandas(run, "account_id string, iso_score double")
 
 
-def lof(matrix: DataFrame, columns: list[str], k: int = NEIGHBOURS, pivots: int | None = None) -> DataFrame:
+def lof(matrix: DataFrame, columns: list[str], k: int = NEIGHBOURS, pivots: int | None = None, exact: bool = True) -> DataFrame:
     """``(account_id, lof_score)``: minus the local outlier factor, lower is more anomalous.
 
     Densities of the fitted accounts leave the account itself out. The score of an account looks it up as if it
     were new, so the account is its own nearest neighbour at distance 0. Equal accounts count one by one.
+    Without ``exact``, neighbours are those that projection tables find, with work in proportion to the accounts.
     """
     clean, n = materialize_counted(finite_or_zero(matrix.select("account_id", *columns), columns), "lof-input")
     k = max(1, min(k, n - 1))
     all_sites = materialize(sites(clean, columns), "lof-sites")
-    near = materialize(nearest(all_sites, k, pivots), "lof-neighbours")
+    near = materialize(nearest(all_sites, k, pivots) if exact else nearest_approximate(all_sites, k), "lof-neighbours")
 
     listed = Window.partitionBy("site").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -207,11 +209,11 @@ def ensemble(scores: DataFrame, contamination: float = CONTAMINATION) -> DataFra
 
 
 def detect(matrix: DataFrame, columns: list[str], trees: int = TREES, k: int = NEIGHBOURS,
-           rescale: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(ensemble scores, forest)`` of a feature matrix; ``rescale`` standardises one that is not yet."""
+           rescale: bool = False, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(ensemble scores, forest)`` of a feature matrix; ``rescale`` standardises one that is not yet, ``exact`` is that of ``lof``."""
     if rescale:
         matrix = materialize(standardise(finite_or_zero(matrix, columns), columns), "matrix")
     forest = fit_forest(matrix, columns, trees)
     drawn = min(SAMPLE, matrix.count())
     iso = score_forest(matrix, forest, columns, drawn)
-    return ensemble(iso.join(lof(matrix, columns, k), "account_id")), forest
+    return ensemble(iso.join(lof(matrix, columns, k, exact=exact), "account_id")), forest

@@ -30,14 +30,14 @@ def sites(points: DataFrame, columns: list[str]) -> DataFrame:
     ).select("site", "weight", "v")
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         total += (a[:, j, None] - b[None, :, j]) ** 2
     return np.sqrt(total)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
@@ -45,7 +45,7 @@ def _bounds(stats: pd.DataFrame, pivots: np.ndarray, k: int) -> np.ndarray:
     """Per cell, how far from its pivot a site may lie and still be a neighbour of one of its sites."""
     radius = np.zeros(len(pivots))
     radius[stats["cell"]] = stats["radius"]
-    between = _distances(pivots, pivots)
+    between = distances(pivots, pivots)
     near = stats[stats["n"] > 0]
     cells, d, weight = near["cell"].to_numpy(), near["d"].to_numpy(), near["weight"].to_numpy()
     reach = np.full(len(pivots), -1.0)
@@ -66,12 +66,12 @@ def nearest(all_sites: DataFrame, k: int, pivots: int | None = None, chunk: int
     """
     stored, n = materialize_counted(all_sites, "sites")
     wanted = min(MAX_PIVOTS, max(1, int(n**0.5 / 4))) if pivots is None else min(pivots, MAX_PIVOTS)
-    centre = _matrix(smallest_hashes(stored, "site", wanted).select("v").toPandas()["v"])
+    centre = matrix(smallest_hashes(stored, "site", wanted).select("v").toPandas()["v"])
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
-                d = _distances(_matrix(pdf["v"]), centre)
+                d = distances(matrix(pdf["v"]), centre)
                 pdf["cell"] = d.argmin(axis=1).astype("int32")
                 pdf["d"] = d.min(axis=1)
                 yield pdf
@@ -91,7 +91,7 @@ def nearest(all_sites: DataFrame, k: int, pivots: int | None = None, chunk: int
     def send(batches):
         for pdf in batches:
             if len(pdf):
-                row, cell = np.nonzero(_distances(_matrix(pdf["v"]), centre) <= reach[None, :])
+                row, cell = np.nonzero(distances(matrix(pdf["v"]), centre) <= reach[None, :])
                 out = pdf.iloc[row][["site", "weight", "v"]].copy()
                 out["cell"] = cell.astype("int32")
                 yield out
@@ -120,7 +120,7 @@ def nearest(all_sites: DataFrame, k: int, pivots: int | None = None, chunk: int
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"site": [], "neighbour": [], "distance": [], "weight": []})
-        d = _distances(_matrix(left["v"]), _matrix(right["v"]))
+        d = distances(matrix(left["v"]), matrix(right["v"]))
         names, weights = right["site"].to_numpy(), right["weight"].to_numpy()
         by_name = np.argsort(names, kind="stable")
         d, names, weights = d[:, by_name], names[by_name], weights[by_name]

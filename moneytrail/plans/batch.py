@@ -13,12 +13,13 @@ from moneytrail.sources.edges import build_transfers, write_back_risk
 
 def run(spark: SparkSession, transactions: DataFrame, accounts: DataFrame, out: str, as_of: str,
         params: dict | None = None, reuse_features: bool = False, trees: int = anomaly.TREES,
-        samples: int | None = centrality.SAMPLES) -> DataFrame:
+        samples: int | None = centrality.SAMPLES, exact_neighbours: bool = True) -> DataFrame:
     """Score all accounts and return the run summary.
 
     Writes transfers, features, detections, node scores, anomaly scores, explanations, risk scores, alerts,
     reports, updated accounts, the models and the summary below ``out``. With ``reuse_features`` a feature table of
-    the last hour is taken instead of a new one.
+    the last hour is taken instead of a new one. Without ``exact_neighbours`` the outlier factors take approximate neighbours,
+    for more accounts than exact search can serve.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
     transfers_path = f"{out}/transfers"
@@ -49,7 +50,7 @@ def run(spark: SparkSession, transactions: DataFrame, accounts: DataFrame, out:
     tables.write_table(nodeclf.score(model, wide), f"{out}/node_scores")
     node_scores = spark.read.parquet(f"{out}/node_scores")
 
-    ensemble, forest = anomaly.detect(matrix, columns, trees)
+    ensemble, forest = anomaly.detect(matrix, columns, trees, exact=exact_neighbours)
     tables.write_table(forest, f"{out}/models/forest")
     tables.write_table(ensemble, f"{out}/anomaly_scores")
     anomalies = spark.read.parquet(f"{out}/anomaly_scores")

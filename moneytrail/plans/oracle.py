@@ -605,14 +605,17 @@ _STEPS = {
     **dict.fromkeys(("total_sent_30d", "total_received_30d", "avg_txn_amount", "max_single_txn", "std_txn_amount"), 100),
     "velocity_7d": 0.01, "night_txn_ratio": 0.01,
 }
+STEPPED = {
+    **FEAT, **FILLED,
+    "pts": "select *, min(account_id) over (partition by " + ", ".join(_BEHAVIOUR) + ") as site from (select account_id, " + ", ".join(
+        f"round({c} / {_STEPS.get(c, 1)}::double) as {c}" for c in _BEHAVIOUR) + " from filled) z",
+}
 add("lof", """
 select p.account_id, round(-(l.around / 20) / q.density, 6) as lof_score
 from pts p
 join (select u.id, sum(t.density) as around from lookup u join fitted t on t.id = u.other group by u.id) l on l.id = p.account_id
 join (select u.id, 1 / (sum(greatest(u.d, k.kd)) / 20 + 1e-10) as density from lookup u join kdist k on k.id = u.other group by u.id) q
-  on q.id = p.account_id""", **FEAT,
-    **FILLED, pts="select *, min(account_id) over (partition by " + ", ".join(_BEHAVIOUR) + ") as site from (select account_id, " + ", ".join(
-        f"round({c} / {_STEPS.get(c, 1)}::double) as {c}" for c in _BEHAVIOUR) + " from filled) z",
+  on q.id = p.account_id""", **STEPPED,
     dist="select x.account_id as id, y.account_id as other, x.site <> y.site as apart, y.site as place, sqrt("
          + " + ".join(f"(x.{c} - y.{c}) ** 2" for c in _BEHAVIOUR) + ") as d from pts x, pts y",
     lookup="select id, other, d from dist qualify row_number() over (partition by id order by apart, d, place, other) <= 20",
@@ -620,6 +623,14 @@ join (select u.id, 1 / (sum(greatest(u.d, k.kd)) / 20 + 1e-10) as density from l
     kdist="select id, max(d) as kd from others group by id",
     fitted="select o.id, 1 / (sum(greatest(o.d, k.kd)) / 20 + 1e-10) as density from others o join kdist k on k.id = o.other group by o.id")
 
+add("neighbour_recall", """
+select count(*) filter (id <> other) as wanted, true as enough from (
+  select id, other, sum(w) over (partition by id order by id <> other, d, other rows between unbounded preceding and 1 preceding) as before
+  from (select x.account_id as id, y.account_id as other, n.w, sqrt(""" + " + ".join(f"(x.{c} - y.{c}) ** 2" for c in _BEHAVIOUR) + """) as d
+        from pts x join pts y on x.account_id = x.site and y.account_id = y.site
+        join (select site, count(*) as w from pts group by site) n on n.site = y.account_id) z
+) l where coalesce(before, 0) < 21""", **STEPPED)
+
 add("anomaly_ensemble", """
 select account_id, cast(-txn_count_30d as double) as iso_score, cast(-account_age_days as double) as lof_score,
        -txn_count_30d < (select quantile_cont(cast(-txn_count_30d as double), 0.08) from feat) as iso_is_anomaly,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from moneytrail.functions.columns import text_of
 from moneytrail.operators import alerts as alert_ops
 from moneytrail.operators import (
-    anomaly, centrality, explain, export, features, nodeclf, patterns, quality, report, risk, traverse,
+    anomaly, centrality, explain, export, features, neighbours, nodeclf, patterns, projections, quality, report, risk, traverse,
 )
 from moneytrail.operators.cycles import circular, trails
 from moneytrail.scratch import materialize, scratch_path
@@ -640,14 +640,26 @@ def iforest(spark, sf_dir):
     return anomaly.score_forest(matrix, forest, features.FEATURES, min(anomaly.SAMPLE, matrix.count()))
 
 
-@query
-def lof(spark, sf_dir):
-    """Over all features of behaviour in whole steps."""
+def behaviour_steps(spark, sf_dir):
+    """All features of behaviour in whole steps."""
     filled = features.fill_gaps(behaviour(spark, sf_dir))
-    steps = filled.select("account_id", *[
+    return materialize(filled.select("account_id", *[
         F.round(F.col(c).cast("double") / STEPS.get(c, 1)).alias(c) for c in features.BEHAVIOUR
-    ])
-    return rounded(anomaly.lof(materialize(steps, "matrix"), features.BEHAVIOUR), 6, "lof_score")
+    ]), "matrix")
+
+
+@query
+def lof(spark, sf_dir):
+    return rounded(anomaly.lof(behaviour_steps(spark, sf_dir), features.BEHAVIOUR), 6, "lof_score")
+
+
+@query
+def neighbour_recall(spark, sf_dir):
+    """How many nearest neighbours there are, and whether projection tables find nine of ten or more of them."""
+    sites = materialize(neighbours.sites(behaviour_steps(spark, sf_dir), features.BEHAVIOUR), "sites")
+    exact = neighbours.nearest(sites, anomaly.NEIGHBOURS)
+    found = projections.recall(projections.nearest_approximate(sites, anomaly.NEIGHBOURS), exact)
+    return found.select("wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query
