@@ -99,25 +99,32 @@ def fit_forest(matrix: DataFrame, columns: list[str], trees: int = TREES, sample
 class Forest:
     """Stored trees as arrays. Their size depends on the forest settings only, not on the data."""
 
+    #: Rows walked at once.
+    SLICE = 1024
+
     def __init__(self, trees: DataFrame):
-        table = trees.toPandas().sort_values(["tree", "node"])
-        fields = ("feature", "threshold", "low", "high", "path")
-        self.trees = [tuple(t[c].to_numpy() for c in fields) for _, t in table.groupby("tree")]
+        table = trees.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
+        first = table.groupby("tree").head(1).index.to_numpy()
+        offset = np.repeat(first, np.diff([*first, len(table)]))
+        inner = table["feature"].to_numpy() >= 0
+        own = np.arange(len(table))
+        # a leaf leads to itself, so all trees are walked together
+        self.roots, self.path = first, table["path"].to_numpy()
+        self.feature, self.threshold = np.where(inner, table["feature"], 0), table["threshold"].to_numpy()
+        self.low, self.high = (np.where(inner, table[c] + offset, own) for c in ("low", "high"))
 
     def mean_paths(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, threshold, low, high, path in self.trees:
-            at = np.zeros(len(x), dtype=int)
-            while True:
-                split = feature[at]
-                inner = split >= 0
-                if not inner.any():
-                    break
-                goes_low = x[rows, np.maximum(split, 0)] <= threshold[at]
-                at = np.where(inner, np.where(goes_low, low[at], high[at]), at)
-            total += path[at]
-        return total / len(self.trees)
+        parts = [self._mean_paths(x[at:at + self.SLICE]) for at in range(0, len(x), self.SLICE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _mean_paths(self, x: np.ndarray) -> np.ndarray:
+        rows = np.arange(len(x))[:, None]
+        at = np.tile(self.roots, (len(x), 1))
+        while True:
+            after = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.low[at], self.high[at])
+            if (after == at).all():
+                return self.path[at].sum(axis=1) / len(self.roots)
+            at = after
 
 
 def score_forest(matrix: DataFrame, trees: DataFrame, columns: list[str], drawn: int) -> DataFrame:

@@ -1,6 +1,8 @@
 """Which features drive a score, and the sentences that say so."""
 
 from functools import reduce
+from hashlib import md5
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -8,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import fixed
+from moneytrail.functions.ranking import smallest_hashes
 from moneytrail.operators.anomaly import Forest, mean_path
 from moneytrail.operators.quality import finite_or_zero
+from moneytrail.scratch import materialize
 
 TOP = 5
+#: Orders of features and background accounts that forest contributions are sampled from.
+PERMUTATIONS, BACKGROUND, SEED = 16, 8, 42
 
 # What the features are called in a sentence.
 DESCRIPTIONS = {
@@ -146,6 +152,78 @@ def explain_forest(matrix: DataFrame, trees: DataFrame, columns: list[str], draw
     ).alias("explanation"))
 
 
+def permutations_of(columns: list[str], count: int | None, seed: int) -> list[list[int]]:
+    """``count`` orders of the columns, each followed by its reverse, by hashes of seed, number and name; without a count all."""
+    if count is None:
+        return [list(p) for p in permutations(range(len(columns)))]
+    orders: list[list[int]] = []
+    for m in range((count + 1) // 2):
+        order = sorted(range(len(columns)), key=lambda j: md5(f"{seed}:{m}:{columns[j]}".encode()).digest())
+        orders += [order, order[::-1]]
+    return orders
+
+
+def forest_contributions(matrix: DataFrame, trees: DataFrame, columns: list[str], drawn: int, count: int | None = PERMUTATIONS,
+                         background: int = BACKGROUND, seed: int = SEED, only: DataFrame | None = None) -> DataFrame:
+    """Shapley values of the isolation score: account_id, base, score, and ``shares``, one per column.
+
+    A feature's share is the mean of what it adds to the score when the features of an account take the place of those of a
+    background account one by one, over sampled orders of the features. ``base`` is the mean score of the ``background``
+    accounts, those with the smallest hashes of their ids, so that shares add up to score - base. Every pair of an order and
+    its reverse meets one of them in turn; without a ``count`` all orders meet all of them, which is exact and meant for few
+    features. ``only`` names the ``account_id``s to explain, by default all. Repeatable: orders and background come from ``seed``.
+    """
+    forest = Forest(trees)
+    expected = mean_path(drawn) or 1.0
+    clean = materialize(finite_or_zero(matrix.select("account_id", *columns), columns), "explained")
+    # bounded by ``background``, whatever the number of accounts
+    behind = smallest_hashes(clean, "account_id", background, seed).toPandas().sort_values("account_id")[columns].to_numpy(dtype=float)
+    orders = permutations_of(columns, count, seed)
+    if count is None:
+        walks = [(order, z) for order in orders for z in behind]
+    else:
+        # whole rounds through the background, so that its rows count alike
+        rounds = -(-max(1, len(orders) // 2) // max(1, len(behind))) * len(behind)
+        orders = permutations_of(columns, 2 * rounds, seed)
+        walks = [(order, behind[i // 2 % len(behind)]) for i, order in enumerate(orders)]
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        return np.exp2(-forest.mean_paths(x) / expected)
+
+    def run(batches):
+        base = float(scores(behind).mean()) if len(behind) else 0.0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = pdf[columns].to_numpy(dtype=float)
+            shares = np.zeros_like(x)
+            for order, z in walks:
+                mixed = np.tile(z, (len(x), 1))
+                before = np.full(len(x), scores(z[None])[0])
+                for j in order:
+                    mixed[:, j] = x[:, j]
+                    after = scores(mixed)
+                    shares[:, j] += after - before
+                    before = after
+            yield pd.DataFrame({
+                "account_id": pdf["account_id"], "base": base, "score": scores(x), "shares": list(shares / max(1, len(walks))),
+            })
+
+    explained = clean if only is None else clean.join(only.select("account_id"), "account_id", "left_semi")
+    return explained.mapInPandas(run, "account_id string, base double, score double, shares array<double>")
+
+
+def explain_forest_shapley(matrix: DataFrame, trees: DataFrame, columns: list[str], drawn: int, top: int = TOP,
+                           only: DataFrame | None = None, **sampling) -> DataFrame:
+    """The strongest features of ``forest_contributions`` per account, as ``explain_forest`` gives them."""
+    found = forest_contributions(matrix, trees, columns, drawn, only=only, **sampling)
+    clean = finite_or_zero(matrix.select("account_id", *columns), columns)
+    shares = {c: F.get("shares", F.lit(i)) for i, c in enumerate(columns)}
+    return found.join(clean, "account_id").select(
+        "account_id", top_features(shares, {c: F.col(c) for c in columns}, top).alias("explanation")
+    )
+
+
 def anomaly_text(account: Column, score: Column, explanation: Column) -> Column:
     """``Account X flagged with anomaly score 0.71. Key factors: ...`` with the first three features."""
     def factor(x):

@@ -64,9 +64,7 @@ def run(spark: SparkSession, transactions: DataFrame, accounts: DataFrame, out:
 
     drawn = min(anomaly.SAMPLE, matrix.count())
     by_model = explain.explain_linear(wide, explain.model_weights(model), only=raised)
-    by_forest = explain.explain_forest(
-        matrix.join(raised.select("account_id"), "account_id", "left_semi"), forest, columns, drawn
-    )
+    by_forest = explain.explain_forest_shapley(matrix, forest, columns, drawn, only=raised)
     said = (
         raised.select("account_id", "risk_score", "risk_tier", "triggered_patterns")
         .join(node_scores, "account_id", "left")

@@ -631,6 +631,8 @@ select count(*) filter (id <> other) as wanted, true as enough from (
         join (select site, count(*) as w from pts group by site) n on n.site = y.account_id) z
 ) l where coalesce(before, 0) < 21""", **STEPPED)
 
+add("forest_contributions", f"select account_id, cast({len(_BEHAVIOUR)} as bigint) as features, true as adds_up from feat", **FEAT)
+
 add("anomaly_ensemble", """
 select account_id, cast(-txn_count_30d as double) as iso_score, cast(-account_age_days as double) as lof_score,
        -txn_count_30d < (select quantile_cont(cast(-txn_count_30d as double), 0.08) from feat) as iso_is_anomaly,

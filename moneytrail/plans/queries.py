@@ -705,6 +705,21 @@ def anomaly_explanations(spark, sf_dir):
     ).select("account_id", "text", "x.*")
 
 
+@query
+def forest_contributions(spark, sf_dir):
+    """For every account whether its Shapley values add up to its score less the mean score of the background."""
+    matrix = behaviour_steps(spark, sf_dir)
+    forest = anomaly.fit_forest(matrix, features.BEHAVIOUR)
+    drawn = min(anomaly.SAMPLE, matrix.count())
+    found = explain.forest_contributions(matrix, forest, features.BEHAVIOUR, drawn)
+    scored = anomaly.score_forest(matrix, forest, features.BEHAVIOUR, drawn)
+    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
+    return found.join(scored, "account_id").select(
+        "account_id", F.size("shares").cast("bigint").alias("features"),
+        (F.abs(total - (-F.col("iso_score") - F.col("base"))) < 1e-9).alias("adds_up"),
+    )
+
+
 @query
 def readable_features(spark, sf_dir):
     rows = behaviour(spark, sf_dir).select("account_id", F.explode(F.array(*[

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -5,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from moneytrail.functions.ranking import exact_quantile, roc_auc, running_total
+from moneytrail.functions.ranking import exact_quantile, roc_auc, running_total, smallest_hashes
 from moneytrail.operators import anomaly, explain, nodeclf
 from moneytrail.operators.neighbours import nearest, sites
 
@@ -221,3 +222,73 @@ def test_forest_explanation_names_the_odd_feature(spark, points, cloud):
             F.lit("x").alias("feature"), F.lit("increases_risk").alias("direction"), F.lit(0.25).alias("shap_value"))))
     ).head()[0]
     assert text == "Account p flagged with anomaly score 0.71. Key factors: x (increases risk, SHAP: 0.250)."
+
+
+def all_subsets(forest, expected, x, behind):
+    """Shapley values by their definition: over all sets of features, the others taken from every background row."""
+    d = len(x)
+
+    def worth(inside):
+        mixed = behind.copy()
+        mixed[:, list(inside)] = x[list(inside)]
+        return float(np.exp2(-forest.mean_paths(mixed) / expected).mean())
+
+    values = {s: worth(s) for n in range(d + 1) for s in itertools.combinations(range(d), n)}
+    out = np.zeros(d)
+    for s, value in values.items():
+        weight = math.factorial(len(s)) * math.factorial(d - len(s) - 1) / math.factorial(d) if len(s) < d else 0
+        for j in set(range(d)) - set(s):
+            out[j] += weight * (values[tuple(sorted((*s, j)))] - value)
+    return out
+
+
+@pytest.fixture(scope="module")
+def six(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(120, 6))
+    v[7, 2] = 9.0
+    columns = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame([(f"p{i:03d}", *map(float, r)) for i, r in enumerate(v)], "account_id string, " + ", ".join(f"{c} double" for c in columns))
+    return df, v, columns, anomaly.fit_forest(df, columns, trees=20)
+
+
+def test_shapley_values_equal_full_enumeration(six):
+    """All orders of six features give the values of the definition; sampled ones come near and add up too."""
+    df, v, columns, trees = six
+    forest, expected = anomaly.Forest(trees), anomaly.mean_path(120)
+    only = df.where("account_id in ('p000', 'p007', 'p050')")
+    exact = {r.account_id: r for r in explain.forest_contributions(df, trees, columns, 120, count=None, background=3, only=only).collect()}
+    names = sorted(r.account_id for r in smallest_hashes(df, "account_id", 3, explain.SEED).collect())
+    behind = v[[int(n[1:]) for n in names]]
+    for name, r in exact.items():
+        assert np.allclose(r.shares, all_subsets(forest, expected, v[int(name[1:])], behind), atol=1e-12)
+        assert sum(r.shares) == pytest.approx(r.score - r.base)
+    assert np.argmax(exact["p007"].shares) == 2
+    sampled = {r.account_id: r for r in explain.forest_contributions(df, trees, columns, 120, count=64, background=3, only=only).collect()}
+    for name, r in sampled.items():
+        assert sum(r.shares) == pytest.approx(r.score - r.base) and r.base == pytest.approx(exact[name].base)
+        assert np.abs(np.array(r.shares) - exact[name].shares).max() < 0.03
+
+
+def test_shapley_values_are_repeatable(six):
+    df, _, columns, trees = six
+    one, other = ({r.account_id: r.shares for r in explain.forest_contributions(d, trees, columns, 120, count=4).collect()} for d in (df, df.repartition(5)))
+    assert one == other and len(one) == 120
+    top = {r.account_id: r.explanation for r in explain.explain_forest_shapley(df, trees, columns, 120, count=8).collect()}
+    assert top["p007"][0].feature == "f2" and top["p007"][0].direction == "increases_risk" and len(top) == 120
+    assert explain.forest_contributions(df.limit(0), trees, columns, 120).collect() == []
+
+
+def test_forest_walks_all_trees_together(six):
+    df, v, columns, trees = six
+    forest = anomaly.Forest(trees)
+    nodes = {(r.tree, r.node): r for r in trees.collect()}
+
+    def path(tree, row):
+        node = nodes[tree, 0]
+        while node.feature >= 0:
+            node = nodes[tree, node.low if row[node.feature] <= node.threshold else node.high]
+        return node.path
+
+    want = [sum(path(t, row) for t in range(20)) / 20 for row in v]
+    assert np.allclose(forest.mean_paths(v), want) and len(forest.mean_paths(v[:0])) == 0
