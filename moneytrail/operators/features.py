@@ -31,13 +31,18 @@ def moves(transfers: DataFrame) -> DataFrame:
     ).select("m.*", *rest)
 
 
+#: Relative standard deviation of approximate distinct counts.
+SKETCH_ERROR = 0.02
+
+
 def account_features(transfers: DataFrame, accounts: DataFrame, as_of: Column, only: str | None = None,
-                     activated: DataFrame | None = None) -> DataFrame:
+                     activated: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """Thirteen behavioural features per account, zero for accounts without transfers.
 
     Transfers that agree in account, direction, amount, time and counterparty count once. Sums are taken per
     counterparty before they are taken per account. ``activated`` (rows with ``account_id``) replaces the account
-    type as the sign of a dormant activation.
+    type as the sign of a dormant activation. With ``approximate``, counterparties are counted by sketches, within a few times
+    SKETCH_ERROR, and sums are taken per account at once.
     """
     past = transfers.where(F.col("ts") <= as_of).select("src", "dst", "ts", "amount")
     seen = moves(past)
@@ -50,7 +55,7 @@ def account_features(transfers: DataFrame, accounts: DataFrame, as_of: Column, o
     month, week = within_days(ts, as_of, 30), within_days(ts, as_of, 7)
     fortnight = within_days(ts, as_of, 14)
     night = (F.hour(ts) >= 23) | (F.hour(ts) < 5)
-    partial = seen.groupBy("account_id", "counterparty").agg(
+    sums = [
         F.sum(F.when(month & sent, amount)).alias("sent_30d"),
         F.sum(F.when(month & ~sent, amount)).alias("received_30d"),
         F.count_if(month).alias("n_30d"),
@@ -62,7 +67,11 @@ def account_features(transfers: DataFrame, accounts: DataFrame, as_of: Column, o
         F.count_if(fortnight & ~week & sent).alias("n_prev_7d"),
         F.count_if(night).alias("n_night"),
         F.max("ts").alias("last_ts"),
-    )
+    ]
+    if approximate:
+        counted = F.approx_count_distinct(F.when(month, F.col("counterparty")), SKETCH_ERROR).alias("counterparties")
+        return described(seen.groupBy("account_id").agg(*sums, counted), accounts, as_of, activated)
+    partial = seen.groupBy("account_id", "counterparty").agg(*sums)
     whole = partial.groupBy("account_id").agg(
         *[F.sum(c).alias(c) for c in (
             "sent_30d", "received_30d", "n_30d", "n", "total", "squares", "n_7d", "n_prev_7d", "n_night"
@@ -71,6 +80,11 @@ def account_features(transfers: DataFrame, accounts: DataFrame, as_of: Column, o
         F.max("largest").alias("largest"),
         F.max("last_ts").alias("last_ts"),
     )
+    return described(whole, accounts, as_of, activated)
+
+
+def described(whole: DataFrame, accounts: DataFrame, as_of: Column, activated: DataFrame | None = None) -> DataFrame:
+    """The thirteen features from the sums of each account with transfers."""
     joined = accounts.join(whole, "account_id", "left")
     if activated is not None:
         joined = joined.join(

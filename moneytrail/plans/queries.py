@@ -4,6 +4,7 @@ Results hold scalar columns only, so that they can be compared with SQL row by r
 """
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from moneytrail.functions.columns import text_of
 from moneytrail.operators import alerts as alert_ops
 from moneytrail.operators import (
-    anomaly, centrality, explain, export, features, neighbours, nodeclf, patterns, projections, quality, report, risk, traverse,
+    anomaly, centrality, daily, explain, export, features, neighbours, nodeclf, patterns, projections, quality, report, risk, traverse,
 )
 from moneytrail.operators.cycles import circular, trails
 from moneytrail.scratch import materialize, scratch_path
@@ -460,6 +461,35 @@ def account_features(spark, sf_dir):
     })
 
 
+@query
+def features_incremental(spark, sf_dir):
+    """Features from daily aggregates: first without two days and a part of a third, then refreshed for these alone."""
+    transfers, path = star.transfers(spark, sf_dir), scratch_path(spark, "daily")
+    late = (F.to_date("ts").isin(date(2024, 1, 10), date(2024, 1, 29))) | (F.col("ts") >= F.lit("2024-01-30 06:00:00").cast("timestamp_ntz"))
+    early = transfers.where(~late)
+    daily.refresh(early, path, daily.changed_days(early))
+    daily.refresh(transfers, path, daily.changed_days(transfers.where(late)))
+    found = daily.account_features(path, transfers, star.accounts(spark, sf_dir), datetime.fromisoformat(star.AS_OF))
+    return rounded(
+        found, 4, "avg_txn_amount", "std_txn_amount", "velocity_7d", "night_txn_ratio", "sent_received_ratio"
+    ).withColumns({c: F.col(c).cast("bigint") for c in ("account_age_days", "is_dormant_activated", "days_since_last_txn")})
+
+
+@query
+def counterparty_sketches(spark, sf_dir):
+    """Counterparties of the month: the exact count, and whether both sketched counts are within a twentieth, or one, of it."""
+    transfers, accounts, path = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir), scratch_path(spark, "daily")
+    daily.refresh(transfers, path, daily.changed_days(transfers))
+    name, exact = "unique_counterparties_30d", behaviour(spark, sf_dir)
+    merged = daily.account_features(path, transfers, accounts, datetime.fromisoformat(star.AS_OF), sketch=True)
+    at_once = features.account_features(transfers, accounts, AS_OF(), approximate=True)
+    rows = exact.select("account_id", name).join(merged.select("account_id", F.col(name).alias("merged")), "account_id").join(
+        at_once.select("account_id", F.col(name).alias("at_once")), "account_id"
+    )
+    bound = F.greatest(F.lit(1), F.col(name) / 20)
+    return rows.select("account_id", name, *[(F.abs(F.col(c) - F.col(name)) <= bound).alias(f"{c}_near") for c in ("merged", "at_once")])
+
+
 @query
 def activated_features(spark, sf_dir):
     """Features with the strict detector as the sign of a dormant activation."""
