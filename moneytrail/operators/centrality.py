@@ -79,15 +79,17 @@ def sample_accounts(accounts: DataFrame, samples: int, seed: int = 42) -> DataFr
     return smallest_hashes(accounts.select("account_id").distinct(), "account_id", samples, seed)
 
 
-def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None = SAMPLES, seed: int = 42) -> DataFrame:
+def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None = SAMPLES, seed: int = 42,
+                starts: DataFrame | None = None) -> DataFrame:
     """Share of shortest directed paths through each account, estimated from sampled start accounts.
 
     Path counts go forward level by level from all starts at once, dependencies come back the same way. The sum
     over the sample is scaled to all starts and to the (n-1)(n-2) ordered pairs of other accounts. ``samples=None``
-    starts everywhere and is exact.
+    starts everywhere and is exact; ``starts`` (rows with ``account_id``) takes the place of the sample.
     """
     ids, n = materialize_counted(accounts.select("account_id").distinct(), "accounts")
-    starts = ids if samples is None else sample_accounts(accounts, samples, seed)
+    if starts is None:
+        starts = ids if samples is None else sample_accounts(accounts, samples, seed)
     adjacency = Adjacency(
         directed_pairs(transfers).where("source <> target").select(F.col("source").alias("account_id"), F.col("target").alias("next")),
         "account_id",
@@ -200,11 +202,11 @@ def hops_to_flagged(transfers: DataFrame, accounts: DataFrame, max_hops: int | N
 
 
 def structural_features(transfers: DataFrame, accounts: DataFrame, degree: DataFrame, trails: DataFrame,
-                        samples: int | None = SAMPLES) -> DataFrame:
+                        samples: int | None = SAMPLES, starts: DataFrame | None = None) -> DataFrame:
     """The eight structural features of every account."""
     parts = together(
         transfers.sparkSession,
-        lambda: betweenness(transfers, accounts, samples),
+        lambda: betweenness(transfers, accounts, samples, starts=starts),
         lambda: clustering(transfers, accounts),
         lambda: page_rank(transfers, accounts),
         lambda: cycle_membership(trails, accounts),

@@ -481,6 +481,13 @@ where a.hop > 0 group by all""",
 select a.account_id, coalesce(share, 0) / (select greatest((count(*) - 1) * (count(*) - 2), 1) from accounts) as betweenness_centrality
 from accounts a left join through t on t.account_id = a.account_id""",
 }
+SAMPLED = {
+    "starts": "select account_id from accounts order by md5(account_id), account_id limit 100", **BETWEEN,
+    "through": BETWEEN["through"].replace("where a.hop > 0", "where a.hop > 0 and a.start in (select account_id from starts)"),
+    "betw": BETWEEN["betw"].replace(
+        "coalesce(share, 0) /", "coalesce(share, 0) * (select count(*) from accounts) / (select count(*) from starts) /"),
+}
+add("betweenness_sampled", "select account_id, round(betweenness_centrality, 9) as betweenness_centrality from betw", True, **SAMPLED)
 add("betweenness", "select account_id, round(betweenness_centrality, 9) as betweenness_centrality from betw", True, **BETWEEN)
 
 CLUSTER = {
@@ -521,7 +528,7 @@ _GAPS = {
 add("feature_matrix", "select account_id, " + ", ".join(
     f"round(case when stddev_pop({c}) over () <= 1e-14 * greatest(abs(avg({c}) over ()), 1) then 0 "
     f"else ({c} - avg({c}) over ()) / stddev_pop({c}) over () end, 6) as {c}" for c in _CHECKED) + " from wide", True,
-    **{**FEAT, **CYCLE_FEATURES, **HOPS, **BETWEEN, **CLUSTER, **RANK}, wide="select f.account_id, " + ", ".join(f"cast(coalesce({c}, {_GAPS.get(c, 0)}) as double) as {c}" for c in _CHECKED) + """
+    **{**FEAT, **CYCLE_FEATURES, **HOPS, **SAMPLED, **CLUSTER, **RANK}, wide="select f.account_id, " + ", ".join(f"cast(coalesce({c}, {_GAPS.get(c, 0)}) as double) as {c}" for c in _CHECKED) + """
 from (select *, total_sent_30d / (total_received_30d + 1) as sent_received_ratio from feat) f
 join (select account_id, in_degree, out_degree from deg) d on d.account_id = f.account_id
 left join (select account_id, 1 as is_in_cycle, longest as max_cycle_length from onc) o on o.account_id = f.account_id
