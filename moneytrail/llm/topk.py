@@ -20,18 +20,23 @@ SCALE = 1024
 LEVELS = 16
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 2048
-#: Components beyond this saturate, so that sums of products fit into 64 bits.
-LIMIT = 2**27
+#: Sums of products below this are computed as 64-bit numbers, larger ones as Python integers.
+LIMIT = 2.0**62
+LONG = 2**63 - 1
 #: Segments between two tries to prove the end, and the share of a block that is cheaper rescored than processed.
 STEPS, FEW = 48, 16
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, values floor(scale * x) and their number; without vectors that are null or hold null or non-finite components."""
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    floored = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), x.cast("double") * scale))).cast("int"))
+    """vec_id, values floor(scale * x) as exact floating-point numbers, and how many; without vectors that take no part."""
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
+
+    def floored(x):
+        # numbers from 2^53 on are whole
+        return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select(
-        "vec_id", floored.alias("v"), F.size("embedding").alias("dim")
+        "vec_id", F.transform("embedding", lambda x: floored(x.cast("double") * scale)).alias("v"), F.size("embedding").alias("dim")
     )
 
 
@@ -43,7 +48,7 @@ class ImpactIndex:
         dims, rows, bounds = [], [], []
         for d in range(vectors.shape[1]):
             size = np.abs(vectors[:, d])
-            level = size * LEVELS // (size.max() + 1)
+            level = (size * (LEVELS / (float(size.max()) + 1))).astype(np.int64)
             order = np.argsort(-level, kind="stable")
             cuts = np.flatnonzero(np.diff(level[order])) + 1
             for segment in np.split(order, cuts):
@@ -91,15 +96,29 @@ class ImpactIndex:
         return after
 
 
+def search_widely(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """Like ``ImpactIndex.search`` for products that 64 bits do not hold: all rows are scored with Python integers."""
+    factors = [int(x) for x in query]
+    scored = [(-sum(f * int(x) for f, x in zip(factors, row)), i) for i, row in zip(ids.tolist(), vectors) if i != query_id]
+    best = sorted(scored)[:k]
+    return [i for _, i in best], [min(LONG, max(-LONG - 1, -s)) for s, _ in best]
+
+
 def search_block(k: int):
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(block):
-            index = ImpactIndex(block["vec_id"].to_numpy(np.int64), np.vstack(block["v"].to_list()).astype(np.int64))
+            ids, vectors = block["vec_id"].to_numpy(np.int64), np.vstack(block["v"].to_list()).astype(np.float64)
+            largest, index = float(np.abs(vectors).max(initial=0)), None
             for query_id, vector in zip(queries["vec_id"], queries["v"]):
-                ids, scores = index.search(query_id, np.asarray(vector, dtype=np.int64), k)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                query = np.asarray(vector, dtype=np.float64)
+                if len(query) * largest * float(np.abs(query).max(initial=0)) < LIMIT and largest < LIMIT:
+                    index = index or ImpactIndex(ids, vectors.astype(np.int64))
+                    best, scores = index.search(query_id, query.astype(np.int64), k)
+                else:
+                    best, scores = search_widely(ids, vectors, query_id, query, k)
+                found.append(pd.DataFrame({"query_id": query_id, "vec_id": best, "score": scores}))
+        return pd.concat(found).astype("int64") if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return search
 
@@ -111,7 +130,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     a condition on vec_id. Ties go to the smaller vec_id; a query with fewer candidates gets all of them. Rows without
     vec_id, vectors that are null or hold null or non-finite components take no part; vectors meet only those of the same
     number of components, empty ones with score 0. A row is a query's own if it has its vec_id. Repeated rows are
-    candidates of their own; a repeated query is answered once. Components beyond 2^27 saturate.
+    candidates of their own; a repeated query is answered once. Scores are exact; one beyond a long is given as the nearest long,
+    and rows take no part whose scaled components are beyond a double.
     """
     rows = whole_numbers(vectors, scale)
     queries = rows.where(is_query).dropDuplicates(["vec_id", "v"])

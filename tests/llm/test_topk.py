@@ -69,3 +69,15 @@ def test_odd_rows(spark):
     got = found(table(spark, rows))
     assert got == brute(rows, lambda i: i is not None and i % 100 == 0)
     assert found(table(spark, [(0, [1.0])])) == [] and found(table(spark, rows).limit(0)) == []
+
+
+def test_large_components(spark):
+    """Scores are exact up to the size of a long, in one block with small vectors; beyond, they stop at its ends."""
+    rng = np.random.default_rng(6)
+    rows = [(0, [1e6]), (1, [2e6]), (2, [3e5])]
+    assert found(table(spark, rows)) == [(0, 1, 1, 2097152000000000000), (0, 2, 2, 314572800000000000)] == brute(rows, lambda i: i % 100 == 0)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4) * 10.0 ** rng.integers(-3, 5)]) for i in range(250)]
+    rows += [(300, [1e6, 0.0, 0.0, 1.0]), (301, [1e6, 2.0, 0.5, 0.0]), (302, [-1e6, 3.0, 1.0, 0.0])]
+    assert found(table(spark, rows)) == brute(rows, lambda i: i % 100 == 0)
+    beyond = found(table(spark, [(0, [1e20, 0.0]), (1, [1e20, 1.0]), (2, [-1e20, 1.0]), (3, [1.0, 1.0])]))
+    assert [r[2:] for r in beyond] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
