@@ -52,7 +52,7 @@ def mod97(account: Column) -> Column:
     turned = F.concat(F.substr(account, F.lit(5)), F.left(account, F.lit(4)))
 
     def step(acc, c):
-        code = F.ascii(c)
+        code = F.ascii(F.upper(c))
         return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
 
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
@@ -67,10 +67,26 @@ VALID = {
     "ip": lambda m: F.forall(F.split(m, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")).between(0, 3) & (F.left(F.concat(F.lit("000"), F.regexp_replace(p, "^0+", "")), F.lit(19)).try_cast("long") <= 255)),
     "card": lambda m: let(digits(m), lambda d: F.when(length_between(16, 19)(d), luhn(d)).otherwise(F.lit(False))),
     "phone": lambda m: length_between(8, 15)(digits(m)),
-    "iban": lambda m: let(F.translate(m, " ", ""), lambda a: F.when(length_between(15, 34)(a), mod97(a)).otherwise(F.lit(False))),
+    "iban": lambda m: let(F.translate(m, " ", ""), mod97),
     "ssn": lambda m: F.lit(True),
+    # a word or a sentence has no digits between its letters
+    "secret": lambda m: let(F.regexp_replace(m, r"^[^:=]*+[:=][\x20\"']*+", ""), lambda v: v.rlike("[A-Za-z]") & v.rlike("[0-9]")),
 }
 
+#: The length of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def iban_pattern() -> str:
+    """Country, check digits and as many more characters as the country has, spaces between them aside; in any case."""
+    by_length = [rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items()]
+    return rf"(?i)(?<![A-Z0-9])(?:{'|'.join(by_length)})(?![A-Z0-9])"
+
+
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base kinds, in their order:
 #: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+),
@@ -81,10 +97,16 @@ BASE = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|master|amex|credit|debit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|mobile|fax|whatsapp|telefon|llam|appel"),
 ]
-#: Kinds beyond the base. A number like a social security number has no checksum and needs a context word.
+#: Kinds beyond the base. A number like a social security number has no checksum and needs a context word; a secret is a value
+#: that is assigned to a name such as token.
 ADDED = [
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.9, "iban|account|bank|konto|cuenta|compte"),
+    Kind("iban", iban_pattern(), 0.9, "iban|account|bank|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, "ssn|social security", least=0.6),
+    Kind(
+        "secret",
+        r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passwor[dt]|passwd|pwd)[\"']?\x20?[:=]\x20?[\"']?[a-z0-9_/+.-]{12,}+",
+        0.7, "auth|bearer|login|credential|deploy",
+    ),
 ]
 
 
@@ -133,11 +155,13 @@ def listed(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a hash of their spans, and all spans as text, per document."""
+    """Counts of the base kinds, a hash of their spans, all spans as text and, in the same order, their scores, per document."""
     base = F.concat(*[F.col(f"pii_{k.name}") for k in BASE])
+    every = F.concat(base, *[F.col(f"pii_{k.name}") for k in ADDED])
     return found.select(
         "doc_id",
         *[F.size(f"pii_{k.name}").cast("long").alias(f"n_{k.name}") for k in BASE],
         F.sha2(listed(base), 256).alias("base_sha256"),
-        listed(F.concat(base, *[F.col(f"pii_{k.name}") for k in ADDED])).alias("spans"),
+        listed(every).alias("spans"),
+        F.array_join(F.transform(every, lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores"),
     )

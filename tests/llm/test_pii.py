@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -75,3 +76,43 @@ def test_checksums_and_context(documents):
 
 def test_empty(documents):
     assert pii.digest(pii.find(documents((1, "x")).limit(0))).collect() == []
+
+
+def account(country, length, rng):
+    """An account number with right check digits, in groups of four."""
+    rest = "".join(rng.choice("0123456789" if i % 3 else "0123456789ABCXYZ") for i in range(length - 4))
+    number = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    plain = f"{country}{98 - number % 97:02d}{rest}"
+    return " ".join(plain[i:i + 4] for i in range(0, length, 4))
+
+
+def test_account_numbers_among_other_capitals(documents):
+    rng = random.Random(1)
+    made = [account(c, n, rng) for n, countries in pii.IBAN_LENGTHS.items() for c in countries.split()]
+    texts = [
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "GB82 WEST 1234 5698 7654 32 Ref 123", "de89370400440532013000 x", "gb82 west 1234 5698 7654 32",
+        "DE89 3704 0044 0532 0130 001", "XDE89370400440532013000", "DE89 3704 0044 0532 0130 01", "ZZ89 3704 0044 0532 0130 00", "DE89\n3704 0044 0532 0130 00",
+        *[f"to {m} ABC 12 now" for m in made],
+    ]
+    want = [["DE89 3704 0044 0532 0130 00"], ["GB82 WEST 1234 5698 7654 32"], ["de89370400440532013000"], ["gb82 west 1234 5698 7654 32"], [], [], [], [], [], *[[m] for m in made]]
+    rows = pii.find(documents(*enumerate(texts))).orderBy("doc_id").collect()
+    assert [[s.value for s in r.pii_iban] for r in rows] == want
+
+
+def test_secrets_and_scores(documents):
+    rows = pii.digest(pii.find(documents(
+        (1, 'x token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y'), (2, "the token: of appreciation"), (3, "api_key=AB12cd34EF56gh78"),
+        (4, "password: correcthorsebattery"), (5, "call 4111111111111111 or a@b.cd"), (6, "tokens = " + "a1" * 9),
+    ))).orderBy("doc_id").collect()
+    assert [r.spans for r in rows][:4] == ["secret:2:51", "", "secret:0:24", ""]
+    assert rows[0].scores == "0.7" and rows[4].scores == "0.9,0.8" and rows[5].spans == "" and rows[1].scores == ""
+
+
+def test_catch_rate_of_planted_kinds(spark):
+    """Every email, address, card, phone and secret that plain forms show in the documents has a span."""
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find(docs)).collect()}
+    planted = {"email": r"[a-z.0-9]+@mail", "secret": r"token = \"[0-9a-f]{40}", "phone": r"\+[0-9]+ \([0-9]{3}\) 555-[0-9]{4}"}
+    for kind, form in planted.items():
+        has = [r.doc_id for r in docs.collect() if re.search(form, r.text or "")]
+        assert has and all(f"{kind}:" in spans[i] for i in has), kind
