@@ -53,6 +53,8 @@ NOISE_NAMES = re.compile(
     r"|newsletters?|subscribe|subscription|sidebars?|menus?|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|replies|respond"
     r"|related|recommended|share|sharing|social|widgets?|pager|pagination|toolbars?|login|signup)(?:$|[\s_-])", re.I
 )
+#: Names that tell how a part is laid out, not what it is: a page that has a menu is none.
+STATE_NAMES = re.compile(r"(?<!\S)(?:no|not|has|have|with|without|hide|show|is)[_-]\S*", re.I)
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
 
@@ -64,11 +66,12 @@ class Node:
 
     def __init__(self, tag: str, parent: "Node | None", attributes: dict[str, str]):
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+        kinds = STATE_NAMES.sub("", names)
         style = re.sub(r"\d+", "0", ".".join(sorted(names.split())))
         self.tag = tag
         self.path = f"{parent.path if parent else ''}/{tag}{'.' + style if style else ''}"
         inside = bool(parent and parent.content)
-        self.noise = bool(parent and parent.noise) or self._is_noise(tag, names, attributes, inside)
+        self.noise = bool(parent and parent.noise) or self._is_noise(tag, kinds, attributes, inside)
         self.content = inside or (tag in CONTENT and not self.noise)
 
     @staticmethod

@@ -108,3 +108,20 @@ def test_blocks_of_links_are_judged_by_their_recurrence(spark):
     got = texts(spark, *[page(i) for i in range(20)])
     assert all(got[i] == f"Story {i}.\nLinked sentence {i}" for i in range(20))
     assert texts(spark, ("u", "<article><p>Text</p><p><a href=x>All linked</a></p></article>"))[0] == "Text\nAll linked"
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content no-sidebar"><article><p>kept</p></article></div><div class="sidebar">gone</div>', "kept"),
+    ('<div id="page" class="has-menu with_footer"><p>kept</p></div><div class="menu">gone</div>', "kept"),
+    ('<body class="is-nav hide-cookie"><main><p>kept</p><div class="not-related ad">gone</div></main></body>', "kept"),
+])
+def test_names_of_layouts_cut_nothing(spark, page, want):
+    assert texts(spark, ("https://x.example/", page))[0] == want
+
+
+def test_repeated_rows_and_long_pages(spark):
+    """Repeated rows are rows of their own; a page of any length is read whole, at a cost in proportion."""
+    long = "<article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(60_000)) + "</article>"
+    got = sitetree.extract(spark.createDataFrame([(i, "u", p, "h", "t", 1, "l") for i, p in ((1, long), (2, "<p>same</p>"), (2, "<p>same</p>"))], SCHEMA)).collect()
+    assert [r.text.count("\n") for r in got if r.page_id == 1] == [59_999] and [r.text for r in got if r.page_id == 2] == ["same"] * 2
+    assert sitetree.extract(spark.createDataFrame([], SCHEMA)).columns == ["page_id", "url", "text", "n_chars"]
