@@ -206,7 +206,9 @@ def low_branches(rows: DataFrame, least: float, min_pages: int) -> DataFrame:
     """
     page = F.xxhash64(F.transform("blocks", lambda b: b["content"]))
     outside = F.min(F.when(~F.col("article"), F.col("factor")))  # within an article only contents count
-    seen = rows.select("host", page.alias("page"), F.explode("blocks").alias("b")).select("host", "page", "b.node", "b.content", "b.article", "b.factor")
+    # the page's code is made before its blocks become rows, or it would be made again for each of them
+    coded = rows.select("host", page.alias("page"), "blocks")
+    seen = coded.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.node", "b.content", "b.article", "b.factor")
     seen = seen.groupBy("host", "page", "node", "content").agg(outside.alias("outside"), F.min("factor").alias("factor"))
     contents = seen.groupBy("host", "node", "content").agg(F.count("*").alias("n"), F.min("outside").alias("outside"), F.min("factor").alias("factor"))
     shared = contents.groupBy("host", "node").agg(F.sum(F.col("n") * F.log("n")).alias("shared"), F.sum("n").alias("sum"), F.min("outside").alias("outside"))
