@@ -4,12 +4,16 @@ Searches go level by level and for many start accounts at once. Each level is wr
 only thing the driver sees is whether a level found anything.
 """
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.scratch import folded, materialize, materialize_counted
 
+logger = logging.getLogger(__name__)
+
 MAX_DEPTH = 4
 MAX_PATH = 10
 NODE_FIELDS = [
@@ -112,51 +116,115 @@ def induced_edges(transfers: DataFrame, members: DataFrame, group: str, keep: li
     )
 
 
+class Spread:
+    """Accounts reached from one end of the wanted pairs, level by level, each with the least account before it."""
+
+    def __init__(self, wanted: DataFrame, end: str, links: DataFrame, key: str, other: str):
+        self.end = end
+        self.adjacency = Adjacency(links.select(F.col(key).alias("account_id"), F.col(other).alias("next")), "account_id")
+        start = wanted.select(end, F.col(end).alias("account_id"), F.lit(None).cast("string").alias("previous")).distinct()
+        first, rows = materialize_counted(start, "frontier")
+        self.levels, self.rows, self.size = [first], rows, rows
+
+    @property
+    def frontier(self) -> DataFrame:
+        return self.levels[-1]
+
+    def grow(self, open_pairs: DataFrame) -> None:
+        """Add the next level of the ends that open pairs have."""
+        active = self.frontier.join(open_pairs.select(self.end).distinct(), self.end, "left_semi")
+        entered = entered_by(self.adjacency.step(active), self.end)
+        seen = _union(self.levels).select(self.end, "account_id")
+        level, self.size = materialize_counted(entered.join(seen, [self.end, "account_id"], "left_anti"), "frontier")
+        self.levels.append(level)
+        self.rows += self.size
+
+
+def entered_by(steps: DataFrame, *groups: str) -> DataFrame:
+    """Where steps lead, each account with the least one it is entered from."""
+    return steps.groupBy(*groups, F.col("next").alias("account_id")).agg(F.min("account_id").alias("previous"))
+
+
+def shortest_paths(links: DataFrame, pairs: DataFrame, max_hops: int) -> DataFrame:
+    """``(source, dest, path_length, accounts)`` of the pairs that have a path of at most ``max_hops`` links.
+
+    Both ends of the pairs spread, at each turn the one with fewer accounts at its edge, until they meet: then the sum of both
+    depths is the length of the pair's shortest paths. Accounts where both meet lie on one; from there the shortest paths are
+    followed on through the accounts the destination had reached, and then back from the destination through least
+    predecessors, which lie on shortest paths as well.
+    """
+    wanted = materialize(pairs.select("source", "dest").where("source <> dest").distinct(), "pairs")
+    forward, backward = Spread(wanted, "source", links, "src", "dst"), Spread(wanted, "dest", links, "dst", "src")
+    open_pairs, meetings = wanted, []
+    for hops in range(1, max_hops + 1):
+        side = forward if forward.size <= backward.size else backward
+        side.grow(open_pairs)
+        if not side.size:
+            break
+        f, b = len(forward.levels) - 1, len(backward.levels) - 1
+        near = open_pairs.join(forward.frontier.select("source", "account_id"), "source")
+        met = near.join(backward.frontier.select("dest", "account_id"), ["dest", "account_id"], "left_semi")
+        met, found = materialize_counted(met.select("source", "dest", "account_id"), "meetings")
+        if found:
+            meetings.append((f, b, met))
+            open_pairs = open_pairs.join(met.select("source", "dest").distinct(), ["source", "dest"], "left_anti")
+        # an end that reaches nothing more has no path to what it has not met
+        open_pairs = open_pairs.join(side.frontier.select(side.end).distinct(), side.end, "left_semi")
+        open_pairs, left = materialize_counted(open_pairs, "pairs")
+        if not left:
+            break
+    logger.info("paths: %d rows reached from sources, %d from destinations", forward.rows, backward.rows)
+    if not meetings:
+        return wanted.limit(0).select("source", "dest", F.lit(0).alias("path_length"), F.array("dest").alias("accounts"))
+
+    deepest = max(b for _, b, _ in meetings)
+    onward, at = [], None
+    for depth in range(deepest, 0, -1):
+        here = [met for _, b, met in meetings if b == depth] + ([at.select("source", "dest", "account_id")] if at is not None else [])
+        if not here:
+            continue
+        entered = entered_by(forward.adjacency.step(_union(here)), "source", "dest")
+        at = materialize(
+            entered.join(backward.levels[depth - 1].select("dest", "account_id"), ["dest", "account_id"], "left_semi"), "onward"
+        )
+        onward.append(at)
+
+    path = _union([
+        met.select("source", "dest").distinct().select("source", "dest", F.lit(f + b).alias("path_length")) for f, b, met in meetings
+    ]).withColumn("at", F.col("dest")).withColumn("accounts", F.array("dest"))
+
+    def walked(path: DataFrame, back: DataFrame, keys: list[str]) -> DataFrame:
+        """Paths one account longer at their start, where ``back`` knows the account before."""
+        return path.join(back, [*keys, "at"], "left").select(
+            "source", "dest", "path_length", F.coalesce("before", "at").alias("at"),
+            F.when(F.col("before").isNull(), F.col("accounts")).otherwise(F.array_prepend("accounts", F.col("before"))).alias("accounts"),
+        )
+
+    def pointers(levels: list[DataFrame], *keys: str) -> DataFrame:
+        return _union([x.select(*keys, F.col("account_id").alias("at"), F.col("previous").alias("before")) for x in levels])
+
+    if onward:
+        behind = pointers(onward, "source", "dest")
+        for _ in range(deepest):
+            path = walked(path, behind, ["source", "dest"])
+    if len(forward.levels) > 1:
+        behind = pointers(forward.levels[1:], "source")
+        for _ in range(max(f for f, _, _ in meetings)):
+            path = walked(path, behind, ["source"])
+    return path.drop("at")
+
+
 def fund_paths(transfers: DataFrame, accounts: DataFrame, pairs: DataFrame, max_hops: int = MAX_PATH) -> DataFrame:
     """One shortest directed path for each ``(source, dest)`` pair that has one of at most ``max_hops`` transfers.
 
     Among equally short paths each account is entered from the smallest predecessor id, and over the
-    smallest transfer id between the two. Sources stop spreading once all their destinations are met.
+    smallest transfer id between the two. See ``shortest_paths`` for the search.
     """
     # of parallel transfers only the smallest id can be on a path
     links = transfers.where("src <> dst").groupBy("src", "dst").agg(
         F.min_by(F.struct(*[c for c in EDGE_FIELDS if c not in ("src", "dst")]), "txn_id").alias("edge")
     )
-    wanted = materialize(pairs.select("source", "dest").where("source <> dest").distinct(), "pairs")
-    adjacency = Adjacency(links.select(F.col("src").alias("account_id"), F.col("dst").alias("next")), "account_id")
-    frontier = materialize(
-        wanted.select("source", F.col("source").alias("account_id"), F.lit(None).cast("string").alias("previous"), F.lit(0).alias("hop")).distinct(),
-        "frontier",
-    )
-    levels, open_pairs = [frontier], wanted
-    for hop in range(1, max_hops + 1):
-        active = frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
-        entered = (
-            adjacency.step(active)
-            .groupBy("source", F.col("next").alias("account_id"))
-            .agg(F.min("account_id").alias("previous"))
-            .withColumn("hop", F.lit(hop))
-        )
-        seen = _union(levels).select("source", "account_id")
-        frontier = materialize(entered.join(seen, ["source", "account_id"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-        met = frontier.select("source", F.col("account_id").alias("dest"))
-        open_pairs = materialize(open_pairs.join(met, ["source", "dest"], "left_anti"), "pairs")
-
-    tree = _union(levels)
-    path = wanted.join(
-        tree.select("source", F.col("account_id").alias("dest"), F.col("hop").alias("path_length"), F.col("previous").alias("at")),
-        ["source", "dest"],
-    ).withColumn("accounts", F.array("dest"))
-    back = tree.select("source", F.col("account_id").alias("at"), F.col("previous").alias("before"))
-    for _ in range(len(levels) - 1):
-        path = path.join(back, ["source", "at"], "left").select(
-            "source", "dest", "path_length", F.col("before").alias("at"),
-            F.when(F.col("at").isNull(), F.col("accounts")).otherwise(F.array_prepend("accounts", F.col("at"))).alias("accounts"),
-        )
-    path = materialize(path.drop("at"), "paths")
+    path = materialize(shortest_paths(links, pairs, max_hops), "paths")
 
     step = path.select(
         "source", "dest",

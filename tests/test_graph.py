@@ -212,3 +212,40 @@ def test_hops_to_flagged(transfers, accounts):
     moves = transfers(("F", "A", 1, 1), ("B", "A", 1, 1), ("C", "B", 1, 1), ("X", "Y", 1, 1))
     rows = C.hops_to_flagged(moves, accounts(("F", {"is_flagged": True}), *"ABCX"))
     assert {r.account_id: r.hop_count_to_flagged for r in rows.collect()} == {"F": 0, "A": 1, "B": 2, "C": 3, "X": None}
+
+
+def one_sided(edges, pairs, most):
+    """Breadth first from every source; every account is entered from the least one of the level before."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = {}
+    for source, dest in pairs:
+        before, level, hop = {source: None}, {source}, 0
+        while dest not in before and level and hop < most:
+            hop += 1
+            entered = {}
+            for a in sorted(level, reverse=True):
+                entered.update({b: a for b in after.get(a, ()) if b not in before})
+            before |= entered
+            level = set(entered)
+        if source != dest and dest in before:
+            path = [dest]
+            while path[0] != source:
+                path.insert(0, before[path[0]])
+            out[source, dest] = path
+    return out
+
+
+@pytest.mark.parametrize("seed, nodes, links, most", [(1, 30, 60, 10), (2, 60, 90, 10), (3, 40, 50, 4), (4, 12, 60, 10), (5, 50, 75, 1)])
+def test_paths_from_both_ends_equal_those_from_one(spark, seed, nodes, links, most):
+    """Sparse and dense graphs, many pairs of one source or one destination, pairs without a path, ties everywhere."""
+    rng = random.Random(seed)
+    names = [f"N{i:02d}" for i in range(nodes)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(links)}
+    edges = {(a, b) for a, b in edges if a != b}
+    pairs = {(rng.choice(names), rng.choice(names)) for _ in range(60)} | {(names[0], n) for n in names} | {(n, names[1]) for n in names}
+    table = spark.createDataFrame(sorted(edges), "src string, dst string")
+    found = traverse.shortest_paths(table, spark.createDataFrame(sorted(pairs), "source string, dest string"), most).collect()
+    assert {(r.source, r.dest): r.accounts for r in found} == one_sided(edges, pairs, most) and len(found) == len({(r.source, r.dest) for r in found})
+    assert all(r.path_length == len(r.accounts) - 1 for r in found)
