@@ -22,9 +22,14 @@ def recent_transfers(transfers: DataFrame, limit: int = RECENT) -> DataFrame:
     Spark keeps only the first ``limit`` rows per account on each side of the shuffle, so a busy account does
     not move all its transfers into one task.
     """
+    return newest_first(moves(transfers), limit).drop("sent")
+
+
+def newest_first(seen: DataFrame, limit: int) -> DataFrame:
+    """The latest ``limit`` moves of every account with their ``place``."""
     newest = Window.partitionBy("account_id").orderBy(F.desc("ts"), "txn_id", "counterparty", "sent")
-    return moves(transfers).withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit).select(
-        "account_id", "place", "txn_id", "amount", "txn_type", "ts", "counterparty", "is_fraud"
+    return seen.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit).select(
+        "account_id", "place", "txn_id", "amount", "txn_type", "ts", "counterparty", "sent", "is_fraud"
     )
 
 

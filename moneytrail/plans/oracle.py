@@ -100,6 +100,7 @@ from accounts a full join (
   select concat('ACC', lpad(cast(o_custkey + 1000 as varchar), 10, '0')) as account_id,
          'CURRENT' as account_type, arg_max(o_orderstatus, o_orderkey) as customer_name, false as is_flagged
   from orders group by o_custkey) b on a.account_id = b.account_id""")
+ORACLE["accounts_upsert_buckets"] = ORACLE["accounts_upsert"]
 
 add("risk_writeback", """
 select a.account_id, coalesce(u.risk, a.risk_score) as risk_score,
@@ -759,6 +760,7 @@ add("account_lookup", """
 select account_id, account_type, customer_name, customer_category, branch_code, kyc_status, cast(account_age_days as bigint) as account_age_days, risk_score, is_flagged
 from (select distinct dst as account_id from transfers) d left join accounts using (account_id)""")
 add("recent_transfers", "select account_id, place, txn_id, amount, txn_type, counterparty, is_fraud from recent", recent=RISK["recent"])
+ORACLE["recent_transfers_kept"] = ORACLE["recent_transfers"]
 add("narratives", """
 select x.account_id, concat_ws(' ', 'Account ' || x.account_id || ' is flagged ' || risk_tier || ' (score: ' || printf('%.0f', risk_score) || '/100).',
   case when p > 0.5 then 'The GNN model indicates ' || printf('%.0f', p * 100) || '% fraud probability based on account neighbourhood analysis.' end,

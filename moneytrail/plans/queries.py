@@ -17,7 +17,7 @@ from moneytrail.operators import (
 )
 from moneytrail.operators.cycles import circular, trails
 from moneytrail.scratch import materialize, scratch_path
-from moneytrail.sources import edges, star, tables
+from moneytrail.sources import buckets, edges, star, tables
 from moneytrail.streaming import history, inbox, sink
 from moneytrail.streaming import rules as rules_stream
 
@@ -83,17 +83,31 @@ def build_counters(spark, sf_dir):
     return edges.build_counts(star.transactions(spark, sf_dir), star.accounts(spark, sf_dir))
 
 
-@query
-def accounts_upsert(spark, sf_dir):
-    columns = ["account_id", "account_type", "customer_name", "is_flagged"]
-    batch = star.table(spark, sf_dir, "orders", star.ORDERS).select(
+UPSERTED = ["account_id", "account_type", "customer_name", "is_flagged"]
+
+
+def account_batch(spark, sf_dir):
+    return star.table(spark, sf_dir, "orders", star.ORDERS).select(
         F.expr("concat('ACC', lpad(cast(o_custkey + 1000 as string), 10, '0'))").alias("account_id"),
         F.lit("CURRENT").alias("account_type"),
         F.col("o_orderstatus").alias("customer_name"),
         F.lit(False).alias("is_flagged"),
         "o_orderkey",
     )
-    return edges.upsert_accounts(star.accounts(spark, sf_dir).select(columns), batch, "o_orderkey")
+
+
+@query
+def accounts_upsert(spark, sf_dir):
+    return edges.upsert_accounts(star.accounts(spark, sf_dir).select(UPSERTED), account_batch(spark, sf_dir), "o_orderkey")
+
+
+@query
+def accounts_upsert_buckets(spark, sf_dir):
+    """The same on a table in buckets, of which the batch rewrites its own."""
+    path = scratch_path(spark, "account-buckets")
+    buckets.create(star.accounts(spark, sf_dir).select(UPSERTED), path, 16)
+    buckets.upsert(path, account_batch(spark, sf_dir), "o_orderkey")
+    return buckets.read(spark, path)
 
 
 @query
@@ -880,6 +894,17 @@ def recent_transfers(spark, sf_dir):
     return rows.drop("ts").withColumn("place", F.col("place").cast("bigint"))
 
 
+@query
+def recent_transfers_kept(spark, sf_dir):
+    """The same kept up over three batches in no order of time."""
+    transfers, path = star.transfers(spark, sf_dir), scratch_path(spark, "latest")
+    part = F.pmod(F.xxhash64("txn_id"), F.lit(3))
+    buckets.create_latest(transfers.where(part == 0), path, 16)
+    for n in (1, 2):
+        buckets.add_latest(path, transfers.where(part == n))
+    return buckets.latest(spark, path).drop("ts").withColumn("place", F.col("place").cast("bigint"))
+
+
 @query
 def narratives(spark, sf_dir):
     said = raised(spark, sf_dir).join(proxy_scores(spark, sf_dir), "account_id").withColumnRenamed(

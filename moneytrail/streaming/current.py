@@ -15,7 +15,6 @@ A repeated batch finds the same and replaces its own rows. Late transfers count
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +23,7 @@ from moneytrail.functions.columns import look_back
 from moneytrail.functions.skew import hot_keys, salted_join
 from moneytrail.operators import cycles, patterns
 from moneytrail.scratch import materialize, together
+from moneytrail.sources.tables import read_or_empty
 
 STEP = "struct<src string, dst string, txn_id string, amount double, ts timestamp_ntz>"
 SCHEMAS = {
@@ -48,16 +48,6 @@ def put(rows: DataFrame, folder: str, name: str, day: Column, batch_id: int) ->
     )
 
 
-def read_or_empty(spark: SparkSession, schema: T.StructType, base: str, path: str) -> DataFrame:
-    """The files below a path pattern, or no rows if nothing matches it."""
-    try:
-        return spark.read.schema(schema).option("basePath", base).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def stored(spark: SparkSession, folder: str, name: str, since: datetime, until: datetime) -> DataFrame:
     """Rows of a table from the days ``since`` to ``until``, of whatever batch; only their folders are listed."""
     schema = T.StructType([

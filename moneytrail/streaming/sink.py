@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from moneytrail.operators import alerts as A
 from moneytrail.operators import patterns, risk
 from moneytrail.scratch import materialize, scratch_path
+from moneytrail.sources.tables import read_or_empty
 from moneytrail.streaming import current
 
 #: Batches after which the sums of credits are written anew.
@@ -67,7 +68,7 @@ def credit_sums(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     read = spark.read.schema("account_id string, credit_count bigint, total_suspicious_amount double")
     rows = read.parquet(f"{folder}/credits/batch_id={{{later}}}")
     before = f"{folder}/credit_sums/before={base}"
-    rows = rows.unionByName(read.parquet(before) if base else current.read_or_empty(spark, rows.schema, before, before))
+    rows = rows.unionByName(read.parquet(before) if base else read_or_empty(spark, rows.schema, before, before))
     return rows.groupBy("account_id").agg(*[F.sum(c).alias(c) for c in ("credit_count", "total_suspicious_amount")])
 
 
