@@ -1,13 +1,17 @@
 """Alerts: making them, listing them, their statistics, details and status changes."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import fixed
+from moneytrail.functions.ranking import running_total
 from moneytrail.operators.risk import tier_counts
 from moneytrail.schema import ALERT_STATUSES, RISK_TIERS
+from moneytrail.scratch import materialize
 
 PAGE_MAX = 200
+#: The listing of all tiers.
+ALL_TIERS = "ALL"
 RISK_UNIT = 10_000
 EVIDENCE_FLOOR = 10
 
@@ -57,6 +61,40 @@ def alert_page(alerts: DataFrame, tier: str | None = None, limit: int = 50, offs
     )
 
 
+def store_pages(alerts: DataFrame, path: str, block_rows: int = 100 * PAGE_MAX) -> None:
+    """Store alerts in page order, once for all tiers and once by tier, in blocks of ``block_rows`` places.
+
+    Places come from range partitions and their totals, so no task orders all alerts. A page lies in one or two blocks.
+    """
+    listed = alerts.withColumn("listing", F.explode(F.array(F.lit(ALL_TIERS), F.col("risk_tier")))).withColumn("falling", -F.col("risk_score"))
+    placed = materialize(running_total(listed, ["listing", "falling", "account_id", "alert_id"], F.lit(1)), "placed-alerts")
+    # a listing for each tier
+    sizes = F.broadcast(placed.groupBy("listing").agg(F.min("before").alias("first"), F.count("*").alias("total")))
+    at = F.col("before") - F.col("first")
+    blocks = placed.join(sizes, "listing").withColumns({"place": at, "block": F.floor(at / block_rows).cast("int"), "block_rows": F.lit(block_rows)})
+    rows = blocks.drop("before", "first", "falling")
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
+    (
+        rows.repartition("listing", "block").sortWithinPartitions("place")
+        .write.mode("overwrite").partitionBy("listing", "block").parquet(f"{path}/pages")
+    )
+
+
+def stored_page(spark: SparkSession, path: str, tier: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """What ``alert_page`` gives, from the one or two blocks of ``store_pages`` that hold it."""
+    if not 1 <= limit <= PAGE_MAX or offset < 0:
+        raise ValueError(f"limit must be 1..{PAGE_MAX} and offset not negative")
+    stored = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/pages")
+    listing = stored.where(F.col("listing") == (tier.upper() if tier else ALL_TIERS))
+    start = listing.where(F.col("block") == 0).select("block_rows").head()
+    rows = start["block_rows"] if start else 1
+    page = listing.where(F.col("block").between(offset // rows, (offset + limit - 1) // rows))
+    return page.where(F.col("place").between(offset, offset + limit - 1)).orderBy("place").select(
+        "alert_id", "account_id", "risk_score", "risk_tier", "triggered_patterns", "status", "created_at",
+        "total", (F.lit(offset + limit) < F.col("total")).alias("has_more"),
+    )
+
+
 def alert_stats(alerts: DataFrame, top: int = 10) -> DataFrame:
     """``(section, item, value)``: total, count per tier, most frequent patterns, amount at risk."""
     by_tier = tier_counts(alerts).select(F.lit("by_tier").alias("section"), F.col("risk_tier").alias("item"), F.col("accounts").cast("double").alias("value"))

@@ -734,6 +734,7 @@ add("alert_page", """
 select account_id, risk_score, risk_tier, status, (select count(*) from alrt where risk_tier = 'MEDIUM') as total,
        30 < (select count(*) from alrt where risk_tier = 'MEDIUM') as has_more
 from alrt where risk_tier = 'MEDIUM' order by risk_score desc, account_id limit 20 offset 10""", True, **RISK)
+ORACLE["alert_page_stored"] = ORACLE["alert_page"]
 add("alert_stats", """
 select 'overall' as section, 'total_alerts' as item, cast(count(*) as double) as value from alrt
 union all select 'overall', 'total_amount_at_risk', round(coalesce(sum(risk_score * 10000) filter (risk_tier in ('HIGH', 'CRITICAL')), 0), 2) from alrt

@@ -845,6 +845,15 @@ def alert_page(spark, sf_dir):
     return page.select("account_id", "risk_score", "risk_tier", "status", "total", "has_more")
 
 
+@query
+def alert_page_stored(spark, sf_dir):
+    """The same page from stored blocks of 16 alerts."""
+    path = scratch_path(spark, "alert-pages")
+    alert_ops.store_pages(raised(spark, sf_dir), path, 16)
+    page = alert_ops.stored_page(spark, path, "medium", limit=20, offset=10)
+    return page.select("account_id", "risk_score", "risk_tier", "status", "total", "has_more")
+
+
 @query
 def alert_stats(spark, sf_dir):
     return alert_ops.alert_stats(raised(spark, sf_dir))

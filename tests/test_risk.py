@@ -78,6 +78,26 @@ def test_paging(spark, now):
         A.alert_page(alerts, limit=201)
 
 
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_stored_pages_equal_pages_by_offset(spark, now, tmp_path, block):
+    """Every page of every tier, ties in the score included, from at most two blocks."""
+    tiers = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+    alerts = spark.createDataFrame(
+        [(f"x{i}", f"A{i * 7 % 40:02d}", float(i // 3), tiers[i % 3], ["LAYERING"], "OPEN", "c") for i in range(40)],
+        "alert_id string, account_id string, risk_score double, risk_tier string, triggered_patterns array<string>, status string, created_at string",
+    )
+    path = str(tmp_path / "pages")
+    A.store_pages(alerts, path, block)
+    for tier in (None, "high", "LOW"):
+        for limit, offset in ((5, 0), (5, 5), (7, 6), (50, 0), (3, 39), (2, 60)):
+            page = A.stored_page(spark, path, tier, limit, offset)
+            assert page.collect() == A.alert_page(alerts, tier, limit, offset).collect(), (tier, limit, offset)
+    plan = A.stored_page(spark, path, None, 3, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "block#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    A.store_pages(alerts.limit(0), path, block)
+    assert A.stored_page(spark, path).collect() == []
+
+
 def test_statistics(spark, now):
     rows = {(r.section, r.item): r.value for r in A.alert_stats(A.make_alerts(make(spark, now), now)).collect()}
     assert rows == {
