@@ -7,13 +7,16 @@ are read from the transfers.
 """
 
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import days_before
+from moneytrail.operators.features import account_features as features_from
 from moneytrail.operators.features import described, moves
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, materialize_counted
 
 #: Logarithm of the buckets of a counterparty sketch: a relative error of about 1.04 / sqrt(2^LG).
 LG = 12
@@ -90,3 +93,42 @@ def account_features(path: str, transfers: DataFrame, accounts: DataFrame, as_of
     others = month_pairs.unionByName(cut_moves.where("month").select("account_id", "counterparty")).distinct()
     counted = others.groupBy("account_id").agg(F.count("*").alias("counterparties"))
     return described(sums.drop("sketch").join(counted, "account_id", "left"), accounts, now, activated)
+
+
+def stale_accounts(transfers: DataFrame, before: datetime, as_of: datetime) -> DataFrame:
+    """Accounts whose features of ``before`` no longer hold at ``as_of``: a transfer has come, or has left one of the windows."""
+    spans = [(before - timedelta(days=d), as_of - timedelta(days=d)) for d in (0, WEEK, FORTNIGHT, MONTH)]
+    days = sorted({a.date() + timedelta(days=n) for a, b in spans for n in range((b.date() - a.date()).days + 1)})
+    ts = F.col("ts")
+
+    def between(a: datetime, b: datetime) -> Column:
+        return (ts > F.lit(a).cast("timestamp_ntz")) & (ts <= F.lit(b).cast("timestamp_ntz"))
+
+    crossed = reduce(or_, [between(a, b) for a, b in spans])
+    return on_days(transfers, days).where(crossed).select(F.explode(F.array("src", "dst")).alias("account_id")).distinct()
+
+
+def refreshed(stored: DataFrame, transfers: DataFrame, accounts: DataFrame, before: datetime, as_of: datetime,
+              late: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Features at ``as_of`` from those stored for ``before``, and the number of accounts computed anew.
+
+    Anew are the stale accounts, those of ``late`` transfers (that came after ``before`` for a time up to it), and those not
+    stored. The others keep their sums; what they take from the account table and the days since their last transfer are brought up to date.
+    """
+    stale = stale_accounts(transfers, before, as_of)
+    if late is not None:
+        stale = stale.union(late.select(F.explode(F.array("src", "dst")).alias("account_id")))
+    stale = stale.union(accounts.select("account_id").join(stored, "account_id", "left_anti"))
+    again, n = materialize_counted(accounts.join(stale.distinct(), "account_id", "left_semi"), "stale-accounts")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    own = again.select("account_id")
+    moved = transfers.join(own.withColumnRenamed("account_id", "src"), "src", "left_semi").select(*transfers.columns).union(
+        transfers.join(own.withColumnRenamed("account_id", "dst"), "dst", "left_semi").select(*transfers.columns)
+    )
+    # equal moves count once, so a transfer between two stale accounts may come twice
+    anew = features_from(moved, again, now)
+    given = ["account_type", "is_flagged", "account_age_days"]
+    kept = stored.join(own, "account_id", "left_anti").drop(*given, "is_dormant_activated").join(
+        accounts.select("account_id", *given, (F.col("account_type") == "DORMANT").cast("int").alias("is_dormant_activated")), "account_id"
+    ).withColumn("days_since_last_txn", F.col("days_since_last_txn") + F.datediff(F.lit(as_of.date()), F.lit(before.date())))
+    return anew.unionByName(kept.select(*anew.columns)), n

@@ -437,7 +437,7 @@ select account_id, account_type, is_flagged, account_age_days, total_sent_30d, t
   days_since_last_txn, round(total_sent_30d / (total_received_30d + 1), 4) as sent_received_ratio
 from feat""", **FEAT)
 add("features_reused", "select account_id, total_sent_30d, txn_count_30d, max_single_txn from feat", **FEAT)
-ORACLE["features_incremental"] = ORACLE["account_features"]
+ORACLE["features_incremental"] = ORACLE["features_refreshed"] = ORACLE["account_features"]
 add("counterparty_sketches", "select account_id, unique_counterparties_30d, true as merged_near, true as at_once_near from feat", **FEAT)
 add("activated_features", """
 select account_id, cast(account_id in (select account_id from woken) as bigint) as is_dormant_activated, txn_count_30d from feat""",

@@ -489,6 +489,18 @@ def features_incremental(spark, sf_dir):
     ).withColumns({c: F.col(c).cast("bigint") for c in ("account_age_days", "is_dormant_activated", "days_since_last_txn")})
 
 
+@query
+def features_refreshed(spark, sf_dir):
+    """Features of the evening before, brought up to date for the accounts that something happened to."""
+    transfers, accounts = star.transfers(spark, sf_dir), star.accounts(spark, sf_dir)
+    before, as_of = datetime(2024, 1, 30, 18), datetime.fromisoformat(star.AS_OF)
+    stored = materialize(features.account_features(transfers, accounts, F.lit(before).cast("timestamp_ntz")), "stored-features")
+    found, _ = daily.refreshed(stored, transfers, accounts, before, as_of)
+    return rounded(
+        found, 4, "avg_txn_amount", "std_txn_amount", "velocity_7d", "night_txn_ratio", "sent_received_ratio"
+    ).withColumns({c: F.col(c).cast("bigint") for c in ("account_age_days", "is_dormant_activated", "days_since_last_txn")})
+
+
 @query
 def counterparty_sketches(spark, sf_dir):
     """Counterparties of the month: the exact count, and whether both sketched counts are within a twentieth, or one, of it."""

@@ -75,3 +75,21 @@ def test_no_transfers(spark, accounts, tmp_path):
     daily.refresh(df, str(tmp_path), [])
     found = daily.account_features(str(tmp_path), rows, accounts("Q"), datetime(2024, 2, 10)).head()
     assert found.txn_count_30d == 0 and found.unique_counterparties_30d == 0
+
+
+@pytest.mark.parametrize("before, as_of", [
+    (datetime(2024, 2, 3, 11), datetime(2024, 2, 3, 17)), (datetime(2024, 2, 3), datetime(2024, 2, 12, 5)), (datetime(2024, 2, 20), datetime(2024, 3, 20)),
+])
+def test_features_reused_in_part(spark, accounts, before, as_of):
+    """Equal to features made anew; only accounts that something happened to are computed."""
+    rows = [r for r in made(5, 150) if r[2] != "HUB" and r[3] != "HUB"] + [("q", START, "OLD1", "OLD2", 5.0, "UPI", False)]
+    late_rows = [("l", datetime(2024, 2, 1, 3), "A1", "OLD2", 7.0, "UPI", False)] if as_of.day == 17 or before.day == 20 else []
+    owners = accounts(*[f"A{i}" for i in range(13)], "OLD1", ("OLD2", {"account_type": "DORMANT"}), "NEW")
+    old = spark.createDataFrame(rows, SCHEMA)
+    stored = features.account_features(old, owners.where("account_id <> 'NEW'"), F.lit(before).cast("timestamp_ntz"))
+    late = spark.createDataFrame(late_rows, SCHEMA)
+    every = old.unionByName(late)
+    found, n = daily.refreshed(stored, every, owners, before, as_of, late)
+    want = features.account_features(every, owners, F.lit(as_of).cast("timestamp_ntz"))
+    assert values(found) == values(want.select(*found.columns))
+    assert 1 <= n < 16
