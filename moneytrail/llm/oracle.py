@@ -95,15 +95,17 @@ split as (
   select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
          list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
   from texts),
-windows as (select rid, words, unnest(range(1, len(words) - 3)) as i from split where len(words) > 4),
-again as (select rid, i from (select rid, i, count(*) over (partition by rid, array_to_string(words[i:i + 4], ' ')) as n from windows) w where n > 1),
+grams as (
+  select rid, list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) as g from split where len(words) > 4),
+windows as (select rid, unnest(g) as g, generate_subscripts(g, 1) as i from grams),
+again as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from windows) w where n > 1),
 covered as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 5)) as p from again) c group by rid),
 measured as (
   select doc_id, len(words) as n_words, coalesce(n, 0) as n_repeat_words, len(ls) as n_lines,
          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
          len(ls) - len(list_distinct(ls)) as n_dup_lines,
-         len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) as letters,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*')) as letters,
          len(list_filter(words, lambda w: w[-2:] = '!!')) as shouted,
          len(list_filter(words, lambda w: lower(rtrim(w, '.,;:!?')) in (@STOP_WORDS@))) as stops,
          len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\x09]*[-*•]'))) as bullets,
