@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from moneytrail.functions.ranking import smallest_hashes
 from moneytrail.functions.skew import hot_keys, replicate, scatter
 from moneytrail.operators.traverse import Adjacency, both_ways, directed_pairs
-from moneytrail.scratch import folded, materialize, materialize_counted, together
+from moneytrail.scratch import folded, materialize, materialize_counted, sorted_join, together
 
 ITERATIONS = 20
 DAMPING = 0.85
@@ -142,11 +142,11 @@ def clustering(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     Each undirected pair points to its end of higher degree, so the pairs leaving one account number at most the
     square root of twice all pairs, however busy the account is.
     """
-    links = both_ways(transfers)
-    degree = links.groupBy("account_id").agg(F.count("*").alias("degree"))
-    rank = degree.select("account_id", F.struct("degree", "account_id").alias("rank"))
-    up = materialize(
-        links.where("account_id < neighbour")
+    links, n = materialize_counted(both_ways(transfers), "links")
+    degree, known = materialize_counted(links.groupBy("account_id").agg(F.count("*").alias("degree")), "degrees")
+    rank = sorted_join(degree.select("account_id", F.struct("degree", "account_id").alias("rank")), known)
+    up, n = materialize_counted(
+        sorted_join(links, n).where("account_id < neighbour")
         .join(rank, "account_id")
         .join(rank.select(F.col("account_id").alias("neighbour"), F.col("rank").alias("other_rank")), "neighbour")
         .select(
@@ -156,15 +156,21 @@ def clustering(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
         "oriented-pairs",
     )
     first, second = up.select("low", F.col("high").alias("a")), up.select("low", F.col("high").alias("b"))
-    wedges = first.join(second, "low").where("a < b")
-    closing = up.select(F.least("low", "high").alias("a"), F.greatest("low", "high").alias("b"))
-    triangles = wedges.join(closing, ["a", "b"]).select(F.explode(F.array("low", "a", "b")).alias("account_id"))
+    wedges = sorted_join(first, n).join(second, "low").where("a < b")
+    # a pair closes a wedge only if other pairs point to both of its ends
+    busier, ends = materialize_counted(up.select("high").distinct(), "busier-ends")
+    closing, pairs = materialize_counted(
+        sorted_join(up, n).join(sorted_join(busier.withColumnRenamed("high", "low"), ends), "low", "left_semi")
+        .select(F.least("low", "high").alias("a"), F.greatest("low", "high").alias("b")),
+        "closing-pairs",
+    )
+    triangles = wedges.join(sorted_join(closing, pairs), ["a", "b"]).select(F.explode(F.array("low", "a", "b")).alias("account_id"))
     counted = triangles.groupBy("account_id").agg(F.count("*").alias("triangles"))
     d = F.col("degree")
     return (
         accounts.select("account_id").distinct()
-        .join(degree, "account_id", "left")
-        .join(counted, "account_id", "left")
+        .join(sorted_join(degree, known), "account_id", "left")
+        .join(sorted_join(counted, known), "account_id", "left")
         .select(
             "account_id",
             F.when(d >= 2, F.coalesce("triangles", F.lit(0)) * 2.0 / (d * (d - 1))).otherwise(F.lit(0.0)).alias("clustering_coefficient"),
