@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from moneytrail.functions.ranking import smallest_hashes
 from moneytrail.functions.skew import hot_keys, replicate, scatter
 from moneytrail.operators.traverse import Adjacency, both_ways, directed_pairs
-from moneytrail.scratch import folded, materialize, materialize_counted, sorted_join, together
+from moneytrail.scratch import folded, large, materialize, materialize_counted, sorted_join, together
 
 ITERATIONS = 20
 DAMPING = 0.85
@@ -79,6 +79,16 @@ def sample_accounts(accounts: DataFrame, samples: int, seed: int = 42) -> DataFr
     return smallest_hashes(accounts.select("account_id").distinct(), "account_id", samples, seed)
 
 
+def numbered_arcs(transfers: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(account_id, node)`` of all accounts and ends of transfers, and the distinct arcs ``(tail, head)`` between these numbers."""
+    pairs, n = materialize_counted(directed_pairs(transfers).where("source <> target"), "between-pairs")
+    ends = pairs.select(F.explode(F.array("source", "target")).alias("account_id"))
+    every = ids.unionByName(ends).where("account_id is not null").distinct()
+    names, known = materialize_counted(every.withColumn("node", F.monotonically_increasing_id()), "between-names")
+    tail, head = (sorted_join(names, known).select(F.col("account_id").alias(x), F.col("node").alias(y)) for x, y in (("source", "tail"), ("target", "head")))
+    return names, materialize(sorted_join(pairs, n).join(tail, "source").join(head, "target").select("tail", "head"), "between-arcs")
+
+
 def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None = SAMPLES, seed: int = 42,
                 starts: DataFrame | None = None) -> DataFrame:
     """Share of shortest directed paths through each account, estimated from sampled start accounts.
@@ -86,52 +96,64 @@ def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None =
     Path counts go forward level by level from all starts at once, dependencies come back the same way. The sum
     over the sample is scaled to all starts and to the (n-1)(n-2) ordered pairs of other accounts. ``samples=None``
     starts everywhere and is exact; ``starts`` (rows with ``account_id``) takes the place of the sample.
+
+    The first level are the arcs of the starts themselves. From there on only arcs count whose tail is a receiver; where
+    these are few, they are broadcast, and as the rows of a start lie together, a level is added up before it is shuffled.
     """
     ids, n = materialize_counted(accounts.select("account_id").distinct(), "accounts")
     if starts is None:
         starts = ids if samples is None else sample_accounts(accounts, samples, seed)
-    adjacency = Adjacency(
-        directed_pairs(transfers).where("source <> target").select(F.col("source").alias("account_id"), F.col("target").alias("next")),
-        "account_id",
-    )
-    level = materialize(
-        starts.select(F.col("account_id").alias("start"), "account_id", F.lit(1.0).alias("paths")), "between-level"
-    )
-    used = level.count()
-    levels, seen = [level], level.select("start", "account_id")
-    while True:
-        nearby = adjacency.step(level).groupBy("start", F.col("next").alias("account_id")).agg(F.sum("paths").alias("paths"))
-        level = materialize(nearby.join(seen, ["start", "account_id"], "left_anti"), "between-level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-        seen = folded(seen.unionByName(level.select("start", "account_id")), len(levels), "between-seen")
+    starts, used = materialize_counted(starts.select("account_id"), "starts")
+    names, arcs = numbered_arcs(transfers, ids)
+    chosen, rows = materialize_counted(names.join(sorted_join(starts, used), "account_id", "left_semi").select(F.col("node").alias("tail")), "start-nodes")
+    level, size = materialize_counted(arcs.join(sorted_join(chosen, rows), "tail", "left_semi").select(
+        F.col("tail").alias("start"), F.col("head").alias("node"), F.lit(1.0).alias("paths")
+    ).repartition("start"), "between-level")
+    heads, rows = materialize_counted(arcs.select(F.col("head").alias("tail")).distinct(), "receivers")
+    inner = arcs.join(sorted_join(heads, rows), "tail", "left_semi")
+    onward = Adjacency(inner.select(F.col("tail").alias("node"), F.col("head").alias("next")), "node")
+    back = Adjacency(inner.select(F.col("head").alias("node"), F.col("tail").alias("next")), "node")
+
+    def step(adjacency: Adjacency, level: DataFrame, size: int, value: str) -> DataFrame:
+        """The sums of ``value`` over the arcs that lead from a level to each account, per start."""
+        along = level.select("start", "node", value).repartition("start")
+        if large(adjacency.rows):
+            along = sorted_join(along, size)
+        return (
+            adjacency.step(along).where("start <> next")
+            .groupBy("start", F.col("next").alias("node")).agg(F.sum(value).alias(value))
+        )
 
-    later = levels[-1].withColumn("dependency", F.lit(0.0))
+    levels, seen, found = [(level, size)], level.select("start", "node"), size
+    while size:
+        nearby = step(onward, level, size, "paths")
+        # an anti-join would be moved below the sums, where a level has a row per arc
+        new = nearby.join(sorted_join(seen.withColumn("known", F.lit(True)), found), ["start", "node"], "left").where("known is null")
+        level, size = materialize_counted(new.drop("known"), "between-level")
+        levels.append((level, size))
+        found += size
+        seen = folded(seen.unionByName(level.select("start", "node")), len(levels), "between-seen")
+
+    levels = [x for x in levels if x[1]]
+    if len(levels) < 2:
+        return ids.withColumn("betweenness_centrality", F.lit(0.0))
+    later, size = levels[-1][0].withColumn("dependency", F.lit(0.0)), levels[-1][1]
     total = None
-    for level in reversed(levels[:-1]):
-        behind = later.select(
-            "start", F.col("account_id").alias("next"), ((1 + F.col("dependency")) / F.col("paths")).alias("per_path")
-        )
-        given = (
-            adjacency.step(level)
-            .join(behind, ["start", "next"])
-            .groupBy("start", "account_id")
-            .agg(F.sum(F.col("paths") * F.col("per_path")).alias("dependency"))
-        )
-        later = materialize(
-            level.join(given, ["start", "account_id"], "left").select(
-                "start", "account_id", "paths", F.coalesce("dependency", F.lit(0.0)).alias("dependency")
+    for level, rows in reversed(levels[:-1]):
+        behind = later.select("start", "node", ((1 + F.col("dependency")) / F.col("paths")).alias("per_path"))
+        given = step(back, behind, size, "per_path")
+        later, size = materialize(
+            sorted_join(level, rows).join(given, ["start", "node"], "left").select(
+                "start", "node", "paths", F.coalesce(F.col("paths") * F.col("per_path"), F.lit(0.0)).alias("dependency")
             ),
             "between-back",
-        )
-        part = later.where("start <> account_id").select("account_id", "dependency")
+        ), rows
+        part = later.groupBy("node").agg(F.sum("dependency").alias("dependency"))
         total = part if total is None else total.unionByName(part)
     scale = n / max(used, 1) / max((n - 1) * (n - 2), 1)
-    if total is None:
-        return ids.withColumn("betweenness_centrality", F.lit(0.0))
-    sums = total.groupBy("account_id").agg(F.sum("dependency").alias("dependency"))
-    return ids.join(sums, "account_id", "left").select(
+    sums = total.groupBy("node").agg(F.sum("dependency").alias("dependency"))
+    sums, rows = materialize_counted(names.join(sums, "node").select("account_id", "dependency"), "between-sums")
+    return ids.join(sorted_join(sums, rows), "account_id", "left").select(
         "account_id", (F.coalesce("dependency", F.lit(0.0)) * scale).alias("betweenness_centrality")
     )
 

@@ -45,8 +45,8 @@ class Adjacency:
 
     def __init__(self, pairs: DataFrame, key: str):
         self.key = key
-        self.pairs, rows = materialize_counted(pairs, "adjacency")
-        self.hot = hot_keys(self.pairs, key, rows=rows)
+        self.pairs, self.rows = materialize_counted(pairs, "adjacency")
+        self.hot = hot_keys(self.pairs, key, rows=self.rows)
         self.other = next(c for c in pairs.columns if c != key)
 
     def step(self, frontier: DataFrame) -> DataFrame:

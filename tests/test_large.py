@@ -1,6 +1,9 @@
 """Steps that must hold on tables of millions of rows, seen from their plans and from small tables taken as large ones."""
 
+import random
+
 import pytest
+from test_graph import brute_betweenness
 
 from moneytrail import scratch
 from moneytrail.operators import centrality as C
@@ -23,3 +26,18 @@ def test_clustering_broadcasts_no_table_of_pairs(large, transfers, accounts):
     assert {r.account_id: round(r.clustering_coefficient, 6) for r in found.collect()} == {
         "A": 1.0, "B": 1.0, "C": 0.333333, "D": 0.0, "X": 0.0
     }
+
+
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_betweenness_adds_levels_up_before_it_looks_for_known_accounts(spark, transfers, accounts, monkeypatch, rows):
+    """Without an anti-join, which the optimizer moves below the sums; exact whether arcs are broadcast or not."""
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", rows)
+    plans, store = [], C.materialize_counted
+    monkeypatch.setattr(C, "materialize_counted", lambda df, name: (plans.append((name, plan(df))), store(df, name))[1])
+    rng = random.Random(7)
+    names = [f"n{i:02d}" for i in range(12)]
+    pairs = sorted({(rng.choice(names), rng.choice(names)) for _ in range(30)})
+    found = C.betweenness(transfers(*[(a, b, 1, 1) for a, b in pairs]), accounts(*names), None).collect()
+    assert [r.betweenness_centrality for r in sorted(found)] == pytest.approx(brute_betweenness(names, pairs), abs=1e-12)
+    steps = [p for name, p in plans if name == "between-level"]
+    assert len(steps) > 2 and not any("LeftAnti" in p for p in steps)
