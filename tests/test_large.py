@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from conftest import SMALL
 from test_graph import brute_betweenness
 
 from moneytrail import scratch
 from moneytrail.operators import centrality as C
+from moneytrail.plans import queries
 
 
 def plan(df):
@@ -41,3 +43,16 @@ def test_betweenness_adds_levels_up_before_it_looks_for_known_accounts(spark, tr
     assert [r.betweenness_centrality for r in sorted(found)] == pytest.approx(brute_betweenness(names, pairs), abs=1e-12)
     steps = [p for name, p in plans if name == "between-level"]
     assert len(steps) > 2 and not any("LeftAnti" in p for p in steps)
+
+
+def test_feature_matrix_takes_betweenness_from_all_starts(spark, monkeypatch):
+    chosen = []
+    kept = C.betweenness
+
+    def noted(transfers, accounts, samples=C.SAMPLES, seed=42, starts=None):
+        chosen.append((samples, starts))
+        return kept(transfers, accounts, samples, seed, starts)
+
+    monkeypatch.setattr(C, "betweenness", noted)
+    assert queries.full_matrix(spark, SMALL).count() == 150
+    assert chosen == [(None, None)]
