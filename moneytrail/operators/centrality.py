@@ -26,15 +26,16 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
     if n == 0:
         return ids.withColumn("pagerank_score", F.lit(0.0))
     # a transfer with an unknown end is not an edge of the graph
+    known = sorted_join(ids, n)
     pairs = (
         directed_pairs(transfers)
-        .join(ids.withColumnRenamed("account_id", "source"), "source", "left_semi")
-        .join(ids.withColumnRenamed("account_id", "target"), "target", "left_semi")
+        .join(known.withColumnRenamed("account_id", "source"), "source", "left_semi")
+        .join(known.withColumnRenamed("account_id", "target"), "target", "left_semi")
     )
     pairs, rows = materialize_counted(pairs, "rank-pairs")
     hot = hot_keys(pairs, "source", rows=rows)
     out = pairs.groupBy("source").agg(F.count("*").alias("out_degree"))
-    weighted = replicate(out, "source", hot).join(scatter(pairs, "source", hot, F.col("target")), ["source", "salt"]).select(
+    weighted = replicate(sorted_join(out, rows), "source", hot).join(scatter(pairs, "source", hot, F.col("target")), ["source", "salt"]).select(
         "source", "salt", "target", (F.lit(damping) / F.col("out_degree")).alias("weight")
     )
     # an account keeps its own history through an edge to itself that carries no weight
@@ -49,7 +50,7 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
     for k in range(1, iterations + 1):
         carried = [c for c in state.columns if c != "source"]
         state = (
-            replicate(state, "source", hot)
+            replicate(sorted_join(state, n), "source", hot)
             .join(links, ["source", "salt"])
             .groupBy(F.col("target").alias("source"))
             .agg(
@@ -64,7 +65,7 @@ def page_rank(transfers: DataFrame, accounts: DataFrame, iterations: int = ITERA
 
     terms = blocks[0] if blocks else state
     for block in blocks[1:]:
-        terms = terms.join(block.drop(*[c for c in terms.columns if c != "source"]), "source")
+        terms = sorted_join(terms, n).join(block.drop(*[c for c in terms.columns if c != "source"]), "source")
     sums = terms.agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(iterations + 1)]).head()
     weights = [1.0]
     for _ in range(iterations):
@@ -215,17 +216,20 @@ def cycle_membership(trails: DataFrame, accounts: DataFrame) -> DataFrame:
 def hops_to_flagged(transfers: DataFrame, accounts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Least number of undirected hops to a flagged account; 0 for a flagged one, null if none is reachable."""
     adjacency = Adjacency(both_ways(transfers), "account_id")
-    frontier = materialize(accounts.where("is_flagged").select("account_id").distinct().withColumn("hop", F.lit(0)), "flagged-level")
+    flagged = accounts.where("is_flagged").select("account_id").distinct().withColumn("hop", F.lit(0))
+    frontier, known = materialize_counted(flagged, "flagged-level")
     reached, hop = frontier, 0
     while max_hops is None or hop < max_hops:
         hop += 1
         nearby = adjacency.step(frontier).select(F.col("neighbour").alias("account_id")).distinct()
-        frontier = materialize(nearby.join(reached, "account_id", "left_anti").withColumn("hop", F.lit(hop)), "flagged-level")
-        if frontier.isEmpty():
+        nearby = nearby.join(sorted_join(reached, known), "account_id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier, found = materialize_counted(nearby, "flagged-level")
+        if not found:
             break
+        known += found
         reached = folded(reached.unionByName(frontier), hop, "reached")
     return accounts.select("account_id").distinct().join(
-        reached.withColumnRenamed("hop", "hop_count_to_flagged"), "account_id", "left"
+        sorted_join(reached.withColumnRenamed("hop", "hop_count_to_flagged"), known), "account_id", "left"
     )
 
 
@@ -242,5 +246,5 @@ def structural_features(transfers: DataFrame, accounts: DataFrame, degree: DataF
     )
     joined = degree.select("account_id", "in_degree", "out_degree")
     for part in parts:
-        joined = joined.join(part, "account_id", "left")
+        joined = joined.join(sorted_join(part), "account_id", "left")
     return joined

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import within_days
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize, sorted_join
 
 BEHAVIOUR = [
     "account_age_days", "total_sent_30d", "total_received_30d", "txn_count_30d", "unique_counterparties_30d",
@@ -165,7 +165,7 @@ def feature_matrix(behaviour: DataFrame, structure: DataFrame, columns: list[str
     farthest: 0 would make either look like the riskiest.
     """
     columns = columns or FEATURES
-    raw = materialize(behaviour.join(structure, "account_id", "left").select("account_id", *columns), "features")
+    raw = materialize(behaviour.join(sorted_join(structure), "account_id", "left").select("account_id", *columns), "features")
     return standardise(fill_gaps(raw), columns)
 
 
