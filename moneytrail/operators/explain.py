@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import fixed
 from moneytrail.functions.ranking import smallest_hashes
-from moneytrail.operators.anomaly import Forest, mean_path
+from moneytrail.operators.anomaly import Forest, Walk, mean_path
 from moneytrail.operators.quality import finite_or_zero
 from moneytrail.scratch import materialize
 
@@ -178,6 +178,7 @@ def forest_contributions(matrix: DataFrame, trees: DataFrame, columns: list[str]
     clean = materialize(finite_or_zero(matrix.select("account_id", *columns), columns), "explained")
     # bounded by ``background``, whatever the number of accounts
     behind = smallest_hashes(clean, "account_id", background, seed).toPandas().sort_values("account_id")[columns].to_numpy(dtype=float)
+    behind = list(behind)
     orders = permutations_of(columns, count, seed)
     if count is None:
         walks = [(order, z) for order in orders for z in behind]
@@ -187,24 +188,28 @@ def forest_contributions(matrix: DataFrame, trees: DataFrame, columns: list[str]
         orders = permutations_of(columns, 2 * rounds, seed)
         walks = [(order, behind[i // 2 % len(behind)]) for i, order in enumerate(orders)]
 
+    by_background = [(z, [order for order, other in walks if other is z]) for z in {id(z): z for _, z in walks}.values()]
+
     def scores(x: np.ndarray) -> np.ndarray:
         return np.exp2(-forest.mean_paths(x) / expected)
 
     def run(batches):
-        base = float(scores(behind).mean()) if len(behind) else 0.0
+        base = float(scores(np.array(behind)).mean()) if len(behind) else 0.0
         for pdf in batches:
             if not len(pdf):
                 continue
             x = pdf[columns].to_numpy(dtype=float)
             shares = np.zeros_like(x)
-            for order, z in walks:
-                mixed = np.tile(z, (len(x), 1))
-                before = np.full(len(x), scores(z[None])[0])
-                for j in order:
-                    mixed[:, j] = x[:, j]
-                    after = scores(mixed)
-                    shares[:, j] += after - before
-                    before = after
+            for at in range(0, len(x), Forest.SLICE):
+                part, given = x[at:at + Forest.SLICE], shares[at:at + Forest.SLICE]
+                for z, its_orders in by_background:
+                    walk, start = Walk(forest, part, z), scores(z[None])[0]
+                    for order in its_orders:
+                        before = np.full(len(part), start)
+                        for j, paths in walk.mean_paths(order):
+                            after = np.exp2(-paths / expected)
+                            given[:, j] += after - before
+                            before = after
             yield pd.DataFrame({
                 "account_id": pdf["account_id"], "base": base, "score": scores(x), "shares": list(shares / max(1, len(walks))),
             })

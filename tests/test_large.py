@@ -1,12 +1,16 @@
 """Steps that must hold on tables of millions of rows, seen from their plans and from small tables taken as large ones."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import SMALL
 from test_graph import brute_betweenness
 
 from moneytrail import scratch
+from moneytrail.operators import anomaly
 from moneytrail.operators import centrality as C
 from moneytrail.plans import queries
 
@@ -56,3 +60,23 @@ def test_feature_matrix_takes_betweenness_from_all_starts(spark, monkeypatch):
     monkeypatch.setattr(C, "betweenness", noted)
     assert queries.full_matrix(spark, SMALL).count() == 150
     assert chosen == [(None, None)]
+
+
+@pytest.mark.parametrize("columns", [5, 70])
+def test_walks_through_a_forest_take_only_trees_that_turn(columns):
+    """The same mean paths as walking every tree at every step, with fewer rows walked."""
+    rng = np.random.RandomState(3)
+    x = np.round(rng.gamma(1, size=(200, columns)), 1)
+    rows = [(t, *r) for t in range(30) for r in anomaly._grow(x[rng.choice(200, 64, replace=False)], 6, rng)]
+    table = pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "low", "high", "path"])
+    forest = anomaly.Forest(SimpleNamespace(toPandas=lambda: table))
+    walk, walked = anomaly.Walk(forest, x, x[7]), []
+    down = walk._down
+    walk._down = lambda rows, *rest: (walked.append(len(rows)), down(rows, *rest))[1]
+    for order in (list(rng.permutation(columns)), list(range(columns))):
+        mixed, steps = np.tile(x[7], (len(x), 1)), list(walk.mean_paths(order))
+        assert [j for j, _ in steps] == order
+        for j, paths in steps:
+            mixed[:, j] = x[:, j]
+            assert (paths == forest.mean_paths(mixed)).all()
+    assert sum(walked) < columns * len(x) * 30
