@@ -9,13 +9,18 @@ import logging
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moneytrail.functions.skew import hot_keys, salted_join
-from moneytrail.scratch import folded, materialize, materialize_counted
+from moneytrail.functions import skew
+from moneytrail.functions.ranking import running_total
+from moneytrail.functions.skew import hot_keys, replicate, salted_join, scatter
+from moneytrail.scratch import folded, materialize, materialize_counted, sorted_join
 
 logger = logging.getLogger(__name__)
 
 MAX_DEPTH = 4
 MAX_PATH = 10
+#: The bits of a block of numbered accounts, in words of 64.
+BITS = ["w0", "w1", "w2", "w3"]
+BLOCK = 64 * len(BITS)
 NODE_FIELDS = [
     "account_type", "customer_name", "customer_category", "risk_score", "is_flagged", "kyc_status",
 ]
@@ -54,23 +59,86 @@ class Adjacency:
         return salted_join(self.pairs, frontier, self.key, F.col(self.other), hot=self.hot)
 
 
-def reach(adjacency: Adjacency, centers: DataFrame, max_hops: int | None) -> DataFrame:
-    """``(center, account_id, hop)`` for every account within ``max_hops`` of each center, any distance if None."""
-    frontier = materialize(
-        centers.select(F.col("account_id").alias("center"), "account_id", F.lit(0).alias("hop")).distinct(), "frontier"
+class Blocks:
+    """Neighbours as sets: accounts are numbered, the busiest first, and a block of numbers is one row with a bit for each.
+
+    Many ways that lead a center to the same accounts so are a few rows instead of one per way and account, and joining sets
+    takes the bits of both. An account with few neighbours has at most a row for each; as busy accounts lie together, often fewer.
+    """
+
+    def __init__(self, transfers: DataFrame):
+        pairs = materialize(both_ways(transfers), "adjacency")
+        degrees = pairs.groupBy("account_id").agg((-F.count("*")).alias("order"))
+        placed = running_total(degrees, ["order", "account_id"], F.lit(1))
+        self.names, self.known = materialize_counted(placed.select("account_id", F.col("before").alias("node")), "numbered")
+        names = sorted_join(self.names, self.known)
+        own = pairs.join(names, "account_id").select("node", F.col("neighbour").alias("account_id"))
+        linked = own.join(names.withColumnRenamed("node", "other"), "account_id")
+        self.links, rows = materialize_counted(as_sets(linked, "node", "other"), "neighbour-sets")
+        self.hot = hot_keys(self.links, "node", max(1, skew.HOT_MIN_ROWS // BLOCK), rows)
+        self.parts = int(self.links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """The sets ``(center, block)`` that the neighbours of ``(center, node)`` rows make up.
+
+        A few rows of links give very many here, so tasks are not chosen by the size of what they read.
+        """
+        keys = ["node", "salt"]
+        links = scatter(self.links, "node", self.hot, F.col("block")).repartition(self.parts, *keys)
+        ways = replicate(frontier, "node", self.hot).repartition(self.parts, *keys).join(links, keys)
+        return ways.groupBy("center", "block").agg(*[F.bit_or(w).alias(w) for w in BITS])
+
+    def members(self, sets: DataFrame, rows: DataFrame) -> DataFrame:
+        """``rows`` of accounts for each account in the sets of each center; ``sets`` keep their other columns.
+
+        The rows of a block are joined as one, and what is not in the set is left out before there is a row for it.
+        """
+        fields = [c for c in rows.columns if c != "account_id"]
+        kept = [c for c in sets.columns if c not in ("center", "block", *BITS)]
+        numbered = rows.join(sorted_join(self.names, self.known), "account_id")
+        block = numbered.groupBy(F.expr(f"node div {BLOCK}").alias("block")).agg(F.collect_list(F.struct(
+            F.expr(f"cast(node % {BLOCK} div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(node % 64 as int))").alias("bit"),
+            "account_id", *fields,
+        )).alias("rows"))
+        centers = sorted_join(self.names.select(F.col("node").alias("center"), F.col("account_id").alias("name")), self.known)
+        named = sets.join(centers, "center").repartition(self.parts, "block").join(sorted_join(block), "block")
+        inside = F.filter("rows", lambda r: F.get(F.array(*BITS), r["word"]).bitwiseAND(r["bit"]) != 0)
+        return named.select(F.col("name").alias("center"), *kept, F.explode(inside).alias("r")).select(
+            "r.account_id", "center", *kept, *[f"r.{c}" for c in fields]
+        )
+
+
+def as_sets(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """``(key, block)`` rows with the bits of the numbers that a key has."""
+    bit, word = F.expr(f"shiftleft(1L, cast({number} % 64 as int))"), F.expr(f"{number} % {BLOCK} div 64")
+    return rows.groupBy(key, F.expr(f"{number} div {BLOCK}").alias("block")).agg(
+        *[F.bit_or(F.when(word == i, bit).otherwise(0)).alias(w) for i, w in enumerate(BITS)]
     )
-    reached, hop = frontier, 0
+
+
+def numbers_in(sets: DataFrame) -> DataFrame:
+    """The ``(center, node)`` rows of sets."""
+    word = sets.select("center", "block", F.posexplode(F.array(*BITS)).alias("at", "word")).where("word <> 0")
+    inside = F.explode(F.expr("filter(sequence(0, 63), b -> shiftright(word, b) & 1L = 1L)")).alias("b")
+    return word.select("center", "block", "at", inside).select("center", F.expr(f"block * {BLOCK} + at * 64 + b").alias("node"))
+
+
+def reach(blocks: Blocks, centers: DataFrame, max_hops: int | None) -> DataFrame:
+    """``(center, block, hop)`` sets of the accounts within ``max_hops`` of each center that has neighbours, any distance if None."""
+    start = centers.select("account_id").join(sorted_join(blocks.names, blocks.known), "account_id")
+    frontier = materialize(as_sets(start.withColumn("center", F.col("node")), "center", "node"), "frontier")
+    reached, hop = frontier.withColumn("hop", F.lit(0)), 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        nearby = (
-            adjacency.step(frontier)
-            .select("center", F.col("neighbour").alias("account_id"), F.lit(hop).alias("hop"))
-            .distinct()
-        )
-        frontier = materialize(nearby.join(reached, ["center", "account_id"], "left_anti"), "frontier")
-        if frontier.isEmpty():
+        seen = reached.groupBy("center", "block").agg(*[F.bit_or(w).alias(f"seen_{w}") for w in BITS])
+        nearby = blocks.step(numbers_in(frontier)).join(seen, ["center", "block"], "left")
+        added = nearby.select("center", "block", *[
+            F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"seen_{w}", F.lit(0).cast("long")))).alias(w) for w in BITS
+        ])
+        frontier, rows = materialize_counted(added.where(" or ".join(f"{w} <> 0" for w in BITS)), "frontier")
+        if not rows:
             break
-        reached = folded(reached.unionByName(frontier), hop, "reached")
+        reached = folded(reached.unionByName(frontier.withColumn("hop", F.lit(hop))), hop, "reached")
     return reached
 
 
@@ -85,14 +153,16 @@ def neighbourhood(transfers: DataFrame, accounts: DataFrame, centers: DataFrame,
     if edges not in ("induced", "reached"):
         raise ValueError("edges must be 'induced' or 'reached'")
     depth = max(1, min(depth, MAX_DEPTH))
-    reached = reach(Adjacency(both_ways(transfers), "account_id"), centers, depth)
-    linked = reached.where("hop = 1").select("center").distinct()
-    members = reached.join(linked, "center", "left_semi")
-    kept = members
-    if max_nodes is not None:
+    blocks = Blocks(transfers)
+    reached = reach(blocks, centers, depth)
+    members = blocks.members(reached, blocks.names.select("account_id"))
+    described = accounts.select("account_id", *NODE_FIELDS)
+    if max_nodes is None:
+        kept, nodes = members, blocks.members(reached, described)
+    else:
         nearest = Window.partitionBy("center").orderBy("hop", "account_id")
         kept = members.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= max_nodes).drop("n")
-    nodes = kept.join(accounts.select("account_id", *NODE_FIELDS), "account_id")
+        nodes = kept.join(described, "account_id")
     if edges == "induced":
         return nodes, induced_edges(transfers, kept, "center")
     found = induced_edges(transfers, members, "center", keep=["hop"])

@@ -12,6 +12,7 @@ from test_graph import brute_betweenness
 from moneytrail import scratch
 from moneytrail.operators import anomaly
 from moneytrail.operators import centrality as C
+from moneytrail.operators import traverse as T
 from moneytrail.plans import queries
 
 
@@ -80,3 +81,35 @@ def test_walks_through_a_forest_take_only_trees_that_turn(columns):
             mixed[:, j] = x[:, j]
             assert (paths == forest.mean_paths(mixed)).all()
     assert sum(walked) < columns * len(x) * 30
+
+
+def test_neighbourhoods_store_sets_and_not_a_row_per_account(spark, transfers, accounts, monkeypatch):
+    """Accounts that share receivers: the levels of the search stay far smaller than the neighbourhoods."""
+    stored, store = [], T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name: (stored.append((name, store(df, name))), stored[-1][1])[1])
+    monkeypatch.setattr(scratch, "materialize", T.materialize)
+    rng = random.Random(11)
+    names = [f"n{i:03d}" for i in range(600)]
+    pairs = sorted({(a, f"r{rng.randrange(6)}") for a in names for _ in range(3)}) + [("n000", "n000"), ("n001", "x"), ("x", "y"), ("y", "z"), ("u", "v")]
+    people, centers = [*names, *(f"r{i}" for i in range(6)), "x", "y", "alone", "u"], [*names[:20], "r1", "x", "alone", "u"]
+    links = {}
+    for a, b in pairs:
+        if a != b:
+            links.setdefault(a, set()).add(b)
+            links.setdefault(b, set()).add(a)
+    moves, known = transfers(*[(a, b, 1, 1) for a, b in pairs]), set(people)
+    chosen = spark.createDataFrame([(c,) for c in centers], "account_id string")
+    for depth in (1, 2, 4):
+        stored.clear()
+        nodes, _ = T.neighbourhood(moves, accounts(*people), chosen, depth)
+        want = set()
+        for c in centers:
+            hops, edge = {c: 0}, {c}
+            for hop in range(1, depth + 1):
+                edge = {b for a in edge for b in links.get(a, ())} - set(hops)
+                hops |= dict.fromkeys(edge, hop)
+            want |= {(c, a, h) for a, h in hops.items() if a in known} if c in links else set()
+        found = [(r.center, r.account_id, r.hop) for r in nodes.collect()]
+        assert len(found) == len(want) and set(found) == want
+        levels = sum(df.count() for name, df in stored if name == "frontier")
+        assert depth == 1 or levels < len(want) / 10
