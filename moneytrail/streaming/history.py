@@ -1,7 +1,8 @@
 """Running per-account history that outlives sessions and restarts.
 
 State is kept per account and shard. A busy account so has as many state rows as there are shards, handled by
-different tasks; ``merged`` adds the shards up.
+different tasks; ``merged`` adds the shards up. A history without an end is a streaming aggregate, whose rows are added up
+before they reach the state; only one that expires needs a processor of its own, called for each account and shard.
 """
 
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ STATE = "transfers bigint, total double, largest double, last_ts timestamp"
 class AccountHistory(StatefulProcessor):
     """Count, sum, maximum and latest time of the transfers an account has sent."""
 
-    def __init__(self, ttl_ms: int | None = None):
+    def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -44,11 +45,14 @@ class AccountHistory(StatefulProcessor):
 
 
 def account_history(events: DataFrame, ttl_ms: int | None = None, shards: int = SHARDS) -> DataFrame:
-    """The history of each account and shard a batch has touched; needs the RocksDB state store."""
+    """The history of each account and shard a batch has touched; one that expires needs the RocksDB state store."""
     keyed = events.select("src", F.pmod(F.xxhash64("txn_id"), F.lit(shards)).cast("int").alias("shard"), "amount", "ts")
+    if ttl_ms is None:
+        return keyed.groupBy("src", "shard").agg(
+            F.count("*").alias("transfers"), F.sum("amount").alias("total"), F.max("amount").alias("largest"), F.max("ts").alias("last_ts")
+        )
     return keyed.groupBy("src", "shard").transformWithStateInPandas(
-        statefulProcessor=AccountHistory(ttl_ms), outputStructType=OUTPUT, outputMode="Update",
-        timeMode="None" if ttl_ms is None else "ProcessingTime",
+        statefulProcessor=AccountHistory(ttl_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime",
     )
 
 

@@ -14,6 +14,7 @@ from moneytrail.operators import anomaly
 from moneytrail.operators import centrality as C
 from moneytrail.operators import traverse as T
 from moneytrail.plans import queries
+from moneytrail.streaming import history, inbox, sink
 
 
 def plan(df):
@@ -113,3 +114,14 @@ def test_neighbourhoods_store_sets_and_not_a_row_per_account(spark, transfers, a
         assert len(found) == len(want) and set(found) == want
         levels = sum(df.count() for name, df in stored if name == "frontier")
         assert depth == 1 or levels < len(want) / 10
+
+
+def test_history_of_accounts_is_added_up_without_python(spark):
+    """Only one that expires is kept by a processor."""
+    events = inbox.event_time(queries.one_feed(sink.state_session(spark, 2), SMALL))
+    native, expiring = history.account_history(events), history.account_history(events, 10**9)
+    planned = [df._jdf.queryExecution().analyzed().toString() for df in (native, expiring)]
+    assert ["InPandas" in p or "InPySpark" in p for p in planned] == [False, True]
+    assert native.dtypes == expiring.dtypes
+    kept = history.merged(sink.collect_stream(native, "update")).collect()
+    assert sum(r.transfers for r in kept) == 1000 and len({r.src for r in kept}) == len(kept)
