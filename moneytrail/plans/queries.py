@@ -974,9 +974,13 @@ def one_feed(session, sf_dir):
     return star.edges_of(star.transactions_from(inbox.file_feed(session, sf_dir, star.EVENTS, only="events.parquet")))
 
 
+def event_count(spark, sf_dir):
+    return star.table(spark, sf_dir, "events", star.EVENTS).count()
+
+
 def live_transfers(spark, sf_dir):
     """The events as a stream of transfers, each arriving over two feeds."""
-    session = sink.state_session(spark)
+    session = sink.state_session(spark, rows=2 * event_count(spark, sf_dir))
     return inbox.event_time(inbox.unified({"mobile": one_feed(session, sf_dir), "branch": one_feed(session, sf_dir)}))
 
 
@@ -1021,7 +1025,7 @@ def stream_sessions(spark, sf_dir):
 
 @query
 def stream_history(spark, sf_dir):
-    events = inbox.event_time(one_feed(sink.state_session(spark), sf_dir))
+    events = inbox.event_time(one_feed(sink.state_session(spark, rows=event_count(spark, sf_dir)), sf_dir))
     kept = sink.collect_stream(history.account_history(events), "update")
     return history.merged(kept).withColumn("last_ts", local_seconds("last_ts"))
 

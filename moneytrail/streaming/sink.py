@@ -14,19 +14,25 @@ from moneytrail.streaming import current
 
 #: Batches after which the sums of credits are written anew.
 FOLD = 16
+#: Rows of a stream for each state partition, if their number is known when a query first starts.
+STATE_ROWS = 250_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+def state_session(spark: SparkSession, partitions: int | None = None, rows: int = 0) -> SparkSession:
     """A session of the same application with the state settings of the streaming jobs.
 
     The number of state partitions is fixed when a query first starts, so it is chosen here and not left to the
-    settings of the batch jobs.
+    settings of the batch jobs: one for each core, and so many that none gets more than its share of the ``rows`` to
+    come. What a task holds of them at once then does not grow with the stream. Stores share the memory of an executor.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    session.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.sparkContext.defaultParallelism))
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return session
 
 

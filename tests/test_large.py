@@ -125,3 +125,16 @@ def test_history_of_accounts_is_added_up_without_python(spark):
     assert native.dtypes == expiring.dtypes
     kept = history.merged(sink.collect_stream(native, "update")).collect()
     assert sum(r.transfers for r in kept) == 1000 and len({r.src for r in kept}) == len(kept)
+
+
+def test_state_partitions_grow_with_the_events(spark, monkeypatch):
+    """And the windows found do not depend on their number."""
+    few = queries.stream_structuring(spark, SMALL)
+    monkeypatch.setattr(sink, "STATE_ROWS", 160)
+    sessions, start = [], sink.state_session
+    monkeypatch.setattr(sink, "state_session", lambda *args, **options: (sessions.append(start(*args, **options)), sessions[-1])[1])
+    many = queries.stream_structuring(spark, SMALL)
+    # 1000 events over two feeds
+    assert [s.conf.get("spark.sql.shuffle.partitions") for s in sessions] == ["13"]
+    rows = sorted(map(tuple, few.collect()))
+    assert rows and rows == sorted(map(tuple, many.collect()))
