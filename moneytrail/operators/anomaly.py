@@ -172,6 +172,78 @@ class Walk:
             yield j, path.sum(axis=1) / len(self.forest.roots)
 
 
+class Mixtures:
+    """A forest over rows whose features take the place of those of background rows one by one, for many orders at once.
+
+    The features of a row come in after a number of steps, ``ranks`` (order, feature; 1 or more), and till then those of the
+    order's ``behind`` (order, feature) stand for them. So a node is reached by a row from the step on at which the last
+    background feature has gone that turns off before it, to the step at which the first feature has come that does. Trees are
+    walked down once for all orders and rows, which leave a node when no step is left. Paths are whole multiples of a small
+    step, so that their sums don't depend on the order of trees and ways of equal length have equal sums.
+    """
+
+    #: Rows and orders that go down the trees together.
+    ROWS, ORDERS = 4096, 16
+    #: Share of the rows of a node below which those that go on are copied.
+    COPIED = 0.7
+
+    def __init__(self, forest: Forest, ranks: np.ndarray, behind: np.ndarray):
+        self.roots, self.behind, self.top = forest.roots.tolist(), behind, int(ranks.max(initial=0)) + 1
+        self.kind = np.min_scalar_type(self.top)
+        self.gain = (self.top - ranks).astype(self.kind).T[:, :, None]
+        most = max(2.0, len(self.roots) * (self.top + 1) * float(np.abs(forest.path).max(initial=0.0)))
+        self.grid = 2.0 ** (52 - math.ceil(math.log2(most)))
+        low = np.where(forest.low == np.arange(len(forest.low)), -1, forest.low)
+        columns = (forest.feature, forest.threshold, low, forest.high, np.rint(forest.path * self.grid))
+        self.nodes = list(zip(*(c.tolist() for c in columns)))
+
+    def mean_paths(self, x: np.ndarray):
+        """Parts of the result: the slices of rows and orders, and their mean paths after 0, 1, ... steps (row, order, step)."""
+        for at in range(0, len(x), self.ROWS):
+            columns = np.ascontiguousarray(x[at:at + self.ROWS].T)
+            for order in range(0, len(self.behind), self.ORDERS):
+                chosen = slice(order, order + self.ORDERS)
+                yield slice(at, at + self.ROWS), chosen, self._sums(columns, self.gain[:, chosen], self.behind[chosen]) / (self.grid * len(self.roots))
+
+    def _sums(self, columns: np.ndarray, gains: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        orders, n, top = len(behind), columns.shape[1], self.top
+        every, first, order = np.arange(n), np.arange(n) * (top + 1), np.arange(orders)
+        change = np.zeros(orders * n * (top + 1))
+        # steps lost at the end, by row, and left from the start, by order
+        begin = np.zeros((orders, n), dtype=self.kind), np.full((orders, 1), top, dtype=self.kind)
+        for root in self.roots:
+            todo = [(root, every, *begin)]
+            while todo:
+                at, rows, lost, limit = todo.pop()
+                feature, threshold, low, high, path = self.nodes[at]
+                if low < 0:
+                    alive = lost < limit
+                    found, counts = np.flatnonzero(alive), np.count_nonzero(alive, axis=1)
+                    until = first.take(rows.take(found - np.repeat(order * len(rows), counts)))
+                    until += np.repeat(order * (n * (top + 1)) + top, counts)
+                    since = until - np.repeat(limit[:, 0].astype(np.int64), counts)
+                    until -= lost.ravel().take(found)
+                    # a row and order come once to a leaf
+                    change[since] += path
+                    change[until] -= path
+                    continue
+                gain = gains[feature]
+                below = (columns[feature] if rows is every else columns[feature].take(rows)) <= threshold
+                stays = behind[:, feature:feature + 1] <= threshold
+                below, cut = np.negative(below.astype(self.kind)), np.minimum(limit, gain)
+                for child, off, bound in ((low, ~below, np.where(stays, limit, cut)), (high, below, np.where(stays, cut, limit))):
+                    less = off & gain
+                    np.maximum(less, lost, out=less)
+                    alive = (less < bound).any(axis=0)
+                    left = np.count_nonzero(alive)
+                    if left and left < self.COPIED * len(rows):
+                        kept = np.flatnonzero(alive)
+                        todo.append((child, rows.take(kept), less.take(kept, axis=1), bound))
+                    elif left:
+                        todo.append((child, rows, less, bound))
+        return change.reshape(orders, n, top + 1)[:, :, :-1].cumsum(axis=2).transpose(1, 0, 2)
+
+
 def score_forest(matrix: DataFrame, trees: DataFrame, columns: list[str], drawn: int) -> DataFrame:
     """``(account_id, iso_score)``: minus 2^(-mean path / expected path), lower is more anomalous."""
     forest = Forest(trees)

@@ -1,5 +1,6 @@
 """Which features drive a score, and the sentences that say so."""
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from hashlib import md5
 from itertools import permutations
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import fixed
 from moneytrail.functions.ranking import smallest_hashes
-from moneytrail.operators.anomaly import Forest, Walk, mean_path
+from moneytrail.operators.anomaly import Forest, Mixtures, mean_path
 from moneytrail.operators.quality import finite_or_zero
-from moneytrail.scratch import materialize
+from moneytrail.scratch import materialize_counted
 
 TOP = 5
 #: Orders of features and background accounts that forest contributions are sampled from.
@@ -122,6 +123,24 @@ def model_weights(model) -> dict[str, dict[str, float]]:
     }
 
 
+def split(accounts: DataFrame, n: int) -> DataFrame:
+    """``accounts``, ``n`` at most, over enough tasks for work that takes long per row; files of few bytes would make few."""
+    cores = accounts.sparkSession.sparkContext.defaultParallelism
+    return accounts.repartition(max(1, min(-(-n // 256), max(4 * cores, -(-n // 16384)))), "account_id")
+
+
+def gathered(batches: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have so many rows, so that work per batch counts little."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held)
+            held.clear()
+    if sum(map(len, held)):
+        yield pd.concat(held)
+
+
 def explain_forest(matrix: DataFrame, trees: DataFrame, columns: list[str], drawn: int, top: int = TOP) -> DataFrame:
     """Contributions to the isolation score by ablation: what the score loses if a feature is set to its mean.
 
@@ -175,7 +194,7 @@ def forest_contributions(matrix: DataFrame, trees: DataFrame, columns: list[str]
     """
     forest = Forest(trees)
     expected = mean_path(drawn) or 1.0
-    clean = materialize(finite_or_zero(matrix.select("account_id", *columns), columns), "explained")
+    clean, n = materialize_counted(finite_or_zero(matrix.select("account_id", *columns), columns), "explained")
     # bounded by ``background``, whatever the number of accounts
     behind = smallest_hashes(clean, "account_id", background, seed).toPandas().sort_values("account_id")[columns].to_numpy(dtype=float)
     behind = list(behind)
@@ -188,34 +207,27 @@ def forest_contributions(matrix: DataFrame, trees: DataFrame, columns: list[str]
         orders = permutations_of(columns, 2 * rounds, seed)
         walks = [(order, behind[i // 2 % len(behind)]) for i, order in enumerate(orders)]
 
-    by_background = [(z, [order for order, other in walks if other is z]) for z in {id(z): z for _, z in walks}.values()]
+    places = np.array([np.argsort(order) for order, _ in walks], dtype=int).reshape(-1, len(columns))
+    mixed = Mixtures(forest, places + 1, np.array([z for _, z in walks], dtype=float).reshape(-1, len(columns)))
 
-    def scores(x: np.ndarray) -> np.ndarray:
-        return np.exp2(-forest.mean_paths(x) / expected)
+    def contributions(x: np.ndarray) -> np.ndarray:
+        shares = np.zeros_like(x)
+        for rows, chosen, paths in mixed.mean_paths(x):
+            added = np.diff(np.exp2(-paths / expected), axis=2)
+            for n, place in enumerate(places[chosen]):
+                shares[rows] += added[:, n, place]
+        return shares / max(1, len(walks))
 
     def run(batches):
-        base = float(scores(np.array(behind)).mean()) if len(behind) else 0.0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = pdf[columns].to_numpy(dtype=float)
-            shares = np.zeros_like(x)
-            for at in range(0, len(x), Forest.SLICE):
-                part, given = x[at:at + Forest.SLICE], shares[at:at + Forest.SLICE]
-                for z, its_orders in by_background:
-                    walk, start = Walk(forest, part, z), scores(z[None])[0]
-                    for order in its_orders:
-                        before = np.full(len(part), start)
-                        for j, paths in walk.mean_paths(order):
-                            after = np.exp2(-paths / expected)
-                            given[:, j] += after - before
-                            before = after
-            yield pd.DataFrame({
-                "account_id": pdf["account_id"], "base": base, "score": scores(x), "shares": list(shares / max(1, len(walks))),
-            })
+        base = float(np.exp2(-forest.mean_paths(np.array(behind)) / expected).mean()) if len(behind) else 0.0
+        for pdf in gathered(batches, Mixtures.ROWS):
+            # equal accounts have equal shares
+            x, nth = np.unique(pdf[columns].to_numpy(dtype=float), axis=0, return_inverse=True)
+            score, shares, nth = np.exp2(-forest.mean_paths(x) / expected), contributions(x), nth.ravel()
+            yield pd.DataFrame({"account_id": pdf["account_id"].to_numpy(), "base": base, "score": score[nth], "shares": list(shares[nth])})
 
     explained = clean if only is None else clean.join(only.select("account_id"), "account_id", "left_semi")
-    return explained.mapInPandas(run, "account_id string, base double, score double, shares array<double>")
+    return split(explained, n).mapInPandas(run, "account_id string, base double, score double, shares array<double>")
 
 
 def explain_forest_shapley(matrix: DataFrame, trees: DataFrame, columns: list[str], drawn: int, top: int = TOP,

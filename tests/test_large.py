@@ -10,7 +10,7 @@ from conftest import SMALL
 from test_graph import brute_betweenness
 
 from moneytrail import scratch
-from moneytrail.operators import anomaly
+from moneytrail.operators import anomaly, explain
 from moneytrail.operators import centrality as C
 from moneytrail.operators import traverse as T
 from moneytrail.plans import queries
@@ -138,3 +138,53 @@ def test_state_partitions_grow_with_the_events(spark, monkeypatch):
     assert [s.conf.get("spark.sql.shuffle.partitions") for s in sessions] == ["13"]
     rows = sorted(map(tuple, few.collect()))
     assert rows and rows == sorted(map(tuple, many.collect()))
+
+
+@pytest.fixture
+def grown():
+    """A forest over rounded values, of which some are equal to thresholds' neighbours, and its rows."""
+    rng = np.random.RandomState(3)
+    x = np.round(rng.gamma(1, size=(200, 6)), 1)
+    rows = [(t, *r) for t in range(30) for r in anomaly._grow(x[rng.choice(200, 64, replace=False)], 6, rng)]
+    table = pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "low", "high", "path"])
+    return table, anomaly.Forest(SimpleNamespace(toPandas=lambda: table)), x
+
+
+@pytest.mark.parametrize("late", [1, 400])
+def test_mixtures_are_those_of_the_walked_trees(grown, monkeypatch, late):
+    """After every step of every order, with features that come in together and steps at which none does."""
+    _, forest, x = grown
+    monkeypatch.setattr(anomaly.Mixtures, "ROWS", 77)
+    monkeypatch.setattr(anomaly.Mixtures, "ORDERS", 3)
+    rng = np.random.RandomState(5)
+    ranks = np.array([*(rng.permutation(6) + 1 for _ in range(4)), [1, 1, 2, 2, 6 * late, 3]])
+    behind = x[rng.choice(200, 5)]
+    seen = np.zeros((200, 5, 6 * late + 1), dtype=int)
+    for rows, orders, paths in anomaly.Mixtures(forest, ranks, behind).mean_paths(x):
+        seen[rows, orders] += 1
+        for n, step in np.ndindex(paths.shape[1:]):
+            if step < 8 or step == 6 * late:
+                own = ranks[orders][n] <= step
+                assert np.allclose(paths[:, n, step], forest.mean_paths(np.where(own, x[rows], behind[orders][n])), rtol=0, atol=1e-9)
+    assert (seen == 1).all()
+
+
+def test_mixtures_without_a_turn_are_exactly_equal(grown):
+    """Sums of paths don't differ by rounding, so a feature that changes nothing has the share 0."""
+    _, forest, x = grown
+    orders = np.array([[1, 2, 3, 4, 5, 6], [6, 5, 4, 3, 2, 1]])
+    for _, _, paths in anomaly.Mixtures(forest, orders, x[[7, 7]]).mean_paths(x[[7, 7]]):
+        assert (paths == paths[:, :, :1]).all()
+
+
+@pytest.mark.parametrize("explained", [explain.forest_contributions])
+def test_forests_are_explained_in_many_tasks(spark, grown, monkeypatch, explained):
+    """However few files hold the accounts; equal accounts are walked once."""
+    table, _, x = grown
+    columns = [f"f{i}" for i in range(6)]
+    rows = np.concatenate([x] * 5)
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=columns).assign(account_id=[f"p{i:04d}" for i in range(1000)])).coalesce(1)
+    found = explained(df, spark.createDataFrame(table, anomaly.TREE_SCHEMA), columns, 64)
+    assert found.rdd.getNumPartitions() == 4
+    got = {r.account_id: tuple(r)[1:] for r in found.collect()}
+    assert len(got) == 1000 and all(got[f"p{i:04d}"] == got[f"p{i % 200:04d}"] for i in range(1000))
