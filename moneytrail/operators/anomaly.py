@@ -13,7 +13,7 @@ from moneytrail.operators.features import standardise
 from moneytrail.operators.neighbours import nearest, sites, vector
 from moneytrail.operators.projections import nearest_approximate
 from moneytrail.operators.quality import finite_or_zero
-from moneytrail.scratch import materialize, materialize_counted
+from moneytrail.scratch import materialize, materialize_counted, sorted_join
 
 # Ensemble settings.
 TREES = 300
@@ -268,9 +268,11 @@ def lof(matrix: DataFrame, columns: list[str], k: int = NEIGHBOURS, pivots: int
     """
     clean, n = materialize_counted(finite_or_zero(matrix.select("account_id", *columns), columns), "lof-input")
     k = max(1, min(k, n - 1))
-    all_sites = materialize(sites(clean, columns), "lof-sites")
+    all_sites, distinct = materialize_counted(sites(clean, columns), "lof-sites")
     near = materialize(nearest(all_sites, k, pivots) if exact else nearest_approximate(all_sites, k), "lof-neighbours")
 
+    # hints go by the larger side, which the planner may take for the smaller one
+    entries = distinct * (k + 1)
     listed = Window.partitionBy("site").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
 
     def taken(weight):
@@ -285,21 +287,21 @@ def lof(matrix: DataFrame, columns: list[str], k: int = NEIGHBOURS, pivots: int
 
     def density(rows):
         reach = F.greatest("distance", "k_distance") * F.col("take")
-        return rows.join(k_distance, "neighbour").groupBy("site").agg(
+        return rows.join(sorted_join(k_distance, entries), "neighbour").groupBy("site").agg(
             (1.0 / (F.sum(reach) / k + DENSITY_EPSILON)).alias("density")
         )
 
     fitted = materialize(density(others), "lof-density").select(F.col("site").alias("neighbour"), F.col("density").alias("fitted"))
     own = density(looked_up)
     factor = (
-        looked_up.join(fitted, "neighbour").groupBy("site").agg(F.sum(F.col("take") * F.col("fitted")).alias("around"))
-        .join(own, "site")
+        looked_up.join(sorted_join(fitted, entries), "neighbour").groupBy("site").agg(F.sum(F.col("take") * F.col("fitted")).alias("around"))
+        .join(sorted_join(own, distinct), "site")
         .select("site", (-F.col("around") / k / F.col("density")).alias("lof_score"))
     )
-    scored = all_sites.join(factor, "site").select(F.xxhash64("v").alias("key"), F.col("v").alias("site_v"), "lof_score")
+    scored = all_sites.join(sorted_join(factor, distinct), "site").select(F.xxhash64("v").alias("key"), F.col("v").alias("site_v"), "lof_score")
     owners = clean.select("account_id", vector(columns).alias("v")).withColumn("key", F.xxhash64("v"))
     # a third of all accounts may share one site
-    return salted_join(owners, scored, "key", F.col("account_id"), hot=hot_keys(owners, "key", rows=n)).where(F.col("v") == F.col("site_v")).select(
+    return salted_join(owners, sorted_join(scored, n), "key", F.col("account_id"), hot=hot_keys(owners, "key", rows=n)).where(F.col("v") == F.col("site_v")).select(
         "account_id", "lof_score"
     )
 
@@ -338,6 +340,6 @@ def detect(matrix: DataFrame, columns: list[str], trees: int = TREES, k: int = N
     if rescale:
         matrix = materialize(standardise(finite_or_zero(matrix, columns), columns), "matrix")
     forest = fit_forest(matrix, columns, trees)
-    drawn = min(SAMPLE, matrix.count())
-    iso = score_forest(matrix, forest, columns, drawn)
-    return ensemble(iso.join(lof(matrix, columns, k, exact=exact), "account_id")), forest
+    n = matrix.count()
+    iso = score_forest(matrix, forest, columns, min(SAMPLE, n))
+    return ensemble(iso.join(sorted_join(lof(matrix, columns, k, exact=exact), n), "account_id")), forest

@@ -153,7 +153,7 @@ def betweenness(transfers: DataFrame, accounts: DataFrame, samples: int | None =
         total = part if total is None else total.unionByName(part)
     scale = n / max(used, 1) / max((n - 1) * (n - 2), 1)
     sums = total.groupBy("node").agg(F.sum("dependency").alias("dependency"))
-    sums, rows = materialize_counted(names.join(sums, "node").select("account_id", "dependency"), "between-sums")
+    sums, rows = materialize_counted(names.join(sorted_join(sums, n), "node").select("account_id", "dependency"), "between-sums")
     return ids.join(sorted_join(sums, rows), "account_id", "left").select(
         "account_id", (F.coalesce("dependency", F.lit(0.0)) * scale).alias("betweenness_centrality")
     )

@@ -12,6 +12,7 @@ from test_graph import brute_betweenness
 from moneytrail import scratch
 from moneytrail.operators import anomaly, explain
 from moneytrail.operators import centrality as C
+from moneytrail.operators import neighbours as N
 from moneytrail.operators import traverse as T
 from moneytrail.plans import queries
 from moneytrail.streaming import history, inbox, sink
@@ -188,3 +189,73 @@ def test_forests_are_explained_in_many_tasks(spark, grown, monkeypatch, explaine
     assert found.rdd.getNumPartitions() == 4
     got = {r.account_id: tuple(r)[1:] for r in found.collect()}
     assert len(got) == 1000 and all(got[f"p{i:04d}"] == got[f"p{i % 200:04d}"] for i in range(1000))
+
+
+def test_neighbours_store_no_table_of_candidates(spark, monkeypatch):
+    """Independent features, where cells exclude little: what is stored grows with the sites and not with their pairs."""
+    stored, store = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name: (stored.append(store(df, name)), stored[-1])[1])
+    rng = np.random.default_rng(4)
+    sites = spark.createDataFrame([(f"s{i:03d}", int(w), v.tolist()) for i, (w, v) in enumerate(zip(rng.integers(1, 4, 600), rng.normal(size=(600, 21))))], "site string, weight bigint, v array<double>")
+    found = N.nearest(sites, 5, pivots=12, chunk=50).toPandas()
+    assert found["site"].nunique() == 600 and stored and sum(df.count() for df in stored) <= 2 * 600
+
+
+@pytest.mark.parametrize("kind", ["independent", "clusters", "grid", "far", "tails"])
+def test_neighbours_in_blocks_are_those_of_all_pairs(kind):
+    """Bit for bit, with ties by name, for sites that come in batches of any size."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 4))
+    if kind == "clusters":
+        v = np.repeat(v[:20], 20, axis=0) + rng.normal(size=(400, 4)) * 10.0 ** rng.integers(-16, -6, (400, 1))
+    elif kind == "grid":
+        v = np.array(list(np.ndindex(5, 5, 4, 4)), dtype=float)[rng.permutation(400)]
+    elif kind == "far":
+        v = v * 1e-3 + 1e8
+    elif kind == "tails":
+        v = np.sign(v) * rng.pareto(0.5, size=(400, 4))
+    weight, names, nth = rng.integers(1, 4, 400), np.array([f"s{i:03d}" for i in range(400)], dtype=object), np.arange(400)
+    d, k = N.distances(v, v), 7
+    lists = N.Lists(v[:150], nth[:150], k, 16)
+    parts = np.split(rng.permutation(400), [3, 120, 121])
+    for part in parts[:2]:
+        lists.meet(v[part], nth[part], weight[part], names[part])
+    again, held = N.Lists(v[:150], nth[:150], k, 16), lists.columns()
+    again.resume(lists.reach, np.array([len(x) for x in held["names"]]), *(np.concatenate(held[c]) for c in ("distances", "numbers", "weights", "names")))
+    for part in parts[2:]:
+        again.meet(v[part], nth[part], weight[part], names[part])
+    got = again.columns()
+    for i in range(150):
+        order = sorted(range(400), key=lambda j: (j != i, d[i, j], j))
+        ends = int(np.searchsorted(np.cumsum(weight[order]), k + 1)) + 1
+        assert got["names"][i].tolist() == names[order[:ends]].tolist() and got["distances"][i].tolist() == d[i, order[:ends]].tolist()
+
+
+def broadcasts(plan_text):
+    """What a plan broadcasts, each as the lines below it."""
+    lines = plan_text.split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_anomaly_scores_broadcast_no_table_of_accounts(spark, monkeypatch):
+    """Many accounts that share a few sites: tables of sites may be broadcast, those of accounts not."""
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 200)
+    plans, store = {}, anomaly.materialize
+    monkeypatch.setattr(anomaly, "materialize", lambda df, name: (plans.update({name: plan(df)}), store(df, name))[1])
+    kinds = np.random.default_rng(2).normal(size=(20, 3))
+    rows = pd.DataFrame(np.repeat(kinds, 20, axis=0), columns=["a", "b", "c"]).assign(account_id=[f"p{i:03d}" for i in range(400)])
+    scored, _ = anomaly.detect(spark.createDataFrame(rows), ["a", "b", "c"], trees=5, k=5)
+    assert scored.count() == 400
+    sent = list(broadcasts(plans["anomaly-scores"]))
+    assert not any("lof-input" in text or "MapInPandas" in text for text in sent) and "SortMergeJoin" in plans["anomaly-scores"]
+
+
+def test_betweenness_broadcasts_no_table_of_names(large, transfers, accounts, monkeypatch):
+    plans, store = {}, C.materialize_counted
+    monkeypatch.setattr(C, "materialize_counted", lambda df, name: (plans.update({name: plan(df)}), store(df, name))[1])
+    C.betweenness(transfers(("A", "B", 1, 1), ("B", "C", 1, 2), ("C", "D", 1, 3)), accounts(*"ABCD"), None).collect()
+    assert "SortMergeJoin" in plans["between-sums"] and "BroadcastHashJoin" not in plans["between-sums"]
