@@ -171,6 +171,21 @@ class Walk:
                 path[rows, trees] = self.forest.path[at]
             yield j, path.sum(axis=1) / len(self.forest.roots)
 
+    def without(self):
+        """The mean paths of the rows themselves, then for each feature those of rows that have the background's instead."""
+        own = np.ones(self.x.shape[1], dtype=bool)
+        rows, trees = np.indices(self.path.shape).reshape(2, -1)
+        at, turns = (a.reshape(self.path.shape) for a in self._down(rows, trees, own))
+        full = self.forest.path[at]
+        yield full.sum(axis=1) / len(self.forest.roots)
+        for j in range(self.x.shape[1]):
+            path, taken = full.copy(), own.copy()
+            taken[j] = False
+            rows, trees = np.nonzero(turns & self._bit(np.int64(j)))
+            if len(rows):
+                path[rows, trees] = self.forest.path[self._down(rows, trees, taken)[0]]
+            yield path.sum(axis=1) / len(self.forest.roots)
+
 
 class Mixtures:
     """A forest over rows whose features take the place of those of background rows one by one, for many orders at once.

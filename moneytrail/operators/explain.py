@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from moneytrail.functions.columns import fixed
 from moneytrail.functions.ranking import smallest_hashes
-from moneytrail.operators.anomaly import Forest, Mixtures, mean_path
+from moneytrail.operators.anomaly import Forest, Mixtures, Walk, mean_path
 from moneytrail.operators.quality import finite_or_zero
-from moneytrail.scratch import materialize_counted
+from moneytrail.scratch import materialize_counted, sorted_join
 
 TOP = 5
 #: Orders of features and background accounts that forest contributions are sampled from.
@@ -151,21 +151,19 @@ def explain_forest(matrix: DataFrame, trees: DataFrame, columns: list[str], draw
     shares = [f"share_{i}" for i in range(len(columns))]
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = pdf[columns].to_numpy(dtype=float)
-            full = np.exp2(-forest.mean_paths(x) / expected)
-            out = pdf.copy()
-            for i, name in enumerate(shares):
-                without = x.copy()
-                without[:, i] = 0.0
-                out[name] = full - np.exp2(-forest.mean_paths(without) / expected)
-            yield out
+        for pdf in gathered(batches, Mixtures.ROWS):
+            x, nth = np.unique(pdf[columns].to_numpy(dtype=float), axis=0, return_inverse=True)
+            given = np.zeros_like(x)
+            for at in range(0, len(x), Forest.SLICE):
+                part = x[at:at + Forest.SLICE]
+                full, *without = (np.exp2(-paths / expected) for paths in Walk(forest, part, np.zeros(x.shape[1])).without())
+                given[at:at + Forest.SLICE] = np.stack([full - w for w in without], axis=1)
+            # equal accounts have equal shares
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(given[nth.ravel()], columns=shares)], axis=1)
 
     clean = finite_or_zero(matrix.select("account_id", *columns), columns)
     schema = "account_id string, " + ", ".join(f"`{c}` double" for c in [*columns, *shares])
-    scored = clean.mapInPandas(run, schema)
+    scored = split(clean, matrix.count()).mapInPandas(run, schema)
     return scored.select("account_id", top_features(
         {c: F.col(s) for c, s in zip(columns, shares)}, {c: F.col(c) for c in columns}, top
     ).alias("explanation"))
@@ -236,7 +234,7 @@ def explain_forest_shapley(matrix: DataFrame, trees: DataFrame, columns: list[st
     found = forest_contributions(matrix, trees, columns, drawn, only=only, **sampling)
     clean = finite_or_zero(matrix.select("account_id", *columns), columns)
     shares = {c: F.get("shares", F.lit(i)) for i, c in enumerate(columns)}
-    return found.join(clean, "account_id").select(
+    return found.join(sorted_join(clean), "account_id").select(
         "account_id", top_features(shares, {c: F.col(c) for c in columns}, top).alias("explanation")
     )
 

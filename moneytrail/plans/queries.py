@@ -16,7 +16,7 @@ from moneytrail.operators import (
     anomaly, centrality, daily, explain, export, features, neighbours, nodeclf, patterns, projections, quality, report, risk, traverse,
 )
 from moneytrail.operators.cycles import circular, trails
-from moneytrail.scratch import materialize, scratch_path
+from moneytrail.scratch import materialize, scratch_path, sorted_join
 from moneytrail.sources import buckets, edges, star, tables
 from moneytrail.streaming import history, inbox, sink
 from moneytrail.streaming import rules as rules_stream
@@ -768,7 +768,7 @@ def anomaly_explanations(spark, sf_dir):
     scored, forest = anomaly.detect(matrix, features.FEATURES)
     explained = explain.explain_forest(matrix, forest, features.FEATURES, min(anomaly.SAMPLE, matrix.count()))
     text = explain.anomaly_text(F.col("account_id"), F.col("ensemble_anomaly_score"), F.col("explanation"))
-    return explained.join(scored, "account_id").select(
+    return explained.join(sorted_join(scored), "account_id").select(
         "account_id", text.alias("text"), F.explode("explanation").alias("x")
     ).select("account_id", "text", "x.*")
 
@@ -782,7 +782,7 @@ def forest_contributions(spark, sf_dir):
     found = explain.forest_contributions(matrix, forest, features.BEHAVIOUR, drawn)
     scored = anomaly.score_forest(matrix, forest, features.BEHAVIOUR, drawn)
     total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
-    return found.join(scored, "account_id").select(
+    return found.join(sorted_join(scored), "account_id").select(
         "account_id", F.size("shares").cast("bigint").alias("features"),
         (F.abs(total - (-F.col("iso_score") - F.col("base"))) < 1e-9).alias("adds_up"),
     )

@@ -178,7 +178,19 @@ def test_mixtures_without_a_turn_are_exactly_equal(grown):
         assert (paths == paths[:, :, :1]).all()
 
 
-@pytest.mark.parametrize("explained", [explain.forest_contributions])
+def test_rows_without_a_feature_are_those_of_the_walked_trees(grown):
+    _, forest, x = grown
+    walk, walked = anomaly.Walk(forest, x, np.zeros(6)), []
+    down = walk._down
+    walk._down = lambda rows, *rest: (walked.append(len(rows)), down(rows, *rest))[1]
+    full, *without = walk.without()
+    assert (full == forest.mean_paths(x)).all()
+    for j, paths in enumerate(without):
+        assert (paths == forest.mean_paths(np.where(np.arange(6) == j, 0, x))).all()
+    assert sum(walked) < 5 * len(x) * 30
+
+
+@pytest.mark.parametrize("explained", [explain.forest_contributions, explain.explain_forest])
 def test_forests_are_explained_in_many_tasks(spark, grown, monkeypatch, explained):
     """However few files hold the accounts; equal accounts are walked once."""
     table, _, x = grown
